@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from quire.llm.chat import OP7_SQL, op7_chat
 from quire.llm.decontaminate import OP5_SQL, op5_decontaminate
+from quire.llm.line_dedup import OP10_SQL, op10_line_dedup
+from quire.llm.ngram_join import op2_ngram_join
+from quire.llm.pieces import op8_pieces
 from quire.llm.quality_rules import op6_quality_rules
 from quire.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
     return {
+        "op2_ngram_join": op2_ngram_join,
         "op5_decontaminate": op5_decontaminate,
         "op6_quality_rules": op6_quality_rules,
         "op7_chat": op7_chat,
+        "op8_pieces": op8_pieces,
         "op9_warc": op9_warc,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op7_chat": OP7_SQL, "op9_warc": OP9_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op7_chat": OP7_SQL, "op9_warc": OP9_SQL, "op10_line_dedup": OP10_SQL}
