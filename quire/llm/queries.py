@@ -8,11 +8,13 @@ from quire.llm.line_dedup import OP10_SQL, op10_line_dedup
 from quire.llm.ngram_join import op2_ngram_join
 from quire.llm.pieces import op8_pieces
 from quire.llm.quality_rules import op6_quality_rules
+from quire.llm.suffix_dedup import op1_suffix_dedup
 from quire.llm.warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_ngram_join": op2_ngram_join,
         "op5_decontaminate": op5_decontaminate,
         "op6_quality_rules": op6_quality_rules,
