@@ -165,6 +165,38 @@ def _scan_by_join(docs: DataFrame, bench: DataFrame, window: int, clean: bool) -
     return both.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_hit_share: float = 0.5, max_broadcast_chars: int = MAX_BROADCAST_CHARS) -> DataFrame:
+    """docs, all columns, without hit spans; a document of which more than max_hit_share is hit goes."""
+    at, text = (next(c for c in docs.columns if c.lower() == k) for k in ("doc_id", "text"))
+    size = next((c for c in docs.columns if c.lower() == "n_chars"), None)
+    bench = pick(benchmark, "item_id", "text")
+    chars = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if chars > max_broadcast_chars:
+        found = _scan_by_join(docs.withColumnRenamed(at, "doc_id"), bench, window, True).where("contaminated").select(F.col("doc_id").alias("_doc"), "cleaned", "n_hit", "n_words").distinct()
+        both = docs.join(found.hint("shuffle_hash"), docs[at].eqNullSafe(F.col("_doc")), "left").where(F.col("n_hit").isNull() | (F.col("n_hit") <= max_hit_share * F.col("n_words")))
+        new = both.withColumn(text, F.coalesce("cleaned", text))
+        return (new.withColumn(size, F.length(text).cast(docs.schema[size].dataType)) if size else new).select(*docs.columns)
+    sent = docs.sparkSession.sparkContext.broadcast(WindowSet([(r[0], r[1]) for r in bench.collect()], window))
+    i_text, i_size = docs.columns.index(text), docs.columns.index(size) if size else None
+
+    def run(batches):
+        known = sent.value
+        for b in batches:
+            keep, texts = [], []
+            for t in b.column(i_text).to_pylist():
+                hit, _ = known.scan(words_of(t))
+                n = int(hit.sum())
+                keep.append(n <= max_hit_share * len(hit))
+                texts.append(strip_spans(t, hit) if n else t)
+            cols = list(b.columns)
+            cols[i_text] = pa.array(texts, b.schema.field(i_text).type)
+            if i_size is not None:
+                cols[i_size] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(i_size).type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_decontaminate(spark, sf_dir):
     found = scan_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("cleaned")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from quire.llm.chat import OP7_SQL, op7_chat
+from quire.llm.cotrain import op3_cotrain
 from quire.llm.decontaminate import OP5_SQL, op5_decontaminate
+from quire.llm.html_extract import op4_html_extract
 from quire.llm.line_dedup import OP10_SQL, op10_line_dedup
 from quire.llm.ngram_join import op2_ngram_join
 from quire.llm.pieces import op8_pieces
@@ -16,6 +18,8 @@ def queries() -> dict:
     return {
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_ngram_join": op2_ngram_join,
+        "op3_cotrain": op3_cotrain,
+        "op4_html_extract": op4_html_extract,
         "op5_decontaminate": op5_decontaminate,
         "op6_quality_rules": op6_quality_rules,
         "op7_chat": op7_chat,
