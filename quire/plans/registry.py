@@ -1,11 +1,46 @@
-"""Queries of the library's own operators, with their SQL."""
+"""Queries of the library's own operators over the overlay, with their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.operators import numbering as N
+from quire.operators import roles as R
+from quire.plans import overlay as O
+from quire.plans.flow_sql import CAPTIONS, HEADINGS, ROLES, WITH
+
+_Q: dict = {}
+_S: dict[str, str] = {}
+
+
+def _add(name: str, fn, sql: str | None = None) -> None:
+    _Q[name] = fn
+    if sql:
+        _S[name] = sql
+
+
+def _roles(spark, sf):
+    return R.classify_roles(O.paragraphs(spark, sf))
+
+
+_add("classify_roles", lambda s, d: _roles(s, d).select("doc_id", "para_index", "role", "confidence", "reason", "section"), f"{ROLES} select doc_id, para_index, role, confidence, reason, section from rol")
+_add("special_roles", lambda s, d: _roles(s, d).where("role in ('figure_caption', 'table_caption', 'source_note', 'formula_line')").select("doc_id", "para_index", "role", "confidence"), f"{ROLES} select doc_id, para_index, role, confidence from rol where role in ('figure_caption', 'table_caption', 'source_note', 'formula_line')")
+_add("appendix_roles", lambda s, d: _roles(s, d).where("role like 'appendix%'").select("doc_id", "para_index", "role", "confidence"), f"{ROLES} select doc_id, para_index, role, confidence from rol where role like 'appendix%'")
+_add("check_heading_sequence", lambda s, d: N.check_heading_sequence(_roles(s, d)), f"{HEADINGS} select * from hseq")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents have broken heading numbers, and how many."""
+    return N.check_heading_sequence(_roles(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_errors"))
+
+
+_add("heading_errors_per_doc", flagship, f"{HEADINGS} select doc_id, count(*) as n_errors from hseq group by doc_id")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_S)
