@@ -126,7 +126,7 @@ def range_text(low: Column, high: Column, unit: str) -> Column:
 
 
 def percent_text(x: Column) -> Column:
-    return F.concat(F.regexp_replace(F.format_number(x * 100, "0.00"), r"\.?0+\z", ""), F.lit("%"))
+    return F.concat(F.regexp_replace(F.format_string("%.2f", x * 100), r"\.?0+\z", ""), F.lit("%"))
 
 
 def utf16_length(t: Column) -> Column:

@@ -30,7 +30,7 @@ def measure_to_twips(s: Column) -> Column:
         .when(unit == "mm", F.floor(n * 1440 / 25.4 + 0.5))
         .otherwise(n)
         .cast("double")
-    )
+    ) + 0.0  # no negative zero
 
 
 def twips_to_pt(x: Column) -> Column:

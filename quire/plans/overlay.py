@@ -72,8 +72,8 @@ def fields(p: DataFrame) -> DataFrame:
 
 
 FIELD_COLUMNS = {
-    "instruction": r"""case when kind = 'fig' then case when v % 2 = 0 then 'SEQ  Figure \* ARABIC' else 'seq "Tbl"' end
-        when v % 4 = 0 then 'REF _Ref1 \h' when v % 4 = 1 then 'PAGEREF "_Ref2" \h' when v % 4 = 2 then 'REF _Ref9 \r \h' else 'REF _Ref8' end""",
+    "instruction": r"""case when kind = 'fig' then case when v % 2 = 0 then concat('SEQ  Figure ', chr(92), '* ARABIC') else 'seq "Tbl"' end
+        when v % 4 = 0 then concat('REF _Ref1 ', chr(92), 'h') when v % 4 = 1 then concat('PAGEREF "_Ref2" ', chr(92), 'h') when v % 4 = 2 then concat('REF _Ref9 ', chr(92), 'r ', chr(92), 'h') else 'REF _Ref8' end""",
     "display_text": "case when kind = 'fig' then concat('（1－', cast(para_index - 12 as varchar(20)), '）') when v = 6 then '[1, 2]' else 'x' end",
     "start_run": "0",
     "end_run": "1",
