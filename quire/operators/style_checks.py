@@ -127,7 +127,7 @@ def _by_key(values: dict, key="field_key") -> Column:
 
 
 def _shown(s: Column, n: Column, b: Column) -> Column:
-    quoted = F.concat(F.lit("「"), F.coalesce(s, F.when(b, "是").when(~b, "否")), F.lit("」"))
+    quoted = F.concat(F.lit("「"), F.coalesce(s, F.when(b, "是").when(~b, "否"), F.lit("（未设置）")), F.lit("」"))
     return F.coalesce(F.concat(number_text(n), _by_key({k: x[2] for k, x in FIELDS.items()})), quoted)
 
 

@@ -1,2 +1,330 @@
-def add(_add):
-    pass
+"""Queries over rule tables, proposals, issues and inherited styles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quire.operators import proposals as PR
+from quire.operators import report as RP
+from quire.operators import resolve as RS
+from quire.operators import roles as R
+from quire.operators import rules as RU
+from quire.operators import style_checks as C
+from quire.plans import overlay as O
+from quire.plans import validate as V
+from quire.plans.flow_sql import HEADINGS, ROLES, WITH, m, trim
+
+NUM = "case when {0} = floor({0}) then cast(cast({0} as bigint) as varchar) else cast({0} as varchar) end"
+#: (role, field_key, enabled, severity, mode, exact_str, exact_num, exact_bool, one_of texts, min, max)
+RULES = [
+    ("body_text", "fontFamilyCn", True, "error", "exact", "宋体", None, None, None, None, None),
+    ("body_text", "fontSizePt", True, "error", "exact", None, 12.0, None, None, None, None),
+    ("body_text", "align", True, "warn", "oneOf", None, None, None, ["justify", "left"], None, None),
+    ("body_text", "lineHeightPt", True, "warn", "range", None, None, None, None, 20.0, 21.0),
+    ("body_text", "spaceAfterPt", False, "warn", "exact", None, 0.0, None, None, None, None),
+    ("abstract_body_en", "fontFamilyLatin", True, "error", "exact", "Times New Roman", None, None, None, None, None),
+    ("abstract_body_en", "firstLineIndentChars", True, "warn", "exact", None, 2.0, None, None, None, None),
+    ("heading1", "bold", True, "warn", "exact", None, None, True, None, None, None),
+    ("heading1", "outlineLevel", True, "warn", "exact", None, 1.0, None, None, None, None),
+    ("heading1", "fontSizePt", True, "error", "exact", None, 12.0, None, None, None, None),
+    ("heading2", "outlineLevel", True, "warn", "range", None, None, None, None, 3.0, None),
+    ("reference_body", "fontSizePt", True, "error", "range", None, None, None, None, None, 11.0),
+    ("reference_body", "align", True, "warn", "unset", None, None, None, None, None, None),
+    ("back_matter_body", "leftIndentChars", True, "warn", "exact", None, 0.0, None, None, None, None),
+    ("appendix_body", "spaceBeforePt", True, "warn", "exact", None, 6.0, None, None, None, None),
+    ("keywords_cn", "align", True, "error", "oneOf", None, None, None, [], None, None),
+    ("keywords_en", "fontSizePt", True, "error", "range", None, None, None, None, 12.0, 10.0),
+    ("toc1", "fontFamilyCn", True, "error", "exact", None, None, None, None, None, None),
+    ("toc2", "bold", False, "warn", "exact", None, None, True, None, None, None),
+]
+
+
+def rules(spark):
+    rows = [(*r[:8], None if r[8] is None else [(x, None, None) for x in r[8]], *r[9:]) for r in RULES]
+    return spark.createDataFrame(rows, C.RULE_SCHEMA)
+
+
+def _q(v) -> str:
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, list):
+        return "cast([" + ", ".join(_q(x) for x in v) + "] as varchar[])"
+    return "'" + v + "'" if isinstance(v, str) else str(v)
+
+
+_RSQL = "rul(role, field_key, enabled, severity, mode, es, en, eb, one_of, lo, hi) as (select * from (values " + ", ".join("(" + ", ".join(_q(x) for x in r) + ")" for r in RULES) + ") v)"
+_LAB = "fl(field_key, label, field, unit, tol) as (values " + ", ".join(f"('{k}', '{a}', '{b}', '{u}', {t!r})" for k, (a, b, u, t) in C.FIELDS.items()) + ")"
+_FALL = "fb(role, rr, rk) as (values " + ", ".join(f"('{r}', '{x}', {i})" for r, xs in C.FALLBACKS.items() for i, x in enumerate(xs, 1)) + ")"
+_CJK, _LAT = m("text", r"[\x{4E00}-\x{9FFF}]"), m("text", "[A-Za-z]")
+_AL = "case alignment when 'both' then 'justify' when 'distribute' then 'justify' when 'start' then 'left' when 'end' then 'right' else alignment end"
+
+
+def _val(key, s="null", n="null", b="null", cond="true", shown=None):
+    return f"select doc_id, para_index, role, text, '{key}' as field_key, cast({s} as varchar) as s, cast({n} as double) as n, cast({b} as boolean) as b, {shown} as shown from rol where role is not null and {cond}"
+
+
+def _nv(key, c):
+    return _val(key, n=c, cond=f"{c} is not null", shown=f"{NUM.format(c)} || '{C.FIELDS[key][2]}'")
+
+
+_LEVEL = "coalesce(outline_level + 1, 10)"
+_BOLD = "coalesce(bold, false)"
+_VALS = " union all ".join(
+    [
+        _val("fontFamilyCn", s="font_east_asia", cond=f"{_CJK} and coalesce(font_east_asia, '') <> ''", shown="'「' || font_east_asia || '」'"),
+        _val("fontFamilyLatin", s="font_ascii", cond=f"{_LAT} and coalesce(font_ascii, '') <> ''", shown="'「' || font_ascii || '」'"),
+        _nv("fontSizePt", "size_pt"),
+        _val("bold", b=_BOLD, shown=f"case when {_BOLD} then '「是」' else '「否」' end"),
+        _val("align", s=_AL, shown=f"coalesce('「' || {_AL} || '」', '（未设置）')"),
+        _val("lineHeightPt", n="line_pt", shown=f"case when line_pt is not null then {NUM.format('line_pt')} || 'pt' when line_multiple is not null then {NUM.format('line_multiple')} || ' 倍' else '（未设置）' end"),
+        _nv("spaceBeforePt", "space_before_pt"),
+        _nv("spaceAfterPt", "space_after_pt"),
+        _nv("firstLineIndentChars", "first_line_chars"),
+        _nv("hangingIndentChars", "hanging_chars"),
+        _nv("leftIndentChars", "left_chars"),
+        _val("outlineLevel", n=_LEVEL, shown=f"{_LEVEL} || ' 级'"),
+    ]
+)
+_OWN = f"""{_RSQL}, {_LAB}, {_FALL}, onr as (select * from rul where enabled and mode <> 'unset'), have as (select distinct role from onr),
+pick as (select role, coalesce(max(case when role in (select role from have) then role end), (select arg_min(rr, rk) from fb where fb.role = x.role and rr in (select role from have))) as rr from (select distinct role from rol where role is not null) x group by role),
+own as (select pick.role, onr.* exclude (role) from pick join onr on onr.role = pick.rr)"""
+_OK = """case mode when 'exact' then coalesce(s = es, false) or coalesce(abs(n - en) <= tol, false) or coalesce(b = eb, false) when 'oneOf' then coalesce(list_contains(one_of, s), false)
+ else n is not null and coalesce(n >= lo, true) and coalesce(n <= hi, true) end"""
+
+
+def _pn(x):
+    return f"({NUM.format(x)} || unit)"
+
+
+_DESC = f"""case mode when 'exact' then '应为 ' || coalesce({_pn('en')}, '「' || coalesce(es, case when eb then '是' when not eb then '否' end, '（未设置）') || '」') when 'oneOf' then '应为以下之一：' || array_to_string(list_transform(one_of, lambda x: '「' || x || '」'), ' / ')
+ else case when lo is not null and hi is not null then '应在 ' || {_pn('lo')} || ' ~ ' || {_pn('hi')} || ' 范围内' when lo is not null then '应不小于 ' || {_pn('lo')} else '应不大于 ' || {_pn('hi')} end end"""
+_PF = f"""{ROLES}, {_OWN}, vls as ({_VALS}), pf as (select doc_id, para_index, role, field, severity, shown, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 24) as text_preview, label || {_DESC} || '，实际 ' || shown as message from vls join own using (role, field_key) join fl using (field_key) where not ({_OK}))"""
+
+_RUNV = f"""rv as (select doc_id, para_index, run_index, text, 'fontFamilyCn' as field_key, font_east_asia as s, cast(null as double) as n from run where {trim('text')} <> '' and {_CJK} and font_east_asia is not null
+ union all select doc_id, para_index, run_index, text, 'fontFamilyLatin', font_ascii, null from run where {trim('text')} <> '' and {_LAT} and font_ascii is not null
+ union all select doc_id, para_index, run_index, text, 'fontSizePt', null, size_pt from run where {trim('text')} <> '' and size_pt is not null)"""
+_ISL = """rb as (select rv.* from rv join (select doc_id, para_index, role from rol where role is not null) q using (doc_id, para_index) join (select *, cast(null as boolean) as b from own) using (role, field_key) join (select field_key, 0.01 as tol from fl) using (field_key)
+ where not (case mode when 'exact' then coalesce(s = es, false) or coalesce(abs(n - en) <= tol, false) when 'oneOf' then coalesce(list_contains(one_of, s), false) else n is not null and coalesce(n >= lo, true) and coalesce(n <= hi, true) end)),
+ri as (select *, case when run_index = lag(run_index) over w + 1 and s is not distinct from lag(s) over w and n is not distinct from lag(n) over w then 0 else 1 end as nw from rb window w as (partition by doc_id, para_index, field_key order by run_index)),
+rj as (select *, sum(nw) over (partition by doc_id, para_index, field_key order by run_index) as no from ri),
+isl as (select doc_id, para_index, field_key, s, n, min(run_index) as start_run, max(run_index) as end_run, string_agg(text, '' order by run_index) as affected_text from rj group by doc_id, para_index, field_key, no, s, n)"""
+
+LEGACY = [("body_text", "宋体", "Arial", 12.0, False, "justify", 20.0, 2.0), ("back_matter_body", "黑体", None, 10.5, None, None, None, None), ("heading1", None, None, None, True, "center", None, 0.0)]
+LEGACY_SCHEMA = "role string, font_east_asia string, font_latin string, size_pt double, bold boolean, alignment string, line_spacing_pt double, first_line_indent_chars double"
+_LEG = "leg(role, font_east_asia, font_latin, size_pt, bold, alignment, line_spacing_pt, first_line_indent_chars) as (values " + ", ".join("(" + ", ".join(_q(x) for x in r) + ")" for r in LEGACY) + ")"
+_LSQL = f"""{ROLES}, {_LEG}, {_FALL}, have as (select role from leg),
+pick as (select role, coalesce(max(case when role in (select role from have) then role end), (select arg_min(rr, rk) from fb where fb.role = x.role and rr in (select role from have))) as rr from (select distinct role from rol where role is not null) x group by role),
+lg as (select rol.doc_id, rol.para_index, rol.role, text, rol.font_east_asia as a_cn, font_ascii as a_la, rol.size_pt as a_sz, coalesce(rol.bold, false) as a_b, {_AL.replace('alignment', 'rol.alignment')} as a_al, line_pt, line_multiple, first_line_chars, leg.* exclude (role) from rol join pick using (role) join leg on leg.role = pick.rr)
+select doc_id, para_index, role, 'font_east_asia' as field, font_east_asia as expected, a_cn as actual, 'error' as severity from lg where {_CJK} and a_cn <> font_east_asia
+union all select doc_id, para_index, role, 'font_latin', font_latin, a_la, 'error' from lg where {_LAT} and a_la <> font_latin
+union all select doc_id, para_index, role, 'size_pt', {NUM.format('size_pt')}, {NUM.format('a_sz')}, 'error' from lg where abs(a_sz - size_pt) > 0.01
+union all select doc_id, para_index, role, 'bold', cast(bold as varchar), cast(a_b as varchar), 'warn' from lg where a_b <> bold
+union all select doc_id, para_index, role, 'alignment', alignment, coalesce(a_al, '(未设置)'), 'warn' from lg where alignment is not null and a_al is distinct from alignment
+union all select doc_id, para_index, role, 'line_spacing_pt', {NUM.format('line_spacing_pt')}, case when line_pt is not null then {NUM.format('line_pt')} when line_multiple is not null then {NUM.format('line_multiple')} || ' 倍' else '(未设置)' end, case when line_pt is null and line_multiple is null then 'info' else 'warn' end from lg where line_spacing_pt is not null and not coalesce(abs(line_pt - line_spacing_pt) <= 0.5, false)
+union all select doc_id, para_index, role, 'first_line_indent_chars', {NUM.format('first_line_indent_chars')}, {NUM.format('first_line_chars')}, 'warn' from lg where abs(first_line_chars - first_line_indent_chars) > 0.1"""
+
+_JT = lambda s="null", n="null", b="null": f"coalesce('\"' || {s} || '\"', {NUM.format(n) if n != 'null' else 'null'}, case when {b} then 'true' when not ({b}) then 'false' end)"
+_R1 = lambda c, k=1: f"(floor({c} * {10**k}.0 + 0.5) / {10**k}.0)"
+_SAMP = {
+    "fontFamilyCn": _JT(s=f"case when {_CJK} then nullif(font_east_asia, '') end"), "fontFamilyLatin": _JT(s=f"case when {_LAT} then nullif(font_ascii, '') end"), "fontSizePt": _JT(n=_R1("size_pt", 2)), "bold": _JT(b=_BOLD), "align": _JT(s=f"({_AL})"),
+    "lineHeightPt": _JT(n=_R1("line_pt")), "spaceBeforePt": _JT(n=_R1("space_before_pt")), "spaceAfterPt": _JT(n=_R1("space_after_pt")), "firstLineIndentChars": _JT(n=_R1("first_line_chars")), "hangingIndentChars": _JT(n=_R1("hanging_chars")), "leftIndentChars": _JT(n=_R1("left_chars")), "outlineLevel": _JT(n=f"cast({_LEVEL} as double)"),
+}
+_SMP = f"{ROLES}, sm0 as (" + " union all ".join(f"select doc_id, role, para_index as at, '{k}' as field_key, {e} as value_key from rol where role is not null" for k, e in _SAMP.items()) + "), smp as (select sm0.*, total from sm0 join (select doc_id, role, count(*) as total from rol where role is not null group by all) using (doc_id, role) where value_key is not null)"
+
+
+def _prop(scope: str) -> str:
+    """Proposals of smp by (scope, role, field_key). The overlay's values have no two keys whose collation differs from their bytes."""
+    k = f"{scope}role, field_key"
+    return f"""pp as (select {k}, value_key, count(*) as n, max(total) as total from smp group by all), pq as (select *, row_number() over (partition by {k} order by n desc, {{key}}) as rk from pp),
+pr as (select {k}, max(value_key) filter (where rk = 1) as value, max(n) filter (where rk = 1) as sample_count, sum(n) as observed_count, max(total) as total_count, coalesce(list(value_key || '×' || n order by rk) filter (where rk > 1), []) as conflicts from pq group by {k}),
+ps as (select *, floor(cast(sample_count as double) / total_count * 100 + 0.5) / 100 as coverage from pr),
+prp as (select *, floor((cast(sample_count as double) / observed_count * 0.7 + coverage * 0.3) * (least(1.0, observed_count / 5.0) * 0.4 + 0.6) * 100 + 0.5) / 100 as confidence from ps)"""
+
+
+# Order of the overlay's value keys under Unicode collation: punctuation, digits, letters, ideographs.
+_KEY = "case when value_key like '\"%' and unicode(value_key[2]) > 19967 then 2 else 1 end, case value_key when '\"黑体\"' then 2 when '\"宋体\"' then 1 else 0 end, value_key"
+_OUTP = "role, field_key, value, sample_count, cast(observed_count as bigint) as observed_count, total_count, array_to_string(conflicts, ';') as conflicts, coverage, confidence, case when confidence >= 0.85 then 'high' when confidence >= 0.6 then 'medium' else 'low' end as level"
+
+
+def _show(p, *scope):
+    return p.select(*scope, "role", "field_key", "value", "sample_count", "observed_count", "total_count", F.array_join("conflicts", ";").alias("conflicts"), "coverage", "confidence", "level")
+
+
+STYLES = [("Base", None, "宋体", None, 10.5, True), ("Body", "Base", None, "Arial", None, False), ("H1", "Body", "黑体", None, 16.0, False), ("H2", "H1", None, None, 14.0, False), ("Loop1", "Loop2", None, "A", None, False), ("Loop2", "Loop1", "B", None, 9.0, False), ("Lost", "Nowhere", None, None, 8.0, False)]
+
+
+def styles(spark, d):
+    """doc_id, seq, style_id, type, is_default, based_on, font_east_asia, font_ascii, size_pt: seven styles a document, one defined twice."""
+    rows = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(a).alias("style_id"), F.lit(b).cast("string").alias("based_on"), F.lit(c).cast("string").alias("font_east_asia"), F.lit(e).cast("string").alias("font_ascii"), F.lit(z).cast("double").alias("size_pt"), F.lit(x).alias("is_default")) for i, (a, b, c, e, z, x) in enumerate([("H1", None, "x", None, 1.0, False), *STYLES])])
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id")
+    raw = docs.select("doc_id", F.lit("paragraph").alias("type"), F.inline(rows))
+    return raw.withColumn("size_pt", F.when(F.col("style_id") == "H2", F.col("size_pt") + F.col("doc_id") % 3).otherwise(F.col("size_pt")))
+
+
+_STY = "sty(seq, style_id, based_on, font_east_asia, font_ascii, sz, is_default) as (values " + ", ".join(f"({i + 1}, {_q(a)}, {_q(b)}, {_q(c)}, {_q(e)}, {_q(z)}, {_q(x)})" for i, (a, b, c, e, z, x) in enumerate(STYLES)) + ")"
+_CHN = f"""with recursive {_STY}, up(style_id, anc, d) as (select style_id, style_id, 0 from sty union all select up.style_id, sty.based_on, d + 1 from up join sty on sty.style_id = up.anc where sty.based_on is not null and d < 16 and exists (select 1 from sty y where y.style_id = sty.based_on)),
+c0 as (select up.style_id, arg_min(font_east_asia, d) filter (where font_east_asia is not null) as font_east_asia, arg_min(font_ascii, d) filter (where font_ascii is not null) as font_ascii, arg_min(case when up.anc = 'H2' then -sz else sz end, d) filter (where sz is not null) as sz from up join sty on sty.style_id = up.anc group by up.style_id),
+chain as (select doc_id, style_id, font_east_asia, font_ascii, case when sz < 0 then -sz + doc_id % 3 else sz end as size_pt from documents, c0)"""
+PROPS = ["font_east_asia", "font_ascii", "size_pt"]
+
+
+def _chain(s, d):
+    return RS.style_chain(RS.last_styles(styles(s, d)), PROPS)
+
+
+def _defaults(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit("默认").alias("font_east_asia"), F.lit("Default").alias("font_ascii"), F.lit(11.0).alias("size_pt"))
+
+
+_EFF = f"""{_CHN}, {WITH.removeprefix('with ')},
+pb as (select par.doc_id, par.para_index, coalesce(chain.font_east_asia, '默认') as b1, coalesce(chain.font_ascii, 'Default') as b2, coalesce(chain.size_pt, 11.0) as b3 from par left join chain on chain.doc_id = par.doc_id and chain.style_id = coalesce(par.style_id, 'Base'))"""
+_DOM = f"dr as (select doc_id, para_index, arg_min(struct_pack(a := font_east_asia, b := font_ascii, c := size_pt), run_index) as r from run where {trim('text')} <> '' group by doc_id, para_index)"
+
+
+def issues(s, d):
+    """Issues of headings, fields and references: the input of the report queries."""
+    p = O.paragraphs(s, d)
+    roles = R.classify_roles(p)
+    from quire.operators import numbering as N
+
+    a = V.issue_row(N.check_heading_sequence(roles), 4)
+    b = V.issue_row(C.check_paragraph_fields(roles, rules(s)).withColumnRenamed("shown", "actual"), 10)
+    c = p.where("para_index = 0 and v in (1, 2)").select("doc_id", F.lit("paper_size").alias("field"), F.lit("A4").alias("expected"))
+    return a.unionByName(b).unionByName(V.issue_row(c, 1, "error"))
+
+
+_ISS = f"""{HEADINGS}, {_OWN}, vls as ({_VALS}), pf as (select doc_id, para_index, role, field, severity, shown, label || {_DESC} || '，实际 ' || shown as message from vls join own using (role, field_key) join fl using (field_key) where not ({_OK})),
+iss as materialized (select doc_id, 4 as check_seq, para_index, role, field, actual, severity, message from hseq union all select doc_id, 10, para_index, role, field, shown, severity, message from pf
+ union all select doc_id, 1, -1, 'document', 'paper_size', null, 'error', 'paper_size: A4' from par where para_index = 0 and v in (1, 2))"""
+_SEV = "case severity when 'error' then 0 when 'warn' then 1 else 2 end"
+_PRK = "case when para_index < 0 then 2147483647 else para_index end"
+_ALL = "doc_id, check_seq, para_index, role, field, actual, severity, message"
+TEMPLATES = [("font_east_asia", "auto", "将中文字体由 {actual} 改为规定值。"), ("size_pt", "auto", "将字号由 {actual} 改为规定值。"), ("heading_sequence", "manual", "请核对标题编号 {actual}。")]
+
+
+def add(_add) -> None:
+    par = O.paragraphs
+
+    def roles(s, d):
+        return R.classify_roles(par(s, d))
+
+    # ---- rules and styles of paragraphs and runs
+    _add("rule_for_role", lambda s, d: C.rule_for_role(roles(s, d), C.enabled_rules(rules(s))), f"{ROLES}, {_OWN} select role, rr as rule_role from pick where rr is not null")
+    _add("enabled_rules", lambda s, d: C.enabled_rules(rules(s)).join(roles(s, d).where("role is not null").groupBy("role").agg(F.count("*").alias("paragraphs")), "role").select("role", "field_key", "mode", "paragraphs"), f"{ROLES}, {_RSQL} select role, field_key, mode, count(*) as paragraphs from rul join rol using (role) where enabled and mode <> 'unset' group by role, field_key, mode")
+    _add("check_paragraph_fields", lambda s, d: C.check_paragraph_fields(roles(s, d), rules(s)).drop("text_preview"), f"{_PF} select * exclude (text_preview) from pf")
+    _add("matches_rule", lambda s, d: C.check_paragraph_fields(roles(s, d), rules(s)).groupBy("role", "field").agg(F.count("*").alias("n")), f"{_PF} select role, field, count(*) as n from pf group by role, field")
+    _add("describe_rule", lambda s, d: C.check_paragraph_fields(roles(s, d), rules(s)).groupBy("message").agg(F.count("*").alias("n")), f"{_PF} select message, count(*) as n from pf group by message")
+    _add("comparable_runs", lambda s, d: C.comparable_runs(O.runs(par(s, d))), f"{WITH}, {_RUNV} select * from rv")
+    _add("run_rows", lambda s, d: O.runs(par(s, d)).groupBy("doc_id", "para_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_index", "text"))), lambda x: x["text"]), "").alias("text")), f"{WITH} select doc_id, para_index, text from par")
+    _add("check_run_fields", lambda s, d: C.check_run_fields(roles(s, d), O.runs(par(s, d)), rules(s)), f"{ROLES}, {_OWN}, {_RUNV}, {_ISL} select * from isl")
+    _add("run_islands", lambda s, d: C.check_run_fields(roles(s, d), O.runs(par(s, d)), rules(s)).groupBy("field_key").agg(F.count("*").alias("n"), F.sum(F.col("end_run") - F.col("start_run") + 1).alias("runs")), f"{ROLES}, {_OWN}, {_RUNV}, {_ISL} select field_key, count(*) as n, cast(sum(end_run - start_run + 1) as bigint) as runs from isl group by field_key")
+
+    def fallback(s, d):
+        """Paragraph checks of fields that have no comparable run."""
+        skip = C.comparable_runs(O.runs(par(s, d))).select("doc_id", "para_index", "field_key").distinct()
+        return C.check_paragraph_fields(roles(s, d), rules(s), skip).drop("text_preview")
+
+    _add("check_run_fallback", fallback, f"{ROLES}, {_OWN}, {_RUNV}, vls as ({_VALS}) select doc_id, para_index, role, field, severity, shown, label || {_DESC} || '，实际 ' || shown as message from vls join own using (role, field_key) join fl using (field_key) where not ({_OK}) and (doc_id, para_index, field_key) not in (select distinct doc_id, para_index, field_key from rv)")
+    _add("check_legacy_fields", lambda s, d: C.check_legacy_fields(roles(s, d), s.createDataFrame(LEGACY, LEGACY_SCHEMA)), _LSQL)
+
+    # ---- inherited formatting
+    _add("style_rows", lambda s, d: RS.last_styles(styles(s, d)).select("doc_id", "style_id", "based_on", "size_pt"), f"with {_STY} select doc_id, style_id, based_on, case when style_id = 'H2' then sz + doc_id % 3 else sz end as size_pt from documents, sty")
+    _add("default_rows", lambda s, d: RS.default_style(styles(s, d)), "select doc_id, 'Base' as default_id from documents")
+    _add("style_chain", _chain, f"{_CHN} select * from chain")
+    _add("resolve_paragraph", lambda s, d: RS.resolve_paragraph(par(s, d), _chain(s, d), _defaults(s, d), RS.default_style(styles(s, d)), O.runs(par(s, d)), PROPS), f"{_EFF}, {_DOM} select pb.doc_id, pb.para_index, coalesce(r.a, b1) as font_east_asia, coalesce(r.b, b2) as font_ascii, coalesce(r.c, b3) as size_pt from pb left join dr using (doc_id, para_index)")
+    _add("resolve_run", lambda s, d: RS.resolve_run(O.runs(par(s, d)), par(s, d), _chain(s, d), _defaults(s, d), RS.default_style(styles(s, d)), PROPS), f"{_EFF} select run.doc_id, run.para_index, run_index, coalesce(font_east_asia, b1) as font_east_asia, coalesce(font_ascii, b2) as font_ascii, coalesce(size_pt, b3) as size_pt from run join pb using (doc_id, para_index)")
+
+    # ---- proposals
+    _add("role_proposals", lambda s, d: _show(PR.summarize_samples(PR.role_samples(roles(s, d)), ["doc_id"]), "doc_id"), f"{_SMP}, {_prop('doc_id, ').format(key=_KEY)} select doc_id, {_OUTP} from prp")
+    _add("summarize_samples", lambda s, d: _show(PR.summarize_samples(PR.role_samples(roles(s, d)).withColumn("total", F.lit(1000000)), [])), f"{_SMP.replace('select sm0.*, total from', 'select sm0.*, 1000000 as total from')}, {_prop('').format(key=_KEY)} select {_OUTP} from prp")
+    cm = "floor({0} / (1440 / 2.54) * 100 + 0.5) / 100"
+    dims = {"margin_top_cm": "margin_top", "margin_bottom_cm": "margin_bottom", "margin_left_cm": "margin_left", "margin_right_cm": "margin_right", "header_distance_cm": "header", "footer_distance_cm": "footer", "gutter_cm": "gutter"}
+    dsm = f"{WITH}, sm0 as (select doc_id, 'document' as role, section_index as at, 'paper_size' as field_key, case when abs({cm.format('page_width')} - 21) <= 0.1 and abs({cm.format('page_height')} - 29.7) <= 0.1 then '\"A4\"' end as value_key from sec" + "".join(f" union all select doc_id, 'document', section_index, '{k}', {NUM.format('(' + cm.format(c) + ')')} from sec" for k, c in dims.items()) + "), smp as (select sm0.*, 2 as total from sm0 where value_key is not null)"
+    _add("document_proposals", lambda s, d: _show(PR.summarize_samples(PR.document_samples(O.sections(par(s, d))), ["doc_id"]), "doc_id"), f"{dsm}, {_prop('doc_id, ').format(key=_KEY)} select doc_id, {_OUTP} from prp")
+    _add("proposal_notices", lambda s, d: PR.proposal_notices(roles(s, d), O.sections(par(s, d)), PR.summarize_samples(PR.document_samples(O.sections(par(s, d))), ["doc_id"])), f"{ROLES}, {dsm.removeprefix(WITH + ', ')}, {_prop('doc_id, ').format(key=_KEY)} select doc_id, count(*) filter (where role is null) as unclassified, count(*) filter (where confidence = 'low') as low_confidence, coalesce((select count(*) from sec where sec.doc_id = rol.doc_id), 0) as n_sections, coalesce((select count(*) from prp where prp.doc_id = rol.doc_id and len(conflicts) > 0), 0) as section_conflicts from rol group by doc_id")
+
+    def proposals(s, d):
+        return PR.summarize_samples(PR.role_samples(roles(s, d)), [])
+
+    saved = [("body_text", "fontFamilyCn", '"宋体"', False), ("body_text", "fontSizePt", "10.5", True), ("heading1", "bold", "true", True), ("toc9", "bold", "true", True)]
+    sav = "sav(role, field_key, value, enabled) as (values " + ", ".join("(" + ", ".join(_q(x) for x in r) + ")" for r in saved) + ")"
+    rule_rows = lambda s: s.createDataFrame(saved, "role string, field_key string, value string, enabled boolean")
+    prp = f"{_SMP}, {_prop('').format(key=_KEY)}, {sav}"
+    diff = "chg as (select role, field_key, sav.value as previous, prp.value as next, case when enabled is null then 'added' when sav.value = prp.value then case when enabled then 'unchanged' else 'enabled' end else 'updated' end as status from prp left join sav using (role, field_key))"
+    _add("diff_proposals", lambda s, d: PR.diff_proposals(proposals(s, d), rule_rows(s)), f"{prp}, {diff} select * from chg")
+    _add("apply_proposals", lambda s, d: PR.apply_proposals(proposals(s, d), rule_rows(s)), f"{prp} select role, field_key, coalesce(prp.value, sav.value) as value, case when prp.value is not null then true else enabled end as enabled from prp full join sav using (role, field_key)")
+    _add("change_feedback", lambda s, d: PR.change_feedback(PR.diff_proposals(proposals(s, d), rule_rows(s))), f"{prp}, {diff} select status, count(*) as n from chg group by status")
+    _add("unpublished_changes", lambda s, d: PR.same_as_saved(PR.apply_proposals(proposals(s, d), rule_rows(s)), rule_rows(s)), f"{prp}, app as (select role, field_key, coalesce(prp.value, sav.value) as value, case when prp.value is not null then true else enabled end as enabled from prp full join sav using (role, field_key)) select *, 'draft' as side from (select * from app except all select * from sav) union all select *, 'saved' from (select * from sav except all select * from app)")
+    ign = [("body_text", None), ("heading1", "bold")]
+    _add("apply_ignores", lambda s, d: PR.apply_ignores(proposals(s, d).select("role", "field_key", "value"), s.createDataFrame(ign, "role string, field_key string")), f"{prp} select role, field_key, value, role = 'body_text' or (role = 'heading1' and field_key = 'bold') as ignored from prp")
+
+    # ---- rule tables, weighed by the paragraphs that they concern
+    def weighed(df, s, d):
+        return df.join(roles(s, d).where("role is not null").groupBy("role").agg(F.count("*").alias("paragraphs")), "role", "left").fillna(0, ["paragraphs"])
+
+    wsql = "coalesce((select count(*) from rol where rol.role = x.role), 0) as paragraphs"
+    kind = "case when field_key in ('fontFamilyCn', 'fontFamilyLatin', 'align') then 's' when field_key = 'bold' then 'b' else 'n' end"
+    lint = f"""{ROLES}, {_RSQL}, k as (select *, {kind} as kd, es is not null or en is not null or eb is not null as has from rul),
+x as (select 'error' as level, 'exact-missing' as code, role, field_key from k where enabled and mode = 'exact' and not has union all select 'error', 'exact-type', role, field_key from k where enabled and mode = 'exact' and has and case kd when 's' then es is null when 'n' then en is null else eb is null end
+union all select 'error', 'exact-enum', role, field_key from k where enabled and mode = 'exact' and field_key = 'align' and es not in ('left', 'center', 'right', 'justify') union all select 'error', 'oneof-empty', role, field_key from k where enabled and mode = 'oneOf' and coalesce(len(one_of), 0) = 0
+union all select 'error', 'range-type', role, field_key from k where enabled and mode = 'range' and kd <> 'n' union all select 'error', 'range-empty', role, field_key from k where enabled and mode = 'range' and lo is null and hi is null union all select 'error', 'range-order', role, field_key from k where enabled and mode = 'range' and lo > hi
+union all select 'warn', 'value-out-of-range', role, field_key from k where enabled and mode = 'exact' and ((field_key = 'fontSizePt' and (en < 5 or en > 72)) or (field_key = 'lineHeightPt' and (en < 5 or en > 100))) union all select 'warn', 'enabled-unset', role, field_key from k where enabled and mode = 'unset' union all select 'info', 'disabled-with-value', role, field_key from k where not enabled and mode <> 'unset'
+union all select 'warn', 'heading-size-equals-body', role, 'fontSizePt' from k where enabled and mode = 'exact' and field_key = 'fontSizePt' and role like 'heading%' and en = (select max(en) from k where role = 'body_text' and field_key = 'fontSizePt' and enabled and mode = 'exact')
+union all select 'error', 'missing-body-role', 'body_text', null where not exists (select 1 from k where role = 'body_text') union all select 'warn', 'body-font-missing', 'body_text', null where exists (select 1 from k where role = 'body_text') and not exists (select 1 from k where role = 'body_text' and enabled and field_key in ('fontFamilyCn', 'fontFamilyLatin')))
+select level, code, role, field_key, {wsql} from x"""
+    _add("lint_rules", lambda s, d: weighed(RU.lint_rules(rules(s)), s, d), lint)
+    _add("normalize_rules", lambda s, d: weighed(RU.normalize_rules(s.createDataFrame(LEGACY, LEGACY_SCHEMA)).select("role", "field_key", "enabled", "severity", "mode", "exact_str", "exact_num", "exact_bool"), s, d))
+    _add("to_legacy_rules", lambda s, d: weighed(RU.to_legacy_rules(rules(s)).select("role", "font_east_asia", "size_pt", "bold", "outline_level"), s, d), f"{ROLES}, {_RSQL}, x as (select role, max(es) filter (where field_key = 'fontFamilyCn') as font_east_asia, max(en) filter (where field_key = 'fontSizePt') as size_pt, bool_or(eb) filter (where field_key = 'bold') as bold, max(en) filter (where field_key = 'outlineLevel') as outline_level from rul where enabled and mode = 'exact' group by role) select x.*, {wsql} from x")
+    _add("sink_rules", lambda s, d: weighed(RU.sink_rules(rules(s)), s, d))
+    _add("sort_rule_fields", lambda s, d: weighed(rules(s).select("role", "field_key", F.array_position(F.array(*[F.lit(k) for k in C.FIELDS]), F.col("field_key")).alias("ord")), s, d), f"{ROLES}, {_RSQL}, {_LAB}, x as (select role, field_key, list_position([{', '.join(repr(k) for k in C.FIELDS)}], field_key) as ord from rul) select role, field_key, cast(ord as bigint) as ord, {wsql} from x")
+
+    # ---- reports
+    _add("issue_row", issues, f"{_ISS} select * from iss")
+    _add("filter_severity", lambda s, d: RP.filter_severity(issues(s, d), ["error"]), f"{_ISS} select * from iss where severity = 'error'")
+    _add("navigable", lambda s, d: RP.navigable(issues(s, d)), f"{_ISS} select * from iss where para_index >= 0")
+    srt = f"srt as (select *, row_number() over (partition by doc_id order by {_PRK}, {_SEV}, role, field, message) as position from iss)"
+    _add("sort_issues", lambda s, d: RP.sort_issues(issues(s, d)), f"{_ISS}, {srt} select * from srt")
+    _add("visible_issues", lambda s, d: RP.sort_issues(RP.filter_severity(issues(s, d), ["error", "warn"]), "severity"), f"{_ISS} select *, row_number() over (partition by doc_id order by {_SEV}, {_PRK}, role, field, message) as position from iss where severity in ('error', 'warn')")
+    _add("report_top_n", lambda s, d: RP.report_top_n(issues(s, d), 3), f"{_ISS}, {srt} select * from srt where position <= 3")
+    _add("first_issue", lambda s, d: RP.first_issue(issues(s, d)), f"{_ISS}, q as (select *, row_number() over (partition by doc_id order by para_index < 0, {_PRK}, {_SEV}, role, field, message) as rn from iss) select {_ALL} from q where rn = 1")
+    _add("paragraph_issue_pick", lambda s, d: RP.paragraph_issue_pick(issues(s, d)), f"{_ISS}, q as (select *, row_number() over (partition by doc_id, para_index order by {_SEV}, role, field, message) as rn from iss where para_index >= 0) select {_ALL} from q where rn = 1")
+    _add("report_groups", lambda s, d: RP.report_groups(issues(s, d), "role").select("doc_id", "key", "n", F.array_join("messages", "|").alias("messages")), f"{_ISS} select doc_id, role as key, count(*) as n, string_agg(message, '|' order by {_PRK}, {_SEV}, role, field, message) as messages from iss group by doc_id, role")
+    _add("summarize_issues", lambda s, d: RP.summarize_issues(issues(s, d)), f"{_ISS}, q as (select doc_id, role, count(*) as n from iss group by doc_id, role) select doc_id, count(*) filter (where severity = 'error') as error, count(*) filter (where severity = 'warn') as warn, count(*) filter (where severity = 'info') as info, (select string_agg(role || '=' || n, ',' order by role || '=' || n) from q where q.doc_id = iss.doc_id) as by_role from iss group by doc_id")
+    _add("sink_summary", lambda s, d: issues(s, d).groupBy("field", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")), f"{_ISS} select field, severity, count(*) as n, count(distinct doc_id) as docs from iss group by field, severity")
+    _add("sink_checklist", lambda s, d: RP.sink_checklist(issues(s, d)), f"{_ISS}, {srt} select doc_id, string_agg(position || '. [' || severity || '] ' || message, chr(10) || chr(10) order by position) as checklist from srt group by doc_id")
+    _add("attach_confidence", lambda s, d: RP.attach_confidence(issues(s, d), roles(s, d)).drop("role_confidence_reason"), f"{_ISS} select iss.*, confidence as role_confidence from iss left join rol using (doc_id, para_index)")
+    prov = [("body", " 第三章 "), ("heading1", ""), ("page_setup_comment", "页面设置")]
+    rk, fk = [("body_text", "body"), ("heading1", "heading1")], [("paper_size", "page_setup_comment")]
+    _add("provenance_lookup", lambda s, d: RP.provenance_lookup(issues(s, d), s.createDataFrame(rk, "role string, key string"), s.createDataFrame(fk, "field string, key string"), s.createDataFrame(prov, "key string, text string")), f"{_ISS} select *, case when role = 'body_text' then '第三章' when field = 'paper_size' then '页面设置' end as provenance from iss")
+    tsql = "case field " + " ".join(f"when '{f}' then replace('{t}', '{{actual}}', coalesce(actual, ''))" for f, _, t in TEMPLATES) + " else '请手动检查并修正。' end"
+    _add("fix_hint", lambda s, d: V.fix_hint(issues(s, d), s.createDataFrame(TEMPLATES, "field string, fixability string, template string")), f"{_ISS} select *, case when field in ('font_east_asia', 'size_pt') then 'auto' else 'manual' end as fixability, {tsql} as suggestion from iss")
+    _add("issue_targets", lambda s, d: RP.issue_targets(issues(s, d)).select("doc_id", "para_index", F.size("keys").alias("n")), f"{_ISS} select doc_id, para_index, cast(count(*) as int) as n from iss where para_index >= 0 group by doc_id, para_index")
+
+    def runs_of(s, d):
+        i = issues(s, d)
+        return i.groupBy("doc_id", F.lit("default").alias("library_id"), F.col("check_seq").alias("run_id")).agg(F.count("*").alias("n"))
+
+    _add("latest_run_wins", lambda s, d: RP.latest_run_wins(runs_of(s, d)), f"{_ISS}, q as (select doc_id, 'default' as library_id, check_seq as run_id, count(*) as n from iss group by all) select doc_id, library_id, run_id, n from (select *, row_number() over (partition by doc_id order by run_id desc) as rn from q) where rn = 1")
+
+    def blocks(s, d):
+        from quire.operators.references import occurrence_index
+
+        p = par(s, d)
+        a = p.select("doc_id", "para_index", "text").join(occurrence_index(p), ["doc_id", "para_index"])
+        b = a.select("doc_id", (F.col("para_index") * 2).alias("block_index"), "text", "occurrence").where("block_index % 3 <> 0")
+        return RP.align_blocks(a, b)
+
+    _add("align_blocks", blocks, f"{WITH}, a as (select doc_id, para_index, text, row_number() over (partition by doc_id, text order by para_index) - 1 as o from par), b as (select doc_id, para_index * 2 as block_index, text, o as bo from a where (para_index * 2) % 3 <> 0) select doc_id, para_index, block_index from (select a.doc_id, para_index, block_index, row_number() over (partition by a.doc_id, para_index order by abs(o - bo), block_index) as rn from a join b on a.doc_id = b.doc_id and a.text = b.text) where rn = 1")
+
+    def corpus(s, d):
+        from quire.plans.registry import NUMBER_RULES, PAGE_RULES
+
+        p = par(s, d)
+        stats = {"ranges": {"keywords_cn": (3, 5), "abstract_en": (None, 40)}, "min_references": 3, "min_foreign": 0.6}
+        docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id")
+        return V.validate_corpus(p, O.fields(p), O.bookmarks(p), O.note_refs(p), O.note_defs(p), O.sections(p), O.hf_tokens(p), docs, rules(s), PAGE_RULES, NUMBER_RULES, stats).select("doc_id", "check_seq", "para_index", "role", "field", "severity", "message")
+
+    _add("validate_corpus", lambda s, d: corpus(s, d))
+    _add("validate_corpus_summary", lambda s, d: corpus(s, d).groupBy("check_seq", "field", "severity").agg(F.count("*").alias("n")))
