@@ -3,8 +3,8 @@
 A line is removed if an earlier line (by doc_id, then line number) is within
 `tau` edits of it, equal lines included. Each line is split into tau + 1
 segments; of two lines within tau edits, one holds a segment of the other at
-one of few places that the lengths allow, so lines meet in a shuffled join
-on segment hashes. Candidates are verified by edit distance in a band of
+one of few places that the lengths allow, and so do the rests of both, so lines meet
+in a shuffled join on the hashes of two segments. Candidates are verified by edit distance in a band of
 2 * tau + 1 diagonals, one bit each.
 
 Lines are those of split at ``\\n``; only lines of at least min_chars code
@@ -39,29 +39,43 @@ def segment_bounds(n: Column, tau: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _key(i: int, n: Column, part: Column) -> Column:
-    return F.xxhash64(F.lit(i), n.cast("int"), part)
+def _parts(line: Column, n: Column, tau: int, less: int, own: bool):
+    """(segment number, place, segment, rest of the line) of each way in which a line of n characters,
+    `less` fewer than this one's, can share a segment with it; own: only at the line's own places.
 
-
-def index_keys(line: Column, n: Column, tau: int) -> list[Column]:
-    return [_key(i, n, F.substring(line, a, size)) for i, (a, size) in enumerate(segment_bounds(n, tau))]
+    Segment i may have moved by at most i places from the left end and by
+    tau - i from the right end; both bounds together leave few places.
+    """
+    for i, (a, size) in enumerate(segment_bounds(n, tau)):
+        for move in [0] if own else range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
+            at = a + move
+            rest = F.concat(F.substring(line, F.lit(1), at - 1), F.substring(line, at + size, F.length(line)))
+            yield i, move, size, F.substring(line, at, size), rest
 
 
-def probe_keys(line: Column, n: Column, tau: int) -> list[Column]:
-    """Keys of the segments that lines of n, n-1 … n-tau characters can share with this one.
+def _keys(line: Column, n: Column, tau: int, less: int, own: bool) -> list[tuple[bool, Column]]:
+    """(moved, key): segments of the line, each with a segment of the rest.
 
-    Segment i may have moved by at most i places from the left end and by
-    tau - i from the right end; both bounds together leave few places.
+    What is left of two lines without a shared segment is within tau edits
+    too, so it shares a segment in turn. Keys of both segments keep lines
+    apart that only have a long passage in common.
     """
     out = []
-    for less in range(tau + 1):
-        for i, (a, size) in enumerate(segment_bounds(n - less, tau)):
-            for move in range(max(-i, less - (tau - i)), min(i, less + (tau - i)) + 1):
-                if less or move:  # at its own length and place it is an index key
-                    out.append(_key(i, n - less, F.substring(line, a + move, size)))
+    for i, move, size, part, rest in _parts(line, n, tau, less, own):
+        for j, move2, _, part2, _ in _parts(rest, n - size, tau, less, own):
+            out.append((bool(move or move2), F.xxhash64(F.lit(i), F.lit(j), n.cast("int"), part, part2)))
     return out
 
 
+def index_keys(line: Column, n: Column, tau: int) -> list[Column]:
+    return [k for _, k in _keys(line, n, tau, 0, True)]
+
+
+def probe_keys(line: Column, n: Column, tau: int) -> list[Column]:
+    """Keys that lines of n, n-1 … n-tau characters can share with this one, other than its index keys."""
+    return [k for less in range(tau + 1) for moved, k in _keys(line, n - less, tau, less, False) if less or moved]
+
+
 def banded_distance(a: Column, b: Column, tau: int) -> Column:
     """Edit distance of two arrays of characters if it is at most tau, else more than tau.
 
@@ -130,7 +144,7 @@ def near_lines(lines: DataFrame, tau: int, max_broadcast_ids: int = MAX_BROADCAS
     once = slim.groupBy("id").agg(F.min("ord").alias("low"), F.count("*").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
     once = stored(once, "lines")
     short = F.xxhash64("id")
-    index = once.select(F.explode(F.array(*[F.col(f"k{i}") for i in range(tau + 1)])).alias("k"), short.alias("x"))
+    index = once.select(F.explode(F.array(*[F.col(f"k{i}") for i in range((tau + 1) ** 2)])).alias("k"), short.alias("x"))
     probe = once.select(F.explode(F.array(*[F.col(f"k{i}") for i in range(len(keys))])).alias("k"), short.alias("y"))
     pairs = index.hint("merge").join(probe, "k").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = stored(pairs, "line-pairs")
@@ -149,10 +163,10 @@ def near_lines(lines: DataFrame, tau: int, max_broadcast_ids: int = MAX_BROADCAS
     return once.where("n > 1").select("id", "low"), near
 
 
-def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
     """docs(doc_id, text) → (doc_id, gone): numbers, from 0, of the lines to remove; documents without such lines are left out."""
     lines = _lines(pick(docs, "doc_id", "text"), max(min_chars, tau + 1))
-    same, near = near_lines(lines, tau)
+    same, near = near_lines(lines, tau, max_broadcast_ids)
     first = same.unionByName(near).groupBy("id").agg(F.min("low").alias("low"))
     hit = lines.select("doc_id", "pos", "ord", "id").hint("merge").join(first, "id").where(F.col("ord") > F.col("low"))
     return hit.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
