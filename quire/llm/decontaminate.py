@@ -136,23 +136,33 @@ def _windows(df: DataFrame, key: str, sizes: list[int], whole_if_short: bool, wi
     return df.mapInArrow(run, f"{key} {df.schema[0].dataType.simpleString()}, at long, size int, gram binary")
 
 
-def _scan_by_join(docs: DataFrame, bench: DataFrame, window: int, clean: bool) -> DataFrame:
-    """The same result for a benchmark too large to broadcast: windows meet by value in a shuffled join."""
+def _hits_by_join(texts: DataFrame, bench: DataFrame, window: int) -> DataFrame:
+    """texts(_k, text) → (_k, hits, items) of hit texts, for a benchmark too large to broadcast: windows meet by value in a shuffled join."""
     items = _windows(bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text"), "item_id", [], True, window)
     items = items.select("item_id", "size", "gram").distinct()
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # at most `window` values
+    grams = _windows(texts.dropDuplicates(["_k"]), "_k", sizes, False, window)
+    met = grams.join(items.hint("merge"), ["size", "gram"])
+    return met.groupBy("_k").agg(F.collect_set(F.struct("at", "size")).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
+def _marked(n_words: int, hits) -> np.ndarray:
+    out = np.zeros(n_words, bool)
+    for h in hits or []:
+        out[h["at"] : h["at"] + h["size"]] = True
+    return out
+
+
+def _scan_by_join(docs: DataFrame, bench: DataFrame, window: int, clean: bool) -> DataFrame:
     d = pick(docs, "doc_id", "text").withColumn("_k", F.sha2(F.coalesce("text", F.lit("")), 256))
-    grams = _windows(d.select("_k", "text").dropDuplicates(["_k"]), "_k", sizes, False, window)
-    met = grams.join(items.hint("merge"), ["size", "gram"]).groupBy("_k").agg(F.collect_set(F.struct("at", "size")).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    met = _hits_by_join(d.select("_k", "text"), bench, window)
 
     def run(batches):
         for b in batches:
             rows = []
             for text, hits, items_ in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 n_words = len(words_of(text))
-                hit = np.zeros(n_words, bool)
-                for h in hits or []:
-                    hit[h["at"] : h["at"] + h["size"]] = True
+                hit = _marked(n_words, hits)
                 n, items_ = int(hit.sum()), sorted(items_ or [])
                 rows.append((n_words, n, len(items_), hashlib.sha256(",".join(items_).encode()).hexdigest(), n > 0, (strip_spans(text, hit) if n else text) if clean else None))
             cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -172,29 +182,33 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     bench = pick(benchmark, "item_id", "text")
     chars = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if chars > max_broadcast_chars:
-        found = _scan_by_join(docs.withColumnRenamed(at, "doc_id"), bench, window, True).where("contaminated").select(F.col("doc_id").alias("_doc"), "cleaned", "n_hit", "n_words").distinct()
-        both = docs.join(found.hint("shuffle_hash"), docs[at].eqNullSafe(F.col("_doc")), "left").where(F.col("n_hit").isNull() | (F.col("n_hit") <= max_hit_share * F.col("n_words")))
-        new = both.withColumn(text, F.coalesce("cleaned", text))
-        return (new.withColumn(size, F.length(text).cast(docs.schema[size].dataType)) if size else new).select(*docs.columns)
-    sent = docs.sparkSession.sparkContext.broadcast(WindowSet([(r[0], r[1]) for r in bench.collect()], window))
+        key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+        hits = _hits_by_join(docs.select(key.alias("_k"), F.col(text).alias("text")), bench, window).select(F.col("_k").alias("_quire_k"), F.col("hits").alias("_quire_hits"))
+        source = docs.withColumn("_quire_k", key).join(hits.hint("shuffle_hash"), "_quire_k", "left").select(*docs.columns, "_quire_hits")
+        find = None
+    else:
+        source, find = docs, docs.sparkSession.sparkContext.broadcast(WindowSet([(r[0], r[1]) for r in bench.collect()], window))
     i_text, i_size = docs.columns.index(text), docs.columns.index(size) if size else None
 
+    n_cols = len(docs.columns)
+
     def run(batches):
-        known = sent.value
         for b in batches:
             keep, texts = [], []
-            for t in b.column(i_text).to_pylist():
-                hit, _ = known.scan(words_of(t))
+            found = b.column(n_cols).to_pylist() if find is None else [None] * b.num_rows
+            for t, hits in zip(b.column(i_text).to_pylist(), found, strict=True):
+                words = words_of(t)
+                hit = _marked(len(words), hits) if find is None else find.value.scan(words)[0]
                 n = int(hit.sum())
                 keep.append(n <= max_hit_share * len(hit))
                 texts.append(strip_spans(t, hit) if n else t)
-            cols = list(b.columns)
+            cols = list(b.columns)[:n_cols]
             cols[i_text] = pa.array(texts, b.schema.field(i_text).type)
             if i_size is not None:
                 cols[i_size] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(i_size).type)
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:n_cols]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return source.mapInArrow(run, docs.schema)
 
 
 def op5_decontaminate(spark, sf_dir):
