@@ -12,6 +12,7 @@ from quire.operators import rules as RU
 from quire.operators import style_checks as C
 from quire.plans import overlay as O
 from quire.plans import validate as V
+from quire.sources import docx as D
 from quire.plans.flow_sql import HEADINGS, ROLES, WITH, m, trim
 
 NUM = "case when {0} = floor({0}) then cast(cast({0} as bigint) as varchar) else cast({0} as varchar) end"
@@ -328,3 +329,14 @@ select level, code, role, field_key, {wsql} from x"""
 
     _add("validate_corpus", lambda s, d: corpus(s, d))
     _add("validate_corpus_summary", lambda s, d: corpus(s, d).groupBy("check_seq", "field", "severity").agg(F.count("*").alias("n")))
+
+    # ---- Word files, made from the documents' lines
+    def files(s, d):
+        return D.write_docx(s.read.parquet(f"{d}/documents.parquet"))
+
+    code = "case doc_id % 7 when 1 then 'LEGACY_DOC' when 2 then 'NOT_ZIP' when 3 then 'NOT_DOCX' when 4 then 'ENCRYPTED' when 5 then 'CORRUPT' else 'ok' end"
+    ok = "documents where doc_id % 7 in (0, 6)"
+    _add("scan_corpus", lambda s, d: files(s, d).groupBy((F.col("id") % 7).alias("kind")).agg(F.count("*").alias("n")), "select doc_id % 7 as kind, count(*) as n from documents group by 1")
+    _add("triage_files", lambda s, d: D.triage_files(D.extract_facts(files(s, d))), f"select doc_id as id, {code} as code from documents")
+    _add("extract_facts", lambda s, d: D.extract_facts(files(s, d)).groupBy("id", "fact").agg(F.count("*").alias("n")), f"select doc_id as id, unnest(['paragraph', 'run']) as fact, len(string_split(coalesce(text, ''), chr(10))) as n from {ok} union all select doc_id, 'file', 1 from documents where doc_id % 7 not in (0, 6)")
+    _add("paragraph_flow", lambda s, d: D.fact_table(D.extract_facts(files(s, d)), "paragraph", "text string, in_table boolean"), f"select doc_id as id, cast(unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) as int) as seq, unnest(string_split(coalesce(text, ''), chr(10))) as text, false as in_table from {ok}")
