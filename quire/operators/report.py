@@ -11,6 +11,51 @@ from quire.functions.text import issue_key
 SEVERITIES = ["error", "warn", "info"]
 
 
+# Role → label, in report order.
+ROLE_LABELS = {
+    "heading": "标题（通用）",
+    "unknown": "未识别",
+    "abstract_title_cn": "中文摘要标题",
+    "abstract_body_cn": "中文摘要正文",
+    "keywords_cn": "中文关键词",
+    "abstract_title_en": "英文摘要标题",
+    "abstract_body_en": "英文摘要正文",
+    "keywords_en": "英文关键词",
+    "toc_title": "目录标题",
+    "toc1": "一级目录项",
+    "toc2": "二级目录项",
+    "toc3": "三级目录项",
+    "heading1": "一级标题",
+    "heading2": "二级标题",
+    "heading3": "三级标题",
+    "body_text": "正文",
+    "figure_caption": "图题注",
+    "table_caption": "表题注",
+    "source_note": "资料来源",
+    "formula_line": "公式行",
+    "reference_heading": "参考文献标题",
+    "reference_body": "参考文献正文",
+    "acknowledgement_heading": "致谢标题",
+    "acknowledgement_body": "致谢正文",
+    "appendix_heading": "附录标题",
+    "appendix_subheading": "附录小标题",
+    "appendix_list_item": "附录清单",
+    "appendix_signature": "附录落款",
+    "appendix_body": "附录正文",
+    "achievement_heading": "成果标题",
+    "achievement_body": "成果正文",
+    "back_matter_heading": "后置部分标题（旧规则兼容）",
+    "back_matter_body": "后置部分正文（旧规则兼容）",
+    "table_cell": "表格单元格",
+}
+
+
+def role_label(role):
+    """Label of a role; unknown roles print as themselves."""
+    m = F.create_map(*[F.lit(x) for kv in ROLE_LABELS.items() for x in kv])
+    return F.coalesce(F.try_element_at(m, role), role)
+
+
 def severity_rank():
     return F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warn", 1).otherwise(2)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import bump_version, number_text
+from quire.functions.text import bump_version, number_text, trim_ws
 
 # Field key → (column of the older form, kind of value).
 LEGACY = {
@@ -108,3 +108,12 @@ def sink_rules(rules: DataFrame) -> DataFrame:
 def scan_rules(texts: DataFrame, schema: str) -> DataFrame:
     """Rule JSON of whole texts, byte-order mark stripped; text that is no JSON gives null."""
     return texts.select(F.from_json(F.regexp_replace("value", r"^\x{FEFF}", ""), schema, {"mode": "PERMISSIVE"}).alias("library"))
+
+
+def parse_scalar_value(raw: Column, unit: str | None) -> Column:
+    """struct(s, n, b): typed text as truth, number or text by the field's unit."""
+    t = trim_ws(raw)
+    low, none_n, none_b = F.lower(t), F.lit(None).cast("double"), F.lit(None).cast("boolean")
+    b = F.when(low.isin("true", "1", "是", "yes"), True).when(low.isin("false", "0", "否", "no"), False) if unit == "bool" else none_b
+    n = t.try_cast("double") if unit in ("pt", "chars", "level") else none_n
+    return F.struct(F.when(b.isNull() & n.isNull(), t).alias("s"), n.alias("n"), b.alias("b"))

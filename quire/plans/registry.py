@@ -14,6 +14,7 @@ from quire.operators import references as X
 from quire.operators import report as RP
 
 from quire.operators import roles as R
+from quire.operators import rules as RU
 
 from quire.operators import statistics as S
 
@@ -113,6 +114,11 @@ _scalars("range_text", {
           "case when v > 2 and v < 8 then v || '-9.5 个' when v > 2 then '不少于 ' || v || ' 个' else '不超过 9.5 个' end"),
     "b": (lambda: T.percent_text(F.col("v") / F.lit(8.0)), "regexp_replace(regexp_replace(printf('%.2f', v * 100 / 8.0), '0+$', ''), '\\.$', '') || '%'"),
 })
+_scalars("percent_text", {"p": (lambda: T.percent_text(F.col("v") / F.lit(3.0)), "regexp_replace(regexp_replace(printf('%.2f', v * 100 / 3.0), '0+$', ''), '\\.$', '') || '%'")})
+_scalars("format_value", {"size": (lambda: F.concat(T.number_text(F.col("size_pt")), F.lit("pt")), f"{NUM.format('size_pt')} || 'pt'"), "bold": (lambda: F.when(F.col("bold"), "是").when(~F.col("bold"), "否").otherwise("—"), "case when bold then '是' when not bold then '否' else '—' end")})
+_scalars("compare_scalar", {"near": (lambda: F.coalesce(F.abs(F.col("size_pt") - 12) <= 0.01, F.lit(False)), "coalesce(abs(size_pt - 12) <= 0.01, false)"), "same": (lambda: F.coalesce(F.col("alignment") == "both", F.lit(False)), "coalesce(alignment = 'both', false)")})
+_raw = lambda: F.element_at(F.array(*[F.lit(x) for x in (" 是 ", "No", "12.50", "x", "1")]), (F.col("v") % 5 + 1).cast("int"))
+_scalars("parse_scalar_value", {"b": (lambda: RU.parse_scalar_value(_raw(), "bool")["b"], "case v % 5 when 0 then true when 1 then false when 4 then true end"), "n": (lambda: RU.parse_scalar_value(_raw(), "pt")["n"], "case v % 5 when 2 then 12.5 when 4 then 1.0 end"), "s": (lambda: RU.parse_scalar_value(_raw(), "pt")["s"], "case v % 5 when 0 then '是' when 1 then 'No' when 3 then 'x' end")})
 _scalars("issue_key", {"k": (lambda: T.issue_key(F.col("doc_id"), F.col("para_index"), F.col("kind"), F.col("alignment"), T.preview24(t())),
          f"concat_ws('|', doc_id, para_index, kind, coalesce(alignment, ''), replace(replace(replace(replace(replace(replace(url_encode(substr({inline('text')}, 1, 24)), '+', '%20'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*'))")})
 _frag = lambda: F.lit("th e")
@@ -192,6 +198,7 @@ def _graph(s, d):
 _add("caption_graph", lambda s, d: _graph(s, d).select("doc_id", "para_index", "type", "bookmark", "role", "bookmark_exists", "target_para"), f"{_GR} select doc_id, para_index, type, bookmark, role, bookmark_exists, target_para from gr")
 _RSQL = "select doc_id, para_index, coalesce(role, 'unknown') as role, 'caption_reference' as field, case when bookmark_exists then bookmark || '（存在但不是题注）' else bookmark || '（不存在）' end as actual, case when bookmark_exists then 'warn' else 'error' end as severity, case when bookmark_exists then type || ' 引用的书签「' || bookmark || '」存在，但目标不是图/表/公式题注' else type || ' 引用的书签「' || bookmark || '」不存在' end as message from gr where target_para is null"
 _add("check_references", lambda s, d: X.check_references(_graph(s, d)), f"{_GR} {_RSQL}")
+_add("field_rows", lambda s, d: O.fields(_par(s, d)).select("doc_id", "para_index", "field_index", "display_text", "start_run", "end_run"), f"{WITH} select doc_id, para_index, field_index, display_text, start_run, end_run from fld")
 _add("bookmark_rows", lambda s, d: X.bookmark_rows(O.bookmarks(_par(s, d))), f"{WITH} select distinct * from bkm")
 _NL = "case type when 'footnote' then '脚注' else '尾注' end"
 _NOTES = f"""lost as (select doc_id, para_index, 'note_reference' as field, {_NL} || '#' || note_id || '（缺失）' as actual, 'error' as severity, {_NL} || '引用「' || note_id || '」缺少对应定义' as message from nref where not exists (select 1 from ndef x where x.doc_id = nref.doc_id and x.type = nref.type and cast(x.seq as varchar) = nref.note_id)),
@@ -213,17 +220,23 @@ def _captions(kind):
     return run
 
 
-_CAPS = rf"""{_GR}, c0 as (select rol.doc_id, rol.para_index, role, role like 'heading%' and outline_level = 0 as ch, text, coalesce(cap.parts, array_to_string({_CAPNUM}, '-')) as parts from rol left join cap using (doc_id, para_index) where role = 'figure_caption' or (role like 'heading%' and outline_level = 0)),
-c1 as (select *, sum(case when ch then 1 else 0 end) over (partition by doc_id order by para_index) as g, {num('text')} as hn from c0 where ch or parts is not null),
-c2 as (select *, max(case when ch then hn end) over (partition by doc_id, g) as chapter from c1),
-c3 as (select doc_id, para_index, role, g, chapter, cast(split_part(parts, '-', 1) as int) as major, try_cast(split_part(parts, '-', 2) as int) as minor from c2 where not ch),
-c4 as (select *, coalesce(lag(major) over w, 0) as lm, coalesce(last_value(minor ignore nulls) over (w rows between unbounded preceding and 1 preceding), 0) as ln from c3 window w as (partition by doc_id, g order by para_index)),
-cseq as (select doc_id, para_index, role, 'caption_sequence' as field, cast(lm + 1 as varchar) as expected, cast(major as varchar) as actual, 'error' as severity, '图题注编号不连续：期望 ' || (lm + 1) || '，实际 ' || major as message from c4 where minor is null and major <> lm + 1
- union all select doc_id, para_index, role, 'caption_sequence', chapter || '-*', major || '-' || minor, 'warn', '图题注章节编号与当前章节不符：期望 ' || chapter || '-*，实际 ' || major || '-' || minor from c4 where minor is not null and chapter is not null and major <> chapter
- union all select doc_id, para_index, role, 'caption_sequence', major || '-' || (ln + 1), major || '-' || minor, 'error', '图题注次编号不连续：期望 ' || major || '-' || (ln + 1) || '，实际 ' || major || '-' || minor from c4 where minor is not null and major = lm and minor <> ln + 1
- union all select doc_id, para_index, role, 'caption_sequence', major || '-1', major || '-' || minor, 'error', '图题注主编号变化后次编号应从 1 开始：实际 ' || major || '-' || minor from c4 where minor is not null and major <> lm and minor <> 1)"""
-_add("check_caption_sequence", _captions("figure"), f"{_CAPS} select * from cseq")
-_add("check_caption_sequence_table", _captions("table"))
+def _caps(role: str, label: str, p: str, fields: str) -> str:
+    """Steps of the caption check over rol, with names that start with p; fields: table of numbers that go before the text's."""
+    return rf"""{p}0 as (select rol.doc_id, rol.para_index, role, role like 'heading%' and outline_level = 0 as ch, text, coalesce({fields}.parts, array_to_string({_CAPNUM}, '-')) as parts from rol left join {fields} using (doc_id, para_index) where role = '{role}' or (role like 'heading%' and outline_level = 0)),
+{p}1 as (select *, sum(case when ch then 1 else 0 end) over (partition by doc_id order by para_index) as g, {num('text')} as hn from {p}0 where ch or parts is not null),
+{p}2 as (select *, max(case when ch then hn end) over (partition by doc_id, g) as chapter from {p}1),
+{p}3 as (select doc_id, para_index, role, g, chapter, cast(split_part(parts, '-', 1) as int) as major, try_cast(split_part(parts, '-', 2) as int) as minor from {p}2 where not ch),
+{p}4 as (select *, coalesce(lag(major) over w, 0) as lm, coalesce(last_value(minor ignore nulls) over (w rows between unbounded preceding and 1 preceding), 0) as ln from {p}3 window w as (partition by doc_id, g order by para_index)),
+{p}seq as (select doc_id, para_index, role, 'caption_sequence' as field, cast(lm + 1 as varchar) as expected, cast(major as varchar) as actual, 'error' as severity, '{label}题注编号不连续：期望 ' || (lm + 1) || '，实际 ' || major as message from {p}4 where minor is null and major <> lm + 1
+ union all select doc_id, para_index, role, 'caption_sequence', chapter || '-*', major || '-' || minor, 'warn', '{label}题注章节编号与当前章节不符：期望 ' || chapter || '-*，实际 ' || major || '-' || minor from {p}4 where minor is not null and chapter is not null and major <> chapter
+ union all select doc_id, para_index, role, 'caption_sequence', major || '-' || (ln + 1), major || '-' || minor, 'error', '{label}题注次编号不连续：期望 ' || major || '-' || (ln + 1) || '，实际 ' || major || '-' || minor from {p}4 where minor is not null and major = lm and minor <> ln + 1
+ union all select doc_id, para_index, role, 'caption_sequence', major || '-1', major || '-' || minor, 'error', '{label}题注主编号变化后次编号应从 1 开始：实际 ' || major || '-' || minor from {p}4 where minor is not null and major <> lm and minor <> 1)"""
+
+
+_FIG = _caps("figure_caption", "图", "cf", "cap")
+_TAB = "nocap as (select doc_id, para_index, parts from cap where false), " + _caps("table_caption", "表", "ct", "nocap")
+_add("check_caption_sequence", _captions("figure"), f"{_GR}, {_FIG} select * from cfseq")
+_add("check_caption_sequence_table", _captions("table"), f"{_GR}, {_TAB} select * from ctseq")
 
 # ---- numbering and lists -----------------------------------------------------------------------
 _LEVELS = [("1", 0, 1, "decimal", "%1"), ("2", 0, 1, "bullet", "•"), ("1", 1, 3, "lowerLetter", "%2")]
@@ -319,6 +332,19 @@ for _n, _f, _c, _e, _h, _v, _ok in _SEGMENT_CHECKS:
 _add("check_header_border", lambda s, d: P.check_header_border(_docs(s, d), _segs(s, d), True), f"""{WITH}, hb as (select doc_id, count(*) as m, count(*) filter (where coalesce(border_style not in ('none', 'nil'), false)) as n from (select distinct doc_id, part, para, border_style from tok where kind = 'header') group by doc_id)
 select d.doc_id, 'header_bottom_border' as field, coalesce(n, 0) || '/' || coalesce(m, 0) as actual from documents d left join hb using (doc_id) where not (coalesce(m, 0) > 0 and coalesce(n, 0) = coalesce(m, 0))""")
 
+_LOW = "doc_id, {0} as check_seq, -1 as para_index, 'document' as role, field, {1} as severity, {2} as message"
+#: All checks but those of paragraph fields, as al0.
+CORPUS_SQL = f"""{_GR}, {_FIG}, {_TAB}, {HEADINGS[len(ROLES) + 1:]}, {_NOTES}, {_PAGE}, {_PN}, {_CNT[len(ROLES) + 1:]},
+hb as (select doc_id, count(*) as m, count(*) filter (where coalesce(border_style not in ('none', 'nil'), false)) as n from (select distinct doc_id, part, para, border_style from tok where kind = 'header') group by doc_id),
+al0 as (select {_LOW.format(1, "'error'", 'message')} from pg union all select {_LOW.format(2, "'error'", 'message')} from pnn
+ union all select d.doc_id, 3, -1, 'document', 'header_bottom_border', 'warn', 'header_bottom_border: true' from documents d left join hb using (doc_id) where not (coalesce(m, 0) > 0 and coalesce(n, 0) = coalesce(m, 0))
+ union all select doc_id, 4, para_index, role, field, severity, message from hseq union all select doc_id, 5, para_index, role, field, severity, message from cfseq union all select doc_id, 6, para_index, role, field, severity, message from ctseq
+ union all select doc_id, 7, para_index, role, field, severity, message from ({_RSQL}) union all select doc_id, 8, para_index, case when para_index < 0 then 'document' else 'unknown' end, field, severity, message from nts
+ union all select {_LOW.format(9, 'severity', 'message')} from (select doc_id, 'keywords_cn_count' as field, 'warn' as severity, '中文关键词数量应为 3-5 个，实际 ' || keywords_cn || ' 个' as message from cnt where keywords_cn < 3 or keywords_cn > 5)
+ union all select {_LOW.format(9, 'severity', 'message')} from (select doc_id, 'abstract_en_words' as field, 'warn' as severity, '英文摘要词数应不超过 40 词，实际 ' || abstract_en || ' 词' as message from cnt where abstract_en > 40)
+ union all select {_LOW.format(9, 'severity', 'message')} from (select doc_id, 'references_count' as field, 'error' as severity, '参考文献应不少于 3 条，实际 ' || refs || ' 条' as message from cnt where refs < 3)
+ union all select {_LOW.format(9, 'severity', 'message')} from (select doc_id, 'references_foreign_fraction' as field, 'warn' as severity, '外文参考文献占比应不低于 60%，实际 ' || {_PC} || '（' || fgn || '/' || refs || '）' as message from cnt where refs > 0 and fgn < 0.6 * refs))"""
+
 
 def queries() -> dict:
     from quire.plans.registry_more import add

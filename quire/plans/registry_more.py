@@ -13,6 +13,7 @@ from quire.operators import style_checks as C
 from quire.plans import overlay as O
 from quire.plans import validate as V
 from quire.sources import docx as D
+from quire.sources import tables as TB
 from quire.plans.flow_sql import HEADINGS, ROLES, WITH, m, trim
 
 NUM = "case when {0} = floor({0}) then cast(cast({0} as bigint) as varchar) else cast({0} as varchar) end"
@@ -325,10 +326,8 @@ select level, code, role, field_key, {wsql} from x"""
         p = par(s, d)
         stats = {"ranges": {"keywords_cn": (3, 5), "abstract_en": (None, 40)}, "min_references": 3, "min_foreign": 0.6}
         docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id")
-        return V.validate_corpus(p, O.fields(p), O.bookmarks(p), O.note_refs(p), O.note_defs(p), O.sections(p), O.hf_tokens(p), docs, rules(s), PAGE_RULES, NUMBER_RULES, stats).select("doc_id", "check_seq", "para_index", "role", "field", "severity", "message")
+        return V.validate_corpus(p, O.fields(p), O.bookmarks(p), O.note_refs(p), O.note_defs(p), O.sections(p), O.hf_tokens(p), docs, rules(s), PAGE_RULES, NUMBER_RULES, stats, keep=lambda r: TB.stored(r, "roles")).select("doc_id", "check_seq", "para_index", "role", "field", "severity", "message")
 
-    _add("validate_corpus", lambda s, d: corpus(s, d))
-    _add("validate_corpus_summary", lambda s, d: corpus(s, d).groupBy("check_seq", "field", "severity").agg(F.count("*").alias("n")))
 
     # ---- Word files, made from the documents' lines
     def files(s, d):
@@ -340,3 +339,35 @@ select level, code, role, field_key, {wsql} from x"""
     _add("triage_files", lambda s, d: D.triage_files(D.extract_facts(files(s, d))), f"select doc_id as id, {code} as code from documents")
     _add("extract_facts", lambda s, d: D.extract_facts(files(s, d)).groupBy("id", "fact").agg(F.count("*").alias("n")), f"select doc_id as id, unnest(['paragraph', 'run']) as fact, len(string_split(coalesce(text, ''), chr(10))) as n from {ok} union all select doc_id, 'file', 1 from documents where doc_id % 7 not in (0, 6)")
     _add("paragraph_flow", lambda s, d: D.fact_table(D.extract_facts(files(s, d)), "paragraph", "text string, in_table boolean"), f"select doc_id as id, cast(unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) as int) as seq, unnest(string_split(coalesce(text, ''), chr(10))) as text, false as in_table from {ok}")
+
+    # ---- tables in and out
+    _add("sink_issues", lambda s, d: TB.sink_issues(issues(s, d), TB.folder(s, "issues")), f"{_ISS} select * from iss")
+    _add("label_dims", lambda s, d: roles(s, d).where("role is not null").groupBy(RP.role_label(F.col("role")).alias("label")).agg(F.count("*").alias("n")), f"{ROLES}, lab(role, label) as (values {', '.join(str(kv) for kv in RP.ROLE_LABELS.items())}) select label, count(*) as n from rol join lab using (role) group by label")
+    _add("same_as_saved", lambda s, d: PR.same_as_saved(rule_rows(s), PR.apply_proposals(proposals(s, d), rule_rows(s))).groupBy("side").agg(F.count("*").alias("n")), f"{prp}, app as (select role, field_key, coalesce(prp.value, sav.value) as value, case when prp.value is not null then true else enabled end as enabled from prp full join sav using (role, field_key)), q as (select 'saved' as side from (select * from app except all select * from sav) union all select 'draft' from (select * from sav except all select * from app)) select side, count(*) as n from q group by side")
+
+    def libraries(s, d):
+        """A rule library a document: its id, a name and, as JSON with a byte-order mark, its text."""
+        docs = s.read.parquet(f"{d}/documents.parquet")
+        return docs.select("doc_id", F.concat(F.lit("\ufeff"), F.when(F.col("doc_id") % 10 == 9, "no json").otherwise(F.to_json(F.struct(F.col("doc_id").alias("id"), F.concat(F.lit("规则 "), "lang").alias("name"))))).alias("value"))
+
+    _add("scan_rules", lambda s, d: RU.scan_rules(libraries(s, d), "id long, name string").select("library.id", "library.name"), "select case when doc_id % 10 <> 9 then doc_id end as id, case when doc_id % 10 <> 9 then '规则 ' || lang end as name from documents")
+    bound = lambda m: F.when(F.col("doc_id") % m == 0, F.col("doc_id") % 50).cast("double")
+    raw = lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("metric"), *[bound(m).alias(n) for n, m in (("min", 2), ("master_min", 3), ("doctor_min", 5), ("max", 7), ("master_max", 2), ("doctor_max", 3))])
+    bsql = lambda *ms: "case when " + " or ".join(f"doc_id % {m} = 0" for m in ms) + " then cast(doc_id % 50 as double) end"
+    _add("normalize_statistics", lambda s, d: RU.normalize_statistics(raw(s, d)), f"select cast(doc_id as varchar) as metric, {bsql(2, 3, 5)} as min, {bsql(7, 2, 3)} as max from documents")
+
+    def publish(s, d):
+        docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("library_id"), "lang", "source")
+        old = docs.select("library_id", F.concat(F.lit("1."), F.col("library_id") % 3).alias("version"), F.col("lang").alias("content"))
+        draft = docs.select("library_id", F.when(F.col("library_id") % 2 == 0, F.col("lang")).otherwise(F.col("source")).alias("content"))
+        flaws = docs.where("library_id % 5 = 1").select("library_id", F.lit("error").alias("level"))
+        return RU.publish_rules(draft, old, flaws)
+
+    go = "doc_id % 2 = 1 and doc_id % 5 <> 1 and source <> lang"
+    _add("publish_rules", publish, f"select doc_id as library_id, case when {go} then '1.' || (doc_id % 3 + 1) else '1.' || (doc_id % 3) end as version, case when {go} then source else lang end as content from documents")
+    from quire.plans.registry import CORPUS_SQL
+
+    every = f"""{CORPUS_SQL}, {_OWN}, vls as ({_VALS}), pf as (select doc_id, para_index, role, field, severity, label || {_DESC} || '，实际 ' || shown as message from vls join own using (role, field_key) join fl using (field_key) where not ({_OK})),
+al as (select * from al0 union all select doc_id, 10, para_index, role, field, severity, message from pf)"""
+    _add("validate_corpus", lambda s, d: corpus(s, d), f"{every} select * from al")
+    _add("validate_corpus_summary", lambda s, d: corpus(s, d).groupBy("check_seq", "field", "severity").agg(F.count("*").alias("n")), f"{every} select check_seq, field, severity, count(*) as n from al group by all")

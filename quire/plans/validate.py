@@ -31,9 +31,13 @@ def issue_row(df: DataFrame, seq: int, severity: str | None = None) -> DataFrame
     return df.select("doc_id", *[c[k].alias(k) if k in c else F.col(k) for k in ISSUE[1:]])
 
 
-def validate_corpus(paragraphs: DataFrame, fields: DataFrame, bookmarks: DataFrame, note_refs: DataFrame, note_defs: DataFrame, sections: DataFrame, tokens: DataFrame, documents: DataFrame, rules: DataFrame, page_rules: dict, number_rules: dict, stats: dict) -> DataFrame:
-    """Issues of all documents; `check_seq` keeps the order of the checks."""
-    roles = R.classify_roles(paragraphs)
+def validate_corpus(paragraphs: DataFrame, fields: DataFrame, bookmarks: DataFrame, note_refs: DataFrame, note_defs: DataFrame, sections: DataFrame, tokens: DataFrame, documents: DataFrame, rules: DataFrame, page_rules: dict, number_rules: dict, stats: dict, keep=lambda df: df) -> DataFrame:
+    """Issues of all documents; `check_seq` keeps the order of the checks.
+
+    keep(roles) may write the classified paragraphs and read them back, since
+    eight checks read them.
+    """
+    roles = keep(R.classify_roles(paragraphs))
     described = X.described(fields)
     numbers = X.captions(roles, described)
     counts = S.document_counts(roles)
