@@ -56,19 +56,24 @@ def is_foreign_reference(t: Column) -> Column:
     return (cjk_count(t) == 0) & (en_word_count(t) >= 3)
 
 
+def once(value: Column, body) -> Column:
+    """body(value), with value worked out once and body outside generated code: for long expressions over one value."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def extract_number(t: Column) -> Column:
     """Number of a heading by the first form that matches; numerals above ten in Chinese give null."""
-    s = trim_ws(t)
     cn, ar = r"^第?([一二三四五六七八九十]+)[章节条款]", rf"^第?{WS}*(\d+){WS}*[章节条款]"
     multi, single = r"^(\d+(?:\.\d+)+)[^\d]", rf"^(\d+)(?:[.、]|{WS}+[^{WS_BODY}])"
     paren = r"^(?:\((\d+)\)|（(\d+)）)"
     digits = F.create_map(*[x for i, c in enumerate("一二三四五六七八九十", 1) for x in (F.lit(c), F.lit(i))])
-    return (
-        F.when(s.rlike(cn), F.try_element_at(digits, F.regexp_extract(s, cn, 1)))
+    return once(
+        trim_ws(t),
+        lambda s: F.when(s.rlike(cn), F.try_element_at(digits, F.regexp_extract(s, cn, 1)))
         .when(s.rlike(ar), F.regexp_extract(s, ar, 1).try_cast("int"))
         .when(s.rlike(multi), F.element_at(F.split(F.regexp_extract(s, multi, 1), r"\."), -1).try_cast("int"))
         .when(s.rlike(single), F.regexp_extract(s, single, 1).try_cast("int"))
-        .when(s.rlike(paren), F.concat(F.regexp_extract(s, paren, 1), F.regexp_extract(s, paren, 2)).try_cast("int"))
+        .when(s.rlike(paren), F.concat(F.regexp_extract(s, paren, 1), F.regexp_extract(s, paren, 2)).try_cast("int")),
     )
 
 

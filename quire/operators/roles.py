@@ -59,27 +59,31 @@ _HEAD, _TOC, _KEY, _APP, _OUTLINE, _SPECIAL, _PLAIN = 2, 10, 13, 15, 19, 22, 28
 
 
 def special_rule(near: Column) -> Column:
-    """Rule number of a caption, note or formula in the body, null if none; near: a drawing is next to it."""
-    t, align = inline_text(F.col("text")), F.col("alignment")
+    """Rule number of a caption, note or formula in the body, null if none; near: a drawing is next to it.
+
+    Reads _inline (text with single spaces) and _inline_len.
+    """
+    t, align = F.col("_inline"), F.col("alignment")
+    short = lambda name, cap: text_pattern(t, name) & (F.col("_inline_len") <= cap)
     structure = (F.coalesce("math_count", F.lit(0)) > 0) | (F.coalesce("object_count", F.lit(0)) > 0)
-    formula = text_pattern(t, "equation") & (text_pattern(t, "operator") | structure) & (F.regexp_count(t, F.lit(CJK)) <= 4) & (F.coalesce(align.isin("center", "right"), F.lit(False)) | (utf16_length(t) <= 80))
+    formula = text_pattern(t, "equation") & (text_pattern(t, "operator") | structure) & (F.regexp_count(t, F.lit(CJK)) <= 4) & (F.coalesce(align.isin("center", "right"), F.lit(False)) | (F.col("_inline_len") <= 80))
     return (
-        F.when(near & text_pattern(t, "figure_relaxed", 80) & align.isin("center", "left", "right"), _SPECIAL)
-        .when(text_pattern(t, "figure", 80), F.when(near, _SPECIAL).otherwise(_SPECIAL + 1))
-        .when(text_pattern(t, "table", 80), _SPECIAL + 2)
-        .when(text_pattern(t, "source", 120), _SPECIAL + 3)
+        F.when(near & short("figure_relaxed", 80) & align.isin("center", "left", "right"), _SPECIAL)
+        .when(short("figure", 80), F.when(near, _SPECIAL).otherwise(_SPECIAL + 1))
+        .when(short("table", 80), _SPECIAL + 2)
+        .when(short("source", 120), _SPECIAL + 3)
         .when(formula, F.when(structure, _SPECIAL + 4).otherwise(_SPECIAL + 5))
     )
 
 
 def appendix_rule(t: Column, level: Column) -> Column:
-    """Rule number within an appendix, null if none; t: compact text."""
+    """Rule number within an appendix, null if none; t: compact text, its length in _len."""
     numbered = F.col("num_id").isNotNull() & F.col("ilvl").isNotNull()
     return (
-        F.when(level.isNotNull() & (utf16_length(t) <= 80), _APP)
+        F.when(level.isNotNull() & (F.col("_len") <= 80), _APP)
         .when(numbered, _APP + 1)
         .when(text_pattern(t, "list_marker") | text_pattern(t, "material"), _APP + 2)
-        .when((utf16_length(t) <= 50) & (text_pattern(t, "signature") | text_pattern(t, "date")), _APP + 3)
+        .when((F.col("_len") <= 50) & (text_pattern(t, "signature") | text_pattern(t, "date")), _APP + 3)
     )
 
 
@@ -106,6 +110,8 @@ def classify_roles(paragraphs: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("para_index")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     p = paragraphs.withColumn("_t", compact_text(F.col("text"))).withColumn("_act", ~F.col("in_table") & (F.col("_t") != ""))
+    # Worked out once: many patterns look at these.
+    p = p.withColumn("_inline", inline_text(F.col("text"))).withColumns({"_len": utf16_length(F.col("_t")), "_inline_len": utf16_length(F.col("_inline"))})
     p = p.withColumn("_level", heading_level(F.col("outline_level"), F.col("style_name")))
     toc = F.lower(F.coalesce("style_id", F.lit("")))
     p = p.withColumns(
@@ -144,7 +150,7 @@ def classify_roles(paragraphs: DataFrame) -> DataFrame:
         .when(F.col("_level").isNotNull(), F.col("_level") + _OUTLINE)
         .when(F.col("_special").isNotNull(), F.col("_special"))
         .when(now != BODY, now + _PLAIN)
-        .when(text_pattern(F.col("_t"), "cover") & (utf16_length(F.col("_t")) < 25), 35)
+        .when(text_pattern(F.col("_t"), "cover") & (F.col("_len") < 25), 35)
         .otherwise(36)
     )
     p = p.withColumn("_rule", rule)

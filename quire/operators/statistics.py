@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import KEYWORD_PREFIX, cjk_count, en_word_count, is_foreign_reference, keyword_items, number_text, percent_text, range_text
+from quire.functions.text import KEYWORD_PREFIX, cjk_count, en_word_count, is_foreign_reference, keyword_items, percent_text, range_text
 
 # Metric → (field, label, unit).
 METRICS = {
