@@ -32,6 +32,7 @@ import pickle
 import zlib
 from itertools import groupby
 from operator import itemgetter
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ ENTRY = np.dtype([("hash", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("pos", "<u4"),
 SPOT = np.dtype([("pos", "<u4"), ("lmin", "<u2"), ("lmax", "<u2")])
 SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
 ALONE, KNOWN, DIRECT = 0, 1, 2
+#: Entries whose windows are looked at together.
+STRETCH = 20_000
 
 
 def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,6 +75,8 @@ def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _by_bucket(entries: np.ndarray, bucket: np.ndarray):
+    if not len(entries):
+        return
     order = np.argsort(bucket, kind="stable")
     entries, bucket = entries[order], bucket[order]
     cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
@@ -306,22 +311,32 @@ def _spans(runs: DataFrame, length: int, parts: int) -> DataFrame:
     half = length // 2
 
     def merged(blobs: list[bytes]):
-        """Entries in suffix order, equal ones joined: (suffix, shared, left, lmin, lmax, places, many); one block of equal grams at a time."""
+        """Entries in suffix order, equal ones joined: [suffix, shared, left, lmin, lmax, places, stands for several].
+
+        They come in stretches of whole blocks of one gram, some thousand
+        entries at a time; entries alone in their block find nothing.
+        """
+        ready: list[list] = []
         block: dict[tuple, list] = {}
         for suffix, h, (left, lo, hi, place) in merge_runs([decoded(x) for x in blobs]):
             if h < half and block:
-                yield list(block.values())
+                if len(block) > 1 or next(iter(block.values()))[6]:
+                    ready += block.values()
                 block = {}
+                if len(ready) > STRETCH:
+                    yield ready
+                    ready = []
             e = block.get((suffix, left, lo, hi))
             if e is None:  # a joined entry shares its whole suffix with those before it, so no shorter prefix is lost
-                e = block[(suffix, left, lo, hi)] = [suffix, h if block else 0, left, lo, hi, [], False, 0]
-            e[7] += 1
-            if place is None:
-                e[6] = True
+                block[(suffix, left, lo, hi)] = [suffix, h if block else 0, left, lo, hi, [] if place is None else [place], place is None]
             else:
-                e[5].append(place)
-        if block:
-            yield list(block.values())
+                e[6] = True
+                if place is not None:
+                    e[5].append(place)
+        if len(block) > 1 or block and next(iter(block.values()))[6]:
+            ready += block.values()
+        if ready:
+            yield ready
 
     def run(batches):
         for _, rows in _groups(batches):
@@ -331,19 +346,13 @@ def _spans(runs: DataFrame, length: int, parts: int) -> DataFrame:
                 if r[1] == 1:
                     for key, spans in pickle.loads(r[2]).items():  # noqa: S301  written by _runs in this job
                         out.setdefault(key, []).append(spans)
-            for block in merged([r[2] for r in rows if r[1] == 0]):
-                many = np.array([e[6] or e[7] > 1 for e in block])
-                if len(block) == 1 and not many[0]:
-                    continue
-                lmin, lmax = np.array([e[3] for e in block]), np.array([e[4] for e in block])
-                if len(block) == 1:
-                    low, high = lmin, lmax
-                else:
-                    low, high = covered([e[0] for e in block], [e[1] for e in block], [e[2] for e in block], lmin, lmax, many, length)
-                for e, lo, hi in zip(block, low.tolist(), high.tolist(), strict=True):
+            for stretch in merged([r[2] for r in rows if r[1] == 0]):
+                suffixes, lcp, lefts, lmin, lmax, places, many = zip(*stretch, strict=True)
+                low, high = covered(suffixes, lcp, lefts, np.array(lmin), np.array(lmax), np.array(many), length)
+                for own, lo, hi in zip(places, low.tolist(), high.tolist(), strict=True):
                     if lo <= hi:
-                        for key, a in e[5]:
-                            out.setdefault(key, []).append(np.array([(a - hi, a - lo + length)], SPAN).tobytes())
+                        for key, a in own:
+                            out.setdefault(key, []).append(pack("<II", a - hi, a - lo + length))
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array([b"".join(v) for v in out.values()], pa.binary())], names=["key", "spans"])
 
     return runs.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key binary, spans binary")
