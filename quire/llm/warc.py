@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pick, stored
+from quire.llm.common import pick, stored, table
 
 DATE = "1970-01-01T00:00:00Z"  # pages carry no fetch time
 
@@ -111,13 +111,11 @@ def archive_report(archive: Archive) -> DataFrame:
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         F.when(F.concat(F.lit("sha1:"), weak) == F.col("digest"), weak).otherwise(F.raise_error(F.lit("record does not match its digest"))).alias("payload_digest"),
         "record_type",
-        F.when(F.col("record_type") == "revisit", refers.try_cast("long") if hasattr(refers, "try_cast") else refers.cast("long")).alias("refers_to"),
+        F.when(F.col("record_type") == "revisit", refers.try_cast("long")).alias("refers_to"),
     )
 
 
 def op9_warc(spark, sf_dir):
-    from quire.llm.common import table
-
     return archive_report(write_archive(table(spark, sf_dir, "pages"), min_bytes=0))
 
 
