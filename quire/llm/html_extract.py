@@ -1,11 +1,15 @@
 """Main text by wrapper inference (operator 4).
 
-Pages of a host are token streams. Union-free regular expressions over these
-tokens, the host's wrapper, grow by alignment: equal tokens match, texts that
-differ become slots, runs of one token group become repeated groups, tokens
-without a partner become optional groups. A wrapper covers all pages of its
-host; its container paths, with the text that they hold over all pages, tell
-the article from menus and other furniture. The pages are then read by it.
+Pages of a host are streams of typed text blocks. Union-free regular
+expressions over these, the host's wrapper, grow by alignment: equal tokens
+match, texts that differ become slots, runs of one token group become repeated
+groups, tokens without a partner become optional groups. Each text node keeps
+the digests of the texts that all its pages share. Each page is then matched
+against its host's wrapper: shared texts are furniture, and of the rest the
+element that holds most of the differing text is the article. Lists of tags
+and names decide only what this leaves open: hosts of fewer than MIN_PAGES
+different pages, hosts whose differing text lies in several elements, and
+repeated groups in the article that are named as furniture.
 
 Wrappers are folded within tasks first, then by host and salt, then by host:
 what moves is one wrapper a host and task, however many pages it stands for.
@@ -18,6 +22,7 @@ paragraphs, unknown closing tags and unclosed elements go.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -35,6 +40,8 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
+#: Numbers of things (post-17, p1234), not those of names (c1, h2).
+_NUMBER = re.compile(r"(?<![a-z\d])\d+|\d{3,}")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements inside a line; their borders are no white space.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var".split())
@@ -48,11 +55,13 @@ NAMES = re.compile(
 )
 CONTENT = re.compile(r"(?:^|[-_ ])(?:article|content|main|post|entry|story|body)(?:$|[-_ ])")
 SALTS = 8
+#: Texts that fewer different pages share tell nothing.
+MIN_PAGES = 3
 MAX_BROADCAST_BYTES = 32_000_000
 
 
 def _label(tag: str, attrs: str) -> str:
-    """tag with its class, id and role words, numbers made equal."""
+    """tag with its class, id and role words, numbers of things made equal."""
     names = []
     if attrs and ("=" in attrs or "hidden" in attrs):
         for name, value in _ATTR.findall(attrs):
@@ -61,7 +70,7 @@ def _label(tag: str, attrs: str) -> str:
                 names.append("hidden")
             elif name in ("class", "id", "role"):
                 names += value.split()
-    return tag + "".join("." + re.sub(r"\d+", "0", x.replace("/", "_")) for x in sorted(set(names)))
+    return tag + "".join("." + _NUMBER.sub("0", re.sub(r"[/|]", "_", x)) for x in sorted(set(names)))
 
 
 def blocks_of(page: str | None) -> list[tuple[str, str, str]]:
@@ -115,7 +124,8 @@ def blocks_of(page: str | None) -> list[tuple[str, str, str]]:
     return out
 
 
-# ---- wrappers: lists of nodes [token], ["#", text or None], ["?", nodes], ["+", nodes] --------
+# ---- wrappers: lists of nodes [token], ["#", text or None], ["?", nodes], ["+", nodes], and
+# ["#path|leaf", {digest: characters} of texts on all pages, digests of up to MIN_PAGES pages, pages, characters] --------
 
 
 def _sig(node: list) -> str:
@@ -126,13 +136,17 @@ def _body(node: list) -> list:
     return node[1] if node[0] in "?+" and len(node) > 1 else [node]
 
 
-def _same(a: list, b: list) -> list:
-    """One node for two of one signature: texts that differ become a slot."""
-    if a[0] == "#":
-        return a if a[1] == b[1] else ["#", None]
-    if len(a) > 1:
-        return [a[0], [_same(x, y) for x, y in zip(a[1], b[1], strict=True)]]
-    return a
+def _same(a: list, b: list, within: bool = False) -> list:
+    """One node for two of one signature, of different pages or within one: texts that differ become a slot."""
+    if a[0] in "?+" and len(a) > 1:
+        return [a[0], [_same(x, y, within) for x, y in zip(a[1], b[1], strict=True)]]
+    if a[0][0] != "#":
+        return a
+    if len(a) == 2:
+        return a if a[1] == b[1] else [a[0], None]
+    shared = a[1] | b[1] if within else {k: n for k, n in a[1].items() if k in b[1]}
+    seen = a[2] if a[2] == b[2] else sorted({*a[2], *b[2]})[:MIN_PAGES]
+    return [a[0], shared, seen, max(a[3], b[3]) if within else a[3] + b[3], a[4] + b[4], *([a[5] + b[5]] if len(a) > 5 else [])]
 
 
 def fold(nodes: list, most: int = 8) -> list:
@@ -147,7 +161,7 @@ def fold(nodes: list, most: int = 8) -> list:
                 if sigs[i] != "#" and sigs[i : i + size] == sigs[i + size : i + 2 * size]:
                     body, j = nodes[i : i + size], i + size
                     while sigs[j : j + size] == sigs[i : i + size]:
-                        body = [_same(a, b) for a, b in zip(body, nodes[j : j + size], strict=True)]
+                        body = [_same(a, b, True) for a, b in zip(body, nodes[j : j + size], strict=True)]
                         j += size
                     out.append(["+", body] if not (size == 1 and body[0][0] == "+") else body[0])
                     i, changed = j, True
@@ -175,18 +189,40 @@ def _fold_known(nodes: list, bodies: list[list]) -> list:
     return nodes
 
 
+def _bare(w: list) -> list[tuple[str, list, bool]]:
+    return [(_sig(x), x, n[0] == "?" and len(n) > 1) for n in w for x in (n[1] if n[0] == "?" and len(n) > 1 else [n])]
+
+
+def _repeated(w: list) -> list[list]:
+    return [n[1] for n in w if n[0] == "+" and len(n) > 1]
+
+
+def _pairs(x: list, y: list):
+    """(i, j) in order over a longest common subsequence; None for a place without a partner."""
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        row, below = best[i], best[i + 1]
+        for j in range(len(y) - 1, -1, -1):
+            row[j] = below[j + 1] + 1 if x[i][0] == y[j][0] else max(below[j], row[j + 1])
+    i = j = 0
+    while i < len(x) or j < len(y):
+        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
+            yield i, j
+            i, j = i + 1, j + 1
+        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
+            yield i, None
+            i += 1
+        else:
+            yield None, j
+            j += 1
+
+
 def align(a: list, b: list) -> list:
     """The least wrapper that covers both: longest common subsequence of nodes, the rest optional."""
     if [_sig(n) for n in a] == [_sig(n) for n in b]:
         return [_same(x, y) for x, y in zip(a, b, strict=True)]
-    repeated = lambda w: [n[1] for n in w if n[0] == "+" and len(n) > 1]
-    a, b = _fold_known(a, repeated(b)), _fold_known(b, repeated(a))
-    bare = lambda w: [(_sig(x), x, n[0] == "?" and len(n) > 1) for n in w for x in (n[1] if n[0] == "?" and len(n) > 1 else [n])]
-    x, y = bare(a), bare(b)
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
+    a, b = _fold_known(a, _repeated(b)), _fold_known(b, _repeated(a))
+    x, y = _bare(a), _bare(b)
     out: list = []
 
     def maybe(node):
@@ -195,87 +231,157 @@ def align(a: list, b: list) -> list:
         else:
             out.append(["?", [node]])
 
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
+    for i, j in _pairs(x, y):
+        if i is not None and j is not None:
             node = _same(x[i][1], y[j][1])
             maybe(node) if x[i][2] or y[j][2] else out.append(node)
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            maybe(x[i][1])
-            i += 1
         else:
-            maybe(y[j][1])
-            j += 1
+            maybe(x[i][1] if j is None else y[j][1])
     return out
 
 
-def stream_of(blocks: list[tuple[str, str, str]]) -> list:
-    """Tokens of a page: container changes, leaf blocks and texts (short hashes of them)."""
-    out, before = [], None
-    for path, leaf, text in blocks:
-        if path != before:
-            out.append([f"<{path}"])
-            before = path
-        if leaf:
-            out.append([leaf])
-        out.append(["#", text[:60]])
-    return fold(out)
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def stream_of(blocks: list[tuple[str, str, str]], numbered: bool = False) -> list:
+    """Text nodes of a page by container and leaf, with digests of the whole texts; numbered: with the blocks' numbers."""
+    page = _digest("\n".join(text for _, _, text in blocks))
+    return fold([[f"#{path}|{leaf}", {_digest(text): len(text)}, [page], 1, len(text), *([[i]] if numbered else [])] for i, (path, leaf, text) in enumerate(blocks)])
+
+
+def _texts(nodes: list, repeated: bool = False):
+    """(text node, whether it repeats) of a wrapper or page."""
+    for n in nodes:
+        if n[0] in "?+" and len(n) > 1:
+            yield from _texts(n[1], repeated or n[0] == "+")
+        else:
+            yield n, repeated
 
 
 class Wrapper:
-    """nodes, the number of pages, and characters of text by container path."""
+    """nodes and the number of pages."""
 
-    def __init__(self, nodes: list | None, pages: int, mass: Counter):
-        self.nodes, self.pages, self.mass = nodes, pages, mass
+    def __init__(self, nodes: list, pages: int):
+        self.nodes, self.pages = nodes, pages
 
     @classmethod
     def of(cls, blocks):
-        mass: Counter = Counter()
-        for path, _, text in blocks:
-            mass[path] += len(text)
-        return cls(stream_of(blocks), 1, mass)
+        return cls(stream_of(blocks), 1)
 
     def add(self, other: Wrapper) -> None:
         self.nodes = align(self.nodes, other.nodes)
         self.pages += other.pages
-        self.mass.update(other.mass)
 
     def dump(self) -> str:
-        return json.dumps([self.nodes, self.pages, self.mass], ensure_ascii=False)
+        return json.dumps([self.nodes, self.pages])
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
-        nodes, pages, mass = json.loads(text)
-        return cls(nodes, pages, Counter(mass))
-
-    def paths(self) -> set[str]:
-        def walk(nodes):
-            for n in nodes:
-                if n[0] in ("?", "+") and len(n) > 1:
-                    yield from walk(n[1])
-                elif n[0][:1] == "<":
-                    yield n[0][1:]
-
-        return set(walk(self.nodes))
-
-    def kept_paths(self) -> set[str]:
-        """Container paths of the main text."""
-        open_ = {p for p in self.paths() if not is_furniture(p)}
-        for test in (lambda x: x.split(".")[0] == "article", lambda x: x.split(".")[0] == "main", lambda x: bool(CONTENT.search(x.partition(".")[2].replace(".", " ")))):
-            if found := {p for p in open_ if any(map(test, p.split("/")))}:
-                return found
-        total, root = sum(self.mass[p] for p in open_), ""
-        while total:  # down to the smallest element that holds most of the text
-            below = Counter()
-            for p in open_:
-                if p.startswith(f"{root}/"):
-                    below[root + "/" + p[len(root) + 1 :].split("/")[0]] += self.mass[p]
-            top = max(below, key=lambda k: (below[k], k), default=None)
-            if top is None or below[top] < 0.7 * total:
+        return cls(*json.loads(text))
+
+
+def _inside(path: str, root: str) -> bool:
+    return path == root or path.startswith(f"{root}/")
+
+
+def _smallest(mass: Counter) -> str:
+    """Down to the smallest element that holds most of the text."""
+    total, root = sum(mass.values()), ""
+    while total:
+        below = Counter()
+        for p in mass:
+            if p.startswith(f"{root}/"):
+                below[root + "/" + p[len(root) + 1 :].split("/")[0]] += mass[p]
+        top = max(below, key=lambda k: (below[k], k), default=None)
+        if top is None or below[top] < 0.7 * total:
+            break
+        root = top
+    return root
+
+
+def _tag(part: str) -> str:
+    return part.partition(".")[0]
+
+
+def _named(part: str) -> bool:
+    return bool(NAMES.search(part.partition(".")[2].replace(".", " ")))
+
+
+def _by_names(mass: Counter) -> set[str]:
+    """Container paths of the main text by tags and names, else by mass."""
+    open_ = {p for p in mass if not is_furniture(p)}
+    for test in (lambda x: _tag(x) == "article", lambda x: _tag(x) == "main", lambda x: bool(CONTENT.search(x.partition(".")[2].replace(".", " ")))):
+        if found := {p for p in open_ if any(map(test, p.split("/")))}:
+            return found
+    root = _smallest(Counter({p: mass[p] for p in open_}))
+    return {p for p in open_ if _inside(p, root)}
+
+
+class Reader:
+    """Reads pages of one host by its wrapper."""
+
+    def __init__(self, wrapper: Wrapper | None):
+        self.nodes = wrapper.nodes if wrapper else []
+        self.matches: dict[str, list] = {}
+        self.shared: dict[str, set] = {}
+        mass, keys, known = Counter(), {}, False
+        for n, again in _texts(self.nodes):
+            path = n[0][1:].rpartition("|")[0]
+            sure = len(n[2]) >= MIN_PAGES
+            known = known or sure
+            if sure:
+                self.shared.setdefault(n[0], set()).update(n[1])
+            left = n[4] - n[3] * sum(n[1].values()) if sure else n[4]
+            if left > 0:
+                mass[path] += left
+                keys[n[0]] = keys.get(n[0], False) or again
+        root = _smallest(mass) if known else ""
+        if _tag(root.rpartition("/")[2]) in ("", "html", "body"):  # no evidence, or none for one element
+            paths = _by_names(mass)
+            self.kept = {k for k in keys if k[1:].rpartition("|")[0] in paths and not _named(k.rpartition("|")[2])}
+            return
+        parts = root.split("/")
+        for i, part in enumerate(parts):
+            if _tag(part) in ("article", "main"):
+                root = "/".join(parts[: i + 1])
                 break
-            root = top
-        return {p for p in open_ if p == root or p.startswith(f"{root}/")}
+        self.kept = {k for k, again in keys.items() if self._main(k, again, root)}
+
+    @staticmethod
+    def _main(key: str, again: bool, root: str) -> bool:
+        path, _, leaf = key[1:].rpartition("|")
+        if _inside(path, root):
+            below = path[len(root) :].split("/")[1:]
+            return not any(_tag(x) in FURNITURE and _tag(x) != "header" for x in below) and not (again and any(map(_named, [*below, leaf])))
+        # Beside it: what stands in the elements around it, and the page's heading.
+        if _inside(root, path) and _tag(path.rpartition("/")[2]) not in ("", "html", "body"):
+            return not (again and _named(leaf))
+        return _tag(leaf) == "h1" and not again
+
+    def _match(self, nodes: list) -> list:
+        """The wrapper's text node, or None, of each text node of a page."""
+        x, y = _bare(nodes), _bare(self.nodes)
+        out: list = []
+        for i, j in _pairs(x, y):
+            if i is not None:
+                mine = list(_texts([x[i][1]]))
+                out += [None] * len(mine) if j is None else [n for n, _ in _texts([y[j][1]])]
+        return out
+
+    def text(self, blocks: list[tuple[str, str, str]]) -> str:
+        nodes = _fold_known(stream_of(blocks, True), _repeated([n for _, n, _ in _bare(self.nodes)]))
+        shape = " ".join(map(_sig, nodes))
+        if shape not in self.matches:
+            self.matches[shape] = self._match(nodes)
+        furniture: set[int] = set()
+        for (own, _), node in zip(_texts(nodes), self.matches[shape], strict=True):
+            shared = self.shared.get(own[0], ()) if node is None else node[1] if len(node[2]) >= MIN_PAGES else ()
+            furniture.update(i for i in own[5] if shared and _digest(blocks[i][2]) in shared)
+        kept = [text for i, (path, leaf, text) in enumerate(blocks) if i not in furniture and f"#{path}|{leaf}" in self.kept]
+        if not kept:  # this page has nothing in its host's main containers
+            kept = [text for i, (path, leaf, text) in enumerate(blocks) if i not in furniture and not is_furniture(path) and not _named(leaf)]
+        return "\n\n".join(kept)
 
 
 def is_furniture(path: str) -> bool:
@@ -292,13 +398,6 @@ def is_furniture(path: str) -> bool:
     return False
 
 
-def main_text(blocks: list[tuple[str, str, str]], kept: set[str]) -> str:
-    chosen = [b for b in blocks if b[0] in kept]
-    if not chosen:  # this page has none of its host's main containers
-        chosen = [b for b in blocks if not is_furniture(b[0])]
-    return "\n\n".join(text for _, leaf, text in chosen if "." not in leaf or not NAMES.search(leaf.partition(".")[2].replace(".", " ")))
-
-
 def host_of():
     return F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
@@ -361,17 +460,21 @@ def extract(pages: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) ->
     kind = p.schema["page_id"].dataType.simpleString()
     schema = f"page_id {kind}, url string, text string, n_chars long"
 
-    def read(b, kept_of):
-        texts = [main_text(blocks_of(page), kept) for page, kept in zip(b.column(2).to_pylist(), kept_of, strict=True)]
+    def read(b, readers):
+        texts = [reader.text(blocks_of(page)) for page, reader in zip(b.column(2).to_pylist(), readers, strict=True)]
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
     if size <= max_broadcast_bytes:
-        sent = spark.sparkContext.broadcast({r[0]: Wrapper.load(r[1]).kept_paths() for r in wrappers.collect()})
+        sent = spark.sparkContext.broadcast({r[0]: r[1] for r in wrappers.collect()})
 
         def run(batches):
+            known: dict[str, Reader] = {}
             for b in batches:
-                yield read(b, [sent.value.get(h, set()) for h in b.column(3).to_pylist()])
+                hosts = b.column(3).to_pylist()
+                for h in set(hosts) - known.keys():
+                    known[h] = Reader(Wrapper.load(sent.value[h]) if h in sent.value else None)
+                yield read(b, [known[h] for h in hosts])
 
         return p.mapInArrow(run, schema)
     # More hosts than may be broadcast: pages of a host are dealt over salts, its wrapper goes to each.
@@ -381,7 +484,9 @@ def extract(pages: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) ->
 
     def run_joined(batches):
         for b in batches:
-            yield read(b, [Wrapper.load(w).kept_paths() if w else set() for w in b.column(3).to_pylist()])
+            wrappers_ = b.column(3).to_pylist()
+            readers = {w: Reader(Wrapper.load(w) if w else None) for w in set(wrappers_)}
+            yield read(b, [readers[w] for w in wrappers_])
 
     return both.mapInArrow(run_joined, schema)
 

@@ -190,6 +190,33 @@ def test_op4_alignment():
     assert got[1][1][1] == ["#", None] and got[-1] == ["#", "same"]
 
 
+def test_op4_neutral_names(spark):
+    from quire.llm.html_extract import extract
+
+    r = random.Random(11)
+    rows, want = [], {}
+    for i in range(12):
+        head, paras, note = text(r, 5), [text(r, 60) for _ in range(1 + i % 4)], text(r, 40)
+        menu = "".join(f"<p>{x}</p>" for x in ("Start here", "About us", "Our shop and all its many pages"))
+        offer = "<div class=box><p>Buy our book now, it is cheap</p></div>" if i % 3 else ""
+        # Menu and article have equal neutral names; parts of the article have names of furniture.
+        body = f"<div class=box>{menu}</div>{offer}<div class=c2><div class=article-header><h1>{head}</h1></div><div class=share-story>{''.join(f'<p>{x}</p>' for x in paras)}</div><p class=notice>{note}</p><p>Read more on our site</p></div><div class=c3>All rights reserved by us {'' if i % 2 else 'and them'}</div>"
+        rows.append((i, f"http://n.x/{i}", f"<html><body>{body}</body></html>"))
+        want[i] = "\n\n".join([head, *paras, note])
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for limit in (10**9, 0):
+        assert {x.page_id: x.text for x in extract(p, max_broadcast_bytes=limit).collect()} == want
+
+
+def test_op4_same_beginning(spark):
+    from quire.llm.html_extract import extract
+
+    start = "These sixty characters are the same on every page of this host: "
+    rows = [(i, f"http://n.x/{i}", f"<body><div class=c1>{start}menu</div><div class=c2><p>{start}{i} {'word ' * i}</p></div></body>") for i in range(5)]
+    p = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in extract(p).collect()} == {i: f"{start}{i} {'word ' * i}".strip() for i in range(5)}
+
+
 # ---- 5 ----------------------------------------------------------------------------------------
 
 
