@@ -157,6 +157,54 @@ def test_op3_held_out(spark):
     assert score(empty(spark), model).count() == 0
 
 
+def test_op3_all_unlabelled_take_part(spark, monkeypatch):
+    from quire.llm import cotrain
+
+    r = random.Random(4)
+    rows, labels = [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        rows.append((i, text(r, 40) + (" scum ### $$$ scum" if bad else ""), "en", "s1" if bad else "s2", 100))
+        labels.append((i, 0 if bad else 1, 0))
+    # A rare kind of bad page that no label covers, behind more plain documents than a sample holds.
+    rows += [(i, f"then{i % 40} river{i % 7} crane", "en", "s2", 100) for i in range(1000, 7000)]
+    rare = range(7000, 7003)
+    rows += [(i, "scum ### $$$ scum " * 9, "de", "rare", 100) for i in rare]
+    d = spark.createDataFrame(rows, DOC).repartition(8)
+    handed = {}
+    plain = cotrain._surest
+
+    def spy(pool, *more):
+        assert pool.count() == 6003
+        ask = plain(pool, *more)
+
+        def asked(models, taken, counts):
+            out = ask(models, taken, counts)
+            for x in out[0]:
+                handed.setdefault(x[0], x[1])
+            assert all(not taken[i] & {x[0] for x in found} and len(found) <= sum(counts[i]) for i, found in enumerate(out))
+            return out
+
+        return asked
+
+    monkeypatch.setattr(cotrain, "_surest", spy)
+    model = cotrain.train(d, spark.createDataFrame(labels, "doc_id long, quality long, toxic long"), per_round=40)
+    assert [handed.get(i) for i in rare] == [0, 0, 0]
+    column = cotrain.meta_of("de", "rare", 100)[0]
+    assert model["meta"].w[column] < -0.1  # the other view has learnt of the source
+    style = np.array([cotrain.style_of(x[1])[0] for x in rows])
+    assert np.allclose(model["mean"], style.mean(0), atol=1e-6) and np.allclose(model["sd"], style.std(0) + 1e-6, atol=1e-4)
+
+
+def test_op3_long_words(spark):
+    from quire.llm.cotrain import train
+
+    r = random.Random(6)
+    rows = [(i, text(r, 20) + (" " + "z" * 60 if i % 3 == 0 else ""), "en", "s", 100) for i in range(150)]
+    model = train(spark.createDataFrame(rows, DOC), spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(150)], "doc_id long, quality long, toxic long"))
+    assert b"z" * 60 in model["vocab"]
+
+
 # ---- 4 ----------------------------------------------------------------------------------------
 
 PAGE = """<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href="/">Home</a></ul></nav>
