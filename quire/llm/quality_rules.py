@@ -5,7 +5,7 @@ as content or boilerplate (Viterbi decoding); the share of words in content
 lines decides whether the document is kept. Base counts reject first.
 
 The field is fitted on a bounded sample of labelled documents (max_docs, the
-smallest hashes of doc_id; max_lines lines of each): a line starts with its
+smallest hashes of doc_id), all lines of each: a line starts with its
 document's label. All documents are then judged over their whole texts.
 
 Defined cases: null and blank texts have no words and fail the base rule;
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import pick, table
 
-MAX_DOCS, MAX_LINES, MIN_SHARE = 4000, 64, 0.5
+MAX_DOCS, MIN_SHARE = 4000, 0.5
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 FEATURES = ("bias", "symbols_per_word", "upper_share", "exclaims_per_word", "digit_share", "word_length", "same_as_before", "repeat_share", "long_line", "short_line", "ends_sentence", "first_line")
@@ -112,38 +112,54 @@ def label_lines(lines, model: dict) -> np.ndarray:
     return viterbi(score, np.asarray(model["t"]))
 
 
+def _expected(x: np.ndarray, on: np.ndarray, w: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of features and of label pairs that the field expects over padded sequences."""
+    n, most, both = len(x), x.shape[1], on[:, 1:]
+    e = np.zeros((n, most, 2))
+    e[..., 1] = x @ w
+    alpha, beta = np.zeros((n, most, 2)), np.zeros((n, most, 2))
+    alpha[:, 0] = e[:, 0]
+    for i in range(1, most):
+        alpha[:, i] = np.logaddexp(alpha[:, i - 1, :1] + t[0], alpha[:, i - 1, 1:] + t[1]) + e[:, i]
+        alpha[:, i] = np.where(on[:, i, None] > 0, alpha[:, i], alpha[:, i - 1])
+    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    for i in range(most - 2, -1, -1):
+        nxt = e[:, i + 1] + beta[:, i + 1]
+        b = np.logaddexp(t[:, 0] + nxt[:, :1], t[:, 1] + nxt[:, 1:])
+        beta[:, i] = np.where(on[:, i + 1, None] > 0, b, 0.0)
+    # After a sequence's end alpha is carried on; beta there is 0 and masked out below.
+    p1 = np.exp(np.minimum(0, alpha[..., 1] + beta[..., 1] - z[:, None])) * on
+    pair = np.exp(np.minimum(0, alpha[:, :-1, :, None] + t + (e + beta)[:, 1:, None, :] - z[:, None, None, None])) * both[..., None, None]
+    return np.einsum("nl,nlk->k", p1, x), pair.sum((0, 1))
+
+
 def fit(sequences: list[np.ndarray], labels: list[int], steps: int = 200, rate: float = 0.15, decay: float = 1e-3) -> dict:
-    """Weights of the field by gradient ascent on the conditional likelihood (forward-backward over padded sequences)."""
+    """Weights of the field by gradient ascent on the conditional likelihood (forward-backward over padded sequences).
+
+    Sequences of like lengths are padded together, at most to twice their lines.
+    """
     if not sequences or len(set(labels)) < 2:
         return DEFAULT
-    n, most, k = len(sequences), max(map(len, sequences)), len(FEATURES)
-    x, on = np.zeros((n, most, k)), np.zeros((n, most))
-    for i, s in enumerate(sequences):
-        x[i, : len(s)], on[i, : len(s)] = s, 1
-    y = np.asarray(labels)[:, None] * on
+    k = len(FEATURES)
+    alike: dict[int, list[int]] = {}
+    for i, seq in enumerate(sequences):
+        alike.setdefault((len(seq) - 1).bit_length(), []).append(i)
+    groups = []
+    for _, some in sorted(alike.items()):
+        most = max(len(sequences[i]) for i in some)
+        x, on = np.zeros((len(some), most, k)), np.zeros((len(some), most))
+        for row, i in enumerate(some):
+            x[row, : len(sequences[i])], on[row, : len(sequences[i])] = sequences[i], 1
+        groups.append((x, on, np.asarray([labels[i] for i in some])[:, None] * on))
     w, t = np.zeros(k), np.zeros((2, 2))
-    total = on.sum()
-    both = on[:, 1:]  # a pair of lines ends here
-    seen_w = np.einsum("nl,nlk->k", y, x) / total
-    seen_t = np.array([[((1 - y[:, 1:]) * both).sum(), 0.0], [0.0, (y[:, 1:] * both).sum()]]) / total
+    total = sum(on.sum() for _, on, _ in groups)
+    # on[:, 1:]: a pair of lines ends here
+    seen_w = sum(np.einsum("nl,nlk->k", y, x) for x, _, y in groups) / total
+    seen_t = sum(np.array([[((1 - y[:, 1:]) * on[:, 1:]).sum(), 0.0], [0.0, (y[:, 1:] * on[:, 1:]).sum()]]) for _, on, y in groups) / total
     m = [np.zeros(k), np.zeros((2, 2))], [np.zeros(k), np.zeros((2, 2))]
     for step in range(1, steps + 1):
-        e = np.zeros((n, most, 2))
-        e[..., 1] = x @ w
-        alpha, beta = np.zeros((n, most, 2)), np.zeros((n, most, 2))
-        alpha[:, 0] = e[:, 0]
-        for i in range(1, most):
-            alpha[:, i] = np.logaddexp(alpha[:, i - 1, :1] + t[0], alpha[:, i - 1, 1:] + t[1]) + e[:, i]
-            alpha[:, i] = np.where(on[:, i, None] > 0, alpha[:, i], alpha[:, i - 1])
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        for i in range(most - 2, -1, -1):
-            nxt = e[:, i + 1] + beta[:, i + 1]
-            b = np.logaddexp(t[:, 0] + nxt[:, :1], t[:, 1] + nxt[:, 1:])
-            beta[:, i] = np.where(on[:, i + 1, None] > 0, b, 0.0)
-        # After a sequence's end alpha is carried on; beta there is 0 and masked out below.
-        p1 = np.exp(np.minimum(0, alpha[..., 1] + beta[..., 1] - z[:, None])) * on
-        pair = np.exp(np.minimum(0, alpha[:, :-1, :, None] + t + (e + beta)[:, 1:, None, :] - z[:, None, None, None])) * both[..., None, None]
-        g = [seen_w - np.einsum("nl,nlk->k", p1, x) / total - decay * w, seen_t - pair.sum((0, 1)) / total - decay * t]
+        sums = [_expected(x, on, w, t) for x, on, _ in groups]
+        g = [seen_w - sum(a for a, _ in sums) / total - decay * w, seen_t - sum(b for _, b in sums) / total - decay * t]
         for j, (p, grad) in enumerate(((w, g[0]), (t, g[1]))):
             m[0][j][...] = 0.9 * m[0][j] + 0.1 * grad
             m[1][j][...] = 0.99 * m[1][j] + 0.01 * grad * grad
@@ -151,7 +167,7 @@ def fit(sequences: list[np.ndarray], labels: list[int], steps: int = 200, rate:
     return {"w": np.round(w, 5).tolist(), "t": np.round(t, 5).tolist()}
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> dict:
     """The field fitted on at most max_docs labelled documents, chosen by the hash of doc_id."""
     lab = pick(labels, "doc_id", "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     lab = lab.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
@@ -164,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_line
                 _, lines = base_counts((text or "").encode("utf-8", "surrogatepass"), 0)
                 if lines:
                     ids.append(i)
-                    feats.append(line_features(lines[:max_lines]).astype(np.float32).tobytes())
+                    feats.append(line_features(lines).astype(np.float32).tobytes())
                     ys.append(1 - q)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(feats, pa.binary()), pa.array(ys, pa.int64())], names=["doc_id", "x", "y"])
 

@@ -354,6 +354,19 @@ def test_op6_learns_boilerplate(spark):
     assert apply_rules(d, other).count() == 122
 
 
+def test_op6_trains_on_whole_texts(spark):
+    from quire.llm.quality_rules import judge, train
+
+    r = random.Random(8)
+    # Bad and good documents begin alike; the junk of the bad ones starts after line 70.
+    plain = lambda n: [text(r, 8).capitalize() + "." for _ in range(n)]
+    junk = lambda n: [" ".join("###" + w.upper() + "!!" for w in text(r, 8).split()) for _ in range(n)]
+    rows = [(i, "\n".join(plain(70) + (junk(200) if i % 2 else plain(200))), "en", "s", 0) for i in range(16)]
+    d = spark.createDataFrame(rows, DOC)
+    model = train(d, spark.createDataFrame([(i, 1 - i % 2) for i in range(16)], "doc_id long, quality long"))
+    assert judge("\n".join(plain(20)), model)[7] > 0.9 and judge("\n".join(junk(20)), model)[7] < 0.1
+
+
 # ---- 7 ----------------------------------------------------------------------------------------
 
 
