@@ -9,32 +9,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def place_of(cols: list[str], name: str, default: int | None = -1) -> int | None:
+    """Where a column stands: the exact spelling wins, then the first that differs only in case; else `default`, or an error."""
+    if name in cols:
+        return cols.index(name)
+    low = [c.lower() for c in cols]
+    if name.lower() in low:
+        return low.index(name.lower())
+    if default == -1:
+        raise ValueError(f"column {name!r} is missing; there are {cols}")
+    return default
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns called _c0, _c1 …, whatever their names were."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, taken by position.
 
     Extra columns never matter, not even ones whose names differ only in case
-    or repeat a name: the exact spelling wins, then the first that matches.
+    or repeat a name (see place_of).
     """
     cols = df.columns
-
-    def at(name: str) -> int:
-        if name in cols:
-            return cols.index(name)
-        low = [c.lower() for c in cols]
-        if name.lower() in low:
-            return low.index(name.lower())
-        raise ValueError(f"column {name!r} is missing; there are {cols}")
-
-    plain = df.toDF(*[f"_c{i}" for i in range(len(cols))])
-    return plain.select(*[F.col(f"_c{at(n)}").alias(n) for n in names])
+    return numbered(df).select(*[F.col(f"_c{place_of(cols, n)}").alias(n) for n in names])
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a fresh local folder only where it is unset (tests)."""
+    """spark.checkpoint.dir of the session; where it is unset, a fresh local folder, if driver and executors are one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pick, table
+from quire.llm.common import numbered, pick, place_of, table
 
 #: ASCII letters become lower case, digits and all bytes from 0x80 stay, the rest parts words.
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -177,20 +177,20 @@ def _scan_by_join(docs: DataFrame, bench: DataFrame, window: int, clean: bool) -
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_hit_share: float = 0.5, max_broadcast_chars: int = MAX_BROADCAST_CHARS) -> DataFrame:
     """docs, all columns, without hit spans; a document of which more than max_hit_share is hit goes."""
-    at, text = (next(c for c in docs.columns if c.lower() == k) for k in ("doc_id", "text"))
-    size = next((c for c in docs.columns if c.lower() == "n_chars"), None)
+    names, plain = docs.columns, numbered(docs)
+    i_text, i_size = place_of(names, "text"), place_of(names, "n_chars", None)
     bench = pick(benchmark, "item_id", "text")
     chars = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if chars > max_broadcast_chars:
-        key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-        hits = _hits_by_join(docs.select(key.alias("_k"), F.col(text).alias("text")), bench, window).select(F.col("_k").alias("_quire_k"), F.col("hits").alias("_quire_hits"))
-        source = docs.withColumn("_quire_k", key).join(hits.hint("shuffle_hash"), "_quire_k", "left").select(*docs.columns, "_quire_hits")
+        text = F.col(f"_c{i_text}")
+        key = F.sha2(F.coalesce(text, F.lit("")), 256)
+        hits = _hits_by_join(plain.select(key.alias("_k"), text.alias("text")), bench, window).select("_k", "hits")
+        source = plain.withColumn("_k", key).join(hits.hint("shuffle_hash"), "_k", "left").select(*plain.columns, "hits")
         find = None
     else:
-        source, find = docs, docs.sparkSession.sparkContext.broadcast(WindowSet([(r[0], r[1]) for r in bench.collect()], window))
-    i_text, i_size = docs.columns.index(text), docs.columns.index(size) if size else None
+        source, find = plain, docs.sparkSession.sparkContext.broadcast(WindowSet([(r[0], r[1]) for r in bench.collect()], window))
 
-    n_cols = len(docs.columns)
+    n_cols = len(names)
 
     def run(batches):
         for b in batches:
@@ -208,7 +208,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 cols[i_size] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(i_size).type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:n_cols]).filter(pa.array(keep, pa.bool_()))
 
-    return source.mapInArrow(run, docs.schema)
+    return source.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op5_decontaminate(spark, sf_dir):

@@ -1,19 +1,22 @@
 """Near-duplicate line removal by a segment-partition edit join (operator 10), in DataFrame functions only.
 
-A line is removed if an earlier line (by doc_id, then line number) is within
-`tau` edits of it, equal lines included. Each line is split into tau + 1
-segments; of two lines within tau edits, one holds a segment of the other at
-one of few places that the lengths allow, and so do the rests of both, so lines meet
-in a shuffled join on the hashes of two segments. Candidates are verified by edit distance in a band of
-2 * tau + 1 diagonals, one bit each.
+A line is removed if an earlier line (by doc_id, then line number) equals it
+or, both having 2 * (tau + 1) characters or more, is within `tau` edits of it.
+Each such line is split into tau + 1 segments; of two lines within tau edits,
+one holds a segment of the other at one of few places that the lengths allow,
+and so do the rests of both, so lines meet in a shuffled join on the hashes of
+two segments. Candidates are verified by edit distance in a band of
+2 * tau + 1 diagonals, one bit each. Equal lines are one line in the join.
 
-Lines are those of split at ``\\n``; only lines of at least min_chars code
-points take part, shorter ones stay. Equal lines are one line in the join.
+Lines are those of split at ``\\n``. Lines of white space alone set texts out:
+they take no part and stay.
 
 Defined cases: null text has no lines and stays null; an empty text stays
-empty; rows that repeat a doc_id share their order, so equal rows don't
-remove each other; a null doc_id comes before all others. An empty table
-gives an empty table.
+empty; rows that repeat a doc_id share their order: the lines of either are
+before those with a greater number of the other, equal rows stay equal and
+don't remove each other; a null doc_id comes before all others; lines and
+texts may be of any length. An empty table gives an empty table. Other
+columns stay as they are, also ones whose names clash (see common.pick).
 """
 
 from __future__ import annotations
@@ -21,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pick, stored, table
+from quire.llm.common import numbered, pick, place_of, stored, table
 
-TAU, MIN_CHARS = 1, 24
+TAU = 1
 MAX_BROADCAST_IDS = 1_000_000
 
 
@@ -126,31 +129,37 @@ def banded_distance(a: Column, b: Column, tau: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), m), start, lambda acc, j: let(let(let(step(acc, j), zero), across), down))["d"]
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, pos, line, n, ord, id): the lines that take part; ord: a number that orders all lines."""
-    d = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    d = d.withColumn("n", F.length("line")).where(F.col("n") >= min_chars)
-    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
-    order = (place * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos").cast("decimal(10,0)")).cast("decimal(31,0)")
-    return d.withColumn("ord", order).withColumn("id", F.unhex(F.md5("line")))
+def _ord(doc_id: Column, pos: Column) -> Column:
+    """A number that orders all lines; null doc_ids first."""
+    place = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
+    return (place * F.lit(1 << 31).cast("decimal(10,0)") + pos.cast("decimal(10,0)")).cast("decimal(31,0)")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, of, pos, line, id): the lines that take part; of: fingerprint of the whole text."""
+    d = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("of"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return d.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.unhex(F.md5("line")))
 
 
 def near_lines(lines: DataFrame, tau: int, max_broadcast_ids: int = MAX_BROADCAST_IDS) -> tuple[DataFrame, DataFrame]:
-    """Lines of _lines() → (id, low, n): the first place of each line that recurs; (id, low): the first place of a near line, where one is earlier."""
-    line, n = F.col("line"), F.col("n")
+    """Lines of _lines() → (id, low): the first place of each line that recurs; (id, low): the first place of a near line, where one is earlier."""
+    line, n = F.col("line"), F.length("line")
+    ord_ = _ord(F.col("doc_id"), F.col("pos"))
     keys = index_keys(line, n, tau) + probe_keys(line, n, tau)
-    slim = lines.select("id", "ord", *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    long_enough = n >= 2 * (tau + 1)
+    slim = lines.select("id", ord_.alias("ord"), *[F.when(long_enough, k).alias(f"k{i}") for i, k in enumerate(keys)])
     # Longs and a decimal: the partial aggregate keeps one row a line and task before the exchange.
     once = slim.groupBy("id").agg(F.min("ord").alias("low"), F.count("*").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
     once = stored(once, "lines")
     short = F.xxhash64("id")
-    index = once.select(F.explode(F.array(*[F.col(f"k{i}") for i in range((tau + 1) ** 2)])).alias("k"), short.alias("x"))
-    probe = once.select(F.explode(F.array(*[F.col(f"k{i}") for i in range(len(keys))])).alias("k"), short.alias("y"))
+    near = once.where("k0 is not null")
+    index = near.select(F.explode(F.array(*[F.col(f"k{i}") for i in range((tau + 1) ** 2)])).alias("k"), short.alias("x"))
+    probe = near.select(F.explode(F.array(*[F.col(f"k{i}") for i in range(len(keys))])).alias("k"), short.alias("y"))
     pairs = index.hint("merge").join(probe, "k").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = stored(pairs, "line-pairs")
     asked = stored(pairs.select(F.explode(F.array("x", "y")).alias("s")).distinct(), "line-ids")
     small = asked.count() <= max_broadcast_ids  # 8 bytes each; beyond, the same join with a shuffle
-    texts = lines.select("id", "line", "ord", F.xxhash64("id").alias("s")).join(F.broadcast(asked) if small else asked.hint("shuffle_hash"), "s", "left_semi")
+    texts = lines.select("id", "line", ord_.alias("ord"), short.alias("s")).join(F.broadcast(asked) if small else asked.hint("shuffle_hash"), "s", "left_semi")
     texts = stored(texts.groupBy("s", "id", "line").agg(F.min("ord").alias("low")).withColumn("chars", F.split("line", "")).drop("line"), "line-texts")
     side = lambda c: texts.select(F.col("s").alias(c), *[F.col(k).alias(f"{c}_{k}") for k in ("id", "low", "chars")])
     both = pairs.join(side("x").hint("shuffle_hash"), "x").join(side("y").hint("shuffle_hash"), "y")
@@ -163,24 +172,40 @@ def near_lines(lines: DataFrame, tau: int, max_broadcast_ids: int = MAX_BROADCAS
     return once.where("n > 1").select("id", "low"), near
 
 
-def removed_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """docs(doc_id, text) → (doc_id, gone): numbers, from 0, of the lines to remove; documents without such lines are left out."""
-    lines = _lines(pick(docs, "doc_id", "text"), max(min_chars, tau + 1))
+def removed_lines(docs: DataFrame, tau: int = TAU, max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """docs(doc_id, text) → (doc_id, of, gone): numbers, from 0, of the lines to remove from the rows whose text has the fingerprint `of`; rows without such lines are left out."""
+    lines = _lines(pick(docs, "doc_id", "text"))
     same, near = near_lines(lines, tau, max_broadcast_ids)
-    first = same.unionByName(near).groupBy("id").agg(F.min("low").alias("low"))
-    hit = lines.select("doc_id", "pos", "ord", "id").hint("merge").join(first, "id").where(F.col("ord") > F.col("low"))
-    return hit.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
+    # Written out, so that both sides of the join come straight from a shuffle and AQE can split a very common line.
+    first = stored(same.unionByName(near).groupBy("id").agg(F.min("low").alias("low")), "line-firsts")
+    hit = lines.select("doc_id", "of", "pos", "id").hint("merge").join(first, "id").where(_ord(F.col("doc_id"), F.col("pos")) > F.col("low"))
+    return hit.groupBy("doc_id", "of").agg(F.collect_set("pos").alias("gone"))
+
+
+def drop_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """docs, all columns, with `text` without its removed lines, and one more at the end: how many they are."""
+    names = docs.columns
+    at, text = (F.col(f"_c{place_of(names, k)}") for k in ("doc_id", "text"))
+    d = numbered(docs)
+    gone = removed_lines(docs, tau).select(F.col("doc_id").alias("_doc"), "of", "gone")
+    both = d.join(gone.hint("shuffle_hash"), at.eqNullSafe(F.col("_doc")) & (F.xxhash64(text) == F.col("of")), "left")
+    parts = F.split(text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "gone")
+    new = F.when(F.col("gone").isNull() | text.isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    own = [new if i == place_of(names, "text") else F.col(f"_c{i}") for i in range(len(names))]
+    # Not size() of a missing set: that is -1 or null by configuration.
+    return both.select(*[c.alias(f"_c{i}") for i, c in enumerate(own)], F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("_n")).toDF(*names, "n_gone")
 
 
-def drop_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs, all columns, with `text` without its removed lines, and `_n_gone`."""
-    at, text = (next(c for c in docs.columns if c.lower() == k) for k in ("doc_id", "text"))
-    gone = removed_lines(docs, tau, min_chars).select(F.col("doc_id").alias("_doc"), F.col("gone").alias("_gone"))
-    both = docs.join(gone.hint("shuffle_hash"), docs[at].eqNullSafe(F.col("_doc")), "left")
-    parts = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone")
-    new = F.when(F.col("_gone").isNull() | F.col(text).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    return both.withColumn(text, new).withColumn("_n_gone", F.coalesce(F.size("_gone"), F.lit(0))).select(*docs.columns, "_n_gone")
+def clean_lines(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """docs, all columns, with `text` without its removed lines and `n_chars`, if there is one, to match; documents that lost lines and have no word left go."""
+    names = docs.columns
+    text, chars = place_of(names, "text"), place_of(names, "n_chars", None)
+    d = numbered(drop_lines(docs, tau))
+    d = d.where((F.col(f"_c{len(names)}") == 0) | F.col(f"_c{text}").rlike(r"[^\x20\x09-\x0D]")).drop(f"_c{len(names)}")
+    if chars is not None:
+        d = d.withColumn(f"_c{chars}", F.length(f"_c{text}").cast(d.schema[chars].dataType))
+    return d.toDF(*names)
 
 
 def op10_line_dedup(spark, sf_dir):
@@ -189,20 +214,22 @@ def op10_line_dedup(spark, sf_dir):
     return out.select(
         "doc_id",
         "n_lines",
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_gone")).cast("long").alias("n_removed"),
+        F.col("n_gone").cast("long").alias("n_removed"),
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
 
 
-# Within one edit, at least one of the first and the last 12 characters of a line of 24 or more is untouched.
+# Of two lines within one edit, the shorter with m characters, the first or the last m / 2 characters are equal;
+# with the place of the edit left out, both are equal (levenshtein would count bytes).
 OP10_SQL = r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as pos from documents where text is not null),
-d as (select line, min(doc_id * 1000000 + pos) as low from l where length(line) >= 24 group by line),
-p as (select a.line as x, b.line as y, a.low as xl, b.low as yl from d a join d b on left(a.line, 12) = left(b.line, 12) where a.low > b.low and abs(length(a.line) - length(b.line)) <= 1
-  union select a.line, b.line, a.low, b.low from d a join d b on right(a.line, 12) = right(b.line, 12) where a.low > b.low and abs(length(a.line) - length(b.line)) <= 1),
-near as (select x as line, min(yl) as low from p where levenshtein(x, y) <= 1 group by x),
-f as (select line, min(low) as low from (select * from d union all select * from near) group by line),
+d as (select line, length(line) as n, min(doc_id * 1000000 + pos) as low from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by line),
+m as (select line, n, low, unnest([n, n - 1]) as m from d where n >= 4),
+h as (select line, n, low, m, 'l' || left(line, m // 2) as part from m union all select line, n, low, m, 'r' || right(line, m // 2) from m),
+p as (select distinct a.line as x, b.line as y, b.low as yl, greatest(a.n, b.n) as n from h a join h b on a.part = b.part and a.m = b.m and a.m = least(a.n, b.n) where a.low > b.low and abs(a.n - b.n) <= 1),
+near as (select x as line, min(yl) as low from p where list_bool_or(list_transform(range(0, n), lambda i: left(x, i) = left(y, i) and right(x, n - 1 - i) = right(y, n - 1 - i))) group by x),
+f as (select line, min(low) as low from (select line, low from d union all select * from near) group by line),
 k as (select doc_id, pos, l.line, f.low is not null and doc_id * 1000000 + pos > f.low as gone from l left join f on l.line = f.line),
 t as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as kept from k group by doc_id)
 select doc_id, cast(n_lines as bigint) as n_lines, cast(n_removed as bigint) as n_removed, cast(length(kept) as bigint) as n_chars, sha256(kept) as kept_sha256 from t

@@ -23,10 +23,10 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pick, shuffle_partitions, stored, table
+from quire.llm.common import numbered, pick, place_of, shuffle_partitions, stored, table
 from quire.llm.components import components
 from quire.llm.decontaminate import _FOLD
 
@@ -256,10 +256,31 @@ def similar_texts(keyed: DataFrame, n: int = N, threshold: float = THRESHOLD, ro
     return found.groupBy("key").agg(F.sum("n").alias("n_links")), found.select(F.col("key").alias("u"), F.col("root").alias("v")).where("u <> v")
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """docs plus `_key`, 16 bytes of the text's SHA-256; null where the text is null."""
-    at = next(c for c in docs.columns if c.lower() == "text")
-    return docs.withColumn("_key", F.substring(F.unhex(F.sha2(F.col(at), 256)), 1, 16))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key): 16 bytes of the text's SHA-256."""
+    return pick(docs, "doc_id", "text").withColumn("key", F.substring(F.unhex(F.sha2(F.col("text"), 256)), 1, 16))
+
+
+def _worded(text) -> Column:
+    """Without a word there is nothing to compare: such rows stay alone."""
+    return F.coalesce(text.rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
+
+
+def _classes(keyed: DataFrame, n: int, threshold: float, rows: int, recall: float, block: int) -> DataFrame:
+    """(doc_id, text, key) → (key, label, low, n_copies, n_links, class_id, lead): a row for each different text with a word.
+
+    low: the least doc_id with this text; lead: the text of class_id, the
+    least key if it has several of the class.
+    """
+    d = keyed.where(_worded(F.col("text")))
+    links, edges = similar_texts(d.select("key", "text"), n, threshold, rows, recall, block)
+    label = components(edges)
+    count = d.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
+    texts = count.join(links.hint("shuffle_hash"), "key", "left").join(label.withColumnRenamed("node", "key").hint("shuffle_hash"), "key", "left")
+    texts = stored(texts.withColumn("label", F.coalesce("label", "key")), "texts")
+    # Null sorts first in a struct: a text without any doc_id leads only where no other has one.
+    least = texts.groupBy("label").agg(F.min(F.struct(F.col("low").isNull(), "low", "key")).alias("first"))
+    return texts.join(least.select("label", F.col("first.low").alias("class_id"), F.col("first.key").alias("lead")).hint("shuffle_hash"), "label")
 
 
 def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -268,18 +289,9 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows:
     class_id: the least doc_id of the class; n_links: other texts that are
     similar to this one; n_copies: rows with this very text, itself included.
     """
-    d = pick(docs, "doc_id", "text").withColumn("_key", F.substring(F.unhex(F.sha2(F.col("text"), 256)), 1, 16))
-    keyed = d.where("_key is not null").select(F.col("_key").alias("key"), "text")
-    links, edges = similar_texts(keyed, n, threshold, rows, recall, block)
-    label = components(edges)
-    # Without a word there is nothing to compare: such rows stay alone.
-    worded = F.coalesce(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"), F.lit(False))
-    slim = d.select("doc_id", F.when(worded, F.col("_key")).alias("key"))
-    count = slim.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
-    texts = count.join(links.hint("shuffle_hash"), "key", "left").join(label.withColumnRenamed("node", "key").hint("shuffle_hash"), "key", "left")
-    texts = stored(texts.withColumn("label", F.coalesce("label", "key")), "texts")
-    least = texts.groupBy("label").agg(F.min("low").alias("class_id"))
-    texts = texts.join(least.hint("shuffle_hash"), "label")
+    keyed = _keyed(docs)
+    slim = keyed.select("doc_id", F.when(_worded(F.col("text")), F.col("key")).alias("key"))
+    texts = _classes(keyed, n, threshold, rows, recall, block).select("key", "class_id", "n_links", "n_copies")
     done = slim.join(texts.hint("shuffle_hash"), "key", "left")
     return done.select(
         "doc_id",
@@ -289,12 +301,21 @@ def ngram_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that lead their class, all columns; of rows that repeat a doc_id and text, one."""
-    kept = ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_lead")).distinct()
-    at = next(c for c in docs.columns if c.lower() == "doc_id")
-    text = next(c for c in docs.columns if c.lower() == "text")
-    return docs.join(kept.hint("shuffle_hash"), docs[at].eqNullSafe(F.col("_lead")), "left_semi").dropDuplicates([at, text])
+def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """docs, all columns, with one row of each class: that of the least doc_id (of several texts of it, the one with the least digest).
+
+    Rows without a word stay, but of rows that repeat a doc_id and text one.
+    """
+    names = docs.columns
+    at, text = (F.col(f"_c{place_of(names, k)}") for k in ("doc_id", "text"))
+    # One digest of doc_id and text names a row: the semi-join and the removal of repeats deal rows by it alike.
+    row = lambda i, key: F.md5(F.concat_ws(":", F.coalesce(i.cast("string"), F.lit("null")), F.coalesce(F.hex(key), F.lit("null"))))
+    own = F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+    d = numbered(docs).withColumn("_row", row(at, own))
+    found = _classes(_keyed(docs), n, threshold, rows, recall, block)
+    leads = found.where(F.col("key") == F.col("lead")).select(row(F.col("class_id"), F.col("key")).alias("_row"))
+    kept = d.where(_worded(text)).join(leads.hint("shuffle_hash"), "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.unionByName(d.where(~_worded(text)).dropDuplicates(["_row"])).drop("_row").toDF(*names)
 
 
 def op2_ngram_join(spark, sf_dir):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import pick, table
+from quire.llm.common import numbered, pick, place_of, table
 
 MAX_DOCS, MIN_SHARE = 4000, 0.5
 SYMBOLS = b"#*$%&|<>"
@@ -220,14 +220,13 @@ def apply_rules(docs: DataFrame, model: dict, min_share: float = MIN_SHARE) -> D
 
 def keep_good(docs: DataFrame, model: dict, min_share: float = MIN_SHARE) -> DataFrame:
     """The rows of docs, all columns, whose text is kept: one narrow pass."""
-    names = docs.columns
-    at = next(i for i, c in enumerate(names) if c.lower() == "text")
+    at, plain = place_of(docs.columns, "text"), numbered(docs)
 
     def run(batches):
         for b in batches:
             yield b.filter(pa.array([judge(t, model, min_share)[6] for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op6_quality_rules(spark, sf_dir):

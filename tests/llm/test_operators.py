@@ -482,16 +482,18 @@ def test_op10_brute_force(spark, tau, limit):
         return s
 
     base = ["".join(r.choice("abé") for _ in range(r.randint(24, 34))) for _ in range(10)]
-    lines = [mutated(b) for b in base for _ in range(8)] + ["short", "short"]
+    lines = [mutated(b) for b in base for _ in range(8)] + ["short", "short", "", "", " ", " "]
+    lines += ["".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(40)]
     r.shuffle(lines)
     docs = {i: lines[i * 4 : i * 4 + 4] for i in range((len(lines) + 3) // 4)}
     d = spark.createDataFrame([(k, "\n".join(v)) for k, v in docs.items()] + [(900, None), (901, "")], "doc_id long, text string")
     got = {(x.doc_id, p) for x in L.removed_lines(d, tau, max_broadcast_ids=limit).collect() for p in x.gone}
-    flat = [(k, p, x) for k, v in sorted(docs.items()) for p, x in enumerate(v) if len(x) >= 24]
-    want = {(k, p) for i, (k, p, x) in enumerate(flat) if any(abs(len(x) - len(y)) <= tau and edit_distance(x, y) <= tau for _, _, y in flat[:i])}
+    flat = [(k, p, x) for k, v in sorted(docs.items()) for p, x in enumerate(v) if x.strip()]
+    near = lambda x, y: x == y or min(len(x), len(y)) >= 2 * (tau + 1) and abs(len(x) - len(y)) <= tau and edit_distance(x, y) <= tau
+    want = {(k, p) for i, (k, p, x) in enumerate(flat) if any(near(x, y) for _, _, y in flat[:i])}
     assert got == want and want
     out = {x.doc_id: x for x in L.drop_lines(d, tau).collect()}
-    assert out[900].text is None and out[901].text == "" and out[900]._n_gone == 0
+    assert out[900].text is None and out[901].text == "" and out[900].n_gone == 0
     assert all(out[k].text == "\n".join(x for p, x in enumerate(v) if (k, p) not in want) for k, v in docs.items())
     assert L.drop_lines(d.limit(0)).count() == 0
 

@@ -20,8 +20,8 @@ def plain(rows, model, items):
     for i, t in sorted(docs.items()):
         kept = []
         for line in t.split("\n"):
-            if len(line) >= 24:
-                near = any(abs(len(line) - len(x)) <= 1 and edit_distance(line, x) <= 1 for x in seen)
+            if line.strip():
+                near = any(line == x or min(len(line), len(x)) >= 4 and abs(len(line) - len(x)) <= 1 and edit_distance(line, x) <= 1 for x in seen)
                 seen.append(line)
                 if near:
                     continue
