@@ -2,16 +2,24 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but
 the last return the columns of documents.
+
+Defined cases, for every stage: null texts have no words, so the quality rules
+reject them; where a stage meets them nevertheless (called by itself), they
+stay as they are. Empty texts and texts without a word likewise. Texts are
+worked on whole, of any length. Of rows that repeat a doc_id and text the
+n-gram join keeps one; of equal texts the row with the least doc_id. Further
+columns, also ones whose names clash, are carried along. Empty tables give
+empty tables; without labels of both kinds the field has built-in weights; an
+empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quire.llm.common import stored, table
 from quire.llm.decontaminate import clean_documents
-from quire.llm.line_dedup import drop_lines
+from quire.llm.line_dedup import clean_lines
 from quire.llm.ngram_join import one_of_each
 from quire.llm.pieces import encode_documents
 from quire.llm.quality_rules import keep_good, train
@@ -24,9 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines with an equal or near line before them go, and documents of which no word is left."""
-    kept = drop_lines(docs)
-    kept = kept.where((F.col("_n_gone") == 0) | F.col("text").rlike(r"\S")).drop("_n_gone")
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return clean_lines(docs)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
