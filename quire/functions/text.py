@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 # The white space that the rules know (Unicode spaces, no-break space and byte-order mark included).
 WS_BODY = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 WS = f"[{WS_BODY}]"
+WS_CHARS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 CJK = r"[\x{4E00}-\x{9FFF}]"
 
 
 def trim_ws(t: Column) -> Column:
-    return F.regexp_replace(t, rf"^{WS}+|{WS}+\z", "")
+    return F.trim(t, F.lit(WS_CHARS))
 
 
 def compact_text(t: Column) -> Column:
-    return F.regexp_replace(t, f"{WS}+", "")
+    return F.translate(t, WS_CHARS, "")
 
 
 def inline_text(t: Column) -> Column:
-    return trim_ws(F.regexp_replace(t, f"{WS}+", " "))
+    return F.trim(F.regexp_replace(F.translate(t, WS_CHARS, " " * len(WS_CHARS)), "  +", " "))
 
 
 def preview24(t: Column) -> Column:
@@ -160,7 +161,8 @@ PATTERNS = {
 
 def text_pattern(t: Column, name: str, cap: int | None = None) -> Column:
     hit = t.rlike(PATTERNS[name])
-    return hit & (utf16_length(t) <= cap) if cap else hit
+    # The length first: patterns without a start would walk through long texts.
+    return F.when(utf16_length(t) <= cap, hit).otherwise(F.when(t.isNotNull(), False)) if cap else hit
 
 
 def slugify(t: Column) -> Column:

@@ -30,7 +30,7 @@ def check_caption_sequence(roles: DataFrame, caption_numbers: DataFrame | None,
     r = roles.where((F.col("role") == role) | chapter).select("doc_id", "para_index", "role", F.coalesce(chapter, F.lit(False)).alias("ch"), "text")
     if caption_numbers is not None:
         n = caption_numbers.where(F.col("kind") == kind).select("doc_id", "para_index", "parts")
-        r = r.join(n, ["doc_id", "para_index"], "left")
+        r = r.hint("merge").join(n, ["doc_id", "para_index"], "left")
     else:
         r = r.withColumn("parts", F.lit(None).cast("array<int>"))
     r = r.withColumn("nums", F.when(~F.col("ch"), F.coalesce("parts", caption_number_text(F.col("text")))))
@@ -60,15 +60,15 @@ def check_caption_sequence(roles: DataFrame, caption_numbers: DataFrame | None,
 
 def resolve_numbering_level(instances: DataFrame, levels: DataFrame, overrides: DataFrame) -> DataFrame:
     """num_instances(doc_id, num_id, abstract_num_id), num_levels(doc_id, abstract_num_id, ilvl, start, num_fmt, lvl_text), num_overrides(doc_id, num_id, ilvl, start) → level of each (num, ilvl)."""
-    base = instances.join(levels, ["doc_id", "abstract_num_id"])
+    base = instances.hint("merge").join(levels, ["doc_id", "abstract_num_id"])
     o = overrides.select("doc_id", "num_id", "ilvl", F.col("start").alias("_start"))
-    return base.join(o, ["doc_id", "num_id", "ilvl"], "left").withColumn("start", F.coalesce("_start", "start")).drop("_start")
+    return base.hint("merge").join(o, ["doc_id", "num_id", "ilvl"], "left").withColumn("start", F.coalesce("_start", "start")).drop("_start")
 
 
 def recognize_list(paragraphs: DataFrame, instances: DataFrame, levels: DataFrame) -> DataFrame:
     """Paragraphs with a full chain of numbering: list_type unordered for bullets, else ordered."""
     p = paragraphs.where("num_id is not null and ilvl is not null").select("doc_id", "para_index", "num_id", "ilvl")
-    hit = p.join(instances, ["doc_id", "num_id"]).join(levels, ["doc_id", "abstract_num_id", "ilvl"])
+    hit = p.hint("merge").join(instances, ["doc_id", "num_id"]).hint("merge").join(levels, ["doc_id", "abstract_num_id", "ilvl"])
     return hit.select("doc_id", "para_index", "num_id", "ilvl", F.when(F.col("num_fmt") == "bullet", "unordered").otherwise("ordered").alias("list_type"))
 
 

@@ -50,7 +50,7 @@ def check_page_numbers(documents: DataFrame, sections: DataFrame, rules: dict) -
         F.bool_or(fmt == NUMBER_FORMATS.get(front, front)).alias("front"),
         F.bool_or((fmt == NUMBER_FORMATS.get(body, body)) & F.coalesce(F.col("number_start") == restart, F.lit(False))).alias("body"),
     )
-    d = documents.select("doc_id").join(per, "doc_id", "left")
+    d = documents.select("doc_id").hint("merge").join(per, "doc_id", "left")
     no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     items = []
     if front:
@@ -119,7 +119,7 @@ def check_header_text(documents: DataFrame, parts: DataFrame, text: str) -> Data
     p = parts.where("kind = 'header'")
     left = F.when(F.col("left_text") == "", "(左侧无文字)").otherwise(F.col("left_text"))
     g = p.groupBy("doc_id").agg(F.bool_or(F.contains(compact_text(F.col("left_text")), want)).alias("ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", left.alias("v")))), lambda x: x["v"]), " / ").alias("actual"))
-    d = documents.select("doc_id").join(g, "doc_id", "left").where(~F.coalesce("ok", F.lit(False)))
+    d = documents.select("doc_id").hint("merge").join(g, "doc_id", "left").where(~F.coalesce("ok", F.lit(False)))
     return d.select("doc_id", F.lit("header_text").alias("field"), F.lit(text).alias("expected"), F.coalesce(F.nullif("actual", F.lit("")), F.lit("(无页眉文字)")).alias("actual"))
 
 
@@ -131,7 +131,7 @@ def check_segments(documents: DataFrame, segments: DataFrame, field: str, value:
     shown = number_text(value) if number else value
     order = F.struct((F.col("kind") == "header").alias("h"), "part", "para", "tok", "seg", shown.alias("v"))
     g = s.groupBy("doc_id").agg(F.bool_and(ok).alias("ok"), describe_values(F.array_sort(F.collect_list(order))).alias("actual"))
-    d = documents.select("doc_id").join(g, "doc_id", "left").where(~F.coalesce("ok", F.lit(False)))
+    d = documents.select("doc_id").hint("merge").join(g, "doc_id", "left").where(~F.coalesce("ok", F.lit(False)))
     return d.select("doc_id", F.lit(field).alias("field"), (number_text(F.lit(expected)) if number else F.lit(expected)).alias("expected"), F.coalesce("actual", F.lit("(未设置)")).alias("actual"))
 
 
@@ -139,6 +139,6 @@ def check_header_border(documents: DataFrame, segments: DataFrame, expected: boo
     p = segments.where("kind = 'header'").groupBy(*KEYS).agg(F.max("border_style").alias("b"))
     seen = F.coalesce(~F.col("b").isin("none", "nil") & (F.col("b") != ""), F.lit(False))
     g = p.groupBy("doc_id").agg(F.count("*").alias("m"), F.count_if(seen).alias("n"))
-    d = documents.select("doc_id").join(g, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
+    d = documents.select("doc_id").hint("merge").join(g, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
     ok = (F.col("m") > 0) & (F.col("n") == F.col("m")) if expected else F.col("n") == 0
     return d.where(~ok).select("doc_id", F.lit("header_bottom_border").alias("field"), F.concat(F.col("n").cast("string"), F.lit("/"), F.col("m").cast("string")).alias("actual"))

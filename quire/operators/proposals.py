@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import has_cjk, has_latin, norm_align, number_text, outline_comparable
 from quire.functions.units import js_round, twips_to_cm
+from quire.operators.style_checks import small
 
 #: JSON text of a value, so that texts, numbers and truths sort as one kind of key.
 def json_text(s, n, b):
@@ -59,7 +60,7 @@ def role_samples(roles: DataFrame) -> DataFrame:
     r = roles.where("role is not null")
     total = r.groupBy("doc_id", "role").agg(F.count("*").alias("total"))
     s = r.select("doc_id", "role", F.col("para_index").alias("at"), F.inline(F.filter(every, lambda x: x["value_key"].isNotNull())))
-    return s.join(total, ["doc_id", "role"])
+    return s.hint("merge").join(total, ["doc_id", "role"])
 
 
 def document_samples(sections: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def document_samples(sections: DataFrame) -> DataFrame:
     every = F.array(F.struct(F.lit("paper_size").alias("field_key"), a4.alias("value_key")), *[F.struct(F.lit(k).alias("field_key"), cm(c).alias("value_key")) for k, c in cols.items()])
     total = sections.groupBy("doc_id").agg(F.count("*").alias("total"))
     s = sections.select("doc_id", F.lit("document").alias("role"), F.col("section_index").alias("at"), F.inline(F.filter(every, lambda x: x["value_key"].isNotNull())))
-    return s.join(total, "doc_id")
+    return s.hint("merge").join(total, "doc_id")
 
 
 def proposal_notices(roles: DataFrame, sections: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -78,21 +79,21 @@ def proposal_notices(roles: DataFrame, sections: DataFrame, proposals: DataFrame
     g = roles.groupBy("doc_id").agg(F.count_if(F.col("role").isNull()).alias("unclassified"), F.count_if(F.col("confidence") == "low").alias("low_confidence"))
     s = sections.groupBy("doc_id").agg(F.count("*").alias("n_sections"))
     c = proposals.where("role = 'document' and size(conflicts) > 0").groupBy("doc_id").agg(F.count("*").alias("section_conflicts"))
-    return g.join(s, "doc_id", "left").join(c, "doc_id", "left").fillna(0, ["n_sections", "section_conflicts"])
+    return g.hint("merge").join(s, "doc_id", "left").hint("merge").join(c, "doc_id", "left").fillna(0, ["n_sections", "section_conflicts"])
 
 
 def apply_ignores(proposals: DataFrame, ignores: DataFrame) -> DataFrame:
     """proposals with ignored true or false; ignores(role, field_key): a null field hides the whole role."""
     whole = ignores.where("field_key is null").select("role", F.lit(True).alias("_a"))
     one = ignores.where("field_key is not null").select("role", "field_key", F.lit(True).alias("_b"))
-    j = proposals.join(F.broadcast(whole), "role", "left").join(F.broadcast(one), ["role", "field_key"], "left")  # ignore lists are typed by hand
+    j = proposals.join(small(whole), "role", "left").join(small(one), ["role", "field_key"], "left")
     return j.withColumn("ignored", F.coalesce("_a", "_b", F.lit(False))).drop("_a", "_b")
 
 
 def diff_proposals(proposals: DataFrame, rules: DataFrame) -> DataFrame:
     """proposals(role, field_key, value) against rules(role, field_key, value, enabled) → rule_changes with a status."""
     r = rules.select("role", "field_key", F.col("value").alias("previous"), "enabled")
-    j = proposals.select("role", "field_key", F.col("value").alias("next")).join(r, ["role", "field_key"], "left")
+    j = proposals.select("role", "field_key", F.col("value").alias("next")).hint("merge").join(r, ["role", "field_key"], "left")
     status = F.when(F.col("previous").isNull() & F.col("enabled").isNull(), "added").when(F.col("previous").eqNullSafe(F.col("next")), F.when(F.col("enabled"), "unchanged").otherwise("enabled")).otherwise("updated")
     return j.select("role", "field_key", "previous", "next", status.alias("status"))
 
@@ -100,7 +101,7 @@ def diff_proposals(proposals: DataFrame, rules: DataFrame) -> DataFrame:
 def apply_proposals(proposals: DataFrame, rules: DataFrame) -> DataFrame:
     """The rule table after all proposals are accepted."""
     p = proposals.select("role", "field_key", F.col("value").alias("_v"))
-    j = rules.join(p, ["role", "field_key"], "full")
+    j = rules.hint("merge").join(p, ["role", "field_key"], "full")
     return j.select("role", "field_key", F.coalesce("_v", "value").alias("value"), F.when(F.col("_v").isNotNull(), True).otherwise(F.col("enabled")).alias("enabled"))
 
 

@@ -27,7 +27,7 @@ def captions(roles: DataFrame, fields: DataFrame) -> DataFrame:
     f = fields.where("type = 'SEQ'").select("doc_id", "para_index", "field_index", "display_text", sequence_kind(F.col("sequence")).alias("kind")).where("kind is not null")
     first = f.groupBy("doc_id", "para_index", "kind").agg(F.min_by("display_text", "field_index").alias("display_text"))
     role = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_OF_KIND.items() for x in kv]), F.col("kind"))
-    hit = first.join(roles.select("doc_id", "para_index", "role"), ["doc_id", "para_index"]).where(F.col("role") == role)
+    hit = first.hint("merge").join(roles.select("doc_id", "para_index", "role"), ["doc_id", "para_index"]).where(F.col("role") == role)
     return hit.select("doc_id", "para_index", "kind", trim_ws(F.col("display_text")).alias("number_text"), caption_number_field(F.col("display_text")).alias("parts"))
 
 
@@ -35,10 +35,10 @@ def caption_graph(roles: DataFrame, fields: DataFrame, bookmarks: DataFrame) ->
     """References with bookmark_exists and the paragraph of their caption (the first that holds the bookmark)."""
     b = bookmarks.select("doc_id", "para_index", F.col("name").alias("bookmark")).distinct()
     caps = captions(roles, fields).select("doc_id", "para_index", "kind")
-    target = b.join(caps, ["doc_id", "para_index"]).groupBy("doc_id", "bookmark").agg(F.min(F.struct(F.col("para_index").alias("target_para"), F.col("kind").alias("target_kind"))).alias("_t"))
-    known = b.groupBy("doc_id", "bookmark").agg(F.lit(True).alias("bookmark_exists")).join(target, ["doc_id", "bookmark"], "left")
+    target = b.hint("merge").join(caps, ["doc_id", "para_index"]).groupBy("doc_id", "bookmark").agg(F.min(F.struct(F.col("para_index").alias("target_para"), F.col("kind").alias("target_kind"))).alias("_t"))
+    known = b.groupBy("doc_id", "bookmark").agg(F.lit(True).alias("bookmark_exists")).hint("merge").join(target, ["doc_id", "bookmark"], "left")
     refs = caption_ref_candidates(fields).select("doc_id", "para_index", "field_index", "type", "bookmark")
-    out = refs.join(known, ["doc_id", "bookmark"], "left").join(roles.select("doc_id", "para_index", "role"), ["doc_id", "para_index"], "left")
+    out = refs.hint("merge").join(known, ["doc_id", "bookmark"], "left").hint("merge").join(roles.select("doc_id", "para_index", "role"), ["doc_id", "para_index"], "left")
     return out.select("doc_id", "para_index", "field_index", "type", "bookmark", "role", F.coalesce("bookmark_exists", F.lit(False)).alias("bookmark_exists"), "_t.target_para", "_t.target_kind")
 
 
@@ -58,12 +58,12 @@ def check_notes(refs: DataFrame, defs: DataFrame) -> DataFrame:
     """References without a definition, one row each; definitions without a reference, one row a document and type."""
     label = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in NOTE_LABELS.items() for x in kv]), c)
     key, name = ["doc_id", "type", "note_id"], label(F.col("type"))
-    lost = refs.join(defs.select(*key).distinct(), key, "left_anti")
+    lost = refs.hint("merge").join(defs.select(*key).distinct(), key, "left_anti")
     lost = lost.select(
         "doc_id", "para_index", F.lit("note_reference").alias("field"), F.concat(name, F.lit("#"), F.col("note_id"), F.lit("（缺失）")).alias("actual"), F.lit("error").alias("severity"),
         F.concat(name, F.lit("引用「"), F.col("note_id"), F.lit("」缺少对应定义")).alias("message"),
     )
-    idle = defs.join(refs.select(*key).distinct(), key, "left_anti")
+    idle = defs.hint("merge").join(refs.select(*key).distinct(), key, "left_anti")
     five = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("seq", "note_id"))), 1, 5), lambda x: x["note_id"])
     idle = idle.groupBy("doc_id", "type").agg(F.count("*").alias("n"), five.alias("ids"))
     n = F.col("n").cast("string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import issue_key
+from quire.operators.style_checks import small
 
 # Ranks of severities; sections in report order with their roles' prefixes.
 SEVERITIES = ["error", "warn", "info"]
@@ -141,18 +142,27 @@ def latest_run_wins(results: DataFrame) -> DataFrame:
 
 def align_blocks(paragraphs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Paragraphs (doc_id, para_index, text, occurrence) to blocks (doc_id, block_index, text, occurrence) of another rendering: equal text, then the nearest occurrence."""
-    j = paragraphs.join(blocks.select("doc_id", "text", "block_index", F.col("occurrence").alias("_o")), ["doc_id", "text"])
-    return j.groupBy("doc_id", "para_index").agg(F.min_by("block_index", F.struct(F.abs(F.col("occurrence") - F.col("_o")).alias("d"), "block_index")).alias("block_index"))
+    # Both sides in one order of occurrences: the nearest block before and after each paragraph, without all pairs of equal texts.
+    b = blocks.groupBy("doc_id", "text", "occurrence").agg(F.min("block_index").alias("block_index"))
+    both = paragraphs.select("doc_id", "text", "occurrence", "para_index", F.lit(None).cast("struct<o:long,b:long>").alias("here")).unionByName(
+        b.select("doc_id", "text", "occurrence", F.lit(None).cast("int").alias("para_index"), F.struct(F.col("occurrence").cast("long").alias("o"), F.col("block_index").cast("long").alias("b")).alias("here"))
+    )
+    w = Window.partitionBy("doc_id", "text").orderBy("occurrence")
+    near = lambda pick, frame: pick("here", ignorenulls=True).over(frame)
+    both = both.withColumn("_low", near(F.last, w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_high", near(F.first, w.rangeBetween(Window.currentRow, Window.unboundedFollowing)))
+    to = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.o") - F.col("occurrence")).alias("d"), F.col(f"{c}.b").alias("b")))
+    out = both.where("para_index is not null and (_low is not null or _high is not null)")
+    return out.select("doc_id", "para_index", F.least(to("_low"), to("_high"))["b"].alias("block_index"))
 
 
 def attach_confidence(issues: DataFrame, roles: DataFrame) -> DataFrame:
     r = roles.select("doc_id", "para_index", F.col("confidence").alias("role_confidence"), F.col("reason").alias("role_confidence_reason"))
-    return issues.join(r, ["doc_id", "para_index"], "left")
+    return issues.hint("merge").join(r, ["doc_id", "para_index"], "left")
 
 
 def provenance_lookup(issues: DataFrame, role_keys: DataFrame, field_keys: DataFrame, provenance: DataFrame) -> DataFrame:
     """issues with the source text of their role, else of their field; provenance(key, text): blank texts don't count."""
     p = provenance.where(F.trim("text") != "").select("key", F.trim("text").alias("_t"))
-    r = role_keys.join(p, "key").select("role", F.col("_t").alias("_r"))
-    f = field_keys.join(p, "key").select("field", F.col("_t").alias("_f"))
-    return issues.join(F.broadcast(r), "role", "left").join(F.broadcast(f), "field", "left").withColumn("provenance", F.coalesce("_r", "_f")).drop("_r", "_f")  # 34 roles, some fields
+    r = role_keys.join(small(p), "key").select("role", F.col("_t").alias("_r"))
+    f = field_keys.join(small(p), "key").select("field", F.col("_t").alias("_f"))
+    return issues.join(small(r), "role", "left").join(small(f), "field", "left").withColumn("provenance", F.coalesce("_r", "_f")).drop("_r", "_f")

@@ -63,10 +63,12 @@ def special_rule(near: Column) -> Column:
 
     Reads _inline (text with single spaces) and _inline_len.
     """
-    t, align = F.col("_inline"), F.col("alignment")
-    short = lambda name, cap: text_pattern(t, name) & (F.col("_inline_len") <= cap)
+    t, align, n = F.col("_inline"), F.col("alignment"), F.col("_inline_len")
+    no = F.lit(False)
+    short = lambda name, cap: F.when(n <= cap, text_pattern(t, name)).otherwise(no)
     structure = (F.coalesce("math_count", F.lit(0)) > 0) | (F.coalesce("object_count", F.lit(0)) > 0)
-    formula = text_pattern(t, "equation") & (text_pattern(t, "operator") | structure) & (F.regexp_count(t, F.lit(CJK)) <= 4) & (F.coalesce(align.isin("center", "right"), F.lit(False)) | (F.col("_inline_len") <= 80))
+    apart = F.coalesce(align.isin("center", "right"), no) | (n <= 80)
+    formula = F.when(apart, text_pattern(t, "equation") & (structure | text_pattern(t, "operator")) & (F.regexp_count(t, F.lit(CJK)) <= 4)).otherwise(no)
     return (
         F.when(near & short("figure_relaxed", 80) & align.isin("center", "left", "right"), _SPECIAL)
         .when(short("figure", 80), F.when(near, _SPECIAL).otherwise(_SPECIAL + 1))
@@ -83,7 +85,7 @@ def appendix_rule(t: Column, level: Column) -> Column:
         F.when(level.isNotNull() & (F.col("_len") <= 80), _APP)
         .when(numbered, _APP + 1)
         .when(text_pattern(t, "list_marker") | text_pattern(t, "material"), _APP + 2)
-        .when((F.col("_len") <= 50) & (text_pattern(t, "signature") | text_pattern(t, "date")), _APP + 3)
+        .when(F.when(F.col("_len") <= 50, text_pattern(t, "signature") | text_pattern(t, "date")).otherwise(F.lit(False)), _APP + 3)
     )
 
 
@@ -110,14 +112,15 @@ def classify_roles(paragraphs: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("para_index")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     p = paragraphs.withColumn("_t", compact_text(F.col("text"))).withColumn("_act", ~F.col("in_table") & (F.col("_t") != ""))
-    # Worked out once: many patterns look at these.
-    p = p.withColumn("_inline", inline_text(F.col("text"))).withColumns({"_len": utf16_length(F.col("_t")), "_inline_len": utf16_length(F.col("_inline"))})
+    # Worked out once: many patterns look at these. A caption or note is short, a formula may be long if it stands apart.
+    p = p.withColumn("_len", utf16_length(F.col("_t")))
+    p = p.withColumn("_inline", F.when((F.col("_len") <= 120) | F.col("alignment").isin("center", "right"), inline_text(F.col("text"))))
+    p = p.withColumn("_inline_len", utf16_length(F.col("_inline")))
     p = p.withColumn("_level", heading_level(F.col("outline_level"), F.col("style_name")))
     toc = F.lower(F.coalesce("style_id", F.lit("")))
     p = p.withColumns(
         {
             "_head": F.when(F.col("_act"), heading_section(F.col("_t"))),
-            "_app": appendix_rule(F.col("_t"), F.col("_level")),
             "_toc": F.when(toc == "toc1", 0).when(toc == "toc2", 1).when(toc == "toc3", 2),
             "_key": F.when(F.col("_t").rlike("^关键词"), 0).when(F.col("_t").rlike("(?i)^keywords"), 1),
             "_prev": F.lag("drawing_count").over(w),
@@ -132,6 +135,7 @@ def classify_roles(paragraphs: DataFrame) -> DataFrame:
         }
     )
     plain = F.col("_act") & F.col("_head").isNull() & (F.col("_sec") != COVER) & F.col("_toc").isNull() & F.col("_key").isNull() & F.col("_level").isNotNull()
+    p = p.withColumn("_app", F.when(F.col("_sec") == APPENDIX, appendix_rule(F.col("_t"), F.col("_level"))))
     # In an appendix its own roles come before the outline. Once an outline heading has led into the
     # body, further ones before the next keyword heading change nothing.
     p = p.withColumn("_esc", plain & ~((F.col("_sec") == APPENDIX) & F.col("_app").isNotNull()))
@@ -150,7 +154,7 @@ def classify_roles(paragraphs: DataFrame) -> DataFrame:
         .when(F.col("_level").isNotNull(), F.col("_level") + _OUTLINE)
         .when(F.col("_special").isNotNull(), F.col("_special"))
         .when(now != BODY, now + _PLAIN)
-        .when(text_pattern(F.col("_t"), "cover") & (F.col("_len") < 25), 35)
+        .when(F.when(F.col("_len") < 25, text_pattern(F.col("_t"), "cover")).otherwise(F.lit(False)), 35)
         .otherwise(36)
     )
     p = p.withColumn("_rule", rule)

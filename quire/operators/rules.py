@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import bump_version, number_text, trim_ws
+from quire.operators.style_checks import small
 
 # Field key → (column of the older form, kind of value).
 LEGACY = {
@@ -75,7 +76,7 @@ def lint_rules(rules: DataFrame) -> DataFrame:
     single = rules.select("role", "field_key", F.inline(out)).select("level", "code", "role", "field_key")
     sizes = rules.where("enabled and mode = 'exact' and field_key = 'fontSizePt'").select("role", "exact_num")
     body = sizes.where("role = 'body_text'").select(F.col("exact_num").alias("_b"))
-    heads = sizes.where("role like 'heading%'").join(F.broadcast(body), F.col("exact_num") == F.col("_b"))  # one row at most
+    heads = sizes.where("role like 'heading%'").join(small(body), F.col("exact_num") == F.col("_b"))
     heads = heads.select(F.lit("warn").alias("level"), F.lit("heading-size-equals-body").alias("code"), "role", F.lit("fontSizePt").alias("field_key"))
     have = rules.agg(F.coalesce(F.bool_or(F.col("role") == "body_text"), F.lit(False)).alias("b"), F.coalesce(F.bool_or((F.col("role") == "body_text") & F.col("enabled") & F.col("field_key").isin("fontFamilyCn", "fontFamilyLatin")), F.lit(False)).alias("f"))
     none = F.lit(None).cast("string")
@@ -88,8 +89,8 @@ def lint_rules(rules: DataFrame) -> DataFrame:
 def publish_rules(draft: DataFrame, published: DataFrame, lint: DataFrame) -> DataFrame:
     """libraries(library_id, version, content) after publication: unchanged ones keep their version, flawed ones aren't published."""
     bad = lint.where("level = 'error'").select("library_id").distinct()
-    d = draft.join(bad, "library_id", "left_anti").select("library_id", F.col("content").alias("_c"))
-    j = published.join(d, "library_id", "left")
+    d = draft.hint("merge").join(bad, "library_id", "left_anti").select("library_id", F.col("content").alias("_c"))
+    j = published.hint("merge").join(d, "library_id", "left")
     changed = F.col("_c").isNotNull() & (F.col("_c") != F.col("content"))
     return j.select("library_id", F.when(changed, bump_version(F.col("version"))).otherwise(F.col("version")).alias("version"), F.when(changed, F.col("_c")).otherwise(F.col("content")).alias("content"))
 

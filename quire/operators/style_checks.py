@@ -38,13 +38,14 @@ FALLBACKS = {
     "achievement_heading": ["back_matter_heading"],
     "achievement_body": ["back_matter_body"],
 }
-MAX_BROADCAST_RULES = 1_000_000
+MAX_BROADCAST_BYTES = 16_000_000
 RULE_SCHEMA = "role string, field_key string, enabled boolean, severity string, mode string, exact_str string, exact_num double, exact_bool boolean, one_of array<struct<s:string,n:double,b:boolean>>, min double, max double"
 
 
-def small(rules: DataFrame, most: int = MAX_BROADCAST_RULES) -> DataFrame:
-    """rules, to be broadcast if they have at most `most` rows."""
-    return F.broadcast(rules) if rules.limit(most + 1).count() <= most else rules
+def small(table: DataFrame, most: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """A dimension table, to be broadcast if its rows have at most `most` bytes as JSON, else to be shuffled."""
+    size = table.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= most else table.hint("merge")
 
 
 def enabled_rules(rules: DataFrame) -> DataFrame:
@@ -77,15 +78,23 @@ def describe_rule(fmt) -> Column:
     )
 
 
-def rule_for_role(roles: DataFrame, rule_roles: DataFrame) -> DataFrame:
-    """(role) and the roles that have rules (role) → (role, rule_role): its own rules, else the first stand-in's."""
-    pairs = [(r, x, i) for r, xs in FALLBACKS.items() for i, x in enumerate(xs, 1)]
-    dim = F.array(*[F.struct(F.lit(a).alias("role"), F.lit(b).alias("rule_role"), F.lit(c).alias("rank")) for a, b, c in pairs])
-    stand_in = F.filter(dim, lambda x: x["role"] == F.col("role"))
-    options = F.concat(F.array(F.struct(F.col("role"), F.col("role").alias("rule_role"), F.lit(0).alias("rank"))), stand_in)
-    asked = roles.select("role").where("role is not null").distinct().select(F.inline(options))
-    have = rule_roles.select(F.col("role").alias("rule_role")).distinct()
-    return asked.join(small(have), "rule_role").groupBy("role").agg(F.min_by("rule_role", "rank").alias("rule_role"))
+def rule_for_role(rule_roles: DataFrame) -> DataFrame:
+    """The roles that have rules (role) → (role, rule_role): of every role that is known or has rules its own rules, else the first stand-in's.
+
+    Works on rule tables alone; the corpus is not read.
+    """
+    have = rule_roles.select("role").where("role is not null").distinct()
+    stands = [(r, x, i) for r, xs in FALLBACKS.items() for i, x in enumerate(xs, 1)]
+    fixed = F.array(*[F.struct(F.lit(x).alias("rule_role"), F.lit(r).alias("role"), F.lit(i).alias("rank")) for r, x, i in stands])
+    own = have.select(F.col("role").alias("rule_role"), "role", F.lit(0).alias("rank"))
+    other = have.select(F.col("role").alias("_have"), F.inline(fixed)).where("_have = rule_role").drop("_have")
+    return own.unionByName(other).groupBy("role").agg(F.min_by("rule_role", "rank").alias("rule_role"))
+
+
+def rules_by_role(rules: DataFrame) -> DataFrame:
+    """rules(role, …) with one copy for every role that they hold for; dimension-sized."""
+    to = rule_for_role(rules).select(F.col("role").alias("_for"), F.col("rule_role").alias("role"))
+    return rules.join(small(to), "role").drop("role").withColumnRenamed("_for", "role")
 
 
 def actual_values(roles: DataFrame) -> DataFrame:
@@ -133,12 +142,10 @@ def _shown(s: Column, n: Column, b: Column) -> Column:
 
 def check_paragraph_fields(roles: DataFrame, rules: DataFrame, skip: DataFrame | None = None) -> DataFrame:
     """Paragraph values that break an enabled rule; skip(doc_id, para_index, field_key): checked by runs instead."""
-    rules = enabled_rules(rules)
-    to = rule_for_role(roles, rules)
-    own = small(rules.withColumnRenamed("role", "rule_role").join(to.hint("broadcast"), "rule_role"))  # 34 roles at most
+    own = small(rules_by_role(enabled_rules(rules)))
     values = actual_values(roles)
     if skip is not None:
-        values = values.join(skip, ["doc_id", "para_index", "field_key"], "left_anti")
+        values = values.hint("merge").join(skip, ["doc_id", "para_index", "field_key"], "left_anti")
     hit = values.join(own, ["role", "field_key"])
     bad = hit.where(~matches_rule(F.col("s"), F.col("n"), F.col("b"), _by_key({k: x[3] for k, x in FIELDS.items()})))
     return bad.select(
@@ -178,18 +185,16 @@ def run_islands(failing: DataFrame) -> DataFrame:
 
 def check_run_fields(roles: DataFrame, runs: DataFrame, rules: DataFrame) -> DataFrame:
     """Runs whose font or size breaks a rule of their paragraph's role, by islands."""
-    rules = enabled_rules(rules)
-    to = rule_for_role(roles, rules)
-    own = small(rules.withColumnRenamed("role", "rule_role").join(to.hint("broadcast"), "rule_role"))
-    r = comparable_runs(runs).join(roles.where("role is not null").select("doc_id", "para_index", "role"), ["doc_id", "para_index"])
+    own = small(rules_by_role(enabled_rules(rules)))
+    r = comparable_runs(runs).hint("merge").join(roles.where("role is not null").select("doc_id", "para_index", "role"), ["doc_id", "para_index"])
     bad = r.join(own, ["role", "field_key"]).where(~matches_rule(F.col("s"), F.col("n"), F.lit(None).cast("boolean"), F.lit(0.01)))
     return run_islands(bad.select("doc_id", "para_index", "field_key", "run_index", "text", "s", "n"))
 
 
 def check_legacy_fields(roles: DataFrame, styles: DataFrame) -> DataFrame:
     """The older rule form: one row a role, styles(role, font_east_asia, font_latin, size_pt, bold, alignment, line_spacing_pt, first_line_indent_chars) as x_*."""
-    to = rule_for_role(roles, styles)
-    own = styles.select(F.col("role").alias("rule_role"), *[F.col(c).alias(f"x_{c}") for c in styles.columns if c != "role"]).join(to.hint("broadcast"), "rule_role")
+    own = rules_by_role(styles)
+    own = own.select("role", *[F.col(c).alias(f"x_{c}") for c in own.columns if c != "role"])
     j = roles.where("role is not null").join(small(own), "role")
     t, c, x = F.col("text"), F.col, lambda n: F.col(f"x_{n}")
     off = lambda a, e, tol: F.abs(a - e) > tol

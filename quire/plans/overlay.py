@@ -1,8 +1,11 @@
 """Document structure laid over the given `documents` table.
 
-The given texts hold no headings, captions or fields; every document gets 28
-paragraphs around its own lines, all attributes by arithmetic on doc_id and
-position. SQL holds the same tables for the comparison queries.
+The given texts hold no headings, captions or fields; every document gets a
+frame of 27 paragraphs around its own lines, all of which are paragraphs: the
+first in the Chinese abstract and again at the end, the second in the English
+abstract, all others (one empty one, if there are none) below the first
+heading. Attributes come from arithmetic on doc_id and position. SQL holds the
+same tables for the comparison queries.
 """
 
 from __future__ import annotations
@@ -17,9 +20,9 @@ SKELETON = [
     ("fixed", "材料一：清单"), ("fixed", "致谢"), ("line", "1"),
 ]
 
-#: name → (Spark SQL expression over doc_id, para_index, kind, tmpl, body, v). DuckDB reads the same text.
+#: name → SQL expression over doc_id, para_index, kind, tmpl, line, v. DuckDB reads the same text.
 COLUMNS = {
-    "text": """case kind when 'fixed' then tmpl when 'line' then coalesce(split_part(body, chr(10), cast(tmpl as int)), '')
+    "text": """case kind when 'fixed' then tmpl when 'line' then line
         when 'kw' then case when v % 3 = 0 then '关键词：甲；乙' else '关键词：甲；乙；丙' end when 'kwen' then 'Key words: alpha; beta, gamma'
         when 'toc' then concat(tmpl, ' 1') when 'h1' then concat(cast(cast(tmpl as int) + case when v = 0 then 1 else 0 end as varchar(20)), ' 章节')
         when 'h2' then concat('1.', cast(cast(tmpl as int) + case when v = 1 then 1 else 0 end as varchar(20)), ' 小节')
@@ -57,13 +60,26 @@ def _spark(expr: str):
     return F.expr(expr.replace("varchar(20)", "string"))
 
 
+#: Place in the frame at which the lines from the third on stand.
+LINES = 10
+
+
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, para_index, v, kind and COLUMNS: one narrow pass over the documents, no join."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").alias("body"))
-    rows = F.array(*[F.struct(F.lit(i).alias("para_index"), F.lit(k).alias("kind"), F.lit(t).alias("tmpl")) for i, (k, t) in enumerate(SKELETON)])
-    d = d.select("doc_id", "body", F.inline(rows))
-    d = d.withColumn("v", (F.col("doc_id") * 7 + F.col("para_index") * 3) % 11)
-    return d.select("doc_id", "para_index", "v", "kind", *[_spark(e).alias(n) for n, e in COLUMNS.items()])
+    """doc_id, para_index, pos (place in the frame), v, kind and COLUMNS: one narrow pass over the documents, no join; each row takes its own line only."""
+    row = lambda pos, no, index, line: F.struct(F.lit(pos).alias("pos"), no.alias("no"), index.alias("para_index"), F.lit(SKELETON[pos][0]).alias("kind"), F.lit(SKELETON[pos][1]).alias("tmpl"), line.alias("line"))
+    none, at = F.lit(0), lambda i: F.coalesce(F.get("lines", F.lit(i)), F.lit(""))
+    own = {"1": at(0), "2": at(1)}
+    frame = lambda pos, shift: row(pos, none, F.lit(pos) + shift, own.get(SKELETON[pos][1], F.lit("")) if SKELETON[pos][0] == "line" else F.lit(""))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    d = d.withColumn("rest", F.when(F.size("lines") > 2, F.slice("lines", F.lit(3), F.size("lines"))).otherwise(F.array(F.lit(""))))
+    every = F.concat(
+        F.array(*[frame(i, none) for i in range(LINES)]),
+        F.transform("rest", lambda x, j: row(LINES, j, j + LINES, x)),
+        F.array(*[frame(i, F.size("rest") - 1) for i in range(LINES + 1, len(SKELETON))]),
+    )
+    d = d.select("doc_id", F.inline(every))
+    d = d.withColumn("v", (F.col("doc_id") * 7 + (F.col("pos") + F.col("no")) * 3) % 11)
+    return d.select("doc_id", "para_index", "pos", "v", "kind", *[_spark(e).alias(n) for n, e in COLUMNS.items()])
 
 
 def fields(p: DataFrame) -> DataFrame:
@@ -74,7 +90,7 @@ def fields(p: DataFrame) -> DataFrame:
 FIELD_COLUMNS = {
     "instruction": r"""case when kind = 'fig' then case when v % 2 = 0 then concat('SEQ  Figure ', chr(92), '* ARABIC') else 'seq "Tbl"' end
         when v % 4 = 0 then concat('REF _Ref1 ', chr(92), 'h') when v % 4 = 1 then concat('PAGEREF "_Ref2" ', chr(92), 'h') when v % 4 = 2 then concat('REF _Ref9 ', chr(92), 'r ', chr(92), 'h') else 'REF _Ref8' end""",
-    "display_text": "case when kind = 'fig' then concat('（1－', cast(para_index - 12 as varchar(20)), '）') when v = 6 then '[1, 2]' else 'x' end",
+    "display_text": "case when kind = 'fig' then concat('（1－', cast(pos - 12 as varchar(20)), '）') when v = 6 then '[1, 2]' else 'x' end",
     "start_run": "0",
     "end_run": "1",
 }
@@ -84,8 +100,8 @@ BOOKMARKS = "case when kind = 'fig' and v < 9 then '_Ref1' when kind = 'h2' and
 
 def bookmarks(p: DataFrame) -> DataFrame:
     """doc_id, para_index, id, name; the first one twice."""
-    b = p.select("doc_id", "para_index", _spark("cast(para_index as varchar(20))").alias("id"), _spark(BOOKMARKS).alias("name")).where("name is not null")
-    return b.unionByName(b.where("para_index = 13"))
+    b = p.select("doc_id", "para_index", "pos", _spark("cast(para_index as varchar(20))").alias("id"), _spark(BOOKMARKS).alias("name")).where("name is not null")
+    return b.unionByName(b.where("pos = 13")).drop("pos")
 
 
 RUN_COLUMNS = {
@@ -169,11 +185,14 @@ def _duck(columns: dict[str, str]) -> str:
 
 #: The same tables for the comparison queries: par, fld, bkm, run, nref, ndef, sec, tok.
 SQL = f"""skel(pos, kind, tmpl) as (values {_literal_rows()}),
-b0 as (select doc_id, k.pos as para_index, kind, tmpl, (doc_id * 7 + k.pos * 3) % 11 as v, text as body from documents, skel k),
-par as materialized (select doc_id, para_index, v, kind, {_duck(COLUMNS)} from b0),
+ln as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+lr as (select doc_id, lines, case when len(lines) > 2 then lines[3:] else [''] end as rest from ln),
+b0 as (select doc_id, pos, pos + case when pos > {LINES} then len(rest) - 1 else 0 end as para_index, kind, tmpl, (doc_id * 7 + pos * 3) % 11 as v, case when kind = 'line' then coalesce(lines[cast(tmpl as int)], '') else '' end as line from lr, skel where pos <> {LINES}
+ union all select doc_id, {LINES}, {LINES} + no, 'line', '3', (doc_id * 7 + ({LINES} + no) * 3) % 11, line from (select doc_id, unnest(rest) as line, unnest(range(0, len(rest))) as no from lr)),
+par as materialized (select doc_id, cast(para_index as int) as para_index, pos, v, kind, {_duck(COLUMNS)} from b0),
 fld as (select doc_id, para_index, 0 as field_index, {_duck(FIELD_COLUMNS)} from par where kind in ('fig', 'line')),
-bk0 as (select doc_id, para_index, cast(para_index as varchar) as id, {BOOKMARKS} as name from par),
-bkm as (select * from bk0 where name is not null union all select * from bk0 where name is not null and para_index = 13),
+bk0 as (select doc_id, para_index, pos, cast(para_index as varchar) as id, {BOOKMARKS} as name from par),
+bkm as (select doc_id, para_index, id, name from bk0 where name is not null union all select doc_id, para_index, id, name from bk0 where name is not null and pos = 13),
 run as (select doc_id, para_index, run_index, {_duck(RUN_COLUMNS)} from (select *, unnest([0, 1, 2]) as run_index from par)),
 nref as (select doc_id, para_index, {NOTE_TYPE} as type, cast(v % 5 as varchar) as note_id, 1 as run_index from par where kind = 'line'),
 ndef as (select doc_id, 'footnote' as type, unnest(range(0, 4)) as seq from par where para_index = 0 union all select doc_id, 'endnote', unnest(range(1, 8)) from par where para_index = 0),

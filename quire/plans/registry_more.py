@@ -188,7 +188,7 @@ _DOM = f"dr as (select doc_id, para_index, arg_min(struct_pack(a := font_east_as
 def issues(s, d):
     """Issues of headings, fields and references: the input of the report queries."""
     p = O.paragraphs(s, d)
-    roles = R.classify_roles(p)
+    roles = TB.stored(R.classify_roles(p), "roles")  # three checks read them
     from quire.operators import numbering as N
 
     a = V.issue_row(N.check_heading_sequence(roles), 4)
@@ -213,8 +213,8 @@ def add(_add) -> None:
         return R.classify_roles(par(s, d))
 
     # ---- rules and styles of paragraphs and runs
-    _add("rule_for_role", lambda s, d: C.rule_for_role(roles(s, d), C.enabled_rules(rules(s))), f"{ROLES}, {_OWN} select role, rr as rule_role from pick where rr is not null")
-    _add("enabled_rules", lambda s, d: C.enabled_rules(rules(s)).join(roles(s, d).where("role is not null").groupBy("role").agg(F.count("*").alias("paragraphs")), "role").select("role", "field_key", "mode", "paragraphs"), f"{ROLES}, {_RSQL} select role, field_key, mode, count(*) as paragraphs from rul join rol using (role) where enabled and mode <> 'unset' group by role, field_key, mode")
+    _add("rule_for_role", lambda s, d: C.rule_for_role(C.enabled_rules(rules(s))).join(roles(s, d).select("role").distinct().hint("merge"), "role"), f"{ROLES}, {_OWN} select role, rr as rule_role from pick where rr is not null")
+    _add("enabled_rules", lambda s, d: C.small(C.enabled_rules(rules(s))).join(roles(s, d).where("role is not null").groupBy("role").agg(F.count("*").alias("paragraphs")), "role").select("role", "field_key", "mode", "paragraphs"), f"{ROLES}, {_RSQL} select role, field_key, mode, count(*) as paragraphs from rul join rol using (role) where enabled and mode <> 'unset' group by role, field_key, mode")
     _add("check_paragraph_fields", lambda s, d: C.check_paragraph_fields(roles(s, d), rules(s)).drop("text_preview"), f"{_PF} select * exclude (text_preview) from pf")
     _add("matches_rule", lambda s, d: C.check_paragraph_fields(roles(s, d), rules(s)).groupBy("role", "field").agg(F.count("*").alias("n")), f"{_PF} select role, field, count(*) as n from pf group by role, field")
     _add("describe_rule", lambda s, d: C.check_paragraph_fields(roles(s, d), rules(s)).groupBy("message").agg(F.count("*").alias("n")), f"{_PF} select message, count(*) as n from pf group by message")
@@ -264,7 +264,7 @@ def add(_add) -> None:
 
     # ---- rule tables, weighed by the paragraphs that they concern
     def weighed(df, s, d):
-        return df.join(roles(s, d).where("role is not null").groupBy("role").agg(F.count("*").alias("paragraphs")), "role", "left").fillna(0, ["paragraphs"])
+        return df.hint("merge").join(roles(s, d).where("role is not null").groupBy("role").agg(F.count("*").alias("paragraphs")), "role", "left").fillna(0, ["paragraphs"])
 
     wsql = "coalesce((select count(*) from rol where rol.role = x.role), 0) as paragraphs"
     kind = "case when field_key in ('fontFamilyCn', 'fontFamilyLatin', 'align') then 's' when field_key = 'bold' then 'b' else 'n' end"
@@ -314,7 +314,7 @@ select level, code, role, field_key, {wsql} from x"""
         from quire.operators.references import occurrence_index
 
         p = par(s, d)
-        a = p.select("doc_id", "para_index", "text").join(occurrence_index(p), ["doc_id", "para_index"])
+        a = p.select("doc_id", "para_index", "text").hint("merge").join(occurrence_index(p), ["doc_id", "para_index"])
         b = a.select("doc_id", (F.col("para_index") * 2).alias("block_index"), "text", "occurrence").where("block_index % 3 <> 0")
         return RP.align_blocks(a, b)
 

@@ -62,7 +62,7 @@ def validate_corpus(paragraphs: DataFrame, fields: DataFrame, bookmarks: DataFra
 def fix_hint(issues: DataFrame, templates: DataFrame) -> DataFrame:
     """issues with suggestion and fixability by field; fields without a template are manual."""
     t = templates.select("field", F.col("fixability").alias("_f"), F.col("template").alias("_t"))
-    j = issues.join(F.broadcast(t), "field", "left")  # one row a field, some thirty
+    j = issues.join(C.small(t), "field", "left")
     return j.withColumn("fixability", F.coalesce("_f", F.lit("manual"))).withColumn("suggestion", F.replace(F.coalesce("_t", F.lit("请手动检查并修正。")), F.lit("{actual}"), F.coalesce("actual", F.lit("")))).drop("_f", "_t")
 
 
