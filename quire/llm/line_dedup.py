@@ -146,13 +146,13 @@ def near_lines(lines: DataFrame, tau: int, max_broadcast_ids: int = MAX_BROADCAS
     line, n = F.col("line"), F.length("line")
     ord_ = _ord(F.col("doc_id"), F.col("pos"))
     keys = index_keys(line, n, tau) + probe_keys(line, n, tau)
-    long_enough = n >= 2 * (tau + 1)
-    slim = lines.select("id", ord_.alias("ord"), *[F.when(long_enough, k).alias(f"k{i}") for i, k in enumerate(keys)])
-    # Longs and a decimal: the partial aggregate keeps one row a line and task before the exchange.
-    once = slim.groupBy("id").agg(F.min("ord").alias("low"), F.count("*").alias("n"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
+    # Keys of short lines are worked out too and left aside: in a condition, the segments that keys share would be cut anew for each.
+    slim = lines.select("id", ord_.alias("ord"), n.alias("chars"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    # Numbers only: the partial aggregate keeps one row a line and task before the exchange.
+    once = slim.groupBy("id").agg(F.min("ord").alias("low"), F.count("*").alias("n"), F.min("chars").alias("chars"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
     once = stored(once, "lines")
     short = F.xxhash64("id")
-    near = once.where("k0 is not null")
+    near = once.where(F.col("chars") >= 2 * (tau + 1))
     index = near.select(F.explode(F.array(*[F.col(f"k{i}") for i in range((tau + 1) ** 2)])).alias("k"), short.alias("x"))
     probe = near.select(F.explode(F.array(*[F.col(f"k{i}") for i in range(len(keys))])).alias("k"), short.alias("y"))
     pairs = index.hint("merge").join(probe, "k").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
