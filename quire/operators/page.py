@@ -89,25 +89,61 @@ def hf_align(tokens: DataFrame) -> DataFrame:
         .when((F.col("_base") == "left") & (F.col("_after") > 0), "right")
         .otherwise(F.col("_base"))
     )
-    return t.select(*KEYS, "tok", "seg", F.col("tok_kind").alias("seg_kind"), F.col("_piece").alias("text"), side.alias("alignment"), *FONTS, "border_style")
+    return t.select(*KEYS, "tok", "seg", F.col("tok_kind").alias("seg_kind"), F.col("_piece").alias("text"), "instruction", side.alias("alignment"), *FONTS, "border_style")
 
 
-def hf_rollup(segments: DataFrame) -> DataFrame:
-    """Left, centre and right text of each part; blank paragraphs and repeats of a paragraph are dropped."""
-    ordered = F.array_sort(F.collect_list(F.struct("tok", "seg", "seg_kind", "alignment", "text")))
-    p = segments.groupBy(*KEYS).agg(ordered.alias("x"))
-    key = F.array_join(F.transform("x", lambda s: F.concat_ws(":", s["seg_kind"], s["alignment"], s["text"])), "|")
+def hf_paragraphs(segments: DataFrame) -> DataFrame:
+    """One row a header or footer paragraph that is kept, with its segments in order (x) and whether it has a page number; blank paragraphs and repeats of an earlier one of the part go."""
+    ordered = F.array_sort(F.collect_list(F.struct("tok", "seg", "seg_kind", "alignment", "text", "instruction")))
+    p = segments.groupBy(*KEYS).agg(ordered.alias("x"), F.max("border_style").alias("border_style"))
+    key = F.array_join(F.transform("x", lambda s: F.concat_ws(":", s["seg_kind"], s["alignment"], s["text"], F.coalesce(s["instruction"], F.lit("")))), "|")
     has = F.exists("x", lambda s: s["seg_kind"] == "pageNumber")
-    p = p.withColumn("_key", key).withColumn("_has", has).where(F.col("_has") | F.exists("x", lambda s: trim_ws(s["text"]) != ""))
-    p = p.groupBy("doc_id", "kind", "part", "_key").agg(F.min(F.struct("para", "x", "_has")).alias("m")).select("doc_id", "kind", "part", "m.*")
+    p = p.withColumn("_key", key).withColumn("has_page_number", has).where(F.col("has_page_number") | F.exists("x", lambda s: trim_ws(s["text"]) != ""))
+    first = F.min(F.struct("para", "x", "has_page_number", "border_style")).alias("m")
+    return p.groupBy("doc_id", "kind", "part", "_key").agg(first).select("doc_id", "kind", "part", "m.*")
+
+
+def hf_kept(segments: DataFrame) -> DataFrame:
+    """The segments of hf_paragraphs."""
+    return segments.hint("merge").join(hf_paragraphs(segments).select(*KEYS), KEYS, "left_semi")
+
+
+def hf_rollup(segments: DataFrame) -> DataFrame:
+    """Left, centre and right text of each part."""
     side = lambda a: inline_text(F.array_join(F.transform(F.filter("x", lambda s: (s["alignment"] == a) & (s["seg_kind"] == "text")), lambda s: s["text"]), ""))
-    p = p.select("doc_id", "kind", "part", "para", "_has", *[side(a).alias(a) for a in ("left", "center", "right")])
+    p = hf_paragraphs(segments).select("doc_id", "kind", "part", "para", "has_page_number", *[side(a).alias(a) for a in ("left", "center", "right")])
     rows = F.array_sort(F.collect_list(F.struct("para", "left", "center", "right")))
-    g = p.groupBy("doc_id", "kind", "part").agg(rows.alias("r"), F.bool_or("_has").alias("has_page_number"))
+    g = p.groupBy("doc_id", "kind", "part").agg(rows.alias("r"), F.bool_or("has_page_number").alias("has_page_number"))
     text = lambda a: inline_text(F.array_join(F.filter(F.transform("r", lambda x: x[a]), lambda v: v != ""), " "))
     return g.select("doc_id", "kind", "part", *[text(a).alias(f"{a}_text") for a in ("left", "center", "right")], "has_page_number")
 
 
+def border_visible(style: Column) -> Column:
+    """A bottom border that shows."""
+    return F.coalesce(~style.isin("none", "nil") & (style != ""), F.lit(False))
+
+
+# Field → (severity, message about the expected value) of the header and footer checks.
+HF_CHECKS = {
+    "header_text": ("warn", "页眉应包含「{}」"),
+    "header_font_east_asia": ("error", "页眉中文字体应为「{}」"),
+    "header_font_latin": ("error", "页眉西文字体应为「{}」"),
+    "header_size_pt": ("error", "页眉字号应为 {}pt"),
+    "header_bottom_border": ("warn", "页眉下方应设置边框线"),
+    "page_number_alignment": ("warn", "页码位置应为「{}」"),
+    "page_number_font_latin": ("error", "页码西文字体应为「{}」"),
+    "page_number_size_pt": ("error", "页码字号应为 {}pt"),
+}
+NO_BORDER = "页眉下方不应设置边框线"
+
+
+def _hf_issue(bad: DataFrame, field: str, expected: Column, actual: Column, message: str | None = None) -> DataFrame:
+    severity, say = HF_CHECKS[field]
+    before, _, after = (message or say).partition("{}")
+    said = F.concat(F.lit(before), expected, F.lit(after)) if "{}" in (message or say) else F.lit(before)
+    return bad.select("doc_id", F.lit(field).alias("field"), expected.alias("expected"), actual.alias("actual"), F.lit(severity).alias("severity"), said.alias("message"))
+
+
 def describe_values(values: Column) -> Column:
     """Distinct values in order of appearance, joined; ordered array of structs whose last field is v."""
     v = F.array_distinct(F.filter(F.transform(values, lambda x: x["v"]), lambda x: x.isNotNull()))
@@ -120,11 +156,11 @@ def check_header_text(documents: DataFrame, parts: DataFrame, text: str) -> Data
     left = F.when(F.col("left_text") == "", "(左侧无文字)").otherwise(F.col("left_text"))
     g = p.groupBy("doc_id").agg(F.bool_or(F.contains(compact_text(F.col("left_text")), want)).alias("ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", left.alias("v")))), lambda x: x["v"]), " / ").alias("actual"))
     d = documents.select("doc_id").hint("merge").join(g, "doc_id", "left").where(~F.coalesce("ok", F.lit(False)))
-    return d.select("doc_id", F.lit("header_text").alias("field"), F.lit(text).alias("expected"), F.coalesce(F.nullif("actual", F.lit("")), F.lit("(无页眉文字)")).alias("actual"))
+    return _hf_issue(d, "header_text", F.lit(text), F.coalesce(F.nullif("actual", F.lit("")), F.lit("(无页眉文字)")))
 
 
 def check_segments(documents: DataFrame, segments: DataFrame, field: str, value: Column, expected, header: bool) -> DataFrame:
-    """All text segments of headers (or page numbers of footers, then headers) must have the expected value; none at all fails too."""
+    """All text segments of kept header paragraphs (or page numbers of footers, then headers) must have the expected value; none at all fails too."""
     s = segments.where((F.col("kind") == "header") & (F.col("seg_kind") == "text") & (trim_ws(F.col("text")) != "")) if header else segments.where("seg_kind = 'pageNumber'")
     number = isinstance(expected, float)
     ok = F.coalesce(F.abs(value - expected) <= 0.1 if number else value == expected, F.lit(False))
@@ -132,13 +168,46 @@ def check_segments(documents: DataFrame, segments: DataFrame, field: str, value:
     order = F.struct((F.col("kind") == "header").alias("h"), "part", "para", "tok", "seg", shown.alias("v"))
     g = s.groupBy("doc_id").agg(F.bool_and(ok).alias("ok"), describe_values(F.array_sort(F.collect_list(order))).alias("actual"))
     d = documents.select("doc_id").hint("merge").join(g, "doc_id", "left").where(~F.coalesce("ok", F.lit(False)))
-    return d.select("doc_id", F.lit(field).alias("field"), (number_text(F.lit(expected)) if number else F.lit(expected)).alias("expected"), F.coalesce("actual", F.lit("(未设置)")).alias("actual"))
+    return _hf_issue(d, field, number_text(F.lit(expected)) if number else F.lit(expected), F.coalesce("actual", F.lit("(未设置)")))
+
+
+def _latin() -> Column:
+    return F.coalesce("font_ascii", "font_hansi")
+
+
+# Rule key → (check, value of a segment, whether header texts are meant).
+SEGMENT_RULES = {
+    "font_east_asia": ("header_font_east_asia", lambda: F.col("font_east_asia"), True),
+    "font_latin": ("header_font_latin", _latin, True),
+    "size_pt": ("header_size_pt", lambda: F.col("size_pt"), True),
+    "number_alignment": ("page_number_alignment", lambda: F.col("alignment"), False),
+    "number_font_latin": ("page_number_font_latin", _latin, False),
+    "number_size_pt": ("page_number_size_pt", lambda: F.col("size_pt"), False),
+}
+
+
+def check_header_footer(documents: DataFrame, tokens: DataFrame, rules: dict) -> list[DataFrame]:
+    """One table of issues a rule that is set: left_text, the keys of SEGMENT_RULES, bottom_border."""
+    kept = hf_kept(hf_align(tokens))
+    out = []
+    if rules.get("left_text"):
+        out.append(check_header_text(documents, hf_rollup(kept), rules["left_text"]))
+    for key, (field, value, header) in SEGMENT_RULES.items():
+        if rules.get(key) is not None and key in ("font_east_asia", "font_latin", "size_pt"):
+            out.append(check_segments(documents, kept, field, value(), float(rules[key]) if key.endswith("size_pt") else rules[key], header))
+    if rules.get("bottom_border") is not None:
+        out.append(check_header_border(documents, kept, rules["bottom_border"]))
+    for key, (field, value, header) in SEGMENT_RULES.items():
+        if rules.get(key) is not None and key.startswith("number_"):
+            out.append(check_segments(documents, kept, field, value(), float(rules[key]) if key.endswith("size_pt") else rules[key], header))
+    return out
 
 
 def check_header_border(documents: DataFrame, segments: DataFrame, expected: bool) -> DataFrame:
-    p = segments.where("kind = 'header'").groupBy(*KEYS).agg(F.max("border_style").alias("b"))
-    seen = F.coalesce(~F.col("b").isin("none", "nil") & (F.col("b") != ""), F.lit(False))
-    g = p.groupBy("doc_id").agg(F.count("*").alias("m"), F.count_if(seen).alias("n"))
+    """Kept header paragraphs with a visible bottom border of all: every one of them, or none, must have it."""
+    p = hf_paragraphs(segments).where("kind = 'header'")
+    g = p.groupBy("doc_id").agg(F.count("*").alias("m"), F.count_if(border_visible(F.col("border_style"))).alias("n"))
     d = documents.select("doc_id").hint("merge").join(g, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
     ok = (F.col("m") > 0) & (F.col("n") == F.col("m")) if expected else F.col("n") == 0
-    return d.where(~ok).select("doc_id", F.lit("header_bottom_border").alias("field"), F.concat(F.col("n").cast("string"), F.lit("/"), F.col("m").cast("string")).alias("actual"))
+    actual = F.concat(F.col("n").cast("string"), F.lit("/"), F.col("m").cast("string"))
+    return _hf_issue(d.where(~ok), "header_bottom_border", F.lit(str(expected).lower()), actual, None if expected else NO_BORDER)

@@ -54,13 +54,14 @@ def check_references(graph: DataFrame) -> DataFrame:
     )
 
 
-def check_notes(refs: DataFrame, defs: DataFrame) -> DataFrame:
-    """References without a definition, one row each; definitions without a reference, one row a document and type."""
+def check_notes(refs: DataFrame, defs: DataFrame, roles: DataFrame) -> DataFrame:
+    """References without a definition, one row each, with the role of their paragraph; definitions without a reference, one row a document and type."""
     label = lambda c: F.element_at(F.create_map(*[F.lit(x) for kv in NOTE_LABELS.items() for x in kv]), c)
     key, name = ["doc_id", "type", "note_id"], label(F.col("type"))
     lost = refs.hint("merge").join(defs.select(*key).distinct(), key, "left_anti")
+    lost = lost.hint("merge").join(roles.select("doc_id", "para_index", "role"), ["doc_id", "para_index"], "left")
     lost = lost.select(
-        "doc_id", "para_index", F.lit("note_reference").alias("field"), F.concat(name, F.lit("#"), F.col("note_id"), F.lit("（缺失）")).alias("actual"), F.lit("error").alias("severity"),
+        "doc_id", "para_index", F.coalesce("role", F.lit("unknown")).alias("role"), F.lit("note_reference").alias("field"), F.concat(F.lit("存在对应"), name, F.lit("定义")).alias("expected"), F.concat(name, F.lit("#"), F.col("note_id"), F.lit("（缺失）")).alias("actual"), F.lit("error").alias("severity"),
         F.concat(name, F.lit("引用「"), F.col("note_id"), F.lit("」缺少对应定义")).alias("message"),
     )
     idle = defs.hint("merge").join(refs.select(*key).distinct(), key, "left_anti")
@@ -68,7 +69,7 @@ def check_notes(refs: DataFrame, defs: DataFrame) -> DataFrame:
     idle = idle.groupBy("doc_id", "type").agg(F.count("*").alias("n"), five.alias("ids"))
     n = F.col("n").cast("string")
     idle = idle.select(
-        "doc_id", F.lit(-1).alias("para_index"), F.lit("note_definition").alias("field"),
+        "doc_id", F.lit(-1).alias("para_index"), F.lit("document").alias("role"), F.lit("note_definition").alias("field"), F.concat(F.lit("全部"), name, F.lit("定义均被正文引用")).alias("expected"),
         F.concat(n, F.lit(" 条未引用（"), F.array_join("ids", ", "), F.when(F.col("n") > 5, " ...").otherwise(""), F.lit("）")).alias("actual"), F.lit("info").alias("severity"),
         F.concat(F.lit("检测到 "), n, F.lit(" 条"), name, F.lit("定义未被正文引用")).alias("message"),
     )

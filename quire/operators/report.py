@@ -155,8 +155,9 @@ def align_blocks(paragraphs: DataFrame, blocks: DataFrame) -> DataFrame:
     return out.select("doc_id", "para_index", F.least(to("_low"), to("_high"))["b"].alias("block_index"))
 
 
-def attach_confidence(issues: DataFrame, roles: DataFrame) -> DataFrame:
-    r = roles.select("doc_id", "para_index", F.col("confidence").alias("role_confidence"), F.col("reason").alias("role_confidence_reason"))
+def attach_confidence(issues: DataFrame, roles: DataFrame, more: list[str] = []) -> DataFrame:
+    """issues with the confidence and reason of their paragraph's role, and more of its columns."""
+    r = roles.select("doc_id", "para_index", *more, F.col("confidence").alias("role_confidence"), F.col("reason").alias("role_confidence_reason"))
     return issues.hint("merge").join(r, ["doc_id", "para_index"], "left")
 
 

@@ -1,31 +1,47 @@
-"""Inherited formatting: style ancestry by pointer doubling, then equi-joins and coalesce."""
+"""Inherited formatting: style ancestry by pointer doubling, then equi-joins and coalesce.
+
+Styles, defaults, paragraphs and runs carry run properties (RUN) and
+paragraph properties (PARA) as columns of these names; null is "not set".
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import trim_ws
+from quire.functions.units import js_round, twips_to_chars
+from quire.sources.tables import stored
+
+RUN = ["font_east_asia", "font_ascii", "font_hansi", "size_pt", "bold", "italic"]
+#: line: struct(pt, multiple), so that a fixed height and a multiple replace each other.
+PARA = ["alignment", "line", "space_before_pt", "space_after_pt", "outline_level", "first_twips", "first_chars", "hanging_twips", "hanging_chars", "left_twips", "left_chars"]
 
-def style_chain(styles: DataFrame, props: list[str], depth: int = 16) -> DataFrame:
+
+def style_chain(styles: DataFrame, props: list[str], keep: Callable[[DataFrame], DataFrame] = lambda df: stored(df, "style-chain")) -> DataFrame:
     """styles(doc_id, style_id, based_on, props…) → (doc_id, style_id, props…) with inherited values.
 
-    Each round doubles the ancestors known of every style: 2 ** rounds of them
-    after all, so `depth` bounds the chain. A style that is reached again adds nothing
-    (its nearest copy wins), so cycles are harmless; a missing parent ends the chain.
+    Each round doubles the ancestors known of every style and writes them out
+    (keep); it ends when a round finds none, so chains may be of any length. A
+    style that is reached again adds nothing (its nearest copy wins): cycles
+    are harmless. A missing parent ends the chain.
     """
     up = styles.select("doc_id", "style_id", F.col("style_id").alias("anc"), F.lit(0).alias("d"))
     step = styles.where("based_on is not null").select("doc_id", F.col("style_id").alias("anc"), F.col("based_on").alias("nxt"))
     known = styles.select("doc_id", F.col("style_id").alias("nxt"))
-    jump = step.join(known, ["doc_id", "nxt"], "left_semi").withColumn("k", F.lit(1))
-    reach = 1
-    while reach < depth:
-        more = up.join(jump.select("doc_id", "anc", "nxt", "k"), ["doc_id", "anc"]).select("doc_id", "style_id", F.col("nxt").alias("anc"), (F.col("d") + F.col("k")).alias("d"))
-        up = up.unionByName(more).groupBy("doc_id", "style_id", "anc").agg(F.min("d").alias("d"))
+    jump = step.hint("merge").join(known, ["doc_id", "nxt"], "left_semi").withColumn("k", F.lit(1))
+    before, now = -1, 0
+    while now != before:
+        more = up.hint("merge").join(jump, ["doc_id", "anc"]).select("doc_id", "style_id", F.col("nxt").alias("anc"), (F.col("d") + F.col("k")).alias("d"))
+        up = keep(up.unionByName(more).groupBy("doc_id", "style_id", "anc").agg(F.min("d").alias("d")))
         a, b = jump.alias("a"), jump.alias("b")
-        jump = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.nxt") == F.col("b.anc"))).select("a.doc_id", "a.anc", "b.nxt", (F.col("a.k") + F.col("b.k")).alias("k"))
-        reach *= 2
+        same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.nxt") == F.col("b.anc"))
+        jump = keep(a.hint("merge").join(b, same).select("a.doc_id", "a.anc", "b.nxt", (F.col("a.k") + F.col("b.k")).alias("k")))
+        before, now = now, up.count()
     own = styles.select("doc_id", F.col("style_id").alias("anc"), *props)
-    j = up.join(own, ["doc_id", "anc"])
+    j = up.hint("merge").join(own, ["doc_id", "anc"])
     return j.groupBy("doc_id", "style_id").agg(*[F.min_by(p, F.when(F.col(p).isNotNull(), F.col("d"))).alias(p) for p in props])
 
 
@@ -42,25 +58,49 @@ def last_styles(raw: DataFrame) -> DataFrame:
 
 def dominant_run(runs: DataFrame, props: list[str]) -> DataFrame:
     """Properties of a paragraph's first run with text."""
-    shown = runs.where(F.col("text").rlike(r"[^\s\x{A0}\x{3000}\x{FEFF}]"))
+    shown = runs.where(trim_ws(F.col("text")) != "")
     return shown.groupBy("doc_id", "para_index").agg(F.min_by(F.struct(*props), "run_index").alias("_run"))
 
 
-def resolve_paragraph(paragraphs: DataFrame, chain: DataFrame, defaults: DataFrame, default_ids: DataFrame, runs: DataFrame, run_props: list[str]) -> DataFrame:
-    """Effective run properties of each paragraph: defaults < style chain < dominant run."""
-    p = paragraphs.select("doc_id", "para_index", "style_id").join(default_ids, "doc_id", "left")
-    p = p.withColumn("_style", F.coalesce("style_id", "default_id"))
-    c = chain.select("doc_id", F.col("style_id").alias("_style"), F.struct(*run_props).alias("_chain"))
-    d = defaults.select("doc_id", F.struct(*run_props).alias("_def"))
-    j = p.join(c, ["doc_id", "_style"], "left").join(d, "doc_id", "left").join(dominant_run(runs, run_props), ["doc_id", "para_index"], "left")
-    return j.select("doc_id", "para_index", *[F.coalesce(f"_run.{x}", f"_chain.{x}", f"_def.{x}").alias(x) for x in run_props])
+def inherited(rows: DataFrame, chain: DataFrame, defaults: DataFrame, default_ids: DataFrame, props: list[str]) -> DataFrame:
+    """rows(doc_id, style_id, …) with _chain and _def: props of the style chain (the default style's where style_id is null) and of the document's defaults."""
+    r = rows.hint("merge").join(default_ids, "doc_id", "left").withColumn("_style", F.coalesce("style_id", "default_id")).drop("default_id")
+    c = chain.select("doc_id", F.col("style_id").alias("_style"), F.struct(*props).alias("_chain"))
+    d = defaults.select("doc_id", F.struct(*props).alias("_def"))
+    return r.hint("merge").join(c, ["doc_id", "_style"], "left").hint("merge").join(d, "doc_id", "left").drop("_style")
+
+
+def _mark(df: DataFrame, p: str) -> list[str]:
+    """The paragraph mark's property, where there is one."""
+    return [f"m_{p}"] if f"m_{p}" in df.columns else []
+
+
+def resolve_paragraph(paragraphs: DataFrame, chain: DataFrame, defaults: DataFrame, default_ids: DataFrame, runs: DataFrame, run_props: list[str], para_props: list[str] = []) -> DataFrame:
+    """Effective properties of each paragraph.
+
+    Run side: defaults < style chain < paragraph mark (m_…) < first run with
+    text. Paragraph side: defaults < style chain < the paragraph's own (p_…).
+    Indents in twips become characters of the effective size: first_line_chars,
+    hanging_chars, left_chars.
+    """
+    j = inherited(paragraphs, chain, defaults, default_ids, run_props + para_props)
+    j = j.hint("merge").join(dominant_run(runs, run_props), ["doc_id", "para_index"], "left")
+    marks = {p: _mark(paragraphs, p) for p in run_props}
+    out = [F.coalesce(f"_run.{p}", *marks[p], f"_chain.{p}", f"_def.{p}").alias(p) for p in run_props]
+    out += [F.coalesce(f"p_{p}", f"_chain.{p}", f"_def.{p}").alias(p) for p in para_props]
+    done = j.select("doc_id", "para_index", *out)
+    size = F.col("size_pt")
+    chars = {}
+    for name, side in (("first_line_chars", "first"), ("hanging_chars", "hanging"), ("left_chars", "left")):
+        if f"{side}_twips" in para_props:
+            twips = F.when(size.isNotNull() & (size != 0), js_round(twips_to_chars(F.col(f"{side}_twips"), size), 2))
+            chars[name] = F.coalesce(js_round(F.col(f"{side}_chars"), 2), twips) if f"{side}_chars" in para_props else twips
+    return done.select("doc_id", "para_index", *[p for p in run_props + para_props if not p.endswith(("_twips", "_chars"))], *[c.alias(n) for n, c in chars.items()])
 
 
 def resolve_run(runs: DataFrame, paragraphs: DataFrame, chain: DataFrame, defaults: DataFrame, default_ids: DataFrame, run_props: list[str]) -> DataFrame:
-    """Effective properties of each run: defaults < style chain < its own."""
-    p = paragraphs.select("doc_id", "para_index", "style_id").join(default_ids, "doc_id", "left").withColumn("_style", F.coalesce("style_id", "default_id"))
-    c = chain.select("doc_id", F.col("style_id").alias("_style"), F.struct(*run_props).alias("_chain"))
-    d = defaults.select("doc_id", F.struct(*run_props).alias("_def"))
-    base = p.join(c, ["doc_id", "_style"], "left").join(d, "doc_id", "left").select("doc_id", "para_index", "_chain", "_def")
-    j = runs.select("doc_id", "para_index", "run_index", *run_props).join(base, ["doc_id", "para_index"])
-    return j.select("doc_id", "para_index", "run_index", *[F.coalesce(x, f"_chain.{x}", f"_def.{x}").alias(x) for x in run_props])
+    """Effective properties of each run: defaults < style chain < paragraph mark (m_…) < its own."""
+    marks = {p: _mark(paragraphs, p) for p in run_props}
+    base = inherited(paragraphs.select("doc_id", "para_index", "style_id", *[x for xs in marks.values() for x in xs]), chain, defaults, default_ids, run_props)
+    j = runs.select("doc_id", "para_index", "run_index", "text", *run_props).hint("merge").join(base, ["doc_id", "para_index"])
+    return j.select("doc_id", "para_index", "run_index", "text", *[F.coalesce(p, *marks[p], f"_chain.{p}", f"_def.{p}").alias(p) for p in run_props])

@@ -78,6 +78,24 @@ def describe_rule(fmt) -> Column:
     )
 
 
+# Alignment → words of a hint.
+ALIGN_WORDS = {"left": "左对齐", "right": "右对齐", "center": "居中", "justify": "两端对齐", "both": "两端对齐", "distribute": "分散对齐"}
+
+
+def rule_target(unit: Column) -> Column:
+    """What the rule asks for, as hints say it; unit: suffix of numbers."""
+    words = F.create_map(*[F.lit(x) for kv in ALIGN_WORDS.items() for x in kv])
+    num = lambda n: F.concat(number_text(n), unit)
+    one = lambda s, n, b: F.coalesce(num(n), F.concat(F.lit("「"), F.coalesce(F.try_element_at(words, s), s), F.lit("」")), F.when(b, "「加粗」").when(~b, "「不加粗」"))
+    low, high, none = num(F.col("min")), num(F.col("max")), F.lit("规范值")
+    return (
+        F.when(F.col("mode") == "exact", F.coalesce(one(F.col("exact_str"), F.col("exact_num"), F.col("exact_bool")), none))
+        .when(F.col("mode") == "oneOf", F.coalesce(F.nullif(F.array_join(F.transform("one_of", lambda x: one(x["s"], x["n"], x["b"])), " 或 "), F.lit("")), none))
+        .when(F.col("mode") == "range", F.coalesce(F.concat(low, F.lit(" ~ "), high), F.concat(F.lit("不小于 "), low), F.concat(F.lit("不大于 "), high), F.lit("规范范围")))
+        .otherwise(none)
+    )
+
+
 def rule_for_role(rule_roles: DataFrame) -> DataFrame:
     """The roles that have rules (role) → (role, rule_role): of every role that is known or has rules its own rules, else the first stand-in's.
 
@@ -150,7 +168,7 @@ def check_paragraph_fields(roles: DataFrame, rules: DataFrame, skip: DataFrame |
     bad = hit.where(~matches_rule(F.col("s"), F.col("n"), F.col("b"), _by_key({k: x[3] for k, x in FIELDS.items()})))
     return bad.select(
         "doc_id", "para_index", "role", _by_key({k: x[1] for k, x in FIELDS.items()}).alias("field"), "severity", "shown", "text_preview",
-        F.concat(_by_key({k: x[0] for k, x in FIELDS.items()}), describe_rule(_shown), F.lit("，实际 "), F.col("shown")).alias("message"),
+        F.concat(_by_key({k: x[0] for k, x in FIELDS.items()}), describe_rule(_shown), F.lit("，实际 "), F.col("shown")).alias("message"), rule_target(_by_key({k: x[2] for k, x in FIELDS.items()})).alias("target"),
     )
 
 
@@ -170,9 +188,9 @@ def comparable_runs(runs: DataFrame) -> DataFrame:
     return shown.select("doc_id", "para_index", "run_index", "text", F.inline(F.filter(every, lambda x: x["ok"]))).drop("ok")
 
 
-def run_islands(failing: DataFrame) -> DataFrame:
-    """Neighbouring failing runs of one value become one row: start_run, end_run, affected_text."""
-    keys = ["doc_id", "para_index", "field_key"]
+def run_islands(failing: DataFrame, carry: list[str] = []) -> DataFrame:
+    """Neighbouring failing runs of one value become one row: start_run, end_run, affected_text; carry: columns that a paragraph and field fix."""
+    keys = ["doc_id", "para_index", "field_key", *carry]
     w = Window.partitionBy(*keys).orderBy("run_index")
     value = F.struct("s", "n")
     joined = (F.col("run_index") == F.lag("run_index").over(w) + 1) & value.eqNullSafe(F.lag(value).over(w))
@@ -188,7 +206,23 @@ def check_run_fields(roles: DataFrame, runs: DataFrame, rules: DataFrame) -> Dat
     own = small(rules_by_role(enabled_rules(rules)))
     r = comparable_runs(runs).hint("merge").join(roles.where("role is not null").select("doc_id", "para_index", "role"), ["doc_id", "para_index"])
     bad = r.join(own, ["role", "field_key"]).where(~matches_rule(F.col("s"), F.col("n"), F.lit(None).cast("boolean"), F.lit(0.01)))
-    return run_islands(bad.select("doc_id", "para_index", "field_key", "run_index", "text", "s", "n"))
+    unit = _by_key({k: x[2] for k, x in FIELDS.items()})
+    bad = bad.withColumns({"_say": F.concat(_by_key({k: x[0] for k, x in FIELDS.items()}), describe_rule(_shown)), "target": rule_target(unit)})
+    i = run_islands(bad.select("doc_id", "para_index", "field_key", "role", "severity", "_say", "target", "run_index", "text", "s", "n"), ["role", "severity", "_say", "target"])
+    shown = _shown(F.col("s"), F.col("n"), F.lit(None).cast("boolean"))
+    first, last = (F.col("start_run") + 1).cast("string"), (F.col("end_run") + 1).cast("string")
+    place = F.concat(F.lit("第 "), first, F.when(F.col("end_run") > F.col("start_run"), F.concat(F.lit("-"), last)).otherwise(""), F.lit(" 个文本片段「"), F.col("affected_text"), F.lit("」"))
+    return i.select(
+        "doc_id", "para_index", "role", _by_key({k: x[1] for k, x in FIELDS.items()}).alias("field"), "severity", shown.alias("shown"), preview24(F.col("affected_text")).alias("text_preview"),
+        F.concat(place, F.col("_say"), F.lit("，实际 "), shown).alias("message"), "target", "start_run", "end_run", "affected_text",
+    )
+
+
+def check_fields(roles: DataFrame, runs: DataFrame, rules: DataFrame) -> DataFrame:
+    """Paragraph and run checks together: fonts and sizes by runs where a run can be compared, else by the paragraph."""
+    by_run = check_run_fields(roles, runs, rules)
+    skip = comparable_runs(runs).select("doc_id", "para_index", "field_key").distinct()
+    return check_paragraph_fields(roles, rules, skip).unionByName(by_run, allowMissingColumns=True)
 
 
 def check_legacy_fields(roles: DataFrame, styles: DataFrame) -> DataFrame:

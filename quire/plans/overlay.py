@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.word import Word
+
 SKELETON = [
     ("fixed", "某某大学"), ("fixed", "摘 要"), ("line", "1"), ("kw", ""), ("fixed", "Abstract"), ("line", "2"), ("kwen", ""),
     ("fixed", "目录"), ("toc", "绪论"), ("h1", "1"), ("line", "3"), ("h2", "1"), ("draw", ""), ("fig", "1"), ("fig", "2"), ("cell", "x"),
@@ -167,6 +169,7 @@ TOKEN_COLUMNS = {
     "font_ascii": "case when doc_id % 5 = 0 then null else 'Times New Roman' end",
     "font_hansi": "case when doc_id % 2 = 0 then 'Arial' else 'Times New Roman' end",
     "size_pt": "cast(case when (doc_id + tok) % 6 = 0 then 10.5 else 9.0 end as double)",
+    "instruction": "case when tok_kind = 'pageNumber' then 'PAGE' else '' end",
     "border_style": "case when doc_id % 3 = 0 then 'single' when doc_id % 3 = 1 then 'none' else null end",
 }
 
@@ -179,6 +182,14 @@ def hf_tokens(p: DataFrame) -> DataFrame:
     return t.select("doc_id", *names, *[_spark(e).alias(n) for n, e in TOKEN_COLUMNS.items()])
 
 
+def word(spark: SparkSession, sf_dir: str) -> Word:
+    """The overlay as the tables of a corpus of Word files."""
+    p = paragraphs(spark, sf_dir)
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    none = documents.limit(0)
+    return Word(documents, p, runs(p), fields(p), bookmarks(p), note_refs(p), note_defs(p), sections(p), hf_tokens(p), none, none, none)
+
+
 def _duck(columns: dict[str, str]) -> str:
     return ", ".join(f"{e} as {n}" for n, e in columns.items())
 
@@ -198,4 +209,4 @@ nref as (select doc_id, para_index, {NOTE_TYPE} as type, cast(v % 5 as varchar)
 ndef as (select doc_id, 'footnote' as type, unnest(range(0, 4)) as seq from par where para_index = 0 union all select doc_id, 'endnote', unnest(range(1, 8)) from par where para_index = 0),
 sec as (select doc_id, section_index, {_duck(SECTION_COLUMNS)} from (select doc_id, unnest([0, 1]) as section_index from par where para_index = 0 and doc_id % 11 <> 10)),
 tk0(kind, part, para, tok, tok_kind, text) as (values {", ".join(f"('{k}', {a}, {b}, {c}, '{d}', '{e}')" for k, a, b, c, d, e in TOKENS)}),
-tok as (select doc_id, tk0.kind, part, para, tok, tok_kind, tk0.text, {_duck(TOKEN_COLUMNS).replace("kind =", "tk0.kind =")} from par, tk0 where para_index = 0 and doc_id % 13 <> 12)"""
+tok as (select doc_id, tk0.kind, part, para, tok, tok_kind, tk0.text, {_duck(TOKEN_COLUMNS).replace(" kind =", " tk0.kind =")} from par, tk0 where para_index = 0 and doc_id % 13 <> 12)"""

@@ -201,10 +201,17 @@ _add("check_references", lambda s, d: X.check_references(_graph(s, d)), f"{_GR}
 _add("field_rows", lambda s, d: O.fields(_par(s, d)).select("doc_id", "para_index", "field_index", "display_text", "start_run", "end_run"), f"{WITH} select doc_id, para_index, field_index, display_text, start_run, end_run from fld")
 _add("bookmark_rows", lambda s, d: X.bookmark_rows(O.bookmarks(_par(s, d))), f"{WITH} select distinct * from bkm")
 _NL = "case type when 'footnote' then '脚注' else '尾注' end"
-_NOTES = f"""lost as (select doc_id, para_index, 'note_reference' as field, {_NL} || '#' || note_id || '（缺失）' as actual, 'error' as severity, {_NL} || '引用「' || note_id || '」缺少对应定义' as message from nref where not exists (select 1 from ndef x where x.doc_id = nref.doc_id and x.type = nref.type and cast(x.seq as varchar) = nref.note_id)),
+_NOTES = f"""lost as (select nref.doc_id, nref.para_index, coalesce(rol.role, 'unknown') as role, 'note_reference' as field, '存在对应' || {_NL} || '定义' as expected, {_NL} || '#' || note_id || '（缺失）' as actual, 'error' as severity, {_NL} || '引用「' || note_id || '」缺少对应定义' as message from nref left join rol using (doc_id, para_index) where not exists (select 1 from ndef x where x.doc_id = nref.doc_id and x.type = nref.type and cast(x.seq as varchar) = nref.note_id)),
 idl as (select doc_id, type, count(*) as n, array_to_string(list(cast(seq as varchar) order by seq)[1:5], ', ') as ids from ndef where not exists (select 1 from nref x where x.doc_id = ndef.doc_id and x.type = ndef.type and x.note_id = cast(ndef.seq as varchar)) group by doc_id, type),
-nts as (select * from lost union all select doc_id, -1, 'note_definition', n || ' 条未引用（' || ids || case when n > 5 then ' ...' else '' end || '）', 'info', '检测到 ' || n || ' 条' || {_NL} || '定义未被正文引用' from idl)"""
-_add("check_notes", lambda s, d: X.check_notes(O.note_refs(_par(s, d)), O.note_defs(_par(s, d))), f"{WITH}, {_NOTES} select * from nts")
+nts as (select * from lost union all select doc_id, -1, 'document', 'note_definition', '全部' || {_NL} || '定义均被正文引用', n || ' 条未引用（' || ids || case when n > 5 then ' ...' else '' end || '）', 'info', '检测到 ' || n || ' 条' || {_NL} || '定义未被正文引用' from idl)"""
+
+
+def _notes(s, d):
+    p = _par(s, d)
+    return X.check_notes(O.note_refs(p), O.note_defs(p), R.classify_roles(p))
+
+
+_add("check_notes", _notes, f"{ROLES}, {_NOTES} select * from nts")
 _add("note_rows", lambda s, d: O.note_defs(_par(s, d)).select("doc_id", "type", "note_id"), f"{WITH} select doc_id, type, cast(seq as varchar) as note_id from ndef")
 _NB = f"case when {trim('text')} <> '' then text end"
 _add("neighbour_text", lambda s, d: X.neighbour_text(_par(s, d)), f"{WITH} select doc_id, para_index, last_value({_NB} ignore nulls) over (partition by doc_id order by para_index rows between unbounded preceding and 1 preceding) as prev_text, first_value({_NB} ignore nulls) over (partition by doc_id order by para_index rows between 1 following and unbounded following) as next_text from par")
@@ -295,26 +302,28 @@ def _segs(s, d):
 _SEG = """sg0 as (select *, sum(case when tok_kind = 'tab' then 1 else 0 end) over (partition by doc_id, kind, part, para order by tok) as z, sum(case when tok_kind = 'tab' then 1 else 0 end) over (partition by doc_id, kind, part, para) as tabs,
  case when para_alignment = 'end' then 'right' when para_alignment in ('left', 'center', 'right') then para_alignment else 'left' end as base from tok),
 sg1 as (select *, tabs = 0 and base = 'left' and tok_kind = 'text' and regexp_matches(text, ' {4,}') as sp from sg0 where tok_kind <> 'tab'),
-seg as materialized (select doc_id, kind, part, para, tok, 0 as seg, tok_kind as seg_kind, text, case when tabs >= 2 and z = 1 then 'center' when tabs > 0 and z > 0 then 'right' when tabs > 0 then 'left' else base end as alignment, font_east_asia, font_ascii, font_hansi, size_pt, border_style from sg1 where not sp
- union all select doc_id, kind, part, para, tok, unnest([0, 1, 2]), tok_kind, unnest([regexp_extract(text, '^(.*?) {4,}', 1), regexp_extract(text, ' {4,}'), regexp_extract(text, ' {4,}(.*)$', 1)]), unnest(['left', 'left', 'right']), font_east_asia, font_ascii, font_hansi, size_pt, border_style from sg1 where sp)"""
+seg as materialized (select doc_id, kind, part, para, tok, 0 as seg, tok_kind as seg_kind, text, instruction, case when tabs >= 2 and z = 1 then 'center' when tabs > 0 and z > 0 then 'right' when tabs > 0 then 'left' else base end as alignment, font_east_asia, font_ascii, font_hansi, size_pt, border_style from sg1 where not sp
+ union all select doc_id, kind, part, para, tok, unnest([0, 1, 2]), tok_kind, unnest([regexp_extract(text, '^(.*?) {4,}', 1), regexp_extract(text, ' {4,}'), regexp_extract(text, ' {4,}(.*)$', 1)]), instruction, unnest(['left', 'left', 'right']), font_east_asia, font_ascii, font_hansi, size_pt, border_style from sg1 where sp),
+rl0 as (select doc_id, kind, part, para, string_agg(seg_kind || ':' || alignment || ':' || text || ':' || instruction, '|' order by tok, seg) as k, bool_or(seg_kind = 'pageNumber') as has, bool_or({TRIM_TEXT} <> '') as any_text, max(border_style) as border_style from seg group by doc_id, kind, part, para),
+kept as (select * from (select *, row_number() over (partition by doc_id, kind, part, k order by para) as rn from rl0 where has or any_text) where rn = 1)""".replace("{TRIM_TEXT}", trim("text"))
 _add("hf_segments", lambda s, d: O.hf_tokens(_par(s, d)).where("tok_kind <> 'tab'").select("doc_id", "kind", "part", "para", "tok", "tok_kind", "text"), f"{WITH} select doc_id, kind, part, para, tok, tok_kind, text from tok where tok_kind <> 'tab'")
 _add("hf_align", lambda s, d: _segs(s, d).select("doc_id", "kind", "part", "para", "tok", "seg", "seg_kind", "text", "alignment"), f"{WITH}, {_SEG} select doc_id, kind, part, para, tok, seg, seg_kind, text, alignment from seg")
 _sd = lambda a: inline(f"coalesce(string_agg(text, '' order by tok, seg) filter (where alignment = '{a}' and seg_kind = 'text'), '')")
 _ag = lambda a: inline(f"coalesce(string_agg({a}, ' ' order by para) filter (where {a} <> ''), '')")
-_ROLL = f"""rl0 as (select doc_id, kind, part, para, string_agg(seg_kind || ':' || alignment || ':' || text, '|' order by tok, seg) as k, bool_or(seg_kind = 'pageNumber') as has, bool_or({trim('text')} <> '') as any_text, {_sd('left')} as l, {_sd('center')} as c, {_sd('right')} as r from seg group by all),
-rl1 as (select *, row_number() over (partition by doc_id, kind, part, k order by para) as rn from rl0 where has or any_text),
-roll as (select doc_id, kind, part, {_ag('l')} as left_text, {_ag('c')} as center_text, {_ag('r')} as right_text, bool_or(has) as has_page_number from rl1 where rn = 1 group by doc_id, kind, part)"""
+_ROLL = f"""rl1 as (select doc_id, kind, part, para, any_value(has) as has, {_sd('left')} as l, {_sd('center')} as c, {_sd('right')} as r from seg join kept using (doc_id, kind, part, para) group by doc_id, kind, part, para),
+roll as (select doc_id, kind, part, {_ag('l')} as left_text, {_ag('c')} as center_text, {_ag('r')} as right_text, bool_or(has) as has_page_number from rl1 group by doc_id, kind, part)"""
 _add("hf_rollup", lambda s, d: P.hf_rollup(_segs(s, d)), f"{WITH}, {_SEG}, {_ROLL} select * from roll")
-_add("hf_border", lambda s, d: O.hf_tokens(_par(s, d)).where("kind = 'header' and tok = 0").select("doc_id", "part", "para", F.coalesce(~F.col("border_style").isin("none", "nil"), F.lit(False)).alias("visible")), f"{WITH} select doc_id, part, para, coalesce(border_style not in ('none', 'nil'), false) as visible from tok where kind = 'header' and tok = 0")
+_add("hf_border", lambda s, d: O.hf_tokens(_par(s, d)).where("kind = 'header' and tok = 0").select("doc_id", "part", "para", P.border_visible(F.col("border_style")).alias("visible")), f"{WITH} select doc_id, part, para, coalesce(border_style not in ('none', 'nil'), false) as visible from tok where kind = 'header' and tok = 0")
 _add("check_header_text", lambda s, d: P.check_header_text(_docs(s, d), P.hf_rollup(_segs(s, d)), "某某大学 论文"), f"""{WITH}, {_SEG}, {_ROLL}, ht as (select doc_id, bool_or(contains({compact('left_text')}, '某某大学论文')) as ok, string_agg(case when left_text = '' then '(左侧无文字)' else left_text end, ' / ' order by part) as actual from roll where kind = 'header' group by doc_id)
-select d.doc_id, 'header_text' as field, '某某大学 论文' as expected, coalesce(nullif(actual, ''), '(无页眉文字)') as actual from documents d left join ht using (doc_id) where not coalesce(ok, false)""")
+select d.doc_id, 'header_text' as field, '某某大学 论文' as expected, coalesce(nullif(actual, ''), '(无页眉文字)') as actual, 'warn' as severity, '页眉应包含「某某大学 论文」' as message from documents d left join ht using (doc_id) where not coalesce(ok, false)""")
 
 
 def _segsql(field, value, shown, ok, expected, header):
+    severity, say = P.HF_CHECKS[field]
     cond = f"kind = 'header' and seg_kind = 'text' and {trim('text')} <> ''" if header else "seg_kind = 'pageNumber'"
-    return f"""{WITH}, {_SEG}, s1 as (select *, {shown} as v, {value} as val, (case kind when 'header' then 1 else 0 end) as h from seg where {cond}),
+    return f"""{WITH}, {_SEG}, s1 as (select *, {shown} as v, {value} as val, (case kind when 'header' then 1 else 0 end) as h from seg join kept using (doc_id, kind, part, para) where {cond}),
 s2 as (select doc_id, v, min((h, part, para, tok, seg)) as f from s1 where v is not null group by doc_id, v), s3 as (select doc_id, string_agg(v, ' / ' order by f) as actual from s2 group by doc_id), s4 as (select doc_id, bool_and(coalesce({ok}, false)) as ok from s1 group by doc_id)
-select d.doc_id, '{field}' as field, '{expected}' as expected, coalesce(actual, '(未设置)') as actual from documents d left join s4 using (doc_id) left join s3 using (doc_id) where not coalesce(ok, false)"""
+select d.doc_id, '{field}' as field, '{expected}' as expected, coalesce(actual, '(未设置)') as actual, '{severity}' as severity, '{say.format(expected)}' as message from documents d left join s4 using (doc_id) left join s3 using (doc_id) where not coalesce(ok, false)"""
 
 
 _latin = lambda: F.coalesce("font_ascii", "font_hansi")
@@ -328,18 +337,20 @@ _SEGMENT_CHECKS = [
 ]
 for _n, _f, _c, _e, _h, _v, _ok in _SEGMENT_CHECKS:
     _num = isinstance(_e, float)
-    _add(_n, lambda s, d, f=_f, c=_c, e=_e, h=_h: P.check_segments(_docs(s, d), _segs(s, d), f, c(), e, h), _segsql(_f, _v, NUM.format(_v) if _num else _v, _ok, "9" if _num else _e, _h))
-_add("check_header_border", lambda s, d: P.check_header_border(_docs(s, d), _segs(s, d), True), f"""{WITH}, hb as (select doc_id, count(*) as m, count(*) filter (where coalesce(border_style not in ('none', 'nil'), false)) as n from (select distinct doc_id, part, para, border_style from tok where kind = 'header') group by doc_id)
-select d.doc_id, 'header_bottom_border' as field, coalesce(n, 0) || '/' || coalesce(m, 0) as actual from documents d left join hb using (doc_id) where not (coalesce(m, 0) > 0 and coalesce(n, 0) = coalesce(m, 0))""")
+    _add(_n, lambda s, d, f=_f, c=_c, e=_e, h=_h: P.check_segments(_docs(s, d), P.hf_kept(_segs(s, d)), f, c(), e, h), _segsql(_f, _v, NUM.format(_v) if _num else _v, _ok, "9" if _num else _e, _h))
+_HB = "hb as (select doc_id, count(*) as m, count(*) filter (where coalesce(border_style not in ('none', 'nil'), false)) as n from kept where kind = 'header' group by doc_id)"
+_HBQ = "select d.doc_id, 'header_bottom_border' as field, 'true' as expected, coalesce(n, 0) || '/' || coalesce(m, 0) as actual, 'warn' as severity, '页眉下方应设置边框线' as message from documents d left join hb using (doc_id) where not (coalesce(m, 0) > 0 and coalesce(n, 0) = coalesce(m, 0))"
+_add("check_header_border", lambda s, d: P.check_header_border(_docs(s, d), _segs(s, d), True), f"{WITH}, {_SEG}, {_HB} {_HBQ}")
 
+HEADER_RULES = {"left_text": "某某大学 论文", "font_east_asia": "宋体", "font_latin": "Times New Roman", "size_pt": 9.0, "bottom_border": True, "number_alignment": "right", "number_font_latin": "Times New Roman", "number_size_pt": 9.0}
+_HEADER_SQL = [_S[n] for n in ("check_header_text", "check_header_border", *[n for n, *_ in _SEGMENT_CHECKS])]
 _LOW = "doc_id, {0} as check_seq, -1 as para_index, 'document' as role, field, {1} as severity, {2} as message"
 #: All checks but those of paragraph fields, as al0.
 CORPUS_SQL = f"""{_GR}, {_FIG}, {_TAB}, {HEADINGS[len(ROLES) + 1:]}, {_NOTES}, {_PAGE}, {_PN}, {_CNT[len(ROLES) + 1:]},
-hb as (select doc_id, count(*) as m, count(*) filter (where coalesce(border_style not in ('none', 'nil'), false)) as n from (select distinct doc_id, part, para, border_style from tok where kind = 'header') group by doc_id),
 al0 as (select {_LOW.format(1, "'error'", 'message')} from pg union all select {_LOW.format(2, "'error'", 'message')} from pnn
- union all select d.doc_id, 3, -1, 'document', 'header_bottom_border', 'warn', 'header_bottom_border: true' from documents d left join hb using (doc_id) where not (coalesce(m, 0) > 0 and coalesce(n, 0) = coalesce(m, 0))
+ {" ".join(f"union all select {_LOW.format(3, 'severity', 'message')} from ({q})" for q in _HEADER_SQL)}
  union all select doc_id, 4, para_index, role, field, severity, message from hseq union all select doc_id, 5, para_index, role, field, severity, message from cfseq union all select doc_id, 6, para_index, role, field, severity, message from ctseq
- union all select doc_id, 7, para_index, role, field, severity, message from ({_RSQL}) union all select doc_id, 8, para_index, case when para_index < 0 then 'document' else 'unknown' end, field, severity, message from nts
+ union all select doc_id, 7, para_index, role, field, severity, message from ({_RSQL}) union all select doc_id, 8, para_index, role, field, severity, message from nts
  union all select {_LOW.format(9, 'severity', 'message')} from (select doc_id, 'keywords_cn_count' as field, 'warn' as severity, '中文关键词数量应为 3-5 个，实际 ' || keywords_cn || ' 个' as message from cnt where keywords_cn < 3 or keywords_cn > 5)
  union all select {_LOW.format(9, 'severity', 'message')} from (select doc_id, 'abstract_en_words' as field, 'warn' as severity, '英文摘要词数应不超过 40 词，实际 ' || abstract_en || ' 词' as message from cnt where abstract_en > 40)
  union all select {_LOW.format(9, 'severity', 'message')} from (select doc_id, 'references_count' as field, 'error' as severity, '参考文献应不少于 3 条，实际 ' || refs || ' 条' as message from cnt where refs < 3)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import proposals as PR
+from quire.operators import references as X
 from quire.operators import report as RP
 from quire.operators import resolve as RS
 from quire.operators import roles as R
 from quire.operators import rules as RU
 from quire.operators import style_checks as C
+from quire.plans import files as FI
 from quire.plans import overlay as O
 from quire.plans import validate as V
 from quire.sources import docx as D
@@ -102,16 +104,21 @@ def _pn(x):
 
 _DESC = f"""case mode when 'exact' then '应为 ' || coalesce({_pn('en')}, '「' || coalesce(es, case when eb then '是' when not eb then '否' end, '（未设置）') || '」') when 'oneOf' then '应为以下之一：' || array_to_string(list_transform(one_of, lambda x: '「' || x || '」'), ' / ')
  else case when lo is not null and hi is not null then '应在 ' || {_pn('lo')} || ' ~ ' || {_pn('hi')} || ' 范围内' when lo is not null then '应不小于 ' || {_pn('lo')} else '应不大于 ' || {_pn('hi')} end end"""
-_PF = f"""{ROLES}, {_OWN}, vls as ({_VALS}), pf as (select doc_id, para_index, role, field, severity, shown, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 24) as text_preview, label || {_DESC} || '，实际 ' || shown as message from vls join own using (role, field_key) join fl using (field_key) where not ({_OK}))"""
+_WORDS = "case {0} " + " ".join(f"when '{k}' then '{v}'" for k, v in C.ALIGN_WORDS.items()) + " else {0} end"
+_T1 = f"coalesce({_pn('en')}, '「' || {_WORDS.format('es')} || '」', case when eb then '「加粗」' when not eb then '「不加粗」' end, '规范值')"
+_TARGET = f"""case mode when 'exact' then {_T1} when 'oneOf' then coalesce(nullif(array_to_string(list_transform(one_of, lambda x: '「' || {_WORDS.format('x')} || '」'), ' 或 '), ''), '规范值')
+ else coalesce({_pn('lo')} || ' ~ ' || {_pn('hi')}, '不小于 ' || {_pn('lo')}, '不大于 ' || {_pn('hi')}, '规范范围') end"""
+_PF = f"""{ROLES}, {_OWN}, vls as ({_VALS}), pf as (select doc_id, para_index, role, field, severity, shown, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 24) as text_preview, label || {_DESC} || '，实际 ' || shown as message, {_TARGET} as target from vls join own using (role, field_key) join fl using (field_key) where not ({_OK}))"""
 
 _RUNV = f"""rv as (select doc_id, para_index, run_index, text, 'fontFamilyCn' as field_key, font_east_asia as s, cast(null as double) as n from run where {trim('text')} <> '' and {_CJK} and font_east_asia is not null
  union all select doc_id, para_index, run_index, text, 'fontFamilyLatin', font_ascii, null from run where {trim('text')} <> '' and {_LAT} and font_ascii is not null
  union all select doc_id, para_index, run_index, text, 'fontSizePt', null, size_pt from run where {trim('text')} <> '' and size_pt is not null)"""
-_ISL = """rb as (select rv.* from rv join (select doc_id, para_index, role from rol where role is not null) q using (doc_id, para_index) join (select *, cast(null as boolean) as b from own) using (role, field_key) join (select field_key, 0.01 as tol from fl) using (field_key)
+_ISL = f"""rb as (select rv.*, q.role, severity, fl.field, label || {_DESC} as say, {_TARGET} as target from rv join (select doc_id, para_index, role from rol where role is not null) q using (doc_id, para_index) join (select *, cast(null as boolean) as b from own) using (role, field_key) join (select * exclude (tol), 0.01 as tol from fl) fl using (field_key)
  where not (case mode when 'exact' then coalesce(s = es, false) or coalesce(abs(n - en) <= tol, false) when 'oneOf' then coalesce(list_contains(one_of, s), false) else n is not null and coalesce(n >= lo, true) and coalesce(n <= hi, true) end)),
 ri as (select *, case when run_index = lag(run_index) over w + 1 and s is not distinct from lag(s) over w and n is not distinct from lag(n) over w then 0 else 1 end as nw from rb window w as (partition by doc_id, para_index, field_key order by run_index)),
 rj as (select *, sum(nw) over (partition by doc_id, para_index, field_key order by run_index) as no from ri),
-isl as (select doc_id, para_index, field_key, s, n, min(run_index) as start_run, max(run_index) as end_run, string_agg(text, '' order by run_index) as affected_text from rj group by doc_id, para_index, field_key, no, s, n)"""
+is0 as (select doc_id, para_index, role, field, field_key, severity, say, target, coalesce({NUM.format('n')} || 'pt', '「' || s || '」') as shown, min(run_index) as start_run, max(run_index) as end_run, string_agg(text, '' order by run_index) as affected_text from rj group by doc_id, para_index, role, field, field_key, severity, say, target, no, s, n),
+isl as (select doc_id, para_index, role, field, severity, shown, '第 ' || (start_run + 1) || case when end_run > start_run then '-' || (end_run + 1) else '' end || ' 个文本片段「' || affected_text || '」' || say || '，实际 ' || shown as message, target, start_run, end_run, affected_text from is0)"""
 
 LEGACY = [("body_text", "宋体", "Arial", 12.0, False, "justify", 20.0, 2.0), ("back_matter_body", "黑体", None, 10.5, None, None, None, None), ("heading1", None, None, None, True, "center", None, 0.0)]
 LEGACY_SCHEMA = "role string, font_east_asia string, font_latin string, size_pt double, bold boolean, alignment string, line_spacing_pt double, first_line_indent_chars double"
@@ -203,10 +210,25 @@ iss as materialized (select doc_id, 4 as check_seq, para_index, role, field, act
 _SEV = "case severity when 'error' then 0 when 'warn' then 1 else 2 end"
 _PRK = "case when para_index < 0 then 2147483647 else para_index end"
 _ALL = "doc_id, check_seq, para_index, role, field, actual, severity, message"
-TEMPLATES = [("font_east_asia", "auto", "将中文字体由 {actual} 改为规定值。"), ("size_pt", "auto", "将字号由 {actual} 改为规定值。"), ("heading_sequence", "manual", "请核对标题编号 {actual}。")]
+
+
+def _hint_sql(field: str, expected: str, target: str, actual: str, part: str) -> tuple[str, str]:
+    """(fixability, suggestion) of a hint, as SQL."""
+    goal = f"coalesce({target}, {expected} || case when {field} like '%\\_cm' escape '\\' then 'cm' when {field} like '%\\_pt' escape '\\' then 'pt' else '' end, '规范值')"
+    said = lambda t: f"replace(replace(replace(replace('{t}', '{{target}}', {goal}), '{{part}}', {part}), '{{expected}}', coalesce({expected}, '')), '{{actual}}', coalesce({actual}, ''))"
+    line, ref = f"ends_with(coalesce({actual}, ''), 'pt')", f"contains(coalesce({actual}, ''), '不存在')"
+    cases = [(f"{field} = 'line_spacing_pt' and {line}", V.LINE_HINTS[True]), (f"{field} = 'line_spacing_pt'", V.LINE_HINTS[False]), (f"{field} = 'caption_reference' and {ref}", V.REFERENCE_HINTS[True]), (f"{field} = 'caption_reference'", V.REFERENCE_HINTS[False])]
+    cases += [(f"{field} = '{k}'", h) for k, h in V.HINTS.items()]
+    return tuple("case " + " ".join(f"when {c} then {f(h)}" for c, h in cases) + f" else {f(V.OTHER_HINT)} end" for f in (lambda h: f"'{h[0]}'", lambda h: said(h[1])))
+
+
 
 
 def add(_add) -> None:
+    from quire.plans.registry import _RSQL as REF_SQL
+    from quire.plans.registry import CORPUS_SQL
+    from quire.plans.registry import _S as S_ALL
+
     par = O.paragraphs
 
     def roles(s, d):
@@ -220,13 +242,13 @@ def add(_add) -> None:
     _add("describe_rule", lambda s, d: C.check_paragraph_fields(roles(s, d), rules(s)).groupBy("message").agg(F.count("*").alias("n")), f"{_PF} select message, count(*) as n from pf group by message")
     _add("comparable_runs", lambda s, d: C.comparable_runs(O.runs(par(s, d))), f"{WITH}, {_RUNV} select * from rv")
     _add("run_rows", lambda s, d: O.runs(par(s, d)).groupBy("doc_id", "para_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run_index", "text"))), lambda x: x["text"]), "").alias("text")), f"{WITH} select doc_id, para_index, text from par")
-    _add("check_run_fields", lambda s, d: C.check_run_fields(roles(s, d), O.runs(par(s, d)), rules(s)), f"{ROLES}, {_OWN}, {_RUNV}, {_ISL} select * from isl")
-    _add("run_islands", lambda s, d: C.check_run_fields(roles(s, d), O.runs(par(s, d)), rules(s)).groupBy("field_key").agg(F.count("*").alias("n"), F.sum(F.col("end_run") - F.col("start_run") + 1).alias("runs")), f"{ROLES}, {_OWN}, {_RUNV}, {_ISL} select field_key, count(*) as n, cast(sum(end_run - start_run + 1) as bigint) as runs from isl group by field_key")
+    _add("check_run_fields", lambda s, d: C.check_run_fields(roles(s, d), O.runs(par(s, d)), rules(s)).drop("text_preview"), f"{ROLES}, {_OWN}, {_RUNV}, {_ISL} select * from isl")
+    _add("run_islands", lambda s, d: C.check_run_fields(roles(s, d), O.runs(par(s, d)), rules(s)).groupBy("field").agg(F.count("*").alias("n"), F.sum(F.col("end_run") - F.col("start_run") + 1).alias("runs")), f"{ROLES}, {_OWN}, {_RUNV}, {_ISL} select field, count(*) as n, cast(sum(end_run - start_run + 1) as bigint) as runs from isl group by field")
 
     def fallback(s, d):
         """Paragraph checks of fields that have no comparable run."""
         skip = C.comparable_runs(O.runs(par(s, d))).select("doc_id", "para_index", "field_key").distinct()
-        return C.check_paragraph_fields(roles(s, d), rules(s), skip).drop("text_preview")
+        return C.check_paragraph_fields(roles(s, d), rules(s), skip).drop("text_preview", "target")
 
     _add("check_run_fallback", fallback, f"{ROLES}, {_OWN}, {_RUNV}, vls as ({_VALS}) select doc_id, para_index, role, field, severity, shown, label || {_DESC} || '，实际 ' || shown as message from vls join own using (role, field_key) join fl using (field_key) where not ({_OK}) and (doc_id, para_index, field_key) not in (select distinct doc_id, para_index, field_key from rv)")
     _add("check_legacy_fields", lambda s, d: C.check_legacy_fields(roles(s, d), s.createDataFrame(LEGACY, LEGACY_SCHEMA)), _LSQL)
@@ -300,8 +322,26 @@ select level, code, role, field_key, {wsql} from x"""
     prov = [("body", " 第三章 "), ("heading1", ""), ("page_setup_comment", "页面设置")]
     rk, fk = [("body_text", "body"), ("heading1", "heading1")], [("paper_size", "page_setup_comment")]
     _add("provenance_lookup", lambda s, d: RP.provenance_lookup(issues(s, d), s.createDataFrame(rk, "role string, key string"), s.createDataFrame(fk, "field string, key string"), s.createDataFrame(prov, "key string, text string")), f"{_ISS} select *, case when role = 'body_text' then '第三章' when field = 'paper_size' then '页面设置' end as provenance from iss")
-    tsql = "case field " + " ".join(f"when '{f}' then replace('{t}', '{{actual}}', coalesce(actual, ''))" for f, _, t in TEMPLATES) + " else '请手动检查并修正。' end"
-    _add("fix_hint", lambda s, d: V.fix_hint(issues(s, d), s.createDataFrame(TEMPLATES, "field string, fixability string, template string")), f"{_ISS} select *, case when field in ('font_east_asia', 'size_pt') then 'auto' else 'manual' end as fixability, {tsql} as suggestion from iss")
+    fixable, hint = _hint_sql("field", "expected", "target", "actual", "case when start_run is null then '该段落' else '该文本片段' end")
+
+    def hinted(s, d):
+        """Hints of paragraph, run, page, header and reference issues."""
+        from quire.operators import page as P
+        from quire.plans.registry import PAGE_RULES, _graph
+
+        r, tokens = TB.stored(roles(s, d), "roles"), O.hf_tokens(par(s, d))
+        docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id")
+        found = [C.check_fields(r, O.runs(par(s, d)), rules(s)).withColumnRenamed("shown", "actual"), P.check_page_setup(O.sections(par(s, d)), PAGE_RULES), *P.check_header_footer(docs, tokens, {"size_pt": 9.0, "left_text": "某某大学 论文"}), X.check_references(_graph(s, d))]
+        all_ = [V.issue_row(x, 1, "error", more=True) for x in found]
+        return V.fix_hint(all_[0].unionByName(all_[1]).unionByName(all_[2]).unionByName(all_[3]).unionByName(all_[4])).select("doc_id", "para_index", "field", "message", "fixability", "suggestion")
+
+    _none = "null as expected, null as target"
+    _add("fix_hint", hinted, f"""{CORPUS_SQL}, {_OWN}, {_RUNV}, vls as ({_VALS}), {_ISL},
+hi as (select doc_id, para_index, field, null as expected, {_TARGET} as target, shown as actual, null as start_run, label || {_DESC} || '，实际 ' || shown as message from vls join own using (role, field_key) join fl using (field_key) where not ({_OK}) and (doc_id, para_index, field_key) not in (select distinct doc_id, para_index, field_key from rv)
+ union all select doc_id, para_index, field, null, target, shown, start_run, message from isl union all select doc_id, -1, field, expected, null, actual, null, message from pg
+ union all select doc_id, -1, field, expected, null, actual, null, message from ({S_ALL['check_header_size']}) union all select doc_id, -1, field, expected, null, actual, null, message from ({S_ALL['check_header_text']})
+ union all select doc_id, para_index, field, null, null, actual, null, message from ({REF_SQL}))
+select doc_id, para_index, field, message, {fixable} as fixability, {hint} as suggestion from hi""")
     _add("issue_targets", lambda s, d: RP.issue_targets(issues(s, d)).select("doc_id", "para_index", F.size("keys").alias("n")), f"{_ISS} select doc_id, para_index, cast(count(*) as int) as n from iss where para_index >= 0 group by doc_id, para_index")
 
     def runs_of(s, d):
@@ -321,24 +361,30 @@ select level, code, role, field_key, {wsql} from x"""
     _add("align_blocks", blocks, f"{WITH}, a as (select doc_id, para_index, text, row_number() over (partition by doc_id, text order by para_index) - 1 as o from par), b as (select doc_id, para_index * 2 as block_index, text, o as bo from a where (para_index * 2) % 3 <> 0) select doc_id, para_index, block_index from (select a.doc_id, para_index, block_index, row_number() over (partition by a.doc_id, para_index order by abs(o - bo), block_index) as rn from a join b on a.doc_id = b.doc_id and a.text = b.text) where rn = 1")
 
     def corpus(s, d):
-        from quire.plans.registry import NUMBER_RULES, PAGE_RULES
+        from quire.plans.registry import HEADER_RULES, NUMBER_RULES, PAGE_RULES
 
-        p = par(s, d)
         stats = {"ranges": {"keywords_cn": (3, 5), "abstract_en": (None, 40)}, "min_references": 3, "min_foreign": 0.6}
-        docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id")
-        return V.validate_corpus(p, O.fields(p), O.bookmarks(p), O.note_refs(p), O.note_defs(p), O.sections(p), O.hf_tokens(p), docs, rules(s), PAGE_RULES, NUMBER_RULES, stats, keep=lambda r: TB.stored(r, "roles")).select("doc_id", "check_seq", "para_index", "role", "field", "severity", "message")
-
+        found = V.validate_corpus(O.word(s, d), rules(s), PAGE_RULES, NUMBER_RULES, HEADER_RULES, stats)
+        return found.select("doc_id", "check_seq", "para_index", "role", "field", "severity", "message", "role_confidence", "fixability")
 
     # ---- Word files, made from the documents' lines
     def files(s, d):
-        return D.write_docx(s.read.parquet(f"{d}/documents.parquet"))
+        return FI.word_files(s.read.parquet(f"{d}/documents.parquet"))
 
-    code = "case doc_id % 7 when 1 then 'LEGACY_DOC' when 2 then 'NOT_ZIP' when 3 then 'NOT_DOCX' when 4 then 'ENCRYPTED' when 5 then 'CORRUPT' else 'ok' end"
-    ok = "documents where doc_id % 7 in (0, 6)"
-    _add("scan_corpus", lambda s, d: files(s, d).groupBy((F.col("id") % 7).alias("kind")).agg(F.count("*").alias("n")), "select doc_id % 7 as kind, count(*) as n from documents group by 1")
-    _add("triage_files", lambda s, d: D.triage_files(D.extract_facts(files(s, d))), f"select doc_id as id, {code} as code from documents")
-    _add("extract_facts", lambda s, d: D.extract_facts(files(s, d)).groupBy("id", "fact").agg(F.count("*").alias("n")), f"select doc_id as id, unnest(['paragraph', 'run']) as fact, len(string_split(coalesce(text, ''), chr(10))) as n from {ok} union all select doc_id, 'file', 1 from documents where doc_id % 7 not in (0, 6)")
-    _add("paragraph_flow", lambda s, d: D.fact_table(D.extract_facts(files(s, d)), "paragraph", "text string, in_table boolean"), f"select doc_id as id, cast(unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) as int) as seq, unnest(string_split(coalesce(text, ''), chr(10))) as text, false as in_table from {ok}")
+    lines = "string_split(coalesce(text, ''), chr(10))"
+    code = "case doc_id % 7 " + " ".join(f"when {k} then '{v}'" for k, v in FI.BROKEN.items()) + " end"
+    _add("triage_files", lambda s, d: D.triage_files(D.extract_facts(files(s, d))), f"select doc_id as id, 'ok' as code from documents union all select -1 - doc_id, {code} from documents where doc_id % 7 between 1 and 5")
+    fixed = ", ".join(f"('{k}', {n})" for k, n in FI.FACTS.items())
+    _add("extract_facts", lambda s, d: D.extract_facts(files(s, d)).groupBy("id", "fact").agg(F.count("*").alias("n")), f"with k(fact, n) as (values {fixed}) select doc_id as id, fact, n + case fact when 'paragraph' then len({lines}) when 'run' then 2 * len({lines}) else 0 end as n from documents, k union all select -1 - doc_id, 'file', 1 from documents where doc_id % 7 between 1 and 5")
+    flow = f"select doc_id as id, cast(unnest(range(0, len({lines}) + 1)) as int) as seq, unnest(list_append(list_transform({lines}, lambda x: regexp_replace(x, '[\\x00-\\x1F\\x{{FFFE}}\\x{{FFFF}}]', '', 'g')), 'cell')) as text, unnest(list_append(list_transform({lines}, lambda x: false), true)) as in_table from documents"
+    _add("paragraph_flow", lambda s, d: D.fact_table(D.extract_facts(files(s, d)), "paragraph").select("id", "seq", "text", "in_table"), flow)
+
+    def scanned(s, d):
+        """The same files out of a folder: each is written by a task, then the folder is scanned."""
+        path = FI.write_files(files(s, d), TB.folder(s, "files"))
+        return D.scan_corpus(s, path).select(F.regexp_extract("path", r"(-?\d+)\.docx$", 1).cast("long").alias("id"), "content")
+
+    _add("scan_corpus", lambda s, d: D.triage_files(D.extract_facts(scanned(s, d))).groupBy("code").agg(F.count("*").alias("n")), f"select code, count(*) as n from (select 'ok' as code from documents union all select {code} from documents where doc_id % 7 between 1 and 5) group by code")
 
     # ---- tables in and out
     _add("sink_issues", lambda s, d: TB.sink_issues(issues(s, d), TB.folder(s, "issues")), f"{_ISS} select * from iss")
@@ -365,9 +411,8 @@ select level, code, role, field_key, {wsql} from x"""
 
     go = "doc_id % 2 = 1 and doc_id % 5 <> 1 and source <> lang"
     _add("publish_rules", publish, f"select doc_id as library_id, case when {go} then '1.' || (doc_id % 3 + 1) else '1.' || (doc_id % 3) end as version, case when {go} then source else lang end as content from documents")
-    from quire.plans.registry import CORPUS_SQL
-
-    every = f"""{CORPUS_SQL}, {_OWN}, vls as ({_VALS}), pf as (select doc_id, para_index, role, field, severity, label || {_DESC} || '，实际 ' || shown as message from vls join own using (role, field_key) join fl using (field_key) where not ({_OK})),
-al as (select * from al0 union all select doc_id, 10, para_index, role, field, severity, message from pf)"""
-    _add("validate_corpus", lambda s, d: corpus(s, d), f"{every} select * from al")
+    every = f"""{CORPUS_SQL}, {_OWN}, {_RUNV}, vls as ({_VALS}), {_ISL}, pf as (select doc_id, para_index, role, field, severity, shown, label || {_DESC} || '，实际 ' || shown as message from vls join own using (role, field_key) join fl using (field_key) where not ({_OK}) and (doc_id, para_index, field_key) not in (select distinct doc_id, para_index, field_key from rv)),
+al1 as (select *, null as actual from al0 union all select doc_id, 10, para_index, role, field, severity, message, shown from pf union all select doc_id, 10, para_index, role, field, severity, message, shown from isl),
+al as (select al1.* exclude (actual), rol.confidence as role_confidence, {_hint_sql("field", "null", "null", "actual", "''")[0]} as fixability from al1 left join rol using (doc_id, para_index))"""
+    _add("validate_corpus", corpus, f"{every} select * from al")
     _add("validate_corpus_summary", lambda s, d: corpus(s, d).groupBy("check_seq", "field", "severity").agg(F.count("*").alias("n")), f"{every} select check_seq, field, severity, count(*) as n from al group by all")

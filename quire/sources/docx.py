@@ -2,13 +2,15 @@
 
 Reading a container needs the zip and XML readers of the standard library;
 this is the library's only Python function on the executors. Each file is
-read alone, and files that can't be read leave one row with a code.
+read alone, and files that can't be read leave one row with a code. A part
+that unpacks to more than MAX_PART bytes counts as damaged.
 """
 
 from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from xml.etree import ElementTree as ET
 
@@ -19,8 +21,30 @@ from pyspark.sql import functions as F
 # Names of the file format.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 M = "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
+A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 OLE, ZIPS = bytes.fromhex("d0cf11e0a1b11ae1"), (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08")
+NUMBER_FORMATS = ("decimal", "upperRoman", "lowerRoman", "upperLetter", "lowerLetter", "chineseCounting", "chineseCountingThousand", "ideographDigital", "ideographTraditional", "bullet", "none")
+MAX_PART = 256_000_000
 SCHEMA = "id long, code string, fact string, seq int, payload string"
+_RUN = "eastAsia string, ascii string, hAnsi string, sz string, b string, i string"
+_PARA = "jc string, outline string, line string, line_rule string, before string, after string, first string, first_chars string, hanging string, hanging_chars string, left string, left_chars string"
+#: fact → schema of its payload. Measures stay as written.
+SCHEMAS = {
+    "paragraph": f"text string, in_table boolean, style_id string, num_id string, ilvl string, para struct<{_PARA.replace(' string', ':string')}>, mark struct<{_RUN.replace(' string', ':string')}>, drawings int, maths int, objects int",
+    "run": f"run int, text string, {_RUN}",
+    "field": "field int, instruction string, display string, start int, end int",
+    "bookmark": "id string, name string",
+    "note_ref": "type string, id string, run int",
+    "note_def": "type string, id string, content string",
+    "section": "width string, height string, top string, bottom string, left string, right string, header string, footer string, gutter string, format string, start string",
+    "default": f"{_RUN}, para struct<{_PARA.replace(' string', ':string')}>",
+    "style": f"style_id string, type string, name string, based_on string, is_default boolean, {_RUN}, para struct<{_PARA.replace(' string', ':string')}>",
+    "num_level": "abstract string, ilvl string, start string, fmt string, text string",
+    "num_instance": "num string, abstract string",
+    "num_override": "num string, ilvl string, start string",
+    "theme": "major_latin string, major_east_asia string, minor_latin string, minor_east_asia string",
+    "hf_token": f"kind string, part int, para int, tok int, tok_kind string, text string, instruction string, jc string, border string, style_id string, run struct<{_RUN.replace(' string', ':string')}>, mark struct<{_RUN.replace(' string', ':string')}>",
+}
 
 
 class Unreadable(Exception):
@@ -43,7 +67,10 @@ def open_parts(raw: bytes) -> dict[str, ET.Element]:
                 raise Unreadable("ENCRYPTED")
             if "word/document.xml" not in names:
                 raise Unreadable("NOT_DOCX")
-            want = [n for n in names if n.startswith("word/") and n.endswith(".xml") and n.count("/") == 1]
+            # In the order of the container, which is that of headers and footers.
+            want = [n for n in dict.fromkeys(z.namelist()) if n.startswith("word/") and n.endswith(".xml") and n.count("/") == 1 or n == "word/theme/theme1.xml"]
+            if any(z.getinfo(n).file_size > MAX_PART for n in want):
+                raise Unreadable("CORRUPT")
             parts = {n[5:-4]: ET.fromstring(z.read(n)) for n in want}
     except (zipfile.BadZipFile, zipfile.LargeZipFile, EOFError, OSError, RuntimeError):
         raise Unreadable("CORRUPT" if raw[:4] in ZIPS else "NOT_ZIP") from None
@@ -59,11 +86,41 @@ def _val(e, path: str, attr: str = "val"):
     return None if x is None else x.get(W + attr, "1" if attr == "val" else None)
 
 
-def _props(e) -> dict:
-    """Run properties as written: fonts, size in half-points, switches."""
+def theme_of(root) -> dict:
+    """Latin and East Asian face of the theme's two groups; an empty East Asian face is that of the Hans script."""
+    out = {}
+    for group in ("major", "minor"):
+        fonts = root.find(f"{A}themeElements/{A}fontScheme/{A}{group}Font") if root is not None else None
+        face = lambda tag: None if fonts is None or fonts.find(A + tag) is None else fonts.find(A + tag).get("typeface") or None  # noqa: E731, B023
+        hans = None if fonts is None else next((x.get("typeface") for x in fonts.findall(f"{A}font") if x.get("script") == "Hans"), None)
+        out |= {f"{group}_latin": face("latin"), f"{group}_east_asia": face("ea") or hans}
+    return out
+
+
+def _props(e, theme: dict) -> dict:
+    """Run properties: fonts (a theme's face only where none is named), size in half-points, switches as written."""
     fonts = e.find(f"{W}rFonts") if e is not None else None
-    get = lambda n: None if fonts is None else fonts.get(W + n)
-    return {"eastAsia": get("eastAsia"), "ascii": get("ascii"), "hAnsi": get("hAnsi"), "eastAsiaTheme": get("eastAsiaTheme"), "asciiTheme": get("asciiTheme"), "sz": _val(e, "sz"), "b": _val(e, "b"), "i": _val(e, "i")}
+
+    def font(name: str):
+        if fonts is None:
+            return None
+        named, ref = fonts.get(W + name), fonts.get(f"{W}{name}Theme")
+        if named is None and ref:
+            group = "major" if ref.lower().startswith("major") else "minor"
+            named = theme.get(f"{group}_{'east_asia' if 'eastasia' in ref.lower() else 'latin'}")
+        return named or None
+
+    return {"eastAsia": font("eastAsia"), "ascii": font("ascii"), "hAnsi": font("hAnsi"), "sz": _val(e, "sz"), "b": _val(e, "b"), "i": _val(e, "i")}
+
+
+def _para(e) -> dict:
+    """Paragraph properties as written."""
+    get = lambda tag, *names: next((v for n in names if (v := _val(e, tag, n)) is not None), None)
+    return {
+        "jc": _val(e, "jc"), "outline": _val(e, "outlineLvl"), "line": get("spacing", "line"), "line_rule": get("spacing", "lineRule"), "before": get("spacing", "before"), "after": get("spacing", "after"),
+        "first": get("ind", "firstLine"), "first_chars": get("ind", "firstLineChars"), "hanging": get("ind", "hanging"), "hanging_chars": get("ind", "hangingChars"),
+        "left": get("ind", "left", "start"), "left_chars": get("ind", "leftChars", "startChars"),
+    }
 
 
 def _runs(p) -> list:
@@ -108,8 +165,53 @@ def _fields(p, runs: list) -> list[dict]:
     return sorted(done, key=lambda f: (f["start"], f["end"]))
 
 
+def _is_page(instruction: str) -> bool:
+    return re.search(r"\bPAGE\b", instruction, re.IGNORECASE) is not None
+
+
+def _hf_tokens(p, theme: dict):
+    """(kind of token, text, instruction, run properties) of a header or footer paragraph: texts, tabs and page numbers."""
+    field = None  # of the open field: instruction, whether it is a page number's, shown, seen, properties
+    for r in p.findall(f"{W}r"):
+        own, char = _props(r.find(f"{W}rPr"), theme), r.find(f"{W}fldChar")
+        mark = None if char is None else char.get(f"{W}fldCharType")
+        if mark == "begin":
+            field = {"instruction": "", "page": False, "shown": False, "seen": False, "props": None}
+        if field is not None:
+            field["instruction"] += "".join(x.text or "" for x in r.findall(f"{W}instrText"))
+            if mark == "separate":
+                field |= {"shown": True, "page": _is_page(field["instruction"]), "props": own}
+        for s in r.findall(f"{W}fldSimple"):
+            said = s.get(f"{W}instr") or ""
+            yield "pageNumber" if _is_page(said) else "text", "".join(t.text or "" for t in s.iter(f"{W}t")), said.strip(), own
+        if text := _text(r):
+            if field is not None and field["shown"] and field["page"]:
+                field["seen"] = True
+                yield "pageNumber", text, field["instruction"].strip(), own
+            else:
+                yield "text", text, "", own
+        if r.find(f"{W}tab") is not None:
+            yield "tab", "", "", own
+        if mark == "end":
+            if field is not None and field["page"] and not field["seen"]:
+                yield "pageNumber", "", field["instruction"].strip(), field["props"]
+            field = None
+
+
+def _headers_and_footers(parts: dict, theme: dict):
+    for kind in ("header", "footer"):
+        names = [n for n in parts if re.fullmatch(rf"{kind}\d+", n)]
+        for no, name in enumerate(names):
+            for i, p in enumerate(parts[name].iter(f"{W}p")):
+                pr = p.find(f"{W}pPr")
+                both = {"kind": kind, "part": no, "para": i, "jc": _val(pr, "jc"), "border": _val(pr, "pBdr/bottom"), "style_id": _val(pr, "pStyle"), "mark": _props(pr.find(f"{W}rPr") if pr is not None else None, theme)}
+                for k, (tok_kind, text, instruction, own) in enumerate(_hf_tokens(p, theme)):
+                    yield {"tok": k, "tok_kind": tok_kind, "text": text, "instruction": instruction, "run": own} | both
+
+
 def facts_of(parts: dict[str, ET.Element]):
     """(fact, seq, payload) of one document, in document order."""
+    theme = theme_of(parts.get("theme/theme1"))
     body, seq = parts["document"].find(f"{W}body"), 0
     stack = [(x, False) for x in reversed(body)]
     sections = []
@@ -124,12 +226,11 @@ def facts_of(parts: dict[str, ET.Element]):
             pr, runs = e.find(f"{W}pPr"), _runs(e)
             count = lambda *tags: sum(1 for x in e.iter() if x.tag in tags)  # noqa: E731, B023
             yield "paragraph", seq, {
-                "text": "".join(map(_text, runs)), "in_table": in_table, "style_id": _val(pr, "pStyle"), "jc": _val(pr, "jc"), "outline": _val(pr, "outlineLvl"), "num_id": _val(pr, "numPr/numId"), "ilvl": _val(pr, "numPr/ilvl"),
-                "line": _val(pr, "spacing", "line"), "line_rule": _val(pr, "spacing", "lineRule"), "before": _val(pr, "spacing", "before"), "after": _val(pr, "spacing", "after"), "first": _val(pr, "ind", "firstLine"), "first_chars": _val(pr, "ind", "firstLineChars"),
-                "drawings": count(f"{W}drawing"), "maths": count(f"{M}oMath", f"{M}oMathPara"), "objects": count(f"{W}object"),
+                "text": "".join(map(_text, runs)), "in_table": in_table, "style_id": _val(pr, "pStyle") or None, "num_id": _val(pr, "numPr/numId"), "ilvl": _val(pr, "numPr/ilvl"),
+                "para": _para(pr), "mark": _props(pr.find(f"{W}rPr") if pr is not None else None, theme), "drawings": count(f"{W}drawing"), "maths": count(f"{M}oMath", f"{M}oMathPara"), "objects": count(f"{W}object"),
             }
             for i, r in enumerate(runs):
-                yield "run", seq, {"run": i, "text": _text(r)} | _props(r.find(f"{W}rPr"))
+                yield "run", seq, {"run": i, "text": _text(r)} | _props(r.find(f"{W}rPr"), theme)
                 for kind in ("footnote", "endnote"):
                     for n in r.findall(f"{W}{kind}Reference"):
                         yield "note_ref", seq, {"type": kind, "id": n.get(f"{W}id"), "run": i}
@@ -143,11 +244,15 @@ def facts_of(parts: dict[str, ET.Element]):
             seq += 1
     for i, s in enumerate(sections):
         yield "section", i, {"width": _val(s, "pgSz", "w"), "height": _val(s, "pgSz", "h"), **{k: _val(s, "pgMar", k) for k in ("top", "bottom", "left", "right", "header", "footer", "gutter")}, "format": _val(s, "pgNumType", "fmt"), "start": _val(s, "pgNumType", "start")}
+    if any(theme.values()):
+        yield "theme", 0, theme
     if (styles := parts.get("styles")) is not None:
-        d = styles.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr")
-        yield "default", 0, _props(d)
+        d = styles.find(f"{W}docDefaults")
+        part = lambda e, path: None if e is None else e.find("/".join(W + x for x in path.split("/")))
+        yield "default", 0, _props(part(d, "rPrDefault/rPr"), theme) | {"para": _para(part(d, "pPrDefault/pPr"))}
         for i, s in enumerate(styles.findall(f"{W}style")):
-            yield "style", i, {"style_id": s.get(f"{W}styleId"), "type": s.get(f"{W}type"), "name": _val(s, "name"), "based_on": _val(s, "basedOn"), "is_default": s.get(f"{W}default") == "1"} | _props(s.find(f"{W}rPr"))
+            if s.get(f"{W}styleId"):
+                yield "style", i, {"style_id": s.get(f"{W}styleId"), "type": s.get(f"{W}type"), "name": _val(s, "name"), "based_on": _val(s, "basedOn"), "is_default": s.get(f"{W}default") == "1"} | _props(s.find(f"{W}rPr"), theme) | {"para": _para(s.find(f"{W}pPr"))}
     for kind in ("footnote", "endnote"):
         if (notes := parts.get(f"{kind}s")) is not None:
             for i, n in enumerate(notes.findall(f"{W}{kind}")):
@@ -157,9 +262,17 @@ def facts_of(parts: dict[str, ET.Element]):
     if (numbering := parts.get("numbering")) is not None:
         for i, a in enumerate(numbering.findall(f"{W}abstractNum")):
             for lv in a.findall(f"{W}lvl"):
-                yield "num_level", i, {"abstract": a.get(f"{W}abstractNumId"), "ilvl": lv.get(f"{W}ilvl"), "start": _val(lv, "start") or "1", "fmt": _val(lv, "numFmt") or "decimal", "text": _val(lv, "lvlText") or "%1"}
+                if lv.get(f"{W}ilvl") is not None:
+                    fmt = _val(lv, "numFmt")
+                    yield "num_level", i, {"abstract": a.get(f"{W}abstractNumId"), "ilvl": lv.get(f"{W}ilvl"), "start": _val(lv, "start") or "1", "fmt": fmt if fmt in NUMBER_FORMATS else "decimal", "text": "%1" if (said := _val(lv, "lvlText")) is None else said}
         for i, n in enumerate(numbering.findall(f"{W}num")):
-            yield "num_instance", i, {"num": n.get(f"{W}numId"), "abstract": _val(n, "abstractNumId")}
+            if n.get(f"{W}numId") and _val(n, "abstractNumId"):
+                yield "num_instance", i, {"num": n.get(f"{W}numId"), "abstract": _val(n, "abstractNumId")}
+                for o in n.findall(f"{W}lvlOverride"):
+                    if o.get(f"{W}ilvl") is not None and _val(o, "startOverride"):
+                        yield "num_override", i, {"num": n.get(f"{W}numId"), "ilvl": o.get(f"{W}ilvl"), "start": _val(o, "startOverride")}
+    for i, token in enumerate(_headers_and_footers(parts, theme)):
+        yield "hf_token", i, token
 
 
 def extract_facts(files: DataFrame) -> DataFrame:
@@ -184,27 +297,6 @@ def triage_files(facts: DataFrame) -> DataFrame:
     return facts.groupBy("id").agg(F.max("code").alias("code"))
 
 
-def fact_table(facts: DataFrame, fact: str, schema: str) -> DataFrame:
-    """Rows of one fact as typed columns."""
-    return facts.where(F.col("fact") == fact).select("id", "seq", F.from_json("payload", schema).alias("p")).select("id", "seq", "p.*")
-
-
-def write_docx(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) → (id, content): a small Word file a document, a paragraph a line; every seventh kind of id is broken in its own way."""
-
-    def run(batches):
-        from xml.sax.saxutils import escape
-
-        for b in batches:
-            out = []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape("".join(c for c in x if c >= " "))}</w:t></w:r></w:p>' for x in (text or "").split("\n"))
-                buf = io.BytesIO()
-                with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-                    name = {3: "word/other.xml", 4: "EncryptedPackage"}.get(key % 7, "word/document.xml")
-                    z.writestr(name, f'<?xml version="1.0"?><w:document xmlns:w="{W[1:-1]}"><w:body>{body}</w:body></w:document>' if key % 7 != 5 else "<w:document")
-                raw = buf.getvalue()
-                out.append(OLE + raw if key % 7 == 1 else b"no zip" if key % 7 == 2 else raw)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "content"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, content binary")
+def fact_table(facts: DataFrame, fact: str, schema: str | None = None) -> DataFrame:
+    """Rows of one fact as typed columns: id, seq and those of SCHEMAS (or of a part of them)."""
+    return facts.where(F.col("fact") == fact).select(F.col("id").alias("_id"), F.col("seq").alias("_seq"), F.from_json("payload", schema or SCHEMAS[fact]).alias("p")).select("_id", "_seq", "p.*").withColumnsRenamed({"id": "note_id" if fact.startswith("note") else "mark_id", "_id": "id", "_seq": "seq"})

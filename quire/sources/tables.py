@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a local one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-tables-")
+    """A new path in the folder that all executors share; a local one only where none is set and driver and executors are one process (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-tables-")
+        spark.sparkContext.setCheckpointDir(root)
     return f"{root}/quire/{name}-{uuid.uuid4().hex}"
 
 

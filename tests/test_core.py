@@ -202,3 +202,99 @@ def test_entry_points(spark):
     assert e.entry(spark).columns == ["doc_id", "n_errors"]
     q, s = e.queries(), e.oracle_sql()
     assert set(s) <= set(q) and len(q) > 100
+
+
+STYLES = """<w:styles NS><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:eastAsiaTheme="minorEastAsia" w:asciiTheme="minorHAnsi"/><w:sz w:val="21"/></w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:after="120"/></w:pPr></w:pPrDefault></w:docDefaults>
+<w:style w:type="paragraph" w:default="1" w:styleId="N"><w:name w:val="Normal"/><w:pPr><w:spacing w:line="400" w:lineRule="exact"/><w:ind w:firstLine="420"/></w:pPr></w:style>
+<w:style w:type="paragraph" w:styleId="B"><w:name w:val="Body"/><w:basedOn w:val="N"/><w:rPr><w:sz w:val="24"/></w:rPr></w:style>
+<w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/><w:basedOn w:val="B"/><w:pPr><w:outlineLvl w:val="0"/></w:pPr><w:rPr><w:b/></w:rPr></w:style></w:styles>"""
+THEME = '<a:theme xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:themeElements><a:fontScheme><a:majorFont><a:latin typeface="Cambria"/></a:majorFont><a:minorFont><a:latin typeface="Calibri"/><a:ea typeface=""/><a:font script="Hans" typeface="宋体"/></a:minorFont></a:fontScheme></a:themeElements></a:theme>'
+HEADER = '<w:hdr NS><w:p><w:pPr><w:pBdr><w:bottom w:val="single"/></w:pBdr></w:pPr><w:r><w:t>某某大学</w:t><w:tab/></w:r><w:r><w:rPr><w:sz w:val="18"/></w:rPr><w:t>论文</w:t></w:r></w:p><w:p><w:r><w:t> </w:t></w:r></w:p></w:hdr>'
+FOOTER = '<w:ftr NS><w:p><w:pPr><w:jc w:val="center"/></w:pPr><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText> PAGE </w:instrText></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:rPr><w:sz w:val="18"/></w:rPr><w:t>1</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r></w:p></w:ftr>'
+NUMBERING = '<w:numbering NS><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:numFmt w:val="odd"/></w:lvl></w:abstractNum><w:num w:numId="3"><w:abstractNumId w:val="0"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="5"/></w:lvlOverride></w:num></w:numbering>'
+PAPER = """<w:body><w:p><w:r><w:t>摘要</w:t></w:r></w:p><w:p><w:r><w:t>一些文字</w:t></w:r></w:p>
+<w:p><w:pPr><w:pStyle w:val="H1"/><w:numPr><w:ilvl w:val="0"/><w:numId w:val="3"/></w:numPr></w:pPr><w:r><w:t>2 绪论</w:t></w:r></w:p>
+<w:p><w:pPr><w:pStyle w:val="B"/><w:rPr><w:sz w:val="20"/><w:i/></w:rPr></w:pPr><w:r><w:t>正文</w:t></w:r><w:r><w:rPr><w:sz w:val="18"/><w:rFonts w:eastAsia="黑体"/></w:rPr><w:t>一段</w:t><w:footnoteReference w:id="9"/></w:r></w:p>
+<w:p><w:pPr><w:pStyle w:val="B"/><w:ind w:firstLineChars="200" w:left="480"/><w:spacing w:line="360"/></w:pPr><w:r><w:rPr><w:sz w:val="24"/></w:rPr><w:t>正文二</w:t></w:r></w:p>
+<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440" w:left="85.05pt" w:right="2.5cm"/></w:sectPr></w:body>"""
+
+
+def word_of(spark, files):
+    from quire.sources.docx import extract_facts
+    from quire.sources.word import tables_of
+
+    return tables_of(extract_facts(spark.createDataFrame(files, "id long, content binary")).cache())
+
+
+def test_word_file_to_effective_formatting(spark):
+    from quire.operators.numbering import resolve_numbering_level
+    from quire.operators.page import hf_align, hf_rollup
+
+    w = word_of(spark, [(1, docx(PAPER, styles=STYLES, header1=HEADER, footer1=FOOTER, numbering=NUMBERING, **{"theme/theme1": THEME})), (2, b"no")])
+    assert [r.doc_id for r in w.documents.collect()] == [1]
+    p = {r.para_index: r for r in w.paragraphs.collect()}
+    # Defaults and theme, the default style, its indent in characters of the effective size.
+    assert (p[0].font_east_asia, p[0].font_ascii, p[0].size_pt, p[0].line_pt, p[0].space_after_pt, p[0].first_line_chars) == ("宋体", "Calibri", 10.5, 20.0, 6.0, 2.0)
+    assert (p[2].style_name, p[2].outline_level, p[2].bold, p[2].size_pt, p[2].num_id, p[2].ilvl) == ("heading 1", 0, True, 12.0, "3", 0)
+    # The mark's size stands behind the first run's, here for a run without one; the indent follows it.
+    assert (p[3].size_pt, p[3].italic, p[3].first_line_chars) == (10.0, True, 2.1)
+    # Own paragraph properties: characters before twips, a multiple replaces the fixed height.
+    assert (p[4].first_line_chars, p[4].left_chars, p[4].line_pt, p[4].line_multiple) == (2.0, 2.0, None, 1.5)
+    runs = {(r.para_index, r.run_index): r for r in w.runs.collect()}
+    assert (runs[3, 0].size_pt, runs[3, 1].size_pt, runs[3, 1].font_east_asia, runs[3, 0].font_east_asia) == (10.0, 9.0, "黑体", "宋体")
+    level = resolve_numbering_level(w.instances, w.levels, w.overrides).first()
+    assert (level.num_id, level.start, level.num_fmt, level.lvl_text) == ("3", 5, "decimal", "%1")
+    parts = {r.kind: r for r in hf_rollup(hf_align(w.tokens)).collect()}
+    assert (parts["header"].left_text, parts["header"].right_text, parts["footer"].has_page_number) == ("某某大学", "论文", True)
+    s = w.sections.first()
+    assert (s.page_width, s.margin_left, s.margin_right, s.margin_bottom) == (11906.0, 1701.0, 1417.0, None)
+
+
+def test_word_file_to_issues(spark):
+    from quire.operators.style_checks import RULE_SCHEMA
+    from quire.plans.validate import validate_corpus
+
+    w = word_of(spark, [(1, docx(PAPER, styles=STYLES, header1=HEADER, footer1=FOOTER, **{"theme/theme1": THEME}))])
+    rules = spark.createDataFrame([("body_text", "fontSizePt", True, "error", "exact", None, 12.0, None, None, None, None), ("body_text", "lineHeightPt", True, "warn", "exact", None, 20.0, None, None, None, None), ("heading1", "bold", True, "warn", "exact", None, None, False, None, None, None)], RULE_SCHEMA)
+    headers = {"left_text": "某某大学", "font_latin": "Arial", "size_pt": 9.0, "bottom_border": True, "number_alignment": "center", "number_size_pt": 9.0}
+    got = validate_corpus(w, rules, {"margin_top_cm": 3, "paper_size": "A4"}, {"body_format": "Arabic"}, headers, {"ranges": {"keywords_cn": (3, 5)}, "min_references": 1}).orderBy("check_seq", "para_index", "field", "start_run").collect()
+    assert [(r.check_seq, r.para_index, r.role, r.field, r.severity, r.start_run) for r in got] == [
+        (1, -1, "document", "margin_top_cm", "error", None),
+        (2, -1, "document", "page_number_body", "error", None),
+        (3, -1, "document", "header_font_latin", "error", None),
+        (3, -1, "document", "header_size_pt", "error", None),
+        (4, 2, "heading1", "heading_sequence", "error", None),
+        (8, 3, "body_text", "note_reference", "error", None),
+        (9, -1, "document", "keywords_cn_count", "warn", None),
+        (9, -1, "document", "references_count", "error", None),
+        (10, 2, "heading1", "bold", "warn", None),
+        (10, 3, "body_text", "size_pt", "error", 0),
+        (10, 3, "body_text", "size_pt", "error", 1),
+        (10, 4, "body_text", "line_spacing_pt", "warn", None),
+    ]
+    by = {(r.field, r.para_index, r.start_run): r for r in got}
+    assert by["size_pt", 3, 1].message == "第 2 个文本片段「一段」字号应为 12pt，实际 9pt" and by["size_pt", 3, 1].suggestion == "请将该文本片段字号调整为 12pt" and by["size_pt", 3, 1].fixability == "auto"
+    assert by["line_spacing_pt", 4, None].suggestion == "当前行距为 1.5 倍，请人工核对排版后将其设为固定值 20pt" and by["bold", 2, None].suggestion == "请将该段落设为 「不加粗」"
+    assert by["header_size_pt", -1, None].actual == "10.5 / 9" and by["header_font_latin", -1, None].suggestion == "请将页眉西文字体设为 Arial"
+    assert by["heading_sequence", 2, None].role_confidence == "high" and by["heading_sequence", 2, None].text_preview == "2 绪论"
+
+
+def test_scan_corpus_of_real_files(spark, tmp_path):
+    from quire.sources.docx import extract_facts, scan_corpus, triage_files
+
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a.DOCX").write_bytes(docx(BODY))
+    (tmp_path / "deep" / "b.docx").write_bytes(b"no")
+    (tmp_path / "c.txt").write_text("x")
+    from pyspark.sql import functions as F
+
+    files = scan_corpus(spark, str(tmp_path)).select(F.xxhash64("path").alias("id"), "content")
+    assert sorted(r.code for r in triage_files(extract_facts(files)).collect()) == ["NOT_ZIP", "ok"]
+
+
+def test_style_chain_of_any_length(spark):
+    from quire.operators.resolve import style_chain
+
+    rows = [(1, f"s{i}", f"s{i - 1}" if i else None, "root" if i == 0 else None) for i in range(75)]
+    got = {x.style_id: x.f for x in style_chain(spark.createDataFrame(rows, "doc_id long, style_id string, based_on string, f string"), ["f"]).collect()}
+    assert len(got) == 75 and set(got.values()) == {"root"}
