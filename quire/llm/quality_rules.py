@@ -5,12 +5,19 @@ as content or boilerplate (Viterbi decoding); the share of words in content
 lines decides whether the document is kept. Base counts reject first.
 
 The field is fitted on a bounded sample of labelled documents (max_docs, the
-smallest hashes of doc_id), all lines of each: a line starts with its
-document's label. All documents are then judged over their whole texts.
+smallest hashes of doc_id), all lines of each. Labels are of documents, the
+field is about lines: it starts without transitions from lines that bear their
+document's label, and then labels the lines anew with each fit, so that lines
+of a bad document that look like other documents' prose become content, and
+the other way round. A good document keeps at least half of its lines as
+content, a bad one at least half as boilerplate. All documents are then judged
+over their whole texts.
 
 Defined cases: null and blank texts have no words and fail the base rule;
-repeated rows are judged alike; without labels of both kinds the built-in
-weights are used; an empty table gives an empty result.
+texts and lines of any length are judged whole; repeated rows are judged alike,
+a doc_id that repeats counts once in the fit; equal scores mean content;
+without labels of both kinds the built-in weights are used; an empty table
+gives an empty result; other columns don't matter (see common.pick).
 """
 
 from __future__ import annotations
@@ -133,37 +140,92 @@ def _expected(x: np.ndarray, on: np.ndarray, w: np.ndarray, t: np.ndarray) -> tu
     return np.einsum("nl,nlk->k", p1, x), pair.sum((0, 1))
 
 
-def fit(sequences: list[np.ndarray], labels: list[int], steps: int = 200, rate: float = 0.15, decay: float = 1e-3) -> dict:
-    """Weights of the field by gradient ascent on the conditional likelihood (forward-backward over padded sequences).
-
-    Sequences of like lengths are padded together, at most to twice their lines.
-    """
-    if not sequences or len(set(labels)) < 2:
-        return DEFAULT
-    k = len(FEATURES)
+def _groups(sequences: list[np.ndarray]) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(numbers, padded features, mask) of sequences of like lengths; padding at most doubles the lines."""
     alike: dict[int, list[int]] = {}
     for i, seq in enumerate(sequences):
         alike.setdefault((len(seq) - 1).bit_length(), []).append(i)
-    groups = []
+    out = []
     for _, some in sorted(alike.items()):
         most = max(len(sequences[i]) for i in some)
-        x, on = np.zeros((len(some), most, k)), np.zeros((len(some), most))
+        x, on = np.zeros((len(some), most, len(FEATURES))), np.zeros((len(some), most))
         for row, i in enumerate(some):
             x[row, : len(sequences[i])], on[row, : len(sequences[i])] = sequences[i], 1
-        groups.append((x, on, np.asarray([labels[i] for i in some])[:, None] * on))
-    w, t = np.zeros(k), np.zeros((2, 2))
-    total = sum(on.sum() for _, on, _ in groups)
-    # on[:, 1:]: a pair of lines ends here
-    seen_w = sum(np.einsum("nl,nlk->k", y, x) for x, _, y in groups) / total
-    seen_t = sum(np.array([[((1 - y[:, 1:]) * on[:, 1:]).sum(), 0.0], [0.0, (y[:, 1:] * on[:, 1:]).sum()]]) for _, on, y in groups) / total
+        out.append((some, x, on))
+    return out
+
+
+def _ascend(groups, marks: list[np.ndarray], w: np.ndarray, t: np.ndarray, steps: int, rate: float, decay: float, chain_decay: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient ascent on the conditional likelihood of the marks, from w and t; chain_decay: that of transitions, None to leave them."""
+    k = len(FEATURES)
+    total = sum(on.sum() for _, _, on in groups)
+    seen_w, seen_t = np.zeros(k), np.zeros((2, 2))
+    for some, x, on in groups:
+        y = np.zeros_like(on)
+        for row, i in enumerate(some):
+            y[row, : len(marks[i])] = marks[i]
+        seen_w += np.einsum("nl,nlk->k", y, x)
+        both = on[:, 1:]  # a pair of lines ends here
+        for p in (0, 1):
+            for q in (0, 1):
+                seen_t[p, q] += ((y[:, :-1] == p) * (y[:, 1:] == q) * both).sum()
+    w, t = w.copy(), t.copy()
     m = [np.zeros(k), np.zeros((2, 2))], [np.zeros(k), np.zeros((2, 2))]
     for step in range(1, steps + 1):
-        sums = [_expected(x, on, w, t) for x, on, _ in groups]
-        g = [seen_w - sum(a for a, _ in sums) / total - decay * w, seen_t - sum(b for _, b in sums) / total - decay * t]
-        for j, (p, grad) in enumerate(((w, g[0]), (t, g[1]))):
+        sums = [_expected(x, on, w, t) for _, x, on in groups]
+        grads = [(seen_w - sum(a for a, _ in sums)) / total - decay * w, (seen_t - sum(b for _, b in sums)) / total - (chain_decay or 0) * t]
+        for j, (p, grad) in enumerate(((w, grads[0]), (t, grads[1]))):
+            if j and chain_decay is None:
+                continue
             m[0][j][...] = 0.9 * m[0][j] + 0.1 * grad
             m[1][j][...] = 0.99 * m[1][j] + 0.01 * grad * grad
             p += rate * (m[0][j] / (1 - 0.9**step)) / (np.sqrt(m[1][j] / (1 - 0.99**step)) + 1e-8)
+    return w, t
+
+
+def constrained(score: np.ndarray, trans: np.ndarray, label: int) -> np.ndarray:
+    """Viterbi labels of which at least half are the document's: the least push towards it that gives them (halving steps)."""
+    push = np.zeros_like(score)
+
+    def with_push(by: float) -> np.ndarray:
+        push[:, label] = by
+        return viterbi(score + push, trans)
+
+    enough = lambda y: 2 * int((y == label).sum()) >= len(y)
+    y = with_push(0.0)
+    if enough(y):
+        return y
+    low, high = 0.0, 1.0
+    while not enough(y := with_push(high)):
+        low, high = high, high * 2
+    for _ in range(12):
+        mid = (low + high) / 2
+        if enough(found := with_push(mid)):
+            high, y = mid, found
+        else:
+            low = mid
+    return y
+
+
+def fit(sequences: list[np.ndarray], labels: list[int], rounds: int = 3, steps: int = 80, rate: float = 0.15, decay: float = 1e-3, chain_decay: float = 0.05) -> dict:
+    """Weights of the field from feature sequences of documents and their labels (1: boilerplate).
+
+    First single lines are told apart, each with its document's label; then,
+    in rounds, constrained Viterbi gives lines labels of their own and the
+    field, transitions included, is fitted to them.
+    """
+    if not sequences or len(set(labels)) < 2:
+        return DEFAULT
+    groups = _groups(sequences)
+    marks = [np.full(len(x), y) for x, y in zip(sequences, labels, strict=True)]
+    w, t = _ascend(groups, marks, np.zeros(len(FEATURES)), np.zeros((2, 2)), steps, rate, decay, None)
+    for _ in range(rounds):
+        marks = []
+        for x, y in zip(sequences, labels, strict=True):
+            score = np.zeros((len(x), 2))
+            score[:, 1] = x @ w
+            marks.append(constrained(score, t, y))
+        w, t = _ascend(groups, marks, w, t, steps, rate, decay, chain_decay)
     return {"w": np.round(w, 5).tolist(), "t": np.round(t, 5).tolist()}
 
 

@@ -367,6 +367,48 @@ def test_op6_trains_on_whole_texts(spark):
     assert judge("\n".join(plain(20)), model)[7] > 0.9 and judge("\n".join(junk(20)), model)[7] < 0.1
 
 
+def test_op6_labels_lines_of_mixed_texts():
+    from quire.llm.quality_rules import base_counts, fit, label_lines, line_features
+
+    r = random.Random(18)
+    plain = lambda: text(r, r.randint(6, 14)).capitalize() + "."
+    junk = lambda: " ".join(w.upper() + r.choice(["###", "!!", "$$"]) for w in text(r, r.randint(5, 12)).split())
+    lines = lambda xs: base_counts("\n".join(xs).encode(), 0)[1]
+    # Bad documents have some prose, good ones some junk: no document is of one kind.
+    docs = [([plain() for _ in range(9)] + [junk()] if i % 2 else [junk() for _ in range(7)] + [plain() for _ in range(3)], 1 - i % 2) for i in range(60)]
+    model = fit([line_features(lines(x)) for x, _ in docs], [y for _, y in docs])
+    right = n = 0
+    for _ in range(40):
+        kinds = [0] * r.randint(1, 6) + [1] * r.randint(1, 6) + [0] * r.randint(1, 6)
+        got = label_lines(lines([junk() if k else plain() for k in kinds]), model)
+        right, n = right + sum(int(a) == k for a, k in zip(got, kinds, strict=True)), n + len(kinds)
+    assert right > 0.95 * n
+
+
+def test_op6_expectations_and_constraint_by_enumeration():
+    from quire.llm.quality_rules import FEATURES, _expected, _groups, constrained
+
+    rng = np.random.default_rng(5)
+    seqs = [rng.normal(size=(n, len(FEATURES))) for n in (1, 2, 3, 4, 5)]
+    w, t = rng.normal(size=len(FEATURES)), rng.normal(size=(2, 2))
+    want_w, want_t = np.zeros(len(FEATURES)), np.zeros((2, 2))
+    for x in seqs:
+        every = [np.array(y) for y in product((0, 1), repeat=len(x))]
+        score = np.array([(y * (x @ w)).sum() + sum(t[a, b] for a, b in zip(y, y[1:], strict=False)) for y in every])
+        p = np.exp(score - score.max())
+        p /= p.sum()
+        for y, q in zip(every, p, strict=True):
+            want_w += q * (y[:, None] * x).sum(0)
+            for a, b in zip(y, y[1:], strict=False):
+                want_t[a, b] += q
+    sums = [_expected(x, on, w, t) for _, x, on in _groups(seqs)]
+    assert np.allclose(sum(a for a, _ in sums), want_w) and np.allclose(sum(b for _, b in sums), want_t)
+    for label in (0, 1):
+        for _ in range(20):
+            s = np.concatenate((np.zeros((7, 1)), rng.normal(size=(7, 1)) * 3), axis=1)
+            assert 2 * (constrained(s, t, label) == label).sum() >= 7
+
+
 # ---- 7 ----------------------------------------------------------------------------------------
 
 
