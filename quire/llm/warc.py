@@ -5,8 +5,9 @@ a table of their own; a record is header + payload again after one join.
 
 Defined cases: null html is the empty payload; null page_id sorts below all
 others and is written as ``null``; rows that repeat both page_id and payload
-are equal records and get the same type; url may be null (no target header).
-An empty table gives an empty archive.
+are equal records and get the same type; url may be null (no target header);
+payloads may have any length; other columns don't matter (see common.pick). An
+empty table gives an empty archive.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def write_archive(pages: DataFrame, min_bytes: int = 0) -> Archive:
     raw = raw.withColumn("strong", F.sha2("payload", 256))
     meta = raw.select("page_id", "url", "strong", F.sha1("payload").alias("weak"), F.octet_length("payload").cast("long").alias("n"))
     keepers = meta.where(F.col("n") >= min_bytes).groupBy("strong").agg(F.max("page_id").alias("keeper"))
-    # Both sides are unique or splittable by AQE on `strong`; the hint keeps size guesses out of it.
+    # One row a payload on the right; the rows of one payload shared by very many pages are narrow.
     rows = meta.join(keepers.hint("shuffle_hash"), "strong", "left")
     response = (F.col("n") < min_bytes) | F.col("page_id").eqNullSafe(F.col("keeper"))
     digest = F.concat(F.lit("sha1:"), base32_of_hex(F.col("weak")))
@@ -85,7 +86,8 @@ def read_archive(archive: Archive) -> DataFrame:
         "payload", F.when(F.sha2("payload", 256) == F.col("strong"), F.col("payload")).otherwise(F.raise_error(F.lit("payload does not match its digest")).cast("binary"))
     )
     # Left: a record whose payload is lost must not vanish in silence.
-    joined = good.join(archive.records.hint("shuffle_hash"), "strong", "right")
+    # A merge join: neither side has to fit in memory, and AQE splits the records of a payload that very many share.
+    joined = archive.records.hint("merge").join(good, "strong", "left")
     whole = F.when(F.col("payload").isNull(), F.raise_error(F.lit("payload is missing")).cast("binary")).otherwise(
         F.concat(F.col("header"), F.col("payload"), F.lit(b"\r\n\r\n"))
     )
