@@ -54,7 +54,8 @@ NAMES = re.compile(
     r"|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|comments?|replies|reply|respond|disqus|discussion|form|widget|toolbar|copyright|hidden|contentinfo|complementary)(?:$|[-_ \d])"
 )
 CONTENT = re.compile(r"(?:^|[-_ ])(?:article|content|main|post|entry|story|body)(?:$|[-_ ])")
-SALTS = 8
+#: Tasks that fold a host's wrappers before the last: that one has at most so many to fold, whatever the host's size.
+SALTS = 64
 #: Texts that fewer different pages share tell nothing.
 MIN_PAGES = 3
 MAX_BROADCAST_BYTES = 32_000_000
