@@ -3,28 +3,38 @@
 A hash set of the benchmark's normalised word windows goes to every task; the
 tasks scan the windows of each text, check hits exactly and mark their words.
 
+A benchmark of more than MAX_BROADCAST_CHARS characters is joined by window
+instead. A bit map of its windows' checksums, of fixed size, goes to the tasks
+first, so that only document windows that may hit are shuffled.
+
 Defined cases: null text has no words; items without words have no window;
 an item of fewer words than the window is one window of its own length;
 repeated item_ids are one item; a null item_id counts as ``null``. Repeated
-documents are judged alike. An empty benchmark hits nothing.
+documents are judged alike; texts of any length are scanned whole; other
+columns stay, also ones whose names clash (see common.pick). An empty
+benchmark hits nothing, an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import numbered, pick, place_of, table
+from quire.llm.common import numbered, pick, place_of, stored, table
 
 #: ASCII letters become lower case, digits and all bytes from 0x80 stay, the rest parts words.
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
 WINDOW = 10
-MAX_BROADCAST_CHARS = 32_000_000
+#: A character of benchmark text becomes some 150 bytes of Python windows at most, in the driver and in each worker.
+MAX_BROADCAST_CHARS = 1_000_000
+#: Bits of the map of windows: 16 MB.
+FILTER_BITS = 1 << 27
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -115,10 +125,21 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {RESULT}")
 
 
-def _windows(df: DataFrame, key: str, sizes: list[int], whole_if_short: bool, window: int) -> DataFrame:
-    """(key, at, size, gram) of all windows; for items, one window if shorter than `window`."""
+def _window_map(items: DataFrame) -> np.ndarray:
+    """A bit for each checksum of a window, as bytes: built by Spark's bitmap aggregate, FILTER_BITS long whatever the benchmark."""
+    place = F.pmod(F.crc32("gram"), F.lit(FILTER_BITS)) + 1
+    rows = items.select(F.bitmap_bucket_number(place).alias("n"), F.bitmap_bit_position(place).alias("at")).groupBy("n").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for n, bits in rows:
+        out[(n - 1) * 4096 : n * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _windows(df: DataFrame, key: str, sizes: list[int], whole_if_short: bool, window: int, known=None) -> DataFrame:
+    """(key, at, size, gram) of all windows; for items, one window if shorter than `window`; known: broadcast bit map of the windows that matter."""
 
     def run(batches):
+        bits = known.value if known is not None else None
         for b in batches:
             out = ([], [], [], [])
             for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -126,7 +147,12 @@ def _windows(df: DataFrame, key: str, sizes: list[int], whole_if_short: bool, wi
                 for n in [min(window, len(words))] if whole_if_short else sizes:
                     if n:
                         for i in range(len(words) - n + 1):
-                            for c, v in zip(out, (k, i, n, b" ".join(words[i : i + n])), strict=True):
+                            gram = b" ".join(words[i : i + n])
+                            if bits is not None:
+                                place = zlib.crc32(gram) % FILTER_BITS
+                                if not bits[place >> 3] >> (place & 7) & 1:
+                                    continue
+                            for c, v in zip(out, (k, i, n, gram), strict=True):
                                 c.append(v)
                 if len(out[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=[key, "at", "size", "gram"])
@@ -139,9 +165,10 @@ def _windows(df: DataFrame, key: str, sizes: list[int], whole_if_short: bool, wi
 def _hits_by_join(texts: DataFrame, bench: DataFrame, window: int) -> DataFrame:
     """texts(_k, text) → (_k, hits, items) of hit texts, for a benchmark too large to broadcast: windows meet by value in a shuffled join."""
     items = _windows(bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text"), "item_id", [], True, window)
-    items = items.select("item_id", "size", "gram").distinct()
+    items = stored(items.select("item_id", "size", "gram").distinct(), "benchmark-windows")
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # at most `window` values
-    grams = _windows(texts.dropDuplicates(["_k"]), "_k", sizes, False, window)
+    known = texts.sparkSession.sparkContext.broadcast(_window_map(items))
+    grams = _windows(texts.dropDuplicates(["_k"]), "_k", sizes, False, window, known)
     met = grams.join(items.hint("merge"), ["size", "gram"])
     return met.groupBy("_k").agg(F.collect_set(F.struct("at", "size")).alias("hits"), F.array_sort(F.collect_set("item_id")).alias("items"))
 
