@@ -161,6 +161,64 @@ def _show(p, *scope):
     return p.select(*scope, "role", "field_key", "value", "sample_count", "observed_count", "total_count", F.array_join("conflicts", ";").alias("conflicts"), "coverage", "confidence", "level")
 
 
+#: Column of the older rule form → value of a paragraph.
+STYLE_OF = {
+    "font_east_asia": "font_east_asia", "font_latin": "font_ascii", "size_pt": "size_pt", "bold": "bold",
+    "alignment": "case alignment when 'both' then 'justify' when 'distribute' then 'justify' when 'start' then 'left' when 'end' then 'right' else alignment end",
+    "line_spacing_pt": "line_pt", "spacing_before_pt": "space_before_pt", "spacing_after_pt": "space_after_pt", "first_line_indent_chars": "first_line_chars", "hanging_indent_chars": "hanging_chars", "left_indent_chars": "left_chars",
+    "outline_level": "cast(coalesce(outline_level + 1, 10) as double)",
+}
+
+
+def _one_rule(no: int, key: str) -> str:
+    c, kind, unit = RU.LEGACY[key]
+    value = lambda k, t: c if kind == k else f"cast(null as {t})"
+    return f"select doc_id, role, '{key}' as field_key, {no} as ord, {c} is not null as enabled, '{'error' if key in RU.ERROR_FIELDS else 'warn'}' as severity, case when {c} is null then 'unset' else 'exact' end as mode, '{unit}' as unit, '{kind}' as kd, {value('s', 'varchar')} as exact_str, {value('n', 'double')} as exact_num, {value('b', 'boolean')} as exact_bool from sl"
+
+
+_RULE_LABELS = "case field_key " + " ".join(f"when '{k}' then '{x[0]}'" for k, x in C.FIELDS.items()) + " end"
+_UNITS = "case field_key " + " ".join(f"when '{k}' then '{u}'" for k, (_, _, u) in RU.LEGACY.items()) + " end"
+_SANE = [f"case field_key {' '.join(f'when {chr(39)}{k}{chr(39)} then {b[i]}' for k, b in RU.SANE.items())} end" for i in (0, 1)]
+#: sl: styles of each document's roles; nr: their rules; lib: the changed ones.
+_LIB = f"""{ROLES}, s0 as (select doc_id, role, arg_min(struct_pack({', '.join(f'{c} := {e}' for c, e in STYLE_OF.items())}), para_index) as x from rol where role is not null group by doc_id, role), sl as (select doc_id, role, x.* from s0),
+nr as ({" union all ".join(_one_rule(i, k) for i, k in enumerate(RU.LEGACY, 1))}),
+tn as (select *, (doc_id * 3 + ord) % 8 as t from nr),
+lib as (select doc_id, role, field_key, kd, {_RULE_LABELS} as label, {_UNITS} as want, enabled and t <> 3 as enabled, severity, case when enabled and t = 0 then 'range' when enabled and t = 1 then 'oneOf' when enabled and t = 2 then 'unset' else mode end as mode, case when t = 6 then 'pt' else unit end as unit,
+ case when enabled and t in (0, 1, 2) then null when enabled and t = 4 then 'x' else exact_str end as exact_str, case when enabled and t in (0, 1, 2, 4) then null when enabled and t = 5 then exact_num * 20 else exact_num end as exact_num, case when enabled and t in (0, 1, 2, 4) then null else exact_bool end as exact_bool,
+ case when enabled and t = 1 and doc_id % 2 <> 0 then 1 else 0 end as candidates, case when enabled and t = 1 and doc_id % 2 <> 0 then exact_str end as cs, case when enabled and t = 1 and doc_id % 2 <> 0 then exact_num end as cn, case when enabled and t = 0 then exact_num end as lo, case when enabled and t = 0 then exact_num - 1 end as hi from tn)"""
+_HAS = "(coalesce(trim(exact_str), '') <> '' or exact_num is not null or exact_bool is not null)"
+_FITS = "case kd when 's' then exact_str is not null when 'n' then exact_num is not null else exact_bool is not null end"
+_ALIGN = "('left', 'center', 'right', 'justify')"
+
+
+def _out(cond: str, x: str) -> str:
+    return f"select doc_id, 'warn' as level, 'FIELD_OUT_OF_RANGE' as code, role, field_key, '「' || label || '」的值 ' || {NUM.format(x)} || ' 超出常见范围 ' || {_SANE[0]} || '~' || {_SANE[1]} || '，请确认' as message from lib where {cond} and ({x} < {_SANE[0]} or {x} > {_SANE[1]})"
+
+
+def _flaw(level: str, code: str, cond: str, said: str) -> str:
+    return f"select doc_id, '{level}' as level, '{code}' as code, role, field_key, '「' || label || '」' || {said} as message from lib where {cond}"
+
+
+_LINT = "lint as (" + " union all ".join([
+    _flaw("warn", "FIELD_UNIT_MISMATCH", "enabled and unit <> want", "'的单位「' || unit || '」与字段类型不符（应为「' || want || '」）'"),
+    _flaw("warn", "FIELD_ENABLED_BUT_UNSET", "enabled and mode = 'unset'", "'已启用校验，但规则方式为「不校验」，请改用具体规则或停用该字段'"),
+    _flaw("error", "FIELD_EXACT_MISSING", f"enabled and mode = 'exact' and not {_HAS}", "'选择了精确值，但未填写规则值'"),
+    _flaw("error", "FIELD_TYPE_MISMATCH", f"enabled and mode = 'exact' and {_HAS} and not {_FITS}", "'的规则值类型与字段不匹配'"),
+    _flaw("error", "FIELD_ENUM_INVALID", f"enabled and mode = 'exact' and field_key = 'align' and exact_str not in {_ALIGN}", "'的值「' || exact_str || '」不是合法对齐方式（left / center / right / justify）'"),
+    _out(f"enabled and mode = 'exact' and {_FITS}", "exact_num"),
+    _flaw("error", "FIELD_ONEOF_EMPTY", "enabled and mode = 'oneOf' and candidates = 0", "'选择了候选值之一，但候选列表为空'"),
+    _flaw("error", "FIELD_ENUM_INVALID", f"enabled and mode = 'oneOf' and field_key = 'align' and cs not in {_ALIGN}", "'的值「' || cs || '」不是合法对齐方式（left / center / right / justify）'"),
+    _out("enabled and mode = 'oneOf'", "cn"),
+    _flaw("error", "FIELD_RANGE_UNIT", "enabled and mode = 'range' and kd <> 'n'", "'是非数值字段，不能使用「范围」方式'"),
+    _flaw("error", "FIELD_RANGE_MINMAX", "enabled and mode = 'range' and kd = 'n' and lo > hi", f"'范围下限 ' || {NUM.format('lo')} || ' 大于上限 ' || {NUM.format('hi')}"),
+    _out("enabled and mode = 'range' and kd = 'n'", "lo"),
+    _out("enabled and mode = 'range' and kd = 'n'", "hi"),
+    _flaw("info", "FIELD_DISABLED_HAS_VALUE", f"not enabled and mode <> 'unset' and ({_HAS} or candidates > 0 or lo is not null or hi is not null)", "'已停用，但仍保留规则值，可清理'"),
+    "select doc_id, 'error', 'ROLE_REQUIRED_MISSING', 'body_text', null, '缺少必填角色「正文」' from lib group by doc_id having not bool_or(role = 'body_text')",
+    f"select doc_id, 'warn', 'HIERARCHY_SIZE_SAME', 'heading1', 'fontSizePt', '一级标题字号与正文相同（' || {NUM.format('b')} || 'pt），可能缺乏层级区分' from (select doc_id, max(exact_num) filter (where role = 'body_text') as b, max(exact_num) filter (where role = 'heading1') as h from lib where enabled and mode = 'exact' and field_key = 'fontSizePt' group by doc_id) where b = h",
+    "select doc_id, 'info', 'FONT_INCOMPLETE', 'body_text', null, '正文未配置中文/西文字体，字体检测可能不稳定' from lib group by doc_id having bool_or(role = 'body_text') and not coalesce(bool_or(enabled) filter (where role = 'body_text' and field_key in ('fontFamilyCn', 'fontFamilyLatin')), false)",
+]) + ")"
+
 STYLES = [("Base", None, "宋体", None, 10.5, True), ("Body", "Base", None, "Arial", None, False), ("H1", "Body", "黑体", None, 16.0, False), ("H2", "H1", None, None, 14.0, False), ("Loop1", "Loop2", None, "A", None, False), ("Loop2", "Loop1", "B", None, 9.0, False), ("Lost", "Nowhere", None, None, 8.0, False)]
 
 
@@ -236,7 +294,6 @@ def add(_add) -> None:
 
     # ---- rules and styles of paragraphs and runs
     _add("rule_for_role", lambda s, d: C.rule_for_role(C.enabled_rules(rules(s))).join(roles(s, d).select("role").distinct().hint("merge"), "role"), f"{ROLES}, {_OWN} select role, rr as rule_role from pick where rr is not null")
-    _add("enabled_rules", lambda s, d: C.small(C.enabled_rules(rules(s))).join(roles(s, d).where("role is not null").groupBy("role").agg(F.count("*").alias("paragraphs")), "role").select("role", "field_key", "mode", "paragraphs"), f"{ROLES}, {_RSQL} select role, field_key, mode, count(*) as paragraphs from rul join rol using (role) where enabled and mode <> 'unset' group by role, field_key, mode")
     _add("check_paragraph_fields", lambda s, d: C.check_paragraph_fields(roles(s, d), rules(s)).drop("text_preview"), f"{_PF} select * exclude (text_preview) from pf")
     _add("matches_rule", lambda s, d: C.check_paragraph_fields(roles(s, d), rules(s)).groupBy("role", "field").agg(F.count("*").alias("n")), f"{_PF} select role, field, count(*) as n from pf group by role, field")
     _add("describe_rule", lambda s, d: C.check_paragraph_fields(roles(s, d), rules(s)).groupBy("message").agg(F.count("*").alias("n")), f"{_PF} select message, count(*) as n from pf group by message")
@@ -284,25 +341,49 @@ def add(_add) -> None:
     ign = [("body_text", None), ("heading1", "bold")]
     _add("apply_ignores", lambda s, d: PR.apply_ignores(proposals(s, d).select("role", "field_key", "value"), s.createDataFrame(ign, "role string, field_key string")), f"{prp} select role, field_key, value, role = 'body_text' or (role = 'heading1' and field_key = 'bold') as ignored from prp")
 
-    # ---- rule tables, weighed by the paragraphs that they concern
-    def weighed(df, s, d):
-        return df.hint("merge").join(roles(s, d).where("role is not null").groupBy("role").agg(F.count("*").alias("paragraphs")), "role", "left").fillna(0, ["paragraphs"])
-
-    wsql = "coalesce((select count(*) from rol where rol.role = x.role), 0) as paragraphs"
-    kind = "case when field_key in ('fontFamilyCn', 'fontFamilyLatin', 'align') then 's' when field_key = 'bold' then 'b' else 'n' end"
-    lint = f"""{ROLES}, {_RSQL}, k as (select *, {kind} as kd, es is not null or en is not null or eb is not null as has from rul),
-x as (select 'error' as level, 'exact-missing' as code, role, field_key from k where enabled and mode = 'exact' and not has union all select 'error', 'exact-type', role, field_key from k where enabled and mode = 'exact' and has and case kd when 's' then es is null when 'n' then en is null else eb is null end
-union all select 'error', 'exact-enum', role, field_key from k where enabled and mode = 'exact' and field_key = 'align' and es not in ('left', 'center', 'right', 'justify') union all select 'error', 'oneof-empty', role, field_key from k where enabled and mode = 'oneOf' and coalesce(len(one_of), 0) = 0
-union all select 'error', 'range-type', role, field_key from k where enabled and mode = 'range' and kd <> 'n' union all select 'error', 'range-empty', role, field_key from k where enabled and mode = 'range' and lo is null and hi is null union all select 'error', 'range-order', role, field_key from k where enabled and mode = 'range' and lo > hi
-union all select 'warn', 'value-out-of-range', role, field_key from k where enabled and mode = 'exact' and ((field_key = 'fontSizePt' and (en < 5 or en > 72)) or (field_key = 'lineHeightPt' and (en < 5 or en > 100))) union all select 'warn', 'enabled-unset', role, field_key from k where enabled and mode = 'unset' union all select 'info', 'disabled-with-value', role, field_key from k where not enabled and mode <> 'unset'
-union all select 'warn', 'heading-size-equals-body', role, 'fontSizePt' from k where enabled and mode = 'exact' and field_key = 'fontSizePt' and role like 'heading%' and en = (select max(en) from k where role = 'body_text' and field_key = 'fontSizePt' and enabled and mode = 'exact')
-union all select 'error', 'missing-body-role', 'body_text', null where not exists (select 1 from k where role = 'body_text') union all select 'warn', 'body-font-missing', 'body_text', null where exists (select 1 from k where role = 'body_text') and not exists (select 1 from k where role = 'body_text' and enabled and field_key in ('fontFamilyCn', 'fontFamilyLatin')))
-select level, code, role, field_key, {wsql} from x"""
-    _add("lint_rules", lambda s, d: weighed(RU.lint_rules(rules(s)), s, d), lint)
-    _add("normalize_rules", lambda s, d: weighed(RU.normalize_rules(s.createDataFrame(LEGACY, LEGACY_SCHEMA)).select("role", "field_key", "enabled", "severity", "mode", "exact_str", "exact_num", "exact_bool"), s, d))
-    _add("to_legacy_rules", lambda s, d: weighed(RU.to_legacy_rules(rules(s)).select("role", "font_east_asia", "size_pt", "bold", "outline_level"), s, d), f"{ROLES}, {_RSQL}, x as (select role, max(es) filter (where field_key = 'fontFamilyCn') as font_east_asia, max(en) filter (where field_key = 'fontSizePt') as size_pt, bool_or(eb) filter (where field_key = 'bold') as bold, max(en) filter (where field_key = 'outlineLevel') as outline_level from rul where enabled and mode = 'exact' group by role) select x.*, {wsql} from x")
-    _add("sink_rules", lambda s, d: weighed(RU.sink_rules(rules(s)), s, d))
-    _add("sort_rule_fields", lambda s, d: weighed(rules(s).select("role", "field_key", F.array_position(F.array(*[F.lit(k) for k in C.FIELDS]), F.col("field_key")).alias("ord")), s, d), f"{ROLES}, {_RSQL}, {_LAB}, x as (select role, field_key, list_position([{', '.join(repr(k) for k in C.FIELDS)}], field_key) as ord from rul) select role, field_key, cast(ord as bigint) as ord, {wsql} from x")
+    # ---- rule libraries: one a document, from the first paragraph of each role
+    def styles_of(s, d):
+        pick = F.min_by(F.struct(*[F.expr(e).alias(c) for c, e in STYLE_OF.items()]), "para_index")
+        return roles(s, d).where("role is not null").groupBy("doc_id", "role").agg(pick.alias("x")).select("doc_id", "role", "x.*")
+
+    def libraries_of(s, d):
+        """Their rules, of every sixth kind changed in a way of its own."""
+        r = RU.normalize_rules(styles_of(s, d), ["doc_id"])
+        turn, none = (F.col("doc_id") * 3 + RU.field_order()) % 8, F.lit(None)
+        one = F.when(F.col("doc_id") % 2 == 0, F.array().cast(RU.ONE_OF)).otherwise(F.array(F.struct(F.col("exact_str").alias("s"), F.col("exact_num").alias("n"), F.col("exact_bool").alias("b"))))
+        on = F.col("enabled")
+        gone = on & turn.isin(0, 1, 2)
+        return r.withColumns(
+            {
+                "mode": F.when(on & (turn == 0), "range").when(on & (turn == 1), "oneOf").when(on & (turn == 2), "unset").otherwise(F.col("mode")),
+                "enabled": on & (turn != 3),
+                "min": F.when(on & (turn == 0), F.col("exact_num")),
+                "max": F.when(on & (turn == 0), F.col("exact_num") - 1),
+                "one_of": F.when(on & (turn == 1), one),
+                "unit": F.when(turn == 6, "pt").otherwise(F.col("unit")),
+                "exact_str": F.when(gone, none).when(on & (turn == 4), "x").otherwise(F.col("exact_str")),
+                "exact_num": F.when(gone | (on & (turn == 4)), none).when(on & (turn == 5), F.col("exact_num") * 20).otherwise(F.col("exact_num")),
+                "exact_bool": F.when(gone | (on & (turn == 4)), none).otherwise(F.col("exact_bool")),
+            }
+        )
+
+    key = "doc_id, role, field_key"
+    _add("normalize_rules", lambda s, d: RU.normalize_rules(styles_of(s, d), ["doc_id"]).select("doc_id", "role", "field_key", "enabled", "severity", "mode", "unit", "exact_str", "exact_num", "exact_bool"), f"{_LIB} select {key}, enabled, severity, mode, unit, exact_str, exact_num, exact_bool from nr")
+    _add("to_legacy_rules", lambda s, d: RU.to_legacy_rules(libraries_of(s, d), ["doc_id"]), f"{_LIB} select doc_id, role, " + ", ".join(f"max({dict(s='exact_str', n='exact_num', b='exact_bool')[t]}) filter (where field_key = '{k}') as {c}" for k, (c, t, _) in RU.LEGACY.items()) + " from lib where enabled and mode = 'exact' group by doc_id, role")
+    _add("lint_rules", lambda s, d: RU.lint_rules(libraries_of(s, d), ["doc_id"]), f"{_LIB}, {_LINT} select * from lint")
+    _add("sort_rule_fields", lambda s, d: RU.sort_rule_fields(libraries_of(s, d), ["doc_id"]).select("doc_id", "role", "field_key", F.col("ord").cast("long").alias("ord")), f"{_LIB} select {key}, cast(ord as bigint) as ord from nr")
+    _add("enabled_rules", lambda s, d: C.enabled_rules(libraries_of(s, d)).select("doc_id", "role", "field_key", "mode"), f"{_LIB} select {key}, mode from lib where enabled and mode <> 'unset'")
+
+    def round_trip(s, d):
+        """The libraries as JSON texts, read again."""
+        names = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.concat(F.lit("lib-"), F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("规则 "), F.coalesce("lang", F.lit(""))).alias("name"), F.lit("1.0").alias("version"))
+        text = RU.sink_rules(libraries_of(s, d), names, ["doc_id"])
+        return RU.scan_rules(TB.stored(text, "libraries").withColumnRenamed("json", "value"))
+
+    shown = lambda df: df.select("doc_id", "role", "field_key", "enabled", "severity", "mode", "unit", "exact_str", "exact_num", "exact_bool", F.size(F.coalesce("one_of", F.array().cast(RU.ONE_OF))).alias("candidates"), "min", "max")
+    lib = f"select {key}, enabled, severity, mode, unit, exact_str, exact_num, exact_bool, candidates, lo as min, hi as max from lib"
+    _add("sink_rules", lambda s, d: shown(RU.library_rules(round_trip(s, d))), f"{_LIB} {lib}")
+    _add("library_settings", lambda s, d: RU.library_settings(round_trip(s, d)).select("doc_id", "id", "name", "version"), "select doc_id, 'lib-' || doc_id as id, '规则 ' || coalesce(lang, '') as name, '1.0' as version from documents")
 
     # ---- reports
     _add("issue_row", issues, f"{_ISS} select * from iss")
@@ -397,20 +478,37 @@ select doc_id, para_index, field, message, {fixable} as fixability, {hint} as su
         return docs.select("doc_id", F.concat(F.lit("\ufeff"), F.when(F.col("doc_id") % 10 == 9, "no json").otherwise(F.to_json(F.struct(F.col("doc_id").alias("id"), F.concat(F.lit("规则 "), "lang").alias("name"))))).alias("value"))
 
     _add("scan_rules", lambda s, d: RU.scan_rules(libraries(s, d), "id long, name string").select("library.id", "library.name"), "select case when doc_id % 10 <> 9 then doc_id end as id, case when doc_id % 10 <> 9 then '规则 ' || lang end as name from documents")
-    bound = lambda m: F.when(F.col("doc_id") % m == 0, F.col("doc_id") % 50).cast("double")
-    raw = lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("metric"), *[bound(m).alias(n) for n, m in (("min", 2), ("master_min", 3), ("doctor_min", 5), ("max", 7), ("master_max", 2), ("doctor_max", 3))])
+    def legacy_texts(s, d):
+        """A library of the older form a document, as JSON: bounds of its statistics by arithmetic."""
+        n, out = F.col("doc_id"), {}
+        bound = lambda m: F.when(n % m == 0, n % 50)
+        count = lambda a, b: F.struct(bound(a).alias("recommended_count_min"), bound(b).alias("recommended_count_max"))
+        words = lambda *ms: F.struct(F.struct(*[bound(m).alias(k) for k, m in zip(("min", "master_min", "doctor_min", "max", "master_max", "doctor_max"), ms, strict=True)]).alias("recommended_word_count"))
+        out["keywords"] = F.struct(count(2, 3).alias("cn"), count(5, 7).alias("en"))
+        out["abstract"] = F.struct(words(2, 3, 5, 7, 2, 3).alias("cn"), words(7, 5, 11, 3, 5, 2).alias("en"))
+        least = F.when(n % 3 == 0, (n % 50).cast("string")).otherwise(F.to_json(F.struct(bound(2).alias("master"), bound(5).alias("doctor"), bound(7).alias("other"))))
+        refs = F.concat(F.lit('{"minimum_count":'), least, F.when(n % 4 == 0, F.lit(',"minimum_foreign_language_fraction":0.25')).otherwise(""), F.lit("}"))
+        body = F.to_json(F.struct(*[c.alias(k) for k, c in out.items()]))
+        return s.read.parquet(f"{d}/documents.parquet").select("doc_id", body.alias("b"), refs.alias("r")).select("doc_id", F.concat(F.lit("\ufeff"), F.expr("substring(b, 1, length(b) - 1)"), F.lit(',"references":'), "r", F.lit("}")).alias("value"))
+
     bsql = lambda *ms: "case when " + " or ".join(f"doc_id % {m} = 0" for m in ms) + " then cast(doc_id % 50 as double) end"
-    _add("normalize_statistics", lambda s, d: RU.normalize_statistics(raw(s, d)), f"select cast(doc_id as varchar) as metric, {bsql(2, 3, 5)} as min, {bsql(7, 2, 3)} as max from documents")
+    metric = lambda m, lo, hi: f"select doc_id, '{m}' as metric, {lo} as min, {hi} as max from documents"
+    stats = " union all ".join([
+        metric("keywords_cn", bsql(2), bsql(3)), metric("keywords_en", bsql(5), bsql(7)), metric("abstract_cn", bsql(2, 3, 5), bsql(7, 2, 3)), metric("abstract_en", bsql(7, 5, 11), bsql(3, 5, 2)),
+        metric("references", f"case when doc_id % 3 = 0 then cast(doc_id % 50 as double) else {bsql(2, 5, 7)} end", "cast(null as double)"), metric("foreign_fraction", "case when doc_id % 4 = 0 then 0.25 end", "cast(null as double)"),
+    ])
+    _add("normalize_statistics", lambda s, d: RU.normalize_statistics(RU.scan_rules(legacy_texts(s, d)).select("doc_id", "library.keywords", "library.abstract", "library.references")), f"select * from ({stats}) where min is not null or max is not null")
 
     def publish(s, d):
         docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("library_id"), "lang", "source")
-        old = docs.select("library_id", F.concat(F.lit("1."), F.col("library_id") % 3).alias("version"), F.col("lang").alias("content"))
-        draft = docs.select("library_id", F.when(F.col("library_id") % 2 == 0, F.col("lang")).otherwise(F.col("source")).alias("content"))
+        old = docs.select("library_id", F.concat(F.lit("1."), F.col("library_id") % 3).alias("version"), F.coalesce("lang", F.lit("")).alias("content"), F.lit("2024-01-01").alias("published_at"))
+        draft = docs.select("library_id", F.when(F.col("library_id") % 2 == 0, F.coalesce("lang", F.lit(""))).otherwise(F.col("source")).alias("content"))
         flaws = docs.where("library_id % 5 = 1").select("library_id", F.lit("error").alias("level"))
-        return RU.publish_rules(draft, old, flaws)
+        return RU.publish_rules(draft, old, flaws, F.lit("2024-01-02"))
+
+    go = "doc_id % 2 = 1 and doc_id % 5 <> 1 and source <> coalesce(lang, '')"
+    _add("publish_rules", publish, f"select doc_id as library_id, '1.' || (doc_id % 3) as version, coalesce(lang, '') as content, '2024-01-01' as published_at from documents union all select doc_id, '1.' || (doc_id % 3 + 1), source, '2024-01-02' from documents where {go}")
 
-    go = "doc_id % 2 = 1 and doc_id % 5 <> 1 and source <> lang"
-    _add("publish_rules", publish, f"select doc_id as library_id, case when {go} then '1.' || (doc_id % 3 + 1) else '1.' || (doc_id % 3) end as version, case when {go} then source else lang end as content from documents")
     every = f"""{CORPUS_SQL}, {_OWN}, {_RUNV}, vls as ({_VALS}), {_ISL}, pf as (select doc_id, para_index, role, field, severity, shown, label || {_DESC} || '，实际 ' || shown as message from vls join own using (role, field_key) join fl using (field_key) where not ({_OK}) and (doc_id, para_index, field_key) not in (select distinct doc_id, para_index, field_key from rv)),
 al1 as (select *, null as actual from al0 union all select doc_id, 10, para_index, role, field, severity, message, shown from pf union all select doc_id, 10, para_index, role, field, severity, message, shown from isl),
 al as (select al1.* exclude (actual), rol.confidence as role_confidence, {_hint_sql("field", "null", "null", "actual", "''")[0]} as fixability from al1 left join rol using (doc_id, para_index))"""
