@@ -16,13 +16,17 @@ suffixes that start at anchors, one in about length/4 bytes.
 3. A window that starts l bytes before its anchor recurs if another anchor
    shares length - l bytes to the right (neighbours in suffix order) and l
    bytes to the left (neighbours in the order of reversed left contexts).
+4. A gram that very many places share (hot_at) would be one task's work. The
+   windows at its anchors are dealt by their own 128-bit digests instead, each
+   batch sends a digest once, and digests that meet recur.
 
-Hashes only choose what is compared; the comparison is exact. Equal texts
-are one text, and all of a text that occurs twice goes (if long enough).
+Elsewhere hashes only choose what is compared; the comparison is exact. Equal
+texts are one text, and all of a text that occurs twice goes (if long enough).
 
 Defined cases: null is the empty text; texts shorter than `length` lose
-nothing and find nothing; repeated rows are other places; an empty table
-gives an empty table.
+nothing and find nothing, longer ones of any length are treated whole; repeated
+rows are other places; ties need no order, since bytes go at every place; an
+empty table gives an empty table; other columns don't matter (see common.pick).
 """
 
 from __future__ import annotations
@@ -43,12 +47,17 @@ from quire.llm.common import pick, shuffle_partitions, stored, table
 from quire.llm.ngram_join import mix, powers
 
 LENGTH = 200
-ENTRY = np.dtype([("hash", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("pos", "<u4"), ("lmin", "<u2"), ("lmax", "<u2"), ("flag", "u1")])
-SPOT = np.dtype([("pos", "<u4"), ("lmin", "<u2"), ("lmax", "<u2")])
+ENTRY = np.dtype([("hash", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("pos", "<u4"), ("lmin", "<u2"), ("lmax", "<u2"), ("flag", "u1"), ("n", "<u4")])
+SPOT = np.dtype([("pos", "<u4"), ("lmin", "<u2"), ("lmax", "<u2"), ("hash", "<u8")])
+WINDOW = np.dtype([("d1", "<u8"), ("d2", "<u8"), ("hi", "<u8"), ("lo", "<u8"), ("pos", "<u4"), ("flag", "u1")])
 SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
 ALONE, KNOWN, DIRECT = 0, 1, 2
 #: Entries whose windows are looked at together.
 STRETCH = 20_000
+#: Windows of hot grams that a task holds before it sends them.
+HELD_WINDOWS = 200_000
+#: A gram is hot from so many places on, or from one in this many of all anchors: so there are at most HOT_SHARE hot ones.
+HOT_AT, HOT_SHARE = 20_000, 4_000_000
 
 
 def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +115,7 @@ def _found(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             many = np.repeat(size > 1, size)
             # Hashes that recur within this batch are known already: one entry tells the others, the rest passes by.
             sent, passed = e[new].copy(), e[many].copy()
-            sent["flag"], passed["flag"] = np.where(size > 1, KNOWN, ALONE), DIRECT
+            sent["flag"], passed["flag"], sent["n"] = np.where(size > 1, KNOWN, ALONE), DIRECT, size
             out_b, out_d = [], []
             for part, by in ((sent, "hash"), (passed, "lo")):
                 for bucket, x in _by_bucket(part, part[by] % np.uint64(buckets)):
@@ -127,13 +136,13 @@ def _groups(batches):
     return groupby(rows(), key=itemgetter(0))
 
 
-def _recurring(found: DataFrame, parts: int) -> DataFrame:
-    """(key, spots): anchors of a text whose gram occurs anywhere else."""
+def _recurring(found: DataFrame, parts: int, hot_at: int) -> DataFrame:
+    """(key, spots): anchors of a text whose gram occurs anywhere else; under a null key the hashes of grams with hot_at places or more."""
 
     def run(batches):
         for _, rows in _groups(batches):
             e = np.frombuffer(b"".join([r[1] for r in rows]), ENTRY)
-            direct, e = e[e["flag"] == DIRECT], e[e["flag"] != DIRECT]
+            direct, e, hot = e[e["flag"] == DIRECT], e[e["flag"] != DIRECT], np.zeros(0, np.uint64)
             e = e[np.lexsort((e["flag"] != KNOWN, e["pos"], e["lo"], e["hi"], e["hash"]))]
             if len(e):  # copies of a text are one place
                 same = np.ones(len(e), bool)
@@ -142,11 +151,12 @@ def _recurring(found: DataFrame, parts: int) -> DataFrame:
                 same[0] = False
                 e = e[~same]
                 group = np.cumsum(np.concatenate(([False], e["hash"][1:] != e["hash"][:-1])))
+                hot = e["hash"][np.searchsorted(group, np.flatnonzero(np.bincount(group, e["n"]) >= hot_at))]
                 often = (np.bincount(group) > 1) | (np.bincount(group, e["flag"] == KNOWN) > 0)
                 e = e[often[group] & (e["flag"] != KNOWN)]
             e = np.concatenate((direct, e))
             e = e[np.lexsort((e["lo"], e["hi"]))]
-            keys, data = [], []
+            keys, data = ([None], [hot.tobytes()]) if len(hot) else ([], [])
             if len(e):
                 cut = np.flatnonzero(np.concatenate(([True], (e["hi"][1:] != e["hi"][:-1]) | (e["lo"][1:] != e["lo"][:-1]))))
                 spots = np.zeros(len(e), SPOT)
@@ -279,16 +289,70 @@ def covered(suffixes: list[bytes], lcp: list[int], lefts: list[bytes], lmin: np.
     return least, most
 
 
-def _runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, kind, data): front-coded runs (kind 0) of (key, text, spots), and spans that are known at once (kind 1)."""
+def _windows_at(key: bytes, raw: bytes, spots: np.ndarray, length: int) -> np.ndarray:
+    """WINDOW rows of all windows of a text's spots."""
+    start = np.unique(np.concatenate([np.arange(a - hi, a - lo + 1) for a, lo, hi, _ in spots.tolist()]))
+    out = np.zeros(len(start), WINDOW)
+    digests = np.frombuffer(b"".join(hashlib.blake2b(raw[i : i + length], digest_size=16).digest() for i in start.tolist()), "<u8")
+    out["d1"], out["d2"], out["pos"] = digests[::2], digests[1::2], start
+    out["hi"], out["lo"] = np.frombuffer(key, "<u8")
+    return out
+
+
+def _spans_by_key(windows: np.ndarray, length: int) -> dict[bytes, bytes]:
+    """key → SPAN array of windows."""
+    if not len(windows):
+        return {}
+    windows = windows[np.lexsort((windows["lo"], windows["hi"]))]
+    spans = np.zeros(len(windows), SPAN)
+    spans["start"], spans["end"] = windows["pos"], windows["pos"] + length
+    keys = np.stack((windows["hi"], windows["lo"]), 1)
+    cut = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(1))))
+    return {keys[a].tobytes(): spans[a:b].tobytes() for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)], strict=True)}
+
+
+def _same_digest(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(windows sorted by digest, number of the digest of each)."""
+    windows = windows[np.lexsort((windows["d2"], windows["d1"]))]
+    new = np.ones(len(windows), bool)
+    new[1:] = (windows["d1"][1:] != windows["d1"][:-1]) | (windows["d2"][1:] != windows["d2"][:-1])
+    return windows, np.cumsum(new) - 1
+
+
+def _sent_windows(windows: np.ndarray, length: int, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Rows of _runs for windows of hot grams: each digest once (kind 2), and the spans of those that recur among these (kind 1)."""
+    windows, group = _same_digest(windows)
+    size = np.bincount(group)
+    again = size[group] > 1
+    first = windows[np.searchsorted(group, np.arange(len(size)))]
+    first["flag"] = np.where(size > 1, KNOWN, ALONE)
+    known: dict[int, dict[bytes, bytes]] = {}
+    for key, spans in _spans_by_key(windows[again], length).items():
+        known.setdefault(zlib.crc32(key) % buckets, {})[key] = spans
+    return [(i, 2, x.tobytes()) for i, x in _by_bucket(first, first["d1"] % np.uint64(buckets))] + [(i, 1, pickle.dumps(d, protocol=5)) for i, d in known.items()]
+
+
+def _runs(texts: DataFrame, length: int, buckets: int, hot) -> DataFrame:
+    """(bucket, kind, data): front-coded runs (kind 0) of (key, text, spots), spans that are known at once (kind 1), windows of hot grams (kind 2); hot: broadcast hashes of these."""
     half = length // 2
 
     def run(batches):
         for b in batches:
             held: dict[tuple, list] = {}
+            windows, waiting, early = [], 0, []
             for key, raw, spots in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for a, lo, hi in np.unique(np.frombuffer(b"".join(spots), SPOT)).tolist():
+                spots = np.unique(np.frombuffer(b"".join(spots), SPOT))
+                if len(hot.value) and (often := np.isin(spots["hash"], hot.value)).any():
+                    windows.append(_windows_at(key, raw, spots[often], length))
+                    waiting += len(windows[-1])
+                    spots = spots[~often]
+                    if waiting > HELD_WINDOWS:
+                        early += _sent_windows(np.concatenate(windows), length, buckets)
+                        windows, waiting = [], 0
+                for a, lo, hi, _ in spots.tolist():
                     held.setdefault((raw[a : a + length - lo], raw[a - hi : a], lo, hi), []).append((key, a))
+            if windows:
+                early += _sent_windows(np.concatenate(windows), length, buckets)
             runs: dict[int, list] = {}
             known: dict[int, dict[bytes, list]] = {}
             for (suffix, left, lo, hi), places in held.items():
@@ -298,7 +362,7 @@ def _runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                     for key, a in places:
                         known.setdefault(zlib.crc32(key) % buckets, {}).setdefault(key, []).append((a - hi, a - lo + length))
             held = {}
-            out = [(i, 0, front_code(sorted(r, key=itemgetter(0)))) for i, r in runs.items()]
+            out = early + [(i, 0, front_code(sorted(r, key=itemgetter(0)))) for i, r in runs.items()]
             out += [(i, 1, pickle.dumps({k: np.array(v, SPAN).tobytes() for k, v in d.items()}, protocol=5)) for i, d in known.items()]
             cols = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int8(), pa.binary()), strict=True)], names=["bucket", "kind", "data"])
@@ -346,6 +410,11 @@ def _spans(runs: DataFrame, length: int, parts: int) -> DataFrame:
                 if r[1] == 1:
                     for key, spans in pickle.loads(r[2]).items():  # noqa: S301  written by _runs in this job
                         out.setdefault(key, []).append(spans)
+            if windows := [np.frombuffer(r[2], WINDOW) for r in rows if r[1] == 2]:
+                w, group = _same_digest(np.concatenate(windows))
+                again = (np.bincount(group) > 1)[group] & (w["flag"] == ALONE)  # of the others the places are known already
+                for key, spans in _spans_by_key(w[again], length).items():
+                    out.setdefault(key, []).append(spans)
             for stretch in merged([r[2] for r in rows if r[1] == 0]):
                 suffixes, lcp, lefts, lmin, lmax, places, many = zip(*stretch, strict=True)
                 low, high = covered(suffixes, lcp, lefts, np.array(lmin), np.array(lmax), np.array(many), length)
@@ -372,16 +441,21 @@ def union_of(spans: np.ndarray) -> list[tuple[int, int]]:
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = True, hot_at: int = HOT_AT) -> DataFrame:
     """docs(doc_id, text) → doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null unless with_kept)."""
-    parts = shuffle_partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    parts = shuffle_partitions(spark)
     buckets = 4 * parts
     d = pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     d = d.withColumn("key", F.substring(F.unhex(F.sha2("text", 256)), 1, 16))
-    spots = _recurring(_found(d.select("key", "text"), length, buckets), parts)
+    n_bytes = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    hot_at = max(hot_at, 4 * n_bytes // (length * HOT_SHARE))  # four anchors in `length` bytes
+    spots = _recurring(_found(d.select("key", "text"), length, buckets), parts, hot_at)
     spots = stored(spots.groupBy("key").agg(F.collect_list("spots").alias("spots")), "spots")
+    found = spots.where("key is null").first()
+    hot = spark.sparkContext.broadcast(np.frombuffer(b"".join(found[1]) if found else b"", np.uint64))  # at most HOT_SHARE hashes
     texts = d.select("key", "text").dropDuplicates(["key"])
-    runs = _runs(texts.join(spots.hint("shuffle_hash"), "key"), length, buckets)
+    runs = _runs(texts.join(spots.hint("shuffle_hash"), "key"), length, buckets, hot)
     spans = stored(_spans(runs, length, parts).groupBy("key").agg(F.collect_list("spans").alias("spans")), "spans")
     copies = d.groupBy("key").agg(F.count("*").alias("n"))
 

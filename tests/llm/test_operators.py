@@ -62,10 +62,11 @@ def brute_repeats(texts, length):
 
 
 @pytest.mark.parametrize("length", [40, 200])
-def test_op1_brute_force(spark, docs, rows, length):
+@pytest.mark.parametrize("hot_at", [20_000, 2])
+def test_op1_brute_force(spark, docs, rows, length, hot_at):
     from quire.llm.suffix_dedup import remove_repeats
 
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, length).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, length, hot_at=hot_at).collect())
     want = Counter((row[0], *x) for row, x in zip(rows, brute_repeats([r[1] for r in rows], length), strict=True))
     assert got == want
     assert remove_repeats(empty(spark), length).count() == 0
