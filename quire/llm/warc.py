@@ -86,8 +86,9 @@ def read_archive(archive: Archive) -> DataFrame:
         "payload", F.when(F.sha2("payload", 256) == F.col("strong"), F.col("payload")).otherwise(F.raise_error(F.lit("payload does not match its digest")).cast("binary"))
     )
     # Left: a record whose payload is lost must not vanish in silence.
-    # A merge join: neither side has to fit in memory, and AQE splits the records of a payload that very many share.
-    joined = archive.records.hint("merge").join(good, "strong", "left")
+    # The payloads, one row each, are the build side, a shuffle partition of them at a time; AQE splits the
+    # records of a payload that very many share.
+    joined = archive.records.join(good.hint("shuffle_hash"), "strong", "left")
     whole = F.when(F.col("payload").isNull(), F.raise_error(F.lit("payload is missing")).cast("binary")).otherwise(
         F.concat(F.col("header"), F.col("payload"), F.lit(b"\r\n\r\n"))
     )
