@@ -215,3 +215,10 @@ def locate_fragment(text: Column, fragment: Column) -> Column:
         return F.struct(F.concat(acc["out"], F.array(F.struct(a.alias("start"), e.alias("end")))).alias("out"), e.alias("at"))
 
     return F.when(F.size(chars) == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(F.aggregate(found, start, step, lambda a: a["out"]))
+
+
+def theme_font(ref: Column, major_latin: Column, major_east_asia: Column, minor_latin: Column, minor_east_asia: Column) -> Column:
+    """Face that a theme reference means: major… or minor, East Asian or Latin; null without a reference."""
+    low = F.lower(ref)
+    major, east = low.startswith("major"), F.contains(low, F.lit("eastasia"))
+    return F.when(ref.isNotNull() & (ref != ""), F.when(east, F.when(major, major_east_asia).otherwise(minor_east_asia)).otherwise(F.when(major, major_latin).otherwise(minor_latin)))

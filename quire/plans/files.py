@@ -1,10 +1,11 @@
 """Word files made from the given `documents`: the source of the file queries and of their tests.
 
 Every document becomes a readable file: its lines in paragraphs of two runs,
-the first one with a style, a bookmark and a note, the last one a caption with
-a field, then a table of one cell and a section; styles, notes, numbering,
-theme, header and footer stand beside. Of some documents a damaged file comes
-besides, under the id -1 - doc_id.
+the first one with a style, a number, drawings, a bookmark and a note, the last
+one with a field, then a table of one cell and a section; styles, notes,
+numbering, theme, header and footer stand beside. Measures, sizes and texts of
+all parts come from the document's lines. Of some documents a damaged file
+comes besides, under the id -1 - doc_id.
 """
 
 from __future__ import annotations
@@ -22,21 +23,21 @@ from quire.sources.docx import OLE, A, W
 NS = f'xmlns:w="{W[1:-1]}" xmlns:a="{A[1:-1]}"'
 STYLES = """<w:styles NS><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:asciiTheme="minorHAnsi" w:eastAsiaTheme="minorEastAsia"/><w:sz w:val="21"/></w:rPr></w:rPrDefault><w:pPrDefault><w:pPr><w:spacing w:after="120"/></w:pPr></w:pPrDefault></w:docDefaults>
 <w:style w:type="paragraph" w:default="1" w:styleId="Normal"><w:name w:val="Normal"/><w:pPr><w:spacing w:line="400" w:lineRule="exact"/><w:ind w:firstLine="420"/></w:pPr></w:style>
-<w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/><w:basedOn w:val="Normal"/><w:pPr><w:outlineLvl w:val="0"/><w:jc w:val="center"/><w:ind w:firstLineChars="0"/></w:pPr><w:rPr><w:b/><w:sz w:val="32"/></w:rPr></w:style></w:styles>"""
-THEME = '<a:theme NS><a:themeElements><a:fontScheme><a:majorFont><a:latin typeface="Cambria"/><a:ea typeface=""/></a:majorFont><a:minorFont><a:latin typeface="Calibri"/><a:ea typeface=""/><a:font script="Hans" typeface="宋体"/></a:minorFont></a:fontScheme></a:themeElements></a:theme>'
+<w:style w:type="paragraph" w:styleId="H1"><w:name w:val="heading 1"/><w:basedOn w:val="Normal"/><w:pPr><w:outlineLvl w:val="0"/><w:jc w:val="center"/><w:ind w:firstLineChars="0"/></w:pPr><w:rPr><w:b/><w:sz w:val="H1SIZE"/></w:rPr></w:style></w:styles>"""
+THEME = '<a:theme NS><a:themeElements><a:fontScheme><a:majorFont><a:latin typeface="Cambria"/><a:ea typeface=""/></a:majorFont><a:minorFont><a:latin typeface="LATIN"/><a:ea typeface=""/><a:font script="Hans" typeface="宋体"/></a:minorFont></a:fontScheme></a:themeElements></a:theme>'
 NOTES = '<w:footnotes NS><w:footnote w:type="separator" w:id="0"/><w:footnote w:id="2"><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnote><w:footnote w:id="3"><w:p/></w:footnote></w:footnotes>'
-NUMBERING = '<w:numbering NS><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="odd"/><w:lvlText w:val="%1."/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="5"/></w:lvlOverride></w:num></w:numbering>'
-HEADER = '<w:hdr NS><w:p><w:pPr><w:pBdr><w:bottom w:val="single"/></w:pBdr></w:pPr><w:r><w:t>某某大学</w:t><w:tab/></w:r><w:r><w:t>论文</w:t></w:r></w:p></w:hdr>'
+NUMBERING = '<w:numbering NS><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="odd"/><w:lvlText w:val="%1."/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="START"/></w:lvlOverride></w:num></w:numbering>'
+HEADER = '<w:hdr NS><w:p><w:pPr><w:pBdr><w:bottom w:val="single"/></w:pBdr></w:pPr>HEAD<w:r><w:t>论文</w:t></w:r></w:p></w:hdr>'
 FOOTER = '<w:ftr NS><w:p><w:pPr><w:jc w:val="center"/></w:pPr><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText>PAGE</w:instrText></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:t>1</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r></w:p></w:ftr>'
-SECTION = '<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1440" w:bottom="1440" w:left="85.05pt" w:right="2.5cm"/><w:pgNumType w:fmt="decimal" w:start="1"/></w:sectPr>'
+SECTION = '<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="TOP" w:bottom="1440" w:left="85.05pt" w:right="2.5cm"/><w:pgNumType w:fmt="decimal" w:start="1"/></w:sectPr>'
 #: Facts of each file, besides one paragraph and two runs a line.
-FACTS = {"paragraph": 1, "run": 1, "field": 1, "bookmark": 1, "note_ref": 1, "section": 1, "theme": 1, "default": 1, "style": 2, "note_def": 2, "num_level": 1, "num_instance": 1, "num_override": 1, "hf_token": 4}
+FACTS = {"paragraph": 1, "run": 1, "field": 1, "bookmark": 1, "note_ref": 1, "section": 1, "theme": 1, "default": 1, "style": 2, "note_def": 2, "num_level": 1, "num_instance": 1, "num_override": 1, "hf_token": 3}  # and one for a text in the header
 #: doc_id % 7 → code of the damaged file beside.
 BROKEN = {1: "LEGACY_DOC", 2: "NOT_ZIP", 3: "NOT_DOCX", 4: "ENCRYPTED", 5: "CORRUPT"}
 
 
-def _run(text: str, more: str = "") -> str:
-    return f'<w:r><w:t xml:space="preserve">{escape("".join(c for c in text if c >= " " and not 0xFFFE <= ord(c) <= 0xFFFF))}</w:t>{more}</w:r>'
+def _run(text: str, more: str = "", props: str = "") -> str:
+    return f'<w:r>{props}<w:t xml:space="preserve">{escape("".join(c for c in text if c >= " " and not 0xFFFE <= ord(c) <= 0xFFFF))}</w:t>{more}</w:r>'
 
 
 def _zip(parts: dict[str, str]) -> bytes:
@@ -48,14 +49,27 @@ def _zip(parts: dict[str, str]) -> bytes:
 
 
 def word_file(text: str | None) -> bytes:
-    lines, out = (text or "").split("\n"), []
+    text = text or ""
+    lines, out = text.split("\n"), []
     for i, line in enumerate(lines):
-        head = '<w:pPr><w:pStyle w:val="H1"/><w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr></w:pPr><w:bookmarkStart w:id="1" w:name="_Ref1"/>' if i == 0 else ""
+        n = len(line)
+        head = '<w:pPr><w:pStyle w:val="H1"/><w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr></w:pPr><w:bookmarkStart w:id="1" w:name="_Ref1"/>'
+        own = f'<w:pPr><w:ind w:left="{20 * (n % 50)}" w:hangingChars="{n % 3 * 50}"/><w:spacing w:before="{n % 7}pt" w:line="{240 + n % 5 * 60}"/></w:pPr>'
+        more = f"<w:footnoteReference w:id=\"2\"/>{'<w:drawing/>' * (len(lines) % 3)}" if i == 0 else ""
         tail = '<w:fldSimple w:instr="REF _Ref1"/>' if i == len(lines) - 1 else ""
-        out.append(f"<w:p>{head}{_run(line[:8])}{_run(line[8:], '<w:footnoteReference w:id=\"2\"/>' if i == 0 else '')}{tail}</w:p>")
-    body = "".join(out) + f"<w:tbl><w:tr><w:tc><w:p>{_run('cell')}</w:p></w:tc></w:tr></w:tbl>{SECTION}"
-    beside = {"styles": STYLES, "footnotes": NOTES, "numbering": NUMBERING, "header1": HEADER, "footer1": FOOTER, "theme/theme1": THEME}
-    return _zip({"word/document.xml": f"<w:document NS><w:body>{body}</w:body></w:document>", **{f"word/{n}.xml": x for n, x in beside.items()}})
+        props = f'<w:rPr><w:rFonts w:hAnsiTheme="minorHAnsi"/><w:b w:val="{n % 2}"/><w:sz w:val="{20 + n % 4}"/></w:rPr>'
+        out.append(f"<w:p>{own if i else head}{_run(line[:8])}{_run(line[8:], more, props)}{tail}</w:p>")
+    body = "".join(out) + f"<w:tbl><w:tr><w:tc><w:p>{_run('cell')}</w:p></w:tc></w:tr></w:tbl>{SECTION.replace('TOP', str(1000 + len(text) % 500))}"
+    n = len(lines)
+    beside = {
+        "styles": STYLES.replace("H1SIZE", str(28 + n % 5)),
+        "footnotes": NOTES,
+        "numbering": NUMBERING.replace("START", str(1 + n % 9)),
+        "header1": HEADER.replace("HEAD", _run(lines[0][:8], "<w:tab/>")),
+        "footer1": FOOTER,
+        "theme/theme1": THEME.replace("LATIN", "Arial" if n % 2 else "Calibri"),
+    }
+    return _zip({"word/document.xml": f"<w:document NS><w:body>{body}</w:body></w:document>", **{f"word/{name}.xml": x for name, x in beside.items()}})
 
 
 def broken_file(code: str) -> bytes:

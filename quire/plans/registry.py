@@ -124,7 +124,6 @@ _scalars("issue_key", {"k": (lambda: T.issue_key(F.col("doc_id"), F.col("para_in
 _frag = lambda: F.lit("th e")
 _scalars("locate_fragment", {"n": (lambda: F.size(T.locate_fragment(t(), _frag())), rf"len(regexp_extract_all(text, 't{W}*h{W}*e'))"), "first_start": (lambda: F.get(T.locate_fragment(t(), _frag()), F.lit(0))["start"], rf"case when {m('text', f't{W}*h{W}*e')} then length(regexp_extract(text, '^((?s:.*?))t{W}*h{W}*e', 1)) end")})
 _scalars("best_fragment", {"found": (lambda: F.size(T.locate_fragment(t(), _frag())) == 1, rf"len(regexp_extract_all(text, 't{W}*h{W}*e')) = 1")})
-_scalars("outline_prop", {"v": (lambda: F.col("outline_level").cast("double"), "cast(outline_level as double)")})
 
 # ---- measures ---------------------------------------------------------------------------------
 _meas = lambda: F.concat(F.when(F.col("v") == 0, "-").otherwise(""), (F.col("v") * 1.5).cast("decimal(6,1)").cast("string"), F.element_at(F.array(*[F.lit(x) for x in ("pt", "cm", "mm", "in", "pc", "", "px")]), (F.col("para_index") % 7 + 1).cast("int")))
@@ -135,21 +134,6 @@ _scalars("unit_convert", {
 })
 _scalars("js_round", {"r": (lambda: U.js_round((F.col("v") - 5) * 0.5, 0), "floor((v - 5) * 0.5 + 0.5)")})
 _scalars("line_spacing", {"pt": (lambda: U.line_spacing((F.col("v") * 40).cast("string"), F.when(F.col("v") % 2 == 0, "exact"))["pt"], "case when v % 2 = 0 then v * 2.0 end"), "multiple": (lambda: U.line_spacing((F.col("v") * 40).cast("string"), F.when(F.col("v") % 2 == 0, "exact"))["multiple"], "case when v % 2 = 1 then v * 40 / 240.0 end")})
-_scalars("indent_props", {"first": (lambda: F.coalesce(F.when(F.col("v") % 2 == 0, F.col("v") / 100.0), U.twips_to_chars(F.col("v") * 240.0, F.col("size_pt"))), "case when v % 2 = 0 then v / 100.0 else v * 12.0 / size_pt end")})
-_scalars("spacing_props", {"before": (lambda: U.twips_to_pt(F.col("space_before_pt") * 20), "space_before_pt")})
-_scalars("run_props", {"on": (lambda: U.on_off(F.element_at(F.array(F.lit("1"), F.lit("0"), F.lit("False"), F.lit("on"), F.lit("OFF")), (F.col("v") % 5 + 1).cast("int"))), "v % 5 in (0, 3)")})
-_theme = {"major": ("Cambria", "黑体"), "minor": ("Calibri", None)}
-
-
-def _theme_font(ref, script_hans):
-    """Face of a theme reference: major or minor, east-asian or latin; east-asian falls back to the Hans script's."""
-    major, east = F.lower(ref).startswith("major"), F.contains(F.lower(ref), F.lit("eastasia"))
-    return F.when(east, F.when(major, F.coalesce(F.lit(_theme["major"][1]), script_hans)).otherwise(F.coalesce(F.lit(_theme["minor"][1]), script_hans))).otherwise(F.when(major, _theme["major"][0]).otherwise(_theme["minor"][0]))
-
-
-_ref = lambda: F.element_at(F.array(*[F.lit(x) for x in ("majorHAnsi", "majorEastAsia", "minorEastAsia", "minorAscii")]), (F.col("v") % 4 + 1).cast("int"))
-_scalars("theme_font", {"face": (lambda: _theme_font(_ref(), F.lit("等线")), "case v % 4 when 0 then 'Cambria' when 1 then '黑体' when 2 then '等线' else 'Calibri' end")})
-_scalars("structure_counts", {"n": (lambda: F.col("drawing_count") + F.col("math_count") + F.col("object_count"), "drawing_count + math_count + object_count")})
 _scalars("paragraph_numbering", {"num": (lambda: F.when(F.col("num_id").isNotNull() & F.col("ilvl").isNotNull(), F.col("num_id")), "case when num_id is not null and ilvl is not null then num_id end")})
 
 # ---- statistics ---------------------------------------------------------------------------------
@@ -259,7 +243,6 @@ def _numbering(s, d):
 
 _NUMSQL = f"""lvl(abstract_num_id, ilvl, start, num_fmt, lvl_text) as (values {", ".join(str(x) for x in _LEVELS)}), inst(num_id, abstract_num_id) as (values ('1', '1'), ('2', '2'))"""
 _add("resolve_numbering_level", lambda s, d: N.resolve_numbering_level(*_numbering(s, d)), f"with {_NUMSQL} select doc_id, num_id, abstract_num_id, ilvl, case when doc_id % 2 = 0 and num_id = '1' and ilvl = 0 then 5 else start end as start, num_fmt, lvl_text from documents, inst join lvl using (abstract_num_id)")
-_add("numbering_rows", lambda s, d: _numbering(s, d)[1], f"with {_NUMSQL} select doc_id, lvl.* from documents, lvl")
 _LIST = f"{WITH}, {_NUMSQL}, li as (select doc_id, para_index, num_id, ilvl, case num_fmt when 'bullet' then 'unordered' else 'ordered' end as list_type from par join inst using (num_id) join lvl using (abstract_num_id, ilvl))"
 
 
@@ -286,7 +269,6 @@ _dim = " union all ".join(
 _SZ = f"{NUM.format(_CM.format('page_width'))} || '×' || {NUM.format(_CM.format('page_height'))} || 'cm'"
 _PAGE = f"{_LAST}, pg as ({_dim} union all select doc_id, 'paper_size', 'A4 (21×29.7cm)', {_SZ}, '纸张应为 A4 (21×29.7cm)，实际 ' || {_SZ} from ls where abs({_CM.format('page_width')} - 21) > 0.1 or abs({_CM.format('page_height')} - 29.7) > 0.1)"
 _add("check_page_setup", lambda s, d: P.check_page_setup(O.sections(_par(s, d)), PAGE_RULES), f"{WITH}, {_PAGE} select * from pg")
-_add("section_rows", lambda s, d: O.sections(_par(s, d)), f"{WITH} select * from sec")
 _PN = """pn0 as (select doc_id, string_agg(coalesce(number_format, 'decimal'), ',' order by section_index) as formats, bool_or(number_format = 'upperRoman') as front, bool_or(coalesce(number_format, 'decimal') = 'decimal' and coalesce(number_start = 1, false)) as body from sec group by doc_id),
 pn1 as (select documents.doc_id, coalesce(formats, '') as actual, coalesce(front, false) as front, coalesce(body, false) as body from documents left join pn0 using (doc_id)),
 pnn as (select doc_id, actual, 'page_number_front' as field, 'RomanUpper' as expected, '前置部分页码应使用 RomanUpper（upperRoman），未找到对应分节' as message from pn1 where not front
@@ -306,7 +288,6 @@ seg as materialized (select doc_id, kind, part, para, tok, 0 as seg, tok_kind as
  union all select doc_id, kind, part, para, tok, unnest([0, 1, 2]), tok_kind, unnest([regexp_extract(text, '^(.*?) {4,}', 1), regexp_extract(text, ' {4,}'), regexp_extract(text, ' {4,}(.*)$', 1)]), instruction, unnest(['left', 'left', 'right']), font_east_asia, font_ascii, font_hansi, size_pt, border_style from sg1 where sp),
 rl0 as (select doc_id, kind, part, para, string_agg(seg_kind || ':' || alignment || ':' || text || ':' || instruction, '|' order by tok, seg) as k, bool_or(seg_kind = 'pageNumber') as has, bool_or({TRIM_TEXT} <> '') as any_text, max(border_style) as border_style from seg group by doc_id, kind, part, para),
 kept as (select * from (select *, row_number() over (partition by doc_id, kind, part, k order by para) as rn from rl0 where has or any_text) where rn = 1)""".replace("{TRIM_TEXT}", trim("text"))
-_add("hf_segments", lambda s, d: O.hf_tokens(_par(s, d)).where("tok_kind <> 'tab'").select("doc_id", "kind", "part", "para", "tok", "tok_kind", "text"), f"{WITH} select doc_id, kind, part, para, tok, tok_kind, text from tok where tok_kind <> 'tab'")
 _add("hf_align", lambda s, d: _segs(s, d).select("doc_id", "kind", "part", "para", "tok", "seg", "seg_kind", "text", "alignment"), f"{WITH}, {_SEG} select doc_id, kind, part, para, tok, seg, seg_kind, text, alignment from seg")
 _sd = lambda a: inline(f"coalesce(string_agg(text, '' order by tok, seg) filter (where alignment = '{a}' and seg_kind = 'text'), '')")
 _ag = lambda a: inline(f"coalesce(string_agg({a}, ' ' order by para) filter (where {a} <> ''), '')")
