@@ -222,3 +222,9 @@ def theme_font(ref: Column, major_latin: Column, major_east_asia: Column, minor_
     low = F.lower(ref)
     major, east = low.startswith("major"), F.contains(low, F.lit("eastasia"))
     return F.when(ref.isNotNull() & (ref != ""), F.when(east, F.when(major, major_east_asia).otherwise(minor_east_asia)).otherwise(F.when(major, major_latin).otherwise(minor_latin)))
+
+
+def best_fragment(text: Column, fragment: Column) -> Column:
+    """struct(start, end) of the fragment if it occurs exactly once, else null."""
+    found = locate_fragment(text, fragment)
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))

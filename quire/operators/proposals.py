@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import has_cjk, has_latin, norm_align, number_text, outline_comparable
+from quire.functions.text import has_cjk, has_latin, norm_align, number_text, outline_comparable, preview24
 from quire.functions.units import js_round, twips_to_cm
+from quire.operators.report import role_label
 from quire.operators.style_checks import small
 
+# What a proposal's confidence means.
+HINTS = ["样本过少，仅供人工参考", "主值集中，可直接进入草稿复核", "存在少量冲突，建议接受后结合原文抽查", "覆盖不足或冲突偏多，建议先检查样本质量与角色识别"]
+
+
 #: JSON text of a value, so that texts, numbers and truths sort as one kind of key.
 def json_text(s, n, b):
     return F.coalesce(F.concat(F.lit('"'), s, F.lit('"')), number_text(n), F.when(b, "true").when(~b, "false"))
@@ -35,7 +40,32 @@ def summarize_samples(samples: DataFrame, scope: list[str]) -> DataFrame:
     g = g.withColumn("coverage", F.when(total > 0, js_round(n / total, 2)).otherwise(0.0))
     # The rounded coverage enters the confidence.
     g = g.withColumn("confidence", js_round((n / seen * 0.7 + F.col("coverage") * 0.3) * (F.least(F.lit(1.0), seen / 5) * 0.4 + 0.6), 2))
-    return g.withColumn("level", F.when(F.col("confidence") >= 0.85, "high").when(F.col("confidence") >= 0.6, "medium").otherwise("low"))
+    hint = (
+        F.when(total < 2, HINTS[0])
+        .when((F.col("confidence") >= 0.85) & (F.size("conflicts") == 0), HINTS[1])
+        .when(F.col("coverage") >= 0.6, HINTS[2])
+        .otherwise(HINTS[3])
+    )
+    return g.withColumn("level", F.when(F.col("confidence") >= 0.85, "high").when(F.col("confidence") >= 0.6, "medium").otherwise("low")).withColumn("hint", hint)
+
+
+def with_evidence(proposals: DataFrame, samples: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """proposals with `samples`, the first five samples (at, preview) of the value in `order`, and `evidence`: what was counted and the first three.
+
+    samples(…, preview). Roles name paragraphs, the role `document` sections.
+    """
+    keys = [*scope, "role", "field_key", "value_key"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    top = samples.select(*keys, "preview", F.col("at").alias("_at"), F.row_number().over(w).alias("rank")).where("rank <= 5")  # a limit a group: cut before the shuffle, too
+    top = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("_at").alias("at"), "preview"))).alias("_top")).withColumnRenamed("value_key", "value")
+    j = proposals.hint("merge").join(top, [*scope, "role", "field_key", "value"], "left")
+    n = [F.col(c).cast("string") for c in ("total_count", "observed_count", "sample_count")]
+    document = F.col("role") == "document"
+    head = F.when(document, F.concat(F.lit("页面设置共 "), n[0], F.lit(" 个分节，其中 "), n[1], F.lit(" 个分节检测到该字段，"), n[2], F.lit(" 个分节命中主值"))).otherwise(
+        F.concat(F.lit("角色「"), role_label(F.col("role")), F.lit("」共 "), n[0], F.lit(" 段，其中 "), n[1], F.lit(" 段检测到该字段，"), n[2], F.lit(" 段命中主值"))
+    )
+    lines = F.transform(F.slice("_top", 1, 3), lambda x: F.concat(F.when(document, "样本 ").otherwise("段落 "), x["at"].cast("string"), F.lit(": "), x["preview"]))
+    return j.withColumn("evidence", F.concat(F.array(head), F.coalesce(lines, F.array().cast("array<string>")))).withColumn("samples", F.transform("_top", lambda x: F.struct(x["at"].alias("at"), x["preview"].alias("preview")))).drop("_top")
 
 
 def role_samples(roles: DataFrame) -> DataFrame:
@@ -59,7 +89,7 @@ def role_samples(roles: DataFrame) -> DataFrame:
     )
     r = roles.where("role is not null")
     total = r.groupBy("doc_id", "role").agg(F.count("*").alias("total"))
-    s = r.select("doc_id", "role", F.col("para_index").alias("at"), F.inline(F.filter(every, lambda x: x["value_key"].isNotNull())))
+    s = r.select("doc_id", "role", F.col("para_index").alias("at"), preview24(t).alias("preview"), F.inline(F.filter(every, lambda x: x["value_key"].isNotNull())))
     return s.hint("merge").join(total, ["doc_id", "role"])
 
 
@@ -70,16 +100,27 @@ def document_samples(sections: DataFrame) -> DataFrame:
     cols = {"margin_top_cm": "margin_top", "margin_bottom_cm": "margin_bottom", "margin_left_cm": "margin_left", "margin_right_cm": "margin_right", "header_distance_cm": "header", "footer_distance_cm": "footer", "gutter_cm": "gutter"}
     every = F.array(F.struct(F.lit("paper_size").alias("field_key"), a4.alias("value_key")), *[F.struct(F.lit(k).alias("field_key"), cm(c).alias("value_key")) for k, c in cols.items()])
     total = sections.groupBy("doc_id").agg(F.count("*").alias("total"))
-    s = sections.select("doc_id", F.lit("document").alias("role"), F.col("section_index").alias("at"), F.inline(F.filter(every, lambda x: x["value_key"].isNotNull())))
+    no = F.col("section_index") + 1
+    s = sections.select("doc_id", F.lit("document").alias("role"), no.alias("at"), F.concat(F.lit("分节 "), no.cast("string")).alias("preview"), F.inline(F.filter(every, lambda x: x["value_key"].isNotNull())))
     return s.hint("merge").join(total, "doc_id")
 
 
 def proposal_notices(roles: DataFrame, sections: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Counts behind the notices of each document."""
-    g = roles.groupBy("doc_id").agg(F.count_if(F.col("role").isNull()).alias("unclassified"), F.count_if(F.col("confidence") == "low").alias("low_confidence"))
-    s = sections.groupBy("doc_id").agg(F.count("*").alias("n_sections"))
-    c = proposals.where("role = 'document' and size(conflicts) > 0").groupBy("doc_id").agg(F.count("*").alias("section_conflicts"))
-    return g.hint("merge").join(s, "doc_id", "left").hint("merge").join(c, "doc_id", "left").fillna(0, ["n_sections", "section_conflicts"])
+    """(doc_id, notices): what to mind about a document's proposals."""
+    g = roles.groupBy("doc_id").agg(F.count_if(F.col("role").isNull()).cast("string").alias("a"), F.count_if(F.col("confidence") == "low").cast("string").alias("b"))
+    s = sections.groupBy("doc_id").agg(F.count("*").alias("n"))
+    c = proposals.where("role = 'document' and size(conflicts) > 0").groupBy("doc_id").agg(F.count("*").alias("c"))
+    j = g.hint("merge").join(s, "doc_id", "left").hint("merge").join(c, "doc_id", "left")
+    none = F.lit(None).cast("string")
+    say = F.array_compact(
+        F.array(
+            F.when(F.col("a") != "0", F.concat(F.lit("有 "), "a", F.lit(" 段未被角色识别，候选结果只基于已识别段落"))).otherwise(none),
+            F.when(F.col("b") != "0", F.concat(F.lit("有 "), "b", F.lit(" 段角色识别置信度低，接受候选前请优先复核相关样本"))).otherwise(none),
+            F.when(F.col("n").isNull(), "未检测到分节页面设置，文档级页面候选无法自动提取").when(F.col("c").isNotNull(), "部分页面设置在不同分节间存在冲突，接受前请结合模板检查是否需要统一"),
+            F.lit("行距候选仅统计显式固定/最小行距；多倍行距不会自动折算为 pt"),
+        )
+    )
+    return j.select("doc_id", say.alias("notices"))
 
 
 def apply_ignores(proposals: DataFrame, ignores: DataFrame) -> DataFrame:

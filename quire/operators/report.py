@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import issue_key
+from quire.functions.text import inline_text, issue_key
+from quire.operators.references import neighbour_text, occurrence_index
 from quire.operators.style_checks import small
 
-# Ranks of severities; sections in report order with their roles' prefixes.
+# Severities by rank.
 SEVERITIES = ["error", "warn", "info"]
 
 
@@ -51,6 +52,60 @@ ROLE_LABELS = {
 }
 
 
+# Labels of reports, in the order in which their groups come.
+SEVERITY_LABELS = {"error": "错误", "warn": "警告", "info": "提示"}
+SECTION_LABELS = {
+    "cn_abstract": "中文摘要", "en_abstract": "英文摘要", "toc": "目录", "body": "正文", "references": "参考文献",
+    "acknowledgement": "致谢", "appendix": "附录", "achievement": "成果", "back_matter": "后置部分", "document": "文档级",
+}
+ROLE_ORDER = [
+    "unknown", "heading", "abstract_title_cn", "abstract_body_cn", "keywords_cn", "abstract_title_en", "abstract_body_en", "keywords_en", "toc_title", "toc1", "toc2", "toc3", "heading1", "heading2", "heading3", "body_text",
+    "figure_caption", "table_caption", "source_note", "formula_line", "table_cell", "reference_heading", "reference_body", "acknowledgement_heading", "acknowledgement_body", "appendix_heading", "appendix_subheading",
+    "appendix_list_item", "appendix_signature", "appendix_body", "achievement_heading", "achievement_body", "back_matter_heading", "back_matter_body", "document",
+]
+#: Roles whose label differs in reports.
+REPORT_LABELS = {"document": "文档设置", "toc1": "目录一级条目", "toc2": "目录二级条目", "toc3": "目录三级条目", "formula_line": "公式编号行", "back_matter_heading": "后置章节标题", "back_matter_body": "后置章节正文", "table_cell": "表格段落"}
+FIELD_LABELS = {
+    "font_east_asia": "中文字体", "font_latin": "西文字体", "size_pt": "字号", "bold": "加粗", "alignment": "对齐", "line_spacing_pt": "行距", "spacing_before_pt": "段前距", "spacing_after_pt": "段后距",
+    "first_line_indent_chars": "首行缩进", "hanging_indent_chars": "悬挂缩进", "left_indent_chars": "左缩进", "outline_level": "大纲级别", "paper_size": "纸张", "margin_top_cm": "上边距", "margin_bottom_cm": "下边距",
+    "margin_left_cm": "左边距", "margin_right_cm": "右边距", "header_distance_cm": "页眉距", "footer_distance_cm": "页脚距", "gutter_cm": "装订线", "page_number_front": "前置部分页码", "page_number_body": "正文页码",
+    "page_number_alignment": "页码位置", "page_number_font_latin": "页码西文字体", "page_number_size_pt": "页码字号", "header_text": "页眉内容", "header_font_east_asia": "页眉中文字体", "header_font_latin": "页眉西文字体",
+    "header_size_pt": "页眉字号", "header_bottom_border": "页眉线", "caption_reference": "交叉引用", "keywords_cn_count": "中文关键词数量", "keywords_en_count": "英文关键词数量", "abstract_cn_chars": "中文摘要字数",
+    "abstract_en_words": "英文摘要词数", "references_count": "参考文献条数", "references_foreign_fraction": "外文参考文献占比",
+}
+#: Longest text of a source that a checklist quotes.
+SOURCE_CHARS = 48
+NO_NAME = "当前文档"
+
+
+def label_of(labels: dict[str, str], key):
+    """Label of a key; unknown ones print as themselves."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), key), key)
+
+
+def report_role_label(role):
+    return label_of(ROLE_LABELS | REPORT_LABELS, role)
+
+
+def section_of(role):
+    """The report section of a role: the name's beginning tells it, all else is the body."""
+    starts = lambda *xs: F.coalesce(role.rlike("^(" + "|".join(xs) + ")"), F.lit(False))
+    cn, en = (F.coalesce(role.rlike(f"^(abstract_|keywords_).*{x}$"), F.lit(False)) for x in ("cn", "en"))
+    out = F.when(cn, "cn_abstract").when(en, "en_abstract").when(starts("toc"), "toc").when(starts("reference_"), "references")
+    for name in ("acknowledgement", "appendix", "achievement", "back_matter"):
+        out = out.when(starts(f"{name}_"), name)
+    return out.when(role == "document", "document").otherwise("body")
+
+
+def group_of(by: str):
+    """(key, label, rank) of issues by section, role, severity or field; fields have no fixed order."""
+    key = {"section": section_of(F.col("role")), "role": F.col("role"), "severity": F.col("severity"), "field": F.col("field")}[by]
+    labels = {"section": SECTION_LABELS, "role": ROLE_LABELS | REPORT_LABELS, "severity": SEVERITY_LABELS, "field": FIELD_LABELS}[by]
+    order = {"section": list(SECTION_LABELS), "role": ROLE_ORDER, "severity": SEVERITIES, "field": []}[by]
+    rank = F.array_position(F.array(*[F.lit(x) for x in order]), key) if order else F.lit(0).cast("long")
+    return key, label_of(labels, key), rank
+
+
 def role_label(role):
     """Label of a role; unknown roles print as themselves."""
     m = F.create_map(*[F.lit(x) for kv in ROLE_LABELS.items() for x in kv])
@@ -85,11 +140,16 @@ def sort_issues(issues: DataFrame, by: str = "paragraph") -> DataFrame:
     return issues.withColumn("position", F.row_number().over(w))
 
 
-def first_issue(issues: DataFrame) -> DataFrame:
-    """Of each document the first navigable issue, else the first."""
-    order = F.struct((F.col("para_index") < 0).alias("a"), para_rank().alias("p"), severity_rank().alias("s"), "role", "field", "message")
+def first_issue(issues: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Of each document the issue that keys(doc_id, issue_key) names, else the first navigable one, else the first; with keys, issues have an issue_key."""
+    own = issues
+    if keys is not None:
+        asked = keys.select("doc_id", "issue_key").distinct().withColumn("_asked", F.lit(0))
+        own = issues.hint("merge").join(asked, ["doc_id", "issue_key"], "left")
+    asked = F.coalesce("_asked", F.lit(1)) if keys is not None else F.lit(1)
+    order = F.struct(asked.alias("k"), (F.col("para_index") < 0).alias("a"), para_rank().alias("p"), severity_rank().alias("s"), "role", "field", "message")
     rest = [c for c in issues.columns if c != "doc_id"]
-    return issues.groupBy("doc_id").agg(F.min_by(F.struct(*rest), order).alias("x")).select("doc_id", "x.*")
+    return own.groupBy("doc_id").agg(F.min_by(F.struct(*rest), order).alias("x")).select("doc_id", "x.*")
 
 
 def paragraph_issue_pick(issues: DataFrame) -> DataFrame:
@@ -99,17 +159,21 @@ def paragraph_issue_pick(issues: DataFrame) -> DataFrame:
     return navigable(issues).groupBy("doc_id", "para_index").agg(F.min_by(F.struct(*rest), order).alias("x")).select("doc_id", "para_index", "x.*")
 
 
-def report_groups(issues: DataFrame, key: str) -> DataFrame:
-    """Issues of each document by role, severity or field: counts and messages in report order."""
+def report_groups(issues: DataFrame, by: str) -> DataFrame:
+    """Issues of each document by section, role, severity or field: key, label and rank of the group, number and messages in report order."""
+    key, label, rank = group_of(by)
     items = F.array_sort(F.collect_list(F.struct(para_rank().alias("p"), severity_rank().alias("s"), "role", "field", "message")))
-    return issues.groupBy("doc_id", F.col(key).alias("key")).agg(F.count("*").alias("n"), F.transform(items, lambda x: x["message"]).alias("messages"))
+    return issues.groupBy("doc_id", key.alias("key"), label.alias("label"), rank.alias("rank")).agg(F.count("*").alias("n"), F.transform(items, lambda x: x["message"]).alias("messages"))
 
 
-def issue_targets(issues: DataFrame) -> DataFrame:
-    """Of each paragraph the keys of its issues, in report order."""
+def issue_targets(issues: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Of each paragraph with issues and a text: the keys of its issues in report order, its text, the nearest texts before and after it, and how many equal ones come before."""
     k = issue_key(F.col("para_index"), F.col("role"), F.col("field"), F.col("severity"), F.col("message"))
     items = F.array_sort(F.collect_list(F.struct(severity_rank().alias("s"), "role", "field", k.alias("k"))))
-    return navigable(issues).groupBy("doc_id", "para_index").agg(F.transform(items, lambda x: x["k"]).alias("keys"))
+    own = navigable(issues).groupBy("doc_id", "para_index").agg(F.transform(items, lambda x: x["k"]).alias("keys"))
+    at = ["doc_id", "para_index"]
+    text = paragraphs.where("text <> ''").select(*at, "text")
+    return own.hint("merge").join(text, at).hint("merge").join(neighbour_text(paragraphs), at).hint("merge").join(occurrence_index(paragraphs), at)
 
 
 def report_top_n(issues: DataFrame, k: int) -> DataFrame:
@@ -126,12 +190,24 @@ def report_counts(roles: DataFrame) -> DataFrame:
     return roles.groupBy("doc_id").agg(F.count("*").alias("paragraph_count"), F.count("role").alias("classified_count"))
 
 
-def sink_checklist(issues: DataFrame) -> DataFrame:
-    """A numbered plain-text list a document."""
+def sink_checklist(issues: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """A plain-text list a document: severity, place, role and field, then problem, fragment, hint and source of every issue; names(doc_id, file_name)."""
+    has = lambda c: F.col(c) if c in issues.columns else F.lit(None).cast("string")
+    line = lambda c: inline_text(c)
     s = sort_issues(issues)
-    line = F.concat(F.col("position").cast("string"), F.lit(". ["), F.col("severity"), F.lit("] "), F.col("message"))
-    items = F.array_sort(F.collect_list(F.struct("position", line.alias("t"))))
-    return s.groupBy("doc_id").agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n\n").alias("checklist"))
+    place = F.when(F.col("para_index") < 0, "文档级问题").otherwise(F.concat(F.lit("第 "), (F.col("para_index") + 1).cast("string"), F.lit(" 段")))
+    head = F.concat(F.col("position").cast("string"), F.lit(". ["), label_of(SEVERITY_LABELS, F.col("severity")), F.lit("] "), place, F.lit(" · "), report_role_label(F.col("role")), F.lit(" · "), label_of(FIELD_LABELS, F.col("field")))
+    piece = F.coalesce(line(has("affected_text")), line(has("text_preview")))
+    source = line(has("provenance"))
+    quoted = F.when(F.length(source) > SOURCE_CHARS, F.concat(F.substring(source, 1, SOURCE_CHARS), F.lit("..."))).otherwise(source)
+    said = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(name), c))
+    text = F.concat_ws("\n", head, F.concat(F.lit("问题："), line(F.col("message"))), said("片段：", F.when(F.coalesce(piece, F.lit("")) != "", F.concat(F.lit("“"), piece, F.lit("”")))), said("建议：", line(has("suggestion"))), said("依据：", quoted))
+    items = F.array_sort(F.collect_list(F.struct("position", text.alias("t"))))
+    g = s.groupBy("doc_id").agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n\n").alias("_list"))
+    if names is not None:
+        g = g.hint("merge").join(names.select("doc_id", "file_name"), "doc_id", "left")
+    name = F.coalesce(F.nullif(line(F.col("file_name")), F.lit("")), F.lit(NO_NAME)) if names is not None else F.lit(NO_NAME)
+    return g.select("doc_id", F.concat(F.lit("《"), name, F.lit("》修改清单\n\n"), "_list").alias("checklist"))
 
 
 def latest_run_wins(results: DataFrame) -> DataFrame:

@@ -52,10 +52,19 @@ def enabled_rules(rules: DataFrame) -> DataFrame:
     return rules.where("enabled and mode <> 'unset'")
 
 
+def compare_scalar(s: Column, n: Column, b: Column, es: Column, en: Column, eb: Column, tolerance: Column) -> Column:
+    """Whether a value equals an expected one, each a text, a number or a truth; numbers within the tolerance; no value equals nothing."""
+    return F.coalesce(F.abs(n - en) <= tolerance, s == es, b == eb, F.lit(False))
+
+
+def format_value(s: Column, n: Column, b: Column, unit: Column) -> Column:
+    """A value in words: texts as they are, numbers with their unit, truths as yes or no, a dash for none."""
+    return F.coalesce(s, F.concat(number_text(n), unit), F.when(b, "是").when(~b, "否"), F.lit("—"))
+
+
 def matches_rule(s: Column, n: Column, b: Column, tolerance: Column) -> Column:
     """The value (one of text, number, truth) against the rule columns; no value matches nothing."""
-    near = lambda x: F.abs(n - x) <= tolerance
-    same = lambda es, en, eb: F.coalesce(s == es, F.lit(False)) | F.coalesce(near(en), F.lit(False)) | F.coalesce(b == eb, F.lit(False))
+    same = lambda es, en, eb: compare_scalar(s, n, b, es, en, eb, tolerance)
     return (
         F.when(F.col("mode") == "unset", True)
         .when(F.col("mode") == "exact", same(F.col("exact_str"), F.col("exact_num"), F.col("exact_bool")))

@@ -17,6 +17,7 @@ from quire.operators import roles as R
 from quire.operators import rules as RU
 
 from quire.operators import statistics as S
+from quire.operators import style_checks as C
 
 from quire.plans import overlay as O
 from quire.plans.flow_sql import HEADINGS, RX, ROLES, W, WB, WITH, compact, inline, level, m, num, trim
@@ -115,15 +116,24 @@ _scalars("range_text", {
     "b": (lambda: T.percent_text(F.col("v") / F.lit(8.0)), "regexp_replace(regexp_replace(printf('%.2f', v * 100 / 8.0), '0+$', ''), '\\.$', '') || '%'"),
 })
 _scalars("percent_text", {"p": (lambda: T.percent_text(F.col("v") / F.lit(3.0)), "regexp_replace(regexp_replace(printf('%.2f', v * 100 / 3.0), '0+$', ''), '\\.$', '') || '%'")})
-_scalars("format_value", {"size": (lambda: F.concat(T.number_text(F.col("size_pt")), F.lit("pt")), f"{NUM.format('size_pt')} || 'pt'"), "bold": (lambda: F.when(F.col("bold"), "是").when(~F.col("bold"), "否").otherwise("—"), "case when bold then '是' when not bold then '否' else '—' end")})
-_scalars("compare_scalar", {"near": (lambda: F.coalesce(F.abs(F.col("size_pt") - 12) <= 0.01, F.lit(False)), "coalesce(abs(size_pt - 12) <= 0.01, false)"), "same": (lambda: F.coalesce(F.col("alignment") == "both", F.lit(False)), "coalesce(alignment = 'both', false)")})
+_none = lambda t: F.lit(None).cast(t)
+_size = lambda: C.format_value(_none("string"), F.col("size_pt"), _none("boolean"), F.lit("pt"))
+_bold = lambda: C.format_value(_none("string"), _none("double"), F.col("bold"), F.lit(""))
+_scalars("format_value", {"size": (_size, f"{NUM.format('size_pt')} || 'pt'"), "bold": (_bold, "case when bold then '是' when not bold then '否' else '—' end")})
+_cmp = lambda s, n, b, es, en, eb, tol: lambda: C.compare_scalar(*[F.col(x) if x else _none(t) for x, t in ((s, "string"), (n, "double"), (b, "boolean"))], *[F.lit(x).cast(t) for x, t in ((es, "string"), (en, "double"), (eb, "boolean"))], F.lit(tol))
+_scalars("compare_scalar", {
+    "near": (_cmp(None, "size_pt", None, None, 12.0, None, 0.01), "coalesce(abs(size_pt - 12) <= 0.01, false)"), "same": (_cmp("alignment", None, None, "both", None, None, 0.01), "coalesce(alignment = 'both', false)"),
+    "truth": (_cmp(None, None, "bold", None, None, True, 0.01), "coalesce(bold = true, false)"), "kinds": (_cmp(None, "size_pt", None, "12", None, None, 0.01), "false"), "wide": (_cmp(None, "space_before_pt", None, None, 6.5, None, 0.5), "coalesce(abs(space_before_pt - 6.5) <= 0.5, false)"),
+})
 _raw = lambda: F.element_at(F.array(*[F.lit(x) for x in (" 是 ", "No", "12.50", "x", "1")]), (F.col("v") % 5 + 1).cast("int"))
 _scalars("parse_scalar_value", {"b": (lambda: RU.parse_scalar_value(_raw(), "bool")["b"], "case v % 5 when 0 then true when 1 then false when 4 then true end"), "n": (lambda: RU.parse_scalar_value(_raw(), "pt")["n"], "case v % 5 when 2 then 12.5 when 4 then 1.0 end"), "s": (lambda: RU.parse_scalar_value(_raw(), "pt")["s"], "case v % 5 when 0 then '是' when 1 then 'No' when 3 then 'x' end")})
 _scalars("issue_key", {"k": (lambda: T.issue_key(F.col("doc_id"), F.col("para_index"), F.col("kind"), F.col("alignment"), T.preview24(t())),
          f"concat_ws('|', doc_id, para_index, kind, coalesce(alignment, ''), replace(replace(replace(replace(replace(replace(url_encode(substr({inline('text')}, 1, 24)), '+', '%20'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*'))")})
 _frag = lambda: F.lit("th e")
 _scalars("locate_fragment", {"n": (lambda: F.size(T.locate_fragment(t(), _frag())), rf"len(regexp_extract_all(text, 't{W}*h{W}*e'))"), "first_start": (lambda: F.get(T.locate_fragment(t(), _frag()), F.lit(0))["start"], rf"case when {m('text', f't{W}*h{W}*e')} then length(regexp_extract(text, '^((?s:.*?))t{W}*h{W}*e', 1)) end")})
-_scalars("best_fragment", {"found": (lambda: F.size(T.locate_fragment(t(), _frag())) == 1, rf"len(regexp_extract_all(text, 't{W}*h{W}*e')) = 1")})
+_bf = rf"len(regexp_extract_all(text, 't{W}*h{W}*e')) = 1"
+_bs = rf"length(regexp_extract(text, '^((?s:.*?))t{W}*h{W}*e', 1))"
+_scalars("best_fragment", {"first": (lambda: T.best_fragment(t(), _frag())["start"], f"case when {_bf} then {_bs} end"), "past": (lambda: T.best_fragment(t(), _frag())["end"], rf"case when {_bf} then {_bs} + length(regexp_extract(text, 't{W}*h{W}*e')) end")})
 
 # ---- measures ---------------------------------------------------------------------------------
 _meas = lambda: F.concat(F.when(F.col("v") == 0, "-").otherwise(""), (F.col("v") * 1.5).cast("decimal(6,1)").cast("string"), F.element_at(F.array(*[F.lit(x) for x in ("pt", "cm", "mm", "in", "pc", "", "px")]), (F.col("para_index") % 7 + 1).cast("int")))

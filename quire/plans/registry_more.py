@@ -18,7 +18,7 @@ from quire.functions import text as T
 from quire.sources import docx as D
 from quire.sources import tables as TB
 from quire.sources.word import para_columns, run_columns, tables_of
-from quire.plans.flow_sql import HEADINGS, ROLES, WITH, m, trim
+from quire.plans.flow_sql import HEADINGS, ROLES, WITH, inline, m, trim
 
 NUM = "case when {0} = floor({0}) then cast(cast({0} as bigint) as varchar) else cast({0} as varchar) end"
 #: (role, field_key, enabled, severity, mode, exact_str, exact_num, exact_bool, one_of texts, min, max)
@@ -318,13 +318,22 @@ def add(_add) -> None:
     _add("resolve_run", lambda s, d: RS.resolve_run(O.runs(par(s, d)), par(s, d), _chain(s, d), _defaults(s, d), RS.default_style(styles(s, d)), PROPS), f"{_EFF} select run.doc_id, run.para_index, run_index, coalesce(font_east_asia, b1) as font_east_asia, coalesce(font_ascii, b2) as font_ascii, coalesce(size_pt, b3) as size_pt from run join pb using (doc_id, para_index)")
 
     # ---- proposals
+    _hint = " ".join(["case when total_count < 2 then", f"'{PR.HINTS[0]}'", "when confidence >= 0.85 and len(conflicts) = 0 then", f"'{PR.HINTS[1]}'", "when coverage >= 0.6 then", f"'{PR.HINTS[2]}'", "else", f"'{PR.HINTS[3]}'", "end as hint"])
+    _labels = "case role " + " ".join(f"when '{k}' then '{v}'" for k, v in RP.ROLE_LABELS.items()) + " else role end"
+
+    def proposed(s, d):
+        samples = PR.role_samples(TB.stored(roles(s, d), "roles"))
+        return PR.with_evidence(PR.summarize_samples(samples, ["doc_id"]), samples, ["doc_id"], ["at"]).select("doc_id", "role", "field_key", "value", "hint", F.array_join("evidence", "|").alias("evidence"), F.size("samples").alias("n_samples"))
+
+    ev = f"tp as (select *, row_number() over (partition by doc_id, role, field_key, value_key order by smp.at) as tr from smp), te as (select tp.doc_id, tp.role, field_key, value_key as value, string_agg('段落 ' || tp.at || ': ' || substr({inline('rol.text')}, 1, 24), '|' order by tr) filter (where tr <= 3) as lines, cast(count(*) filter (where tr <= 5) as int) as n_samples from tp join rol on rol.doc_id = tp.doc_id and rol.para_index = tp.at where tr <= 5 group by all)"
+    _add("proposal_evidence", proposed, f"{_SMP}, {_prop('doc_id, ').format(key=_KEY)}, {ev} select doc_id, role, field_key, value, {_hint}, '角色「' || {_labels} || '」共 ' || total_count || ' 段，其中 ' || cast(observed_count as bigint) || ' 段检测到该字段，' || sample_count || ' 段命中主值|' || lines as evidence, n_samples from prp join te using (doc_id, role, field_key, value)")
     _add("role_proposals", lambda s, d: _show(PR.summarize_samples(PR.role_samples(roles(s, d)), ["doc_id"]), "doc_id"), f"{_SMP}, {_prop('doc_id, ').format(key=_KEY)} select doc_id, {_OUTP} from prp")
     _add("summarize_samples", lambda s, d: _show(PR.summarize_samples(PR.role_samples(roles(s, d)).withColumn("total", F.lit(1000000)), [])), f"{_SMP.replace('select sm0.*, total from', 'select sm0.*, 1000000 as total from')}, {_prop('').format(key=_KEY)} select {_OUTP} from prp")
     cm = "floor({0} / (1440 / 2.54) * 100 + 0.5) / 100"
     dims = {"margin_top_cm": "margin_top", "margin_bottom_cm": "margin_bottom", "margin_left_cm": "margin_left", "margin_right_cm": "margin_right", "header_distance_cm": "header", "footer_distance_cm": "footer", "gutter_cm": "gutter"}
     dsm = f"{WITH}, sm0 as (select doc_id, 'document' as role, section_index as at, 'paper_size' as field_key, case when abs({cm.format('page_width')} - 21) <= 0.1 and abs({cm.format('page_height')} - 29.7) <= 0.1 then '\"A4\"' end as value_key from sec" + "".join(f" union all select doc_id, 'document', section_index, '{k}', {NUM.format('(' + cm.format(c) + ')')} from sec" for k, c in dims.items()) + "), smp as (select sm0.*, 2 as total from sm0 where value_key is not null)"
     _add("document_proposals", lambda s, d: _show(PR.summarize_samples(PR.document_samples(O.sections(par(s, d))), ["doc_id"]), "doc_id"), f"{dsm}, {_prop('doc_id, ').format(key=_KEY)} select doc_id, {_OUTP} from prp")
-    _add("proposal_notices", lambda s, d: PR.proposal_notices(roles(s, d), O.sections(par(s, d)), PR.summarize_samples(PR.document_samples(O.sections(par(s, d))), ["doc_id"])), f"{ROLES}, {dsm.removeprefix(WITH + ', ')}, {_prop('doc_id, ').format(key=_KEY)} select doc_id, count(*) filter (where role is null) as unclassified, count(*) filter (where confidence = 'low') as low_confidence, coalesce((select count(*) from sec where sec.doc_id = rol.doc_id), 0) as n_sections, coalesce((select count(*) from prp where prp.doc_id = rol.doc_id and len(conflicts) > 0), 0) as section_conflicts from rol group by doc_id")
+    _add("proposal_notices", lambda s, d: PR.proposal_notices(roles(s, d), O.sections(par(s, d)), PR.summarize_samples(PR.document_samples(O.sections(par(s, d))), ["doc_id"])).select("doc_id", F.array_join("notices", "|").alias("notices")), f"{ROLES}, {dsm.removeprefix(WITH + ', ')}, {_prop('doc_id, ').format(key=_KEY)}, no as (select doc_id, count(*) filter (where role is null) as a, count(*) filter (where confidence = 'low') as b, (select count(*) from sec where sec.doc_id = rol.doc_id) as n, (select count(*) from prp where prp.doc_id = rol.doc_id and len(conflicts) > 0) as c from rol group by doc_id) select doc_id, concat_ws('|', case when a > 0 then '有 ' || a || ' 段未被角色识别，候选结果只基于已识别段落' end, case when b > 0 then '有 ' || b || ' 段角色识别置信度低，接受候选前请优先复核相关样本' end, case when n = 0 then '未检测到分节页面设置，文档级页面候选无法自动提取' when c > 0 then '部分页面设置在不同分节间存在冲突，接受前请结合模板检查是否需要统一' end, '行距候选仅统计显式固定/最小行距；多倍行距不会自动折算为 pt') as notices from no")
 
     def proposals(s, d):
         return PR.summarize_samples(PR.role_samples(roles(s, d)), [])
@@ -394,11 +403,24 @@ def add(_add) -> None:
     _add("visible_issues", lambda s, d: RP.sort_issues(RP.filter_severity(issues(s, d), ["error", "warn"]), "severity"), f"{_ISS} select *, row_number() over (partition by doc_id order by {_SEV}, {_PRK}, role, field, message) as position from iss where severity in ('error', 'warn')")
     _add("report_top_n", lambda s, d: RP.report_top_n(issues(s, d), 3), f"{_ISS}, {srt} select * from srt where position <= 3")
     _add("first_issue", lambda s, d: RP.first_issue(issues(s, d)), f"{_ISS}, q as (select *, row_number() over (partition by doc_id order by para_index < 0, {_PRK}, {_SEV}, role, field, message) as rn from iss) select {_ALL} from q where rn = 1")
+    def picked(s, d):
+        """The issue of the last paragraph is asked for in every second document, an unknown one elsewhere."""
+        own = issues(s, d).withColumn("issue_key", T.issue_key(F.col("para_index"), F.col("role"), F.col("field"), F.col("severity"), F.col("message")))
+        own = TB.stored(own, "issues")
+        keys = own.groupBy("doc_id").agg(F.max_by("issue_key", F.struct("para_index", "role", "field", "message")).alias("issue_key"))
+        return RP.first_issue(own, keys.withColumn("issue_key", F.when(F.col("doc_id") % 2 == 0, F.col("issue_key")).otherwise("?"))).drop("issue_key")
+
+    _add("first_issue_by_key", picked, f"{_ISS}, q as (select *, row_number() over (partition by doc_id order by para_index desc, role desc, field desc, message desc) as lr, row_number() over (partition by doc_id order by para_index < 0, {_PRK}, {_SEV}, role, field, message) as rn from iss) select {_ALL} from q where case when doc_id % 2 = 0 then lr = 1 else rn = 1 end")
     _add("paragraph_issue_pick", lambda s, d: RP.paragraph_issue_pick(issues(s, d)), f"{_ISS}, q as (select *, row_number() over (partition by doc_id, para_index order by {_SEV}, role, field, message) as rn from iss where para_index >= 0) select {_ALL} from q where rn = 1")
-    _add("report_groups", lambda s, d: RP.report_groups(issues(s, d), "role").select("doc_id", "key", "n", F.array_join("messages", "|").alias("messages")), f"{_ISS} select doc_id, role as key, count(*) as n, string_agg(message, '|' order by {_PRK}, {_SEV}, role, field, message) as messages from iss group by doc_id, role")
+    _case = lambda labels, e: f"case {e} " + " ".join(f"when '{k}' then '{v}'" for k, v in labels.items()) + f" else {e} end"
+    _section = "case " + " ".join(f"when role in ({', '.join(repr(r) for r in RP.ROLE_ORDER if test(r))}) then '{name}'" for name, test in [("cn_abstract", lambda r: r in ("abstract_title_cn", "abstract_body_cn", "keywords_cn")), ("en_abstract", lambda r: r in ("abstract_title_en", "abstract_body_en", "keywords_en")), ("toc", lambda r: r.startswith("toc")), ("references", lambda r: r.startswith("reference_")), ("acknowledgement", lambda r: r.startswith("acknowledgement_")), ("appendix", lambda r: r.startswith("appendix_")), ("achievement", lambda r: r.startswith("achievement_")), ("back_matter", lambda r: r.startswith("back_matter_")), ("document", lambda r: r == "document")]) + " else 'body' end"
+    for by, key_, labels_, order_ in [("section", _section, RP.SECTION_LABELS, list(RP.SECTION_LABELS)), ("role", "role", RP.ROLE_LABELS | RP.REPORT_LABELS, RP.ROLE_ORDER), ("severity", "severity", RP.SEVERITY_LABELS, RP.SEVERITIES), ("field", "field", RP.FIELD_LABELS, [])]:
+        rank_ = f"cast(coalesce(list_position({order_}, key), 0) as bigint)" if order_ else "cast(0 as bigint)"
+        _add("report_groups" if by == "section" else f"report_groups_{by}", lambda s, d, by=by: RP.report_groups(issues(s, d), by).select("doc_id", "key", "label", "rank", "n", F.array_join("messages", "|").alias("messages")), f"{_ISS}, ik as (select *, {key_} as key from iss) select doc_id, key, {_case(labels_, 'key')} as label, {rank_} as rank, count(*) as n, string_agg(message, '|' order by {_PRK}, {_SEV}, role, field, message) as messages from ik group by doc_id, key")
     _add("summarize_issues", lambda s, d: RP.summarize_issues(issues(s, d)), f"{_ISS}, q as (select doc_id, role, count(*) as n from iss group by doc_id, role) select doc_id, count(*) filter (where severity = 'error') as error, count(*) filter (where severity = 'warn') as warn, count(*) filter (where severity = 'info') as info, (select string_agg(role || '=' || n, ',' order by role || '=' || n) from q where q.doc_id = iss.doc_id) as by_role from iss group by doc_id")
     _add("sink_summary", lambda s, d: issues(s, d).groupBy("field", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")), f"{_ISS} select field, severity, count(*) as n, count(distinct doc_id) as docs from iss group by field, severity")
-    _add("sink_checklist", lambda s, d: RP.sink_checklist(issues(s, d)), f"{_ISS}, {srt} select doc_id, string_agg(position || '. [' || severity || '] ' || message, chr(10) || chr(10) order by position) as checklist from srt group by doc_id")
+    item = f"position || '. [' || {_case(RP.SEVERITY_LABELS, 'severity')} || '] ' || case when para_index < 0 then '文档级问题' else '第 ' || (para_index + 1) || ' 段' end || ' · ' || {_case(RP.ROLE_LABELS | RP.REPORT_LABELS, 'role')} || ' · ' || {_case(RP.FIELD_LABELS, 'field')} || chr(10) || '问题：' || {inline('message')} || chr(10) || '依据：' || case when role = 'body_text' then repeat('长', 48) || '...' else '短' end"
+    _add("sink_checklist", lambda s, d: RP.sink_checklist(issues(s, d).withColumn("provenance", F.when(F.col("role") == "body_text", F.repeat(F.lit("长"), 60)).otherwise(" 短 ")), s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("source").alias("file_name"))), f"{_ISS}, {srt}, li as (select doc_id, string_agg({item}, chr(10) || chr(10) order by position) as l from srt group by doc_id) select doc_id, '《' || coalesce(nullif(trim(source), ''), '当前文档') || '》修改清单' || chr(10) || chr(10) || l as checklist from li join documents using (doc_id)")
     _add("attach_confidence", lambda s, d: RP.attach_confidence(issues(s, d), roles(s, d)).drop("role_confidence_reason"), f"{_ISS} select iss.*, confidence as role_confidence from iss left join rol using (doc_id, para_index)")
     prov = [("body", " 第三章 "), ("heading1", ""), ("page_setup_comment", "页面设置")]
     rk, fk = [("body_text", "body"), ("heading1", "heading1")], [("paper_size", "page_setup_comment")]
@@ -423,7 +445,8 @@ hi as (select doc_id, para_index, field, null as expected, {_TARGET} as target,
  union all select doc_id, -1, field, expected, null, actual, null, message from ({S_ALL['check_header_size']}) union all select doc_id, -1, field, expected, null, actual, null, message from ({S_ALL['check_header_text']})
  union all select doc_id, para_index, field, null, null, actual, null, message from ({REF_SQL}))
 select doc_id, para_index, field, message, {fixable} as fixability, {hint} as suggestion from hi""")
-    _add("issue_targets", lambda s, d: RP.issue_targets(issues(s, d)).select("doc_id", "para_index", F.size("keys").alias("n")), f"{_ISS} select doc_id, para_index, cast(count(*) as int) as n from iss where para_index >= 0 group by doc_id, para_index")
+    nb = f"case when {trim('text')} <> '' then text end"
+    _add("issue_targets", lambda s, d: RP.issue_targets(issues(s, d), par(s, d)).select("doc_id", "para_index", F.size("keys").alias("n"), "text", "prev_text", "next_text", F.col("occurrence").cast("long").alias("occurrence")), f"{_ISS}, it as (select doc_id, para_index, cast(count(*) as int) as n from iss where para_index >= 0 group by doc_id, para_index), nbt as (select doc_id, para_index, text, last_value({nb} ignore nulls) over (partition by doc_id order by para_index rows between unbounded preceding and 1 preceding) as prev_text, first_value({nb} ignore nulls) over (partition by doc_id order by para_index rows between 1 following and unbounded following) as next_text, row_number() over (partition by doc_id, text order by para_index) - 1 as occurrence from par) select it.*, text, prev_text, next_text, occurrence from it join nbt using (doc_id, para_index) where text <> ''")
 
     def runs_of(s, d):
         i = issues(s, d)
