@@ -149,3 +149,23 @@ def test_refused_vocabulary():
     with pytest.raises(ValueError, match="word's end"):
         Segmenter([("a", -1.0, "piece"), (f"a{MARK}b", -2.0, "piece")])
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(Segmenter([("a", -1.0, "piece")]).encode("", 3)[0][1]).hexdigest()
+
+
+def test_ngram_join_recall_at_the_threshold():
+    from quire.llm.ngram_join import RECALL, ROWS, MinHash, bands_for, shingles
+
+    import numpy as np
+
+    r = random.Random(6)
+    maker, met, n = MinHash(ROWS, bands_for(0.8, ROWS, RECALL)), 0, 0
+    for _ in range(400):
+        words = text(r, 120).split()
+        other = list(words)
+        for i in r.sample(range(120), 2):
+            other[i] = "changed" + str(r.random())
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        share = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        if 0.8 <= share <= 0.9:
+            n += 1
+            met += bool((np.frombuffer(maker.band_hashes(a), np.uint64) == np.frombuffer(maker.band_hashes(b), np.uint64)).any())
+    assert n > 100 and met >= 0.98 * n
