@@ -13,16 +13,19 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Every round is a min-aggregate (combined before its exchange) and a join
     on the node; it ends when a round changes nothing. Labels stay on the
-    executors; the driver sees two numbers a round.
+    executors; the driver sees two numbers a round. The least neighbours are
+    written out before each join, so that both its sides come straight from a
+    shuffle and AQE can split the edges of a node that very many share.
     """
     e = stored(edges.select("u", "v").where("u <> v").distinct(), "edges")
     before = None
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(low.hint("shuffle_hash"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = stored(down, "edges")
+        low = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = down.join(low.hint("shuffle_hash"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         e = stored(small.where("u <> v").distinct(), "edges")
