@@ -44,7 +44,6 @@ def level(o="outline_level", n="style_name") -> str:
 
 
 WITH = f"with {OVERLAY}"
-_T = "t"
 ROLES = rf"""{WITH},
 r0 as (select *, {compact('text')} as t, {inline('text')} as il from par),
 r1 as (select *, not in_table and t <> '' as act, {level()} as lvl,
@@ -85,4 +84,3 @@ h1 as (select *, (select count(*) from h0 x where x.doc_id = h0.doc_id and x.par
 h2 as (select *, coalesce(last_value(num ignore nulls) over (partition by doc_id, lv, seg order by para_index rows between unbounded preceding and 1 preceding), 0) + 1 as expected from h1),
 hseq as (select doc_id, para_index, role, 'heading_sequence' as field, cast(expected as varchar) as expected, cast(num as varchar) as actual, 'error' as severity,
   (lv + 1) || ' 级标题编号不连续：期望 ' || expected || '，实际 ' || num as message from h2 where num is not null and num <> expected)"""
-CAPTIONS = ""
