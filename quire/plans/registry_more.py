@@ -315,7 +315,7 @@ def add(_add) -> None:
     # ---- inherited formatting
     _add("style_chain", _chain, f"{_CHN} select * from chain")
     _add("resolve_paragraph", lambda s, d: RS.resolve_paragraph(par(s, d), _chain(s, d), _defaults(s, d), RS.default_style(styles(s, d)), O.runs(par(s, d)), PROPS), f"{_EFF}, {_DOM} select pb.doc_id, pb.para_index, coalesce(r.a, b1) as font_east_asia, coalesce(r.b, b2) as font_ascii, coalesce(r.c, b3) as size_pt from pb left join dr using (doc_id, para_index)")
-    _add("resolve_run", lambda s, d: RS.resolve_run(O.runs(par(s, d)), par(s, d), _chain(s, d), _defaults(s, d), RS.default_style(styles(s, d)), PROPS), f"{_EFF} select run.doc_id, run.para_index, run_index, coalesce(font_east_asia, b1) as font_east_asia, coalesce(font_ascii, b2) as font_ascii, coalesce(size_pt, b3) as size_pt from run join pb using (doc_id, para_index)")
+    _add("resolve_run", lambda s, d: RS.resolve_run(O.runs(par(s, d)), par(s, d), _chain(s, d), _defaults(s, d), RS.default_style(styles(s, d)), PROPS).drop("text"), f"{_EFF} select run.doc_id, run.para_index, run_index, coalesce(font_east_asia, b1) as font_east_asia, coalesce(font_ascii, b2) as font_ascii, coalesce(size_pt, b3) as size_pt from run join pb using (doc_id, para_index)")
 
     # ---- proposals
     _hint = " ".join(["case when total_count < 2 then", f"'{PR.HINTS[0]}'", "when confidence >= 0.85 and len(conflicts) = 0 then", f"'{PR.HINTS[1]}'", "when coverage >= 0.6 then", f"'{PR.HINTS[2]}'", "else", f"'{PR.HINTS[3]}'", "end as hint"])
