@@ -1,7 +1,8 @@
 """Content-addressed web archive (operator 9).
 
-Every payload is stored once under its SHA-256; exact record headers live in
-a table of their own; a record is header + payload again after one join.
+Every payload is stored once under its SHA-256, deflated, so that little moves
+and little is kept; exact record headers live in a table of their own; a record
+is header + payload again after one join.
 
 Defined cases: null html is the empty payload; null page_id sorts below all
 others and is written as ``null``; rows that repeat both page_id and payload
@@ -12,8 +13,10 @@ empty table gives an empty archive.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ def base32_of_hex(hex40: Column) -> Column:
 @dataclass
 class Archive:
     records: DataFrame  # page_id, header (bytes), strong (SHA-256 hex of the payload)
-    payloads: DataFrame  # strong, payload: one row a payload
+    payloads: DataFrame  # strong, packed (deflated payload): one row a payload
 
 
 def _line(name: str, value: Column) -> Column:
@@ -48,6 +51,27 @@ def _urn(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
 
 
+def _slices(batches, rows: int = 500):
+    """Batches of few rows: payloads unpack to several times their size."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _pack(batches):
+    """(strong, payload) → (strong, packed)."""
+    for b in _slices(batches):
+        packed = [zlib.compress(x, 1) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["strong", "packed"])
+
+
+def _unpack(batches):
+    """The last column, packed, as payload; null stays null."""
+    for b in _slices(batches):
+        out = [None if x is None else zlib.decompress(x) for x in b.column(b.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], names=[*b.schema.names[:-1], "payload"])
+
+
 def write_archive(pages: DataFrame, min_bytes: int = 0) -> Archive:
     """Records and payloads of pages(page_id, url, html), written to the shared folder.
 
@@ -76,23 +100,24 @@ def write_archive(pages: DataFrame, min_bytes: int = 0) -> Archive:
     )
     records = stored(rows.select("page_id", F.encode(header, "UTF-8").alias("header"), "strong"), "warc-records")
     # dropDuplicates keeps one copy per map task before the exchange, so a hot payload moves a few times only.
-    payloads = stored(raw.select("strong", "payload").dropDuplicates(["strong"]), "warc-payloads")
+    packed = raw.select("strong", "payload").mapInArrow(_pack, "strong string, packed binary")
+    payloads = stored(packed.dropDuplicates(["strong"]), "warc-payloads")
     return Archive(records, payloads)
 
 
 def read_archive(archive: Archive) -> DataFrame:
     """Original record bytes (page_id, record), each payload checked against its strong digest."""
-    good = archive.payloads.withColumn(
-        "payload", F.when(F.sha2("payload", 256) == F.col("strong"), F.col("payload")).otherwise(F.raise_error(F.lit("payload does not match its digest")).cast("binary"))
-    )
-    # Left: a record whose payload is lost must not vanish in silence.
     # The payloads, one row each, are the build side, a shuffle partition of them at a time; AQE splits the
-    # records of a payload that very many share.
-    joined = archive.records.join(good.hint("shuffle_hash"), "strong", "left")
-    whole = F.when(F.col("payload").isNull(), F.raise_error(F.lit("payload is missing")).cast("binary")).otherwise(
-        F.concat(F.col("header"), F.col("payload"), F.lit(b"\r\n\r\n"))
+    # records of a payload that very many share. Left: a record whose payload is lost must not vanish in silence.
+    joined = archive.records.join(archive.payloads.hint("shuffle_hash"), "strong", "left").select("page_id", "header", "strong", "packed")
+    kind = archive.records.schema["page_id"].dataType.simpleString()
+    whole = joined.mapInArrow(_unpack, f"page_id {kind}, header binary, strong string, payload binary")
+    record = (
+        F.when(F.col("payload").isNull(), F.raise_error(F.lit("payload is missing")).cast("binary"))
+        .when(F.sha2("payload", 256) == F.col("strong"), F.concat(F.col("header"), F.col("payload"), F.lit(b"\r\n\r\n")))
+        .otherwise(F.raise_error(F.lit("payload does not match its digest")).cast("binary"))
     )
-    return joined.select("page_id", whole.alias("record"))
+    return whole.select("page_id", record.alias("record"))
 
 
 def parse_records(records: DataFrame) -> DataFrame:
