@@ -11,6 +11,7 @@ from quire.llm.ngram_join import op2_ngram_join
 from quire.llm.pieces import op8_pieces
 from quire.llm.quality_rules import op6_quality_rules
 from quire.llm.suffix_dedup import op1_suffix_dedup
+from quire.llm.token_files import op11_token_files
 from quire.llm.warc import OP9_SQL, op9_warc
 
 
@@ -26,6 +27,7 @@ def queries() -> dict:
         "op8_pieces": op8_pieces,
         "op9_warc": op9_warc,
         "op10_line_dedup": op10_line_dedup,
+        "op11_token_files": op11_token_files,
     }
 
 
