@@ -32,6 +32,7 @@ and no rows. doc_id must be of an integer type.
 
 from __future__ import annotations
 
+import functools
 import json
 import struct
 import uuid
@@ -50,7 +51,7 @@ END = 1
 BLOCK, PERCENT = 1024, 90
 #: Ids of a segment, the unit that is held in memory; segments of a file; bytes of text that make one more file.
 SEGMENT, SEGMENTS, FILE_BYTES = 1 << 18, 256, 1 << 28
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 #: Parts chunks that are encoded together; texts that hold it are encoded whole.
 MARK = "\x01"
 
@@ -102,16 +103,17 @@ class Encoder:
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Encodes chunks in few texts, parted by a mark that is one id of its own."""
-        groups = [chunks[at : at + 100] for at in range(0, len(chunks), 100)]
-        texts = [f" {MARK} ".join(c.decode("utf-8", "surrogatepass") for c in g) for g in groups]
-        for group, raw in zip(groups, self.whole(texts), strict=True):
-            cut = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark)
-            if len(cut) != len(group) - 1:
-                raise RuntimeError("chunks of a text could not be told apart")
-            first = 0
-            for c, end in zip(group, [*(4 * cut).tolist(), len(raw)], strict=True):
-                self.known[c] = raw[first:end]
-                first = end + 4
+        for some in (chunks[at : at + 5000] for at in range(0, len(chunks), 5000)):
+            groups = [some[at : at + 100] for at in range(0, len(some), 100)]
+            texts = [f" {MARK} ".join(c.decode("utf-8", "surrogatepass") for c in g) for g in groups]
+            for group, raw in zip(groups, self.whole(texts), strict=True):
+                cut = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark)
+                if len(cut) != len(group) - 1:
+                    raise RuntimeError("chunks of a text could not be told apart")
+                first = 0
+                for c, end in zip(group, [*(4 * cut).tolist(), len(raw)], strict=True):
+                    self.known[c] = raw[first:end]
+                    first = end + 4
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -141,6 +143,12 @@ class Encoder:
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(file: str) -> Encoder:
+    """One a worker process, which keeps what it has learnt from task to task."""
+    return Encoder(file)
+
+
 # ---- blocks --------------------------------------------------------------------------------------
 
 
@@ -282,7 +290,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
     ranged = d.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches):
-        encoder, shard, number = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        shard, number = TaskContext.get().partitionId(), 0
         last = np.array([end], "<u4").tobytes()
         ids, sizes, parts, held = [], [], [], 0
 
@@ -290,9 +298,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
             return segment_bytes(shard, number, ids, sizes, np.frombuffer(b"".join(parts), "<u4"))
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                for doc, one in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
+            for at in range(0, b.num_rows, 64):
+                some = b.slice(at, 64)
+                for doc, one in zip(some.column(0).to_pylist(), encoder(tokenizer).encode(some.column(1).to_pylist()), strict=True):
                     ids.append(doc)
                     parts += [one, last]
                     sizes.append(len(one) // 4 + 1)
