@@ -10,6 +10,7 @@ from quire.llm.line_dedup import OP10_SQL, op10_line_dedup
 from quire.llm.ngram_join import op2_ngram_join
 from quire.llm.pieces import op8_pieces
 from quire.llm.quality_rules import op6_quality_rules
+from quire.llm.spelling import OP12_SQL, op12_spelling
 from quire.llm.suffix_dedup import op1_suffix_dedup
 from quire.llm.token_files import op11_token_files
 from quire.llm.warc import OP9_SQL, op9_warc
@@ -28,8 +29,9 @@ def queries() -> dict:
         "op9_warc": op9_warc,
         "op10_line_dedup": op10_line_dedup,
         "op11_token_files": op11_token_files,
+        "op12_spelling": op12_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op7_chat": OP7_SQL, "op9_warc": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op7_chat": OP7_SQL, "op9_warc": OP9_SQL, "op10_line_dedup": OP10_SQL, "op12_spelling": OP12_SQL}
