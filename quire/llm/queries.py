@@ -14,6 +14,7 @@ from quire.llm.spelling import OP12_SQL, op12_spelling
 from quire.llm.suffix_dedup import op1_suffix_dedup
 from quire.llm.token_files import op11_token_files
 from quire.llm.warc import OP9_SQL, op9_warc
+from quire.llm.whitening import op13_whitening
 
 
 def queries() -> dict:
@@ -30,6 +31,7 @@ def queries() -> dict:
         "op10_line_dedup": op10_line_dedup,
         "op11_token_files": op11_token_files,
         "op12_spelling": op12_spelling,
+        "op13_whitening": op13_whitening,
     }
 
 
