@@ -20,8 +20,9 @@ list. The index of block starts gives any run of ids without the rest
 
 A tokenizer that drops white space and joins nothing over it (checked by its
 own description, see `parts_at_space`) gives the same ids for a text as for
-its space-separated chunks one after the other, so each task remembers the ids
-of chunks, REMEMBERED at most. Other tokenizers get whole texts.
+its space-separated chunks one after the other, so each worker remembers the
+ids of chunks: up to REMEMBERED new ones, and those of as many before that come
+again. Other tokenizers get whole texts.
 
 Defined cases: null and empty texts have only the end id; null doc_ids come
 first; rows that repeat a doc_id are ordered by a hash of their text, equal
@@ -51,7 +52,7 @@ END = 1
 BLOCK, PERCENT = 1024, 90
 #: Ids of a segment, the unit that is held in memory; segments of a file; bytes of text that make one more file.
 SEGMENT, SEGMENTS, FILE_BYTES = 1 << 18, 256, 1 << 28
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 #: Parts chunks that are encoded together; texts that hold it are encoded whole.
 MARK = "\x01"
 
@@ -96,6 +97,7 @@ class Encoder:
         # Letters may be made small before chunks are looked up if the tokenizer does so anyway.
         self.small = "Lowercase" in json.dumps(description.get("normalizer"))
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
         self.remembered = remembered
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -133,9 +135,12 @@ class Encoder:
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids
         if len(self.known) > self.remembered:
-            self.known = {b"": b""}
-        known = self.known
+            self.known, self.older = {b"": b""}, self.known
+        known, older = self.known, self.older
         missing = {c for p in parts.values() for c in p if c not in known}
+        for c in missing & older.keys() if len(missing) > len(older) else [c for c in missing if c in older]:
+            known[c] = older[c]
+            missing.discard(c)
         if missing:
             self._learn(list(missing))
         for i, p in parts.items():
