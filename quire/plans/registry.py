@@ -349,9 +349,10 @@ al0 as (select {_LOW.format(1, "'error'", 'message')} from pg union all select {
 
 
 def queries() -> dict:
-    from quire.plans.registry_more import add
+    from quire.plans import registry_more, registry_word
 
-    add(_add)
+    registry_more.add(_add)
+    registry_word.add(_add)
     return dict(_Q)
 
 
