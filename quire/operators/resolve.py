@@ -1,4 +1,4 @@
-"""Inherited formatting: style ancestry by pointer doubling, then equi-joins and coalesce.
+"""Inherited formatting: style ancestry by a fold over each document's style array, then coalesce.
 
 Styles, defaults, paragraphs and runs carry run properties (RUN) and
 paragraph properties (PARA) as columns of these names; null is "not set".
@@ -6,43 +6,47 @@ paragraph properties (PARA) as columns of these names; null is "not set".
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import trim_ws
+from quire.functions.text import once, trim_ws
 from quire.functions.units import js_round, twips_to_chars
-from quire.sources.tables import stored
 
 RUN = ["font_east_asia", "font_ascii", "font_hansi", "size_pt", "bold", "italic"]
 #: line: struct(pt, multiple), so that a fixed height and a multiple replace each other.
 PARA = ["alignment", "line", "space_before_pt", "space_after_pt", "outline_level", "first_twips", "first_chars", "hanging_twips", "hanging_chars", "left_twips", "left_chars"]
 
 
-def style_chain(styles: DataFrame, props: list[str], keep: Callable[[DataFrame], DataFrame] = lambda df: stored(df, "style-chain")) -> DataFrame:
-    """styles(doc_id, style_id, based_on, props…) → (doc_id, style_id, props…) with inherited values.
+def fold_styles(styles: Column, props: list[str], keep: list[str] = []) -> Column:
+    """array<struct<style_id, based_on, keep…, props…>> of different ids → array<struct<style_id, keep…, props…>> with inherited values.
 
-    Each round doubles the ancestors known of every style and writes them out
-    (keep); it ends when a round finds none, so chains may be of any length. A
-    style that is reached again adds nothing (its nearest copy wins): cycles
-    are harmless. A missing parent ends the chain.
+    Each style knows the place of its parent. A round takes what the parent
+    knows and makes the parent's parent the new one, so the reach doubles and
+    log2 of the array's size rounds do for chains of any length. A style that
+    is reached again adds nothing (its nearest copy wins): cycles are
+    harmless. A missing parent ends the chain.
     """
-    up = styles.select("doc_id", "style_id", F.col("style_id").alias("anc"), F.lit(0).alias("d"))
-    step = styles.where("based_on is not null").select("doc_id", F.col("style_id").alias("anc"), F.col("based_on").alias("nxt"))
-    known = styles.select("doc_id", F.col("style_id").alias("nxt"))
-    jump = step.hint("merge").join(known, ["doc_id", "nxt"], "left_semi").withColumn("k", F.lit(1))
-    before, now = -1, 0
-    while now != before:
-        more = up.hint("merge").join(jump, ["doc_id", "anc"]).select("doc_id", "style_id", F.col("nxt").alias("anc"), (F.col("d") + F.col("k")).alias("d"))
-        up = keep(up.unionByName(more).groupBy("doc_id", "style_id", "anc").agg(F.min("d").alias("d")))
-        a, b = jump.alias("a"), jump.alias("b")
-        same = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.nxt") == F.col("b.anc"))
-        jump = keep(a.hint("merge").join(b, same).select("a.doc_id", "a.anc", "b.nxt", (F.col("a.k") + F.col("b.k")).alias("k")))
-        before, now = now, up.count()
-    own = styles.select("doc_id", F.col("style_id").alias("anc"), *props)
-    j = up.hint("merge").join(own, ["doc_id", "anc"])
-    return j.groupBy("doc_id", "style_id").agg(*[F.min_by(p, F.when(F.col(p).isNotNull(), F.col("d"))).alias(p) for p in props])
+    named = lambda x, up, values: F.struct(x["style_id"].alias("style_id"), up.alias("up"), *[x[k].alias(k) for k in keep], *[v.alias(p) for p, v in values.items()])
+
+    def placed(ids: Column) -> Column:
+        return F.transform(styles, lambda x: named(x, F.coalesce(F.array_position(ids, x["based_on"]).cast("int"), F.lit(0)), {p: x[p] for p in props}))
+
+    def further(known: Column, _: Column) -> Column:
+        def one(x):
+            above = F.get(known, x["up"] - 1)
+            return named(x, F.coalesce(above["up"], F.lit(0)), {p: F.coalesce(x[p], above[p]) for p in props})
+
+        return F.transform(known, one)
+
+    rounds = F.greatest(F.lit(1), F.ceil(F.log2(F.size(styles) + F.lit(1))).cast("int"))
+    folded = F.aggregate(F.sequence(F.lit(1), rounds), once(F.transform(styles, lambda x: x["style_id"]), placed), further)
+    return F.transform(folded, lambda x: F.struct(x["style_id"].alias("style_id"), *[x[p].alias(p) for p in [*keep, *props]]))
+
+
+def style_chain(styles: DataFrame, props: list[str]) -> DataFrame:
+    """styles(doc_id, style_id, based_on, props…), one row a style → (doc_id, style_id, props…) with inherited values, in one exchange."""
+    all_ = styles.groupBy("doc_id").agg(F.collect_list(F.struct("style_id", "based_on", *props)).alias("_styles"))
+    return all_.select("doc_id", F.explode(fold_styles(F.col("_styles"), props)).alias("s")).select("doc_id", "s.*")
 
 
 def default_style(styles: DataFrame) -> DataFrame:
@@ -75,32 +79,40 @@ def _mark(df: DataFrame, p: str) -> list[str]:
     return [f"m_{p}"] if f"m_{p}" in df.columns else []
 
 
-def resolve_paragraph(paragraphs: DataFrame, chain: DataFrame, defaults: DataFrame, default_ids: DataFrame, runs: DataFrame, run_props: list[str], para_props: list[str] = []) -> DataFrame:
-    """Effective properties of each paragraph.
+def effective(j: DataFrame, run_props: list[str], para_props: list[str] = [], marks: bool = False) -> DataFrame:
+    """j(doc_id, para_index, _run, _chain, _def, p_…; with marks m_…) → (doc_id, para_index, properties).
 
     Run side: defaults < style chain < paragraph mark (m_…) < first run with
     text. Paragraph side: defaults < style chain < the paragraph's own (p_…).
     Indents in twips become characters of the effective size: first_line_chars,
     hanging_chars, left_chars.
     """
-    j = inherited(paragraphs, chain, defaults, default_ids, run_props + para_props)
-    j = j.hint("merge").join(dominant_run(runs, run_props), ["doc_id", "para_index"], "left")
-    marks = {p: _mark(paragraphs, p) for p in run_props}
-    out = [F.coalesce(f"_run.{p}", *marks[p], f"_chain.{p}", f"_def.{p}").alias(p) for p in run_props]
+    mark = lambda p: [f"m_{p}"] if marks else []
+    out = [F.coalesce(f"_run.{p}", *mark(p), f"_chain.{p}", f"_def.{p}").alias(p) for p in run_props]
     out += [F.coalesce(f"p_{p}", f"_chain.{p}", f"_def.{p}").alias(p) for p in para_props]
-    done = j.select("doc_id", "para_index", *out)
+    kept = [c for c in j.columns if not c.startswith(("_", "m_", "p_"))]
+    done = j.select(*kept, *out)
     size = F.col("size_pt")
     chars = {}
     for name, side in (("first_line_chars", "first"), ("hanging_chars", "hanging"), ("left_chars", "left")):
         if f"{side}_twips" in para_props:
             twips = F.when(size.isNotNull() & (size != 0), js_round(twips_to_chars(F.col(f"{side}_twips"), size), 2))
             chars[name] = F.coalesce(js_round(F.col(f"{side}_chars"), 2), twips) if f"{side}_chars" in para_props else twips
-    return done.select("doc_id", "para_index", *[p for p in run_props + para_props if not p.endswith(("_twips", "_chars"))], *[c.alias(n) for n, c in chars.items()])
+    return done.select(*kept, *[p for p in run_props + para_props if not p.endswith(("_twips", "_chars"))], *[c.alias(n) for n, c in chars.items()])
+
+
+def resolve_paragraph(paragraphs: DataFrame, chain: DataFrame, defaults: DataFrame, default_ids: DataFrame, runs: DataFrame, run_props: list[str], para_props: list[str] = []) -> DataFrame:
+    """Effective properties of each paragraph, from tables; where the parts of a document stand in one row, `effective` needs no join."""
+    j = inherited(paragraphs, chain, defaults, default_ids, run_props + para_props)
+    j = j.hint("merge").join(dominant_run(runs, run_props), ["doc_id", "para_index"], "left")
+    marks = all(f"m_{p}" in paragraphs.columns for p in run_props)
+    own = [*[f"m_{p}" for p in run_props if marks], *[f"p_{p}" for p in para_props]]
+    return effective(j.select("doc_id", "para_index", *own, "_run", "_chain", "_def"), run_props, para_props, marks)
 
 
 def resolve_run(runs: DataFrame, paragraphs: DataFrame, chain: DataFrame, defaults: DataFrame, default_ids: DataFrame, run_props: list[str]) -> DataFrame:
     """Effective properties of each run: defaults < style chain < paragraph mark (m_…) < its own."""
-    marks = {p: _mark(paragraphs, p) for p in run_props}
-    base = inherited(paragraphs.select("doc_id", "para_index", "style_id", *[x for xs in marks.values() for x in xs]), chain, defaults, default_ids, run_props)
-    j = runs.select("doc_id", "para_index", "run_index", "text", *run_props).hint("merge").join(base, ["doc_id", "para_index"])
-    return j.select("doc_id", "para_index", "run_index", "text", *[F.coalesce(p, *marks[p], f"_chain.{p}", f"_def.{p}").alias(p) for p in run_props])
+    marks = [f"m_{p}" for p in run_props if f"m_{p}" in paragraphs.columns]
+    base = inherited(paragraphs.select("doc_id", "para_index", "style_id", *marks), chain, defaults, default_ids, run_props)
+    j = runs.select("doc_id", "para_index", "run_index", "text", F.struct(*run_props).alias("_run")).hint("merge").join(base.drop("style_id"), ["doc_id", "para_index"])
+    return effective(j, run_props, marks=bool(marks))

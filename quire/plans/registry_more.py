@@ -484,7 +484,7 @@ select doc_id, para_index, field, message, {fixable} as fixability, {hint} as su
     _add("paragraph_flow", lambda s, d: D.fact_table(D.extract_facts(files(s, d)), "paragraph").select("id", "seq", "text", "in_table"), flow)
 
     def words(s, d):
-        return tables_of(TB.stored(D.extract_facts(files(s, d)), "facts"))
+        return tables_of(TB.stored(D.extract_documents(files(s, d)), "word-files"))
 
     def raw(s, d, fact):
         return D.fact_table(D.extract_facts(files(s, d)), fact).withColumnRenamed("id", "doc_id")

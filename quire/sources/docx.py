@@ -43,7 +43,7 @@ SCHEMAS = {
     "num_instance": "num string, abstract string",
     "num_override": "num string, ilvl string, start string",
     "theme": "major_latin string, major_east_asia string, minor_latin string, minor_east_asia string",
-    "hf_token": f"kind string, part int, para int, tok int, tok_kind string, text string, instruction string, jc string, border string, style_id string, run struct<{_RUN.replace(' string', ':string')}>, mark struct<{_RUN.replace(' string', ':string')}>",
+    "hf_token": f"kind string, part int, para int, tok int, tok_kind string, text string, instruction string, jc string, border string, bottom struct<style:string,size:string,color:string,space:string>, style_id string, run struct<{_RUN.replace(' string', ':string')}>, mark struct<{_RUN.replace(' string', ':string')}>",
 }
 
 
@@ -165,6 +165,12 @@ def _fields(p, runs: list) -> list[dict]:
     return sorted(done, key=lambda f: (f["start"], f["end"]))
 
 
+def _border(pr) -> dict | None:
+    """The bottom border of a paragraph, as written."""
+    x = pr.find(f"{W}pBdr/{W}bottom") if pr is not None else None
+    return None if x is None else {"style": x.get(f"{W}val"), "size": x.get(f"{W}sz"), "color": x.get(f"{W}color"), "space": x.get(f"{W}space")}
+
+
 def _is_page(instruction: str) -> bool:
     return re.search(r"\bPAGE\b", instruction, re.IGNORECASE) is not None
 
@@ -204,7 +210,7 @@ def _headers_and_footers(parts: dict, theme: dict):
         for no, name in enumerate(names):
             for i, p in enumerate(parts[name].iter(f"{W}p")):
                 pr = p.find(f"{W}pPr")
-                both = {"kind": kind, "part": no, "para": i, "jc": _val(pr, "jc"), "border": _val(pr, "pBdr/bottom"), "style_id": _val(pr, "pStyle"), "mark": _props(pr.find(f"{W}rPr") if pr is not None else None, theme)}
+                both = {"kind": kind, "part": no, "para": i, "jc": _val(pr, "jc"), "border": _val(pr, "pBdr/bottom"), "bottom": _border(pr), "style_id": _val(pr, "pStyle"), "mark": _props(pr.find(f"{W}rPr") if pr is not None else None, theme)}
                 for k, (tok_kind, text, instruction, own) in enumerate(_hf_tokens(p, theme)):
                     yield {"tok": k, "tok_kind": tok_kind, "text": text, "instruction": instruction, "run": own} | both
 
@@ -292,6 +298,63 @@ def extract_facts(files: DataFrame) -> DataFrame:
     return files.select("id", "content").mapInArrow(run, SCHEMA)
 
 
+#: Facts that stand within their paragraph, and the names of their arrays there.
+WITHIN = {"run": "runs", "field": "fields", "bookmark": "bookmarks", "note_ref": "note_refs"}
+
+
+def document_schema() -> str:
+    """One row a file: an array of typed structs a fact; paragraphs hold what stands in them."""
+    nested = lambda fields: re.sub(r"(\w+) (?=\w)", r"\1:", fields).replace(", ", ",")
+    inner = ",".join(f"{name}:array<struct<{nested(SCHEMAS[fact])}>>" for fact, name in WITHIN.items())
+    own = {fact: nested(s) + ("," + inner if fact == "paragraph" else "") for fact, s in SCHEMAS.items() if fact not in WITHIN}
+    return "id long, code string, " + ", ".join(f"{fact} array<struct<seq:int,{fields}>>" for fact, fields in own.items())
+
+
+def _arrow(kind) -> pa.DataType:
+    """The Arrow type of a Spark type of document_schema()."""
+    name = kind.typeName()
+    if name == "array":
+        return pa.list_(_arrow(kind.elementType))
+    if name == "struct":
+        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind.fields])
+    return {"string": pa.string(), "integer": pa.int32(), "boolean": pa.bool_(), "long": pa.int64()}[name]
+
+
+def extract_documents(files: DataFrame, held: int = 1 << 22) -> DataFrame:
+    """files(id, content) → one row a file, document_schema(). Store it: Parquet then reads for each table only that table's columns.
+
+    Rows go on as soon as their files hold `held` bytes together. An
+    unreadable file has a code and nulls.
+    """
+    schema = document_schema()
+    from pyspark.sql.types import StructType
+
+    arrow = pa.schema([(f.name, _arrow(f.dataType)) for f in StructType.fromDDL(schema).fields])
+
+    def run(batches):
+        rows, size = [], 0
+        for b in batches:
+            for key, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = raw.as_py() or b""
+                size += len(raw)
+                try:
+                    row = {"id": key, "code": "ok"} | {f: [] for f in SCHEMAS if f not in WITHIN}
+                    for fact, seq, payload in facts_of(open_parts(raw)):
+                        if fact in WITHIN:
+                            row["paragraph"][-1][WITHIN[fact]].append(payload)
+                        else:
+                            row[fact].append(payload | {"seq": seq} | ({n: [] for n in WITHIN.values()} if fact == "paragraph" else {}))
+                    rows.append(row)
+                except Unreadable as e:
+                    rows.append({"id": key, "code": str(e)})
+                if size >= held or len(rows) >= 500:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows, size = [], 0
+        yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return files.select("id", "content").mapInArrow(run, schema)
+
+
 def triage_files(facts: DataFrame) -> DataFrame:
     """(id, code): one row a file."""
     return facts.groupBy("id").agg(F.max("code").alias("code"))

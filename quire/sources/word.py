@@ -1,4 +1,9 @@
-"""Word facts as the tables that the checks take: one join an inheritance step, no row leaves Spark."""
+"""Word files as the tables that the checks take.
+
+A file's parts stand in one row (docx.extract_documents), styles and defaults
+beside the paragraphs that inherit from them. So every table is a narrow pass
+over stored Parquet that reads its own columns: no join, no exchange.
+"""
 
 from __future__ import annotations
 
@@ -8,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.units import half_points_to_pt, line_spacing, measure_to_twips, on_off
-from quire.operators.resolve import PARA, RUN, default_style, inherited, last_styles, resolve_paragraph, resolve_run, style_chain
-from quire.sources.docx import fact_table
+from quire.functions.text import trim_ws
+from quire.operators.resolve import PARA, RUN, effective, fold_styles
 
 
 @dataclass
@@ -24,15 +29,15 @@ class Word:
     note_refs: DataFrame  # para_index, type, note_id, run_index
     note_defs: DataFrame  # type, note_id, content, seq
     sections: DataFrame  # section_index, measures in twips, page numbers
-    tokens: DataFrame  # of headers and footers, with effective properties
+    tokens: DataFrame  # of headers and footers, with effective properties and the paragraph's bottom border
     instances: DataFrame  # num_id, abstract_num_id
     levels: DataFrame  # abstract_num_id, ilvl, start, num_fmt, lvl_text
     overrides: DataFrame  # num_id, ilvl, start
 
 
-def run_columns(of: str = "") -> dict[str, Column]:
+def run_columns(of: str | Column = "") -> dict[str, Column]:
     """RUN from run properties as written; of: the struct that holds them."""
-    c = lambda n: F.col(f"{of}.{n}" if of else n)
+    c = lambda n: of[n] if isinstance(of, Column) else F.col(f"{of}.{n}" if of else n)
     return {
         "font_east_asia": c("eastAsia"),
         "font_ascii": c("ascii"),
@@ -43,9 +48,9 @@ def run_columns(of: str = "") -> dict[str, Column]:
     }
 
 
-def para_columns(of: str) -> dict[str, Column]:
+def para_columns(of: str | Column) -> dict[str, Column]:
     """PARA from paragraph properties as written."""
-    c = lambda n: F.col(f"{of}.{n}")
+    c = lambda n: of[n] if isinstance(of, Column) else F.col(f"{of}.{n}")
     line = line_spacing(c("line"), c("line_rule"))
     chars = lambda n: c(n).try_cast("double") / 100
     return {
@@ -67,48 +72,82 @@ def _named(cols: dict[str, Column], prefix: str = "") -> list[Column]:
     return [c.alias(prefix + n) for n, c in cols.items()]
 
 
-def tables_of(facts: DataFrame) -> Word:
-    """extract_facts() → Word. Facts are read several times: store them first."""
-    t = lambda fact: fact_table(facts, fact).withColumnRenamed("id", "doc_id")
-    documents = facts.where("code = 'ok'").select(F.col("id").alias("doc_id")).distinct()
-    styles = t("style").select("doc_id", "seq", "style_id", "type", "is_default", "name", "based_on", *_named(run_columns()), *_named(para_columns("para")))
-    last = last_styles(styles)
-    chain, first = style_chain(last, RUN + PARA), default_style(styles)
-    defaults = t("default").select("doc_id", *_named(run_columns()), *_named(para_columns("para")))
+def js_number(t: Column) -> Column:
+    """A decimal number as written; a blank text is 0, anything else null."""
+    plain = trim_ws(t)
+    return F.when(plain == "", F.lit(0.0)).when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"), plain.try_cast("double"))
+
+
+def with_styles(documents: DataFrame) -> DataFrame:
+    """documents with _ids and _styles (last definitions, inherited values) of all styles, _default (id of the first default paragraph style) and _def (the document's defaults)."""
+    own = lambda x: F.struct(x["style_id"].alias("style_id"), x["seq"].alias("seq"), x["based_on"].alias("based_on"), x["name"].alias("name"), *_named(run_columns(x)), *_named(para_columns(x["para"])))
+    d = documents.withColumn("_raw", F.array_sort(F.transform("style", own)))
+    # Sorted by id and place: the last of an id is followed by another id.
+    d = d.withColumn("_last", F.filter("_raw", lambda x, i: ~F.get("_raw", i + 1)["style_id"].eqNullSafe(x["style_id"])))
+    first = F.get(F.filter("style", lambda x: (x["type"] == "paragraph") & x["is_default"]), F.lit(0))["style_id"]
+    base = F.get("default", F.lit(0))
+    d = d.withColumn("_styles", fold_styles(F.col("_last"), RUN + PARA, ["name"])).withColumn("_default", first)
+    d = d.withColumn("_def", F.when(base.isNotNull(), F.struct(*_named(run_columns(base)), *_named(para_columns(base["para"])))))
+    return d.withColumn("_ids", F.transform("_styles", lambda x: x["style_id"])).drop("_raw", "_last")
+
+
+BOOK = ["_ids", "_styles", "_default", "_def"]
+
+
+def style_at(style_id: Column) -> Column:
+    """The style of that id, or the document's default one where the id is null."""
+    return F.get("_styles", F.array_position("_ids", F.coalesce(style_id, F.col("_default"))).cast("int") - 1)
+
+
+def tables_of(files: DataFrame) -> Word:
+    """extract_documents() → Word. Files are read once for each table: store them first."""
+    d = files.where("code = 'ok'").withColumnRenamed("id", "doc_id")
+    book = with_styles(d)
+    rows = lambda fact: d.select("doc_id", F.explode(fact).alias("x")).select("doc_id", "x.*")
+    inner = lambda name: d.select("doc_id", F.explode("paragraph").alias("p")).select("doc_id", F.col("p.seq").alias("para_index"), F.explode(f"p.{name}").alias("x")).select("doc_id", "para_index", "x.*")
+
+    p = book.select("doc_id", *BOOK, F.explode("paragraph").alias("p"))
+    shown = F.get(F.filter("p.runs", lambda x: trim_ws(x["text"]) != ""), F.lit(0))
+    marks = _named(run_columns("p.mark"), "m_")
+    own = p.select(
+        "doc_id", F.col("p.seq").alias("para_index"), "p.text", "p.in_table", "p.style_id", F.get("_styles", F.array_position("_ids", F.col("p.style_id")).cast("int") - 1)["name"].alias("style_name"),
+        F.when(F.col("p.ilvl").isNotNull(), F.col("p.num_id")).alias("num_id"), F.when(F.col("p.num_id").isNotNull(), F.col("p.ilvl").try_cast("int")).alias("ilvl"),
+        F.col("p.drawings").alias("drawing_count"), F.col("p.maths").alias("math_count"), F.col("p.objects").alias("object_count"),
+        style_at(F.col("p.style_id")).alias("_chain"), "_def", F.when(shown.isNotNull(), F.struct(*_named(run_columns(shown)))).alias("_run"), *marks, *_named(para_columns("p.para"), "p_"),
+    )
+    paragraphs = effective(own, RUN, PARA, True)
+    paragraphs = paragraphs.select("*", F.col("line.pt").alias("line_pt"), F.col("line.multiple").alias("line_multiple")).drop("line")
+
+    r = p.select("doc_id", F.col("p.seq").alias("para_index"), style_at(F.col("p.style_id")).alias("_chain"), "_def", *marks, F.explode("p.runs").alias("r"))
+    runs = effective(r.select("doc_id", "para_index", F.col("r.run").alias("run_index"), "r.text", F.struct(*_named(run_columns("r"))).alias("_run"), "_chain", "_def", *[f"m_{n}" for n in RUN]), RUN, marks=True)
 
-    raw_p = t("paragraph").select(
-        "doc_id", F.col("seq").alias("para_index"), "text", "in_table", "style_id", F.col("drawings").alias("drawing_count"), F.col("maths").alias("math_count"), F.col("objects").alias("object_count"),
-        F.when(F.col("ilvl").isNotNull(), F.col("num_id")).alias("num_id"), F.when(F.col("num_id").isNotNull(), F.col("ilvl").try_cast("int")).alias("ilvl"), *_named(run_columns("mark"), "m_"), *_named(para_columns("para"), "p_"),
+    t = book.select("doc_id", *BOOK, F.explode("hf_token").alias("t"))
+    t = t.select(
+        "doc_id", "t.kind", "t.part", "t.para", "t.tok", "t.tok_kind", "t.text", "t.instruction", F.col("t.jc").alias("para_alignment"), F.col("t.border").alias("border_style"),
+        F.when(F.col("t.bottom").isNotNull(), F.struct(F.col("t.bottom.style").alias("style"), js_number(F.col("t.bottom.size")).alias("size"), F.col("t.bottom.color").alias("color"), js_number(F.col("t.bottom.space")).alias("space"))).alias("border"),
+        style_at(F.col("t.style_id")).alias("_chain"), "_def", F.struct(*_named(run_columns("t.run"))).alias("_run"), *_named(run_columns("t.mark"), "m_"),
     )
-    raw_r = t("run").select("doc_id", F.col("seq").alias("para_index"), F.col("run").alias("run_index"), "text", *_named(run_columns()))
-    effective = resolve_paragraph(raw_p, chain, defaults, first, raw_r, RUN, PARA)
-    effective = effective.select("*", F.col("line.pt").alias("line_pt"), F.col("line.multiple").alias("line_multiple")).drop("line")
-    names = last.select("doc_id", "style_id", F.col("name").alias("style_name"))
-    own = raw_p.select("doc_id", "para_index", "text", "in_table", "style_id", "num_id", "ilvl", "drawing_count", "math_count", "object_count")
-    paragraphs = own.hint("merge").join(effective, ["doc_id", "para_index"]).hint("merge").join(names, ["doc_id", "style_id"], "left")
-
-    tokens = t("hf_token").withColumnsRenamed({"jc": "para_alignment", "border": "border_style"})
-    tokens = inherited(tokens, chain, defaults, first, RUN)
-    value = lambda p, c: F.coalesce(c, run_columns("mark")[p], F.col(f"_chain.{p}"), F.col(f"_def.{p}")).alias(p)
-    tokens = tokens.select("doc_id", "kind", "part", "para", "tok", "tok_kind", "text", "instruction", "para_alignment", "border_style", *[value(p, c) for p, c in run_columns("run").items()])
+    tokens = effective(t, RUN, marks=True)
 
     twips = lambda n: measure_to_twips(F.col(n))
-    sections = t("section").select(
+    sections = rows("section").select(
         "doc_id", F.col("seq").alias("section_index"), twips("width").alias("page_width"), twips("height").alias("page_height"),
         *[twips(n).alias(f"margin_{n}") for n in ("top", "bottom", "left", "right")], *[twips(n).alias(n) for n in ("header", "footer", "gutter")],
         F.nullif("format", F.lit("")).alias("number_format"), F.col("start").try_cast("int").alias("number_start"),
     )
+    level = lambda *more: [F.col("abstract").alias("abstract_num_id"), *more]
+    start = [F.col("ilvl").try_cast("int").alias("ilvl"), F.col("start").try_cast("int").alias("start")]
     return Word(
-        documents,
+        d.select("doc_id"),
         paragraphs,
-        resolve_run(raw_r, raw_p, chain, defaults, first, RUN),
-        t("field").select("doc_id", F.col("seq").alias("para_index"), F.col("field").alias("field_index"), "instruction", F.col("display").alias("display_text"), F.col("start").alias("start_run"), F.col("end").alias("end_run")),
-        t("bookmark").select("doc_id", F.col("seq").alias("para_index"), F.col("mark_id").alias("id"), "name"),
-        t("note_ref").select("doc_id", F.col("seq").alias("para_index"), "type", "note_id", F.col("run").alias("run_index")),
-        t("note_def").select("doc_id", "type", "note_id", "content", "seq"),
+        runs,
+        inner("fields").select("doc_id", "para_index", F.col("field").alias("field_index"), "instruction", F.col("display").alias("display_text"), F.col("start").alias("start_run"), F.col("end").alias("end_run")),
+        inner("bookmarks").select("doc_id", "para_index", "id", "name"),
+        inner("note_refs").select("doc_id", "para_index", "type", F.col("id").alias("note_id"), F.col("run").alias("run_index")),
+        rows("note_def").select("doc_id", "type", F.col("id").alias("note_id"), "content", "seq"),
         sections,
         tokens,
-        t("num_instance").select("doc_id", F.col("num").alias("num_id"), F.col("abstract").alias("abstract_num_id")),
-        t("num_level").select("doc_id", F.col("abstract").alias("abstract_num_id"), F.col("ilvl").try_cast("int").alias("ilvl"), F.col("start").try_cast("int").alias("start"), F.col("fmt").alias("num_fmt"), F.col("text").alias("lvl_text")),
-        t("num_override").select("doc_id", F.col("num").alias("num_id"), F.col("ilvl").try_cast("int").alias("ilvl"), F.col("start").try_cast("int").alias("start")),
+        rows("num_instance").select("doc_id", F.col("num").alias("num_id"), *level()),
+        rows("num_level").select("doc_id", *level(*start), F.col("fmt").alias("num_fmt"), F.col("text").alias("lvl_text")),
+        rows("num_override").select("doc_id", F.col("num").alias("num_id"), *start),
     )

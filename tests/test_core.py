@@ -220,10 +220,10 @@ PAPER = """<w:body><w:p><w:r><w:t>摘要</w:t></w:r></w:p><w:p><w:r><w:t>一些
 
 
 def word_of(spark, files):
-    from quire.sources.docx import extract_facts
+    from quire.sources.docx import extract_documents
     from quire.sources.word import tables_of
 
-    return tables_of(extract_facts(spark.createDataFrame(files, "id long, content binary")).cache())
+    return tables_of(extract_documents(spark.createDataFrame(files, "id long, content binary")).cache())
 
 
 def test_word_file_to_effective_formatting(spark):
