@@ -5,8 +5,12 @@ or, both having 2 * (tau + 1) characters or more, is within `tau` edits of it.
 Each such line is split into tau + 1 segments; of two lines within tau edits,
 one holds a segment of the other at one of few places that the lengths allow,
 and so do the rests of both, so lines meet in a shuffled join on the hashes of
-two segments. Candidates are verified by edit distance in a band of
-2 * tau + 1 diagonals, one bit each. Equal lines are one line in the join.
+two segments. A key that more than HOT lines share (lines of one template
+with some varying part) is split: what is left of two lines without the shared
+segments is within tau edits too and shares a segment in turn, and so on until
+few lines share a key or nothing is left to cut. Candidates are verified by
+edit distance in a band of 2 * tau + 1 diagonals, one bit each. Equal lines are
+one line in the join.
 
 Lines are those of split at ``\\n``. Lines of white space alone set texts out:
 they take no part and stay.
@@ -28,6 +32,8 @@ from quire.llm.common import numbered, pick, place_of, stored, table
 
 TAU = 1
 MAX_BROADCAST_IDS = 1_000_000
+#: Lines of a key beyond which it is split.
+HOT = 128
 
 
 def segment_bounds(n: Column, tau: int) -> list[tuple[Column, Column]]:
@@ -56,8 +62,8 @@ def _parts(line: Column, n: Column, tau: int, less: int, own: bool):
             yield i, move, size, F.substring(line, at, size), rest
 
 
-def _keys(line: Column, n: Column, tau: int, less: int, own: bool) -> list[tuple[bool, Column]]:
-    """(moved, key): segments of the line, each with a segment of the rest.
+def _cuts(line: Column, n: Column, tau: int, less: int, own: bool) -> list[tuple[bool, Column, Column, Column]]:
+    """(moved, key, what is left, its length in the shorter line): segments of the line, each with a segment of the rest.
 
     What is left of two lines without a shared segment is within tau edits
     too, so it shares a segment in turn. Keys of both segments keep lines
@@ -65,18 +71,53 @@ def _keys(line: Column, n: Column, tau: int, less: int, own: bool) -> list[tuple
     """
     out = []
     for i, move, size, part, rest in _parts(line, n, tau, less, own):
-        for j, move2, _, part2, _ in _parts(rest, n - size, tau, less, own):
-            out.append((bool(move or move2), F.xxhash64(F.lit(i), F.lit(j), n.cast("int"), part, part2)))
+        for j, move2, size2, part2, left in _parts(rest, n - size, tau, less, own):
+            out.append((bool(move or move2), F.xxhash64(F.lit(i), F.lit(j), n.cast("int"), part, part2), left, n - size - size2))
     return out
 
 
-def index_keys(line: Column, n: Column, tau: int) -> list[Column]:
-    return [k for _, k in _keys(line, n, tau, 0, True)]
-
-
-def probe_keys(line: Column, n: Column, tau: int) -> list[Column]:
-    """Keys that lines of n, n-1 … n-tau characters can share with this one, other than its index keys."""
-    return [k for less in range(tau + 1) for moved, k in _keys(line, n - less, tau, less, False) if less or moved]
+def all_cuts(line: Column, n: Column, tau: int) -> list[tuple[bool, int, Column, Column, Column]]:
+    """(own, characters more than the other line, key, what is left, its length in the other): first the index keys (own), which also probe, then keys that only probe lines of n, n-1 … n-tau characters."""
+    own = [(True, 0, *c[1:]) for c in _cuts(line, n, tau, 0, True)]
+    return own + [(False, less, *c[1:]) for less in range(tau + 1) for c in _cuts(line, n - less, tau, less, False) if less or c[0]]
+
+
+STATE = ["k", "s", "own", "less", "rest", "m"]
+
+
+def _split(rows: DataFrame, tau: int) -> DataFrame:
+    """Rows of STATE under the keys of one more segment each."""
+    made = []
+    rest, m = F.col("rest"), F.col("m")
+    for less in range(tau + 1):
+        for i, move, size, part, left in _parts(rest, m, tau, less, False):
+            # An own row stays one where nothing moves; where it does, it only probes.
+            here = F.struct(F.xxhash64("k", F.lit(i), m, part).alias("k"), (F.col("own") & F.lit(not move)).alias("own"), left.alias("rest"), (m - size).cast("int").alias("m"))
+            made.append(F.when(F.col("less") == less, here))
+    cut = F.filter(F.array(*made), lambda x: x.isNotNull())
+    return rows.select("s", "less", F.explode(cut).alias("c")).select("c.k", "s", "c.own", "less", "c.rest", "c.m")
+
+
+def _hot_pairs(lines: DataFrame, hot: DataFrame, rows: DataFrame, tau: int, limit: int, spread) -> DataFrame:
+    """(x, y) candidates among the lines of the keys of hot(k); rows(k, s): all keys of all lines."""
+    asked = stored(spread(rows, hot, "left_semi").select("s").distinct(), "line-hot-ids")
+    text = lines.select(F.xxhash64("id").alias("s"), "line").hint("merge").join(asked, "s", "left_semi").dropDuplicates(["s"])
+    n = F.length("line")
+    states = [F.struct(k.alias("k"), F.lit(own).alias("own"), F.lit(less).alias("less"), left.alias("rest"), m.cast("int").alias("m")) for own, less, k, left, m in all_cuts(F.col("line"), n, tau)]
+    open_ = text.select("s", F.explode(F.array(*states)).alias("c")).select("c.k", "s", "c.own", "c.less", "c.rest", "c.m")
+    open_ = spread(open_, hot, "left_semi").select(*STATE)
+    done = None
+    while True:
+        cut = stored(_split(open_, tau), "line-hot-keys")
+        large = stored(cut.groupBy("k").agg(F.count("*").alias("c"), F.max("m").alias("m")).where((F.col("c") > limit) & (F.col("m") > tau)).select("k"), "line-hot")
+        none = large.isEmpty()
+        few = (cut if none else spread(cut, large, "left_anti")).select("k", "s", "own")
+        done = few if done is None else done.unionByName(few)
+        if none:
+            break
+        open_ = spread(cut, large, "left_semi").select(*STATE)
+    index = done.where("own").select("k", F.col("s").alias("x"))
+    return index.hint("merge").join(done.select("k", F.col("s").alias("y")), "k").select("x", "y")
 
 
 def banded_distance(a: Column, b: Column, tau: int) -> Column:
@@ -141,11 +182,11 @@ def _lines(docs: DataFrame) -> DataFrame:
     return d.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("id", F.unhex(F.md5("line")))
 
 
-def near_lines(lines: DataFrame, tau: int, max_broadcast_ids: int = MAX_BROADCAST_IDS) -> tuple[DataFrame, DataFrame]:
+def near_lines(lines: DataFrame, tau: int, max_broadcast_ids: int = MAX_BROADCAST_IDS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Lines of _lines() → (id, low): the first place of each line that recurs; (id, low): the first place of a near line, where one is earlier."""
     line, n = F.col("line"), F.length("line")
     ord_ = _ord(F.col("doc_id"), F.col("pos"))
-    keys = index_keys(line, n, tau) + probe_keys(line, n, tau)
+    keys = [k for _, _, k, _, _ in all_cuts(line, n, tau)]
     # Keys of short lines are worked out too and left aside: in a condition, the segments that keys share would be cut anew for each.
     slim = lines.select("id", ord_.alias("ord"), n.alias("chars"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
     # Numbers only: the partial aggregate keeps one row a line and task before the exchange.
@@ -155,7 +196,20 @@ def near_lines(lines: DataFrame, tau: int, max_broadcast_ids: int = MAX_BROADCAS
     near = once.where(F.col("chars") >= 2 * (tau + 1))
     index = near.select(F.explode(F.array(*[F.col(f"k{i}") for i in range((tau + 1) ** 2)])).alias("k"), short.alias("x"))
     probe = near.select(F.explode(F.array(*[F.col(f"k{i}") for i in range(len(keys))])).alias("k"), short.alias("y"))
-    pairs = index.hint("merge").join(probe, "k").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    large = stored(probe.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("k"), "line-hot")
+    n_large = large.count()
+
+    def spread(df, few, how):
+        # 8 bytes a key; more of them meet the rows in a shuffle.
+        return df.join(F.broadcast(few) if n_large <= max_broadcast_ids else few.hint("shuffle_hash"), "k", how)
+
+    if n_large:
+        index, rows = spread(index, large, "left_anti"), probe
+        probe = spread(probe, large, "left_anti")
+    pairs = index.hint("merge").join(probe, "k").select("x", "y")
+    if n_large:
+        pairs = pairs.unionByName(_hot_pairs(lines, large, rows.withColumnRenamed("y", "s"), tau, hot, spread))
+    pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = stored(pairs, "line-pairs")
     asked = stored(pairs.select(F.explode(F.array("x", "y")).alias("s")).distinct(), "line-ids")
     small = asked.count() <= max_broadcast_ids  # 8 bytes each; beyond, the same join with a shuffle
@@ -172,10 +226,10 @@ def near_lines(lines: DataFrame, tau: int, max_broadcast_ids: int = MAX_BROADCAS
     return once.where("n > 1").select("id", "low"), near
 
 
-def removed_lines(docs: DataFrame, tau: int = TAU, max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
+def removed_lines(docs: DataFrame, tau: int = TAU, max_broadcast_ids: int = MAX_BROADCAST_IDS, hot: int = HOT) -> DataFrame:
     """docs(doc_id, text) → (doc_id, of, gone): numbers, from 0, of the lines to remove from the rows whose text has the fingerprint `of`; rows without such lines are left out."""
     lines = _lines(pick(docs, "doc_id", "text"))
-    same, near = near_lines(lines, tau, max_broadcast_ids)
+    same, near = near_lines(lines, tau, max_broadcast_ids, hot)
     # Written out, so that both sides of the join come straight from a shuffle and AQE can split a very common line.
     first = stored(same.unionByName(near).groupBy("id").agg(F.min("low").alias("low")), "line-firsts")
     hit = lines.select("doc_id", "of", "pos", "id").hint("merge").join(first, "id").where(_ord(F.col("doc_id"), F.col("pos")) > F.col("low"))

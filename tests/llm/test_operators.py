@@ -512,8 +512,8 @@ def edit_distance(a, b):
 
 
 @pytest.mark.parametrize("tau", [1, 2])
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_op10_brute_force(spark, tau, limit):
+@pytest.mark.parametrize("limit, hot", [(10**6, 128), (0, 3), (10**6, 2)])
+def test_op10_brute_force(spark, tau, limit, hot):
     from quire.llm import line_dedup as L
 
     r = random.Random(4 + tau)
@@ -530,7 +530,7 @@ def test_op10_brute_force(spark, tau, limit):
     r.shuffle(lines)
     docs = {i: lines[i * 4 : i * 4 + 4] for i in range((len(lines) + 3) // 4)}
     d = spark.createDataFrame([(k, "\n".join(v)) for k, v in docs.items()] + [(900, None), (901, "")], "doc_id long, text string")
-    got = {(x.doc_id, p) for x in L.removed_lines(d, tau, max_broadcast_ids=limit).collect() for p in x.gone}
+    got = {(x.doc_id, p) for x in L.removed_lines(d, tau, max_broadcast_ids=limit, hot=hot).collect() for p in x.gone}
     flat = [(k, p, x) for k, v in sorted(docs.items()) for p, x in enumerate(v) if x.strip()]
     near = lambda x, y: x == y or min(len(x), len(y)) >= 2 * (tau + 1) and abs(len(x) - len(y)) <= tau and edit_distance(x, y) <= tau
     want = {(k, p) for i, (k, p, x) in enumerate(flat) if any(near(x, y) for _, _, y in flat[:i])}
@@ -541,6 +541,37 @@ def test_op10_brute_force(spark, tau, limit):
     assert L.drop_lines(d.limit(0)).count() == 0
 
 
+def test_op10_template_lines_do_not_meet_in_all_pairs(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from quire.llm import line_dedup as L
+
+    n = 3000
+    lines = [f"{'x' * 20}{hashlib.md5(str(i).encode()).hexdigest()[:10]}{'y' * 10}" for i in range(n)]
+    lines += [lines[5][:24] + "Q" + lines[5][25:], lines[9][:30] + lines[9][31:], lines[11] + "y"]
+    d = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    seen = []
+    keep = L.stored
+
+    def watched(df, name, *a):
+        out = keep(df, name, *a)
+        if name == "line-pairs":
+            seen.append(out.count())
+        return out
+
+    L.stored = watched
+    try:
+        got = sorted(r.doc_id for r in L.removed_lines(d).select("doc_id").collect())
+    finally:
+        L.stored = keep
+    assert got == [n, n + 1, n + 2]
+    assert seen[0] < 20 * n  # all pairs: n * n / 2
+    cut = L._split(L._split(spark.createDataFrame([(1, 1, True, 0, "abcdefgh", 8)], "k long, s long, own boolean, less int, rest string, m int"), 1), 1)
+    assert cut.agg(F.max("m")).first()[0] == 2 and cut.count() == 4
+
+
 def test_components(spark):
     from quire.llm.components import components
 
