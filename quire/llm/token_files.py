@@ -55,6 +55,7 @@ SEGMENT, SEGMENTS, FILE_BYTES = 1 << 18, 256, 1 << 28
 REMEMBERED = 1 << 19
 #: Parts chunks that are encoded together; texts that hold it are encoded whole.
 MARK = "\x01"
+TAILS = (b".", b",", b";", b":", b"!", b"?")
 
 MAGIC = b"QTB1"
 _HEAD, _BLOCK = struct.Struct("<4sIIIQIIQ"), struct.Struct("<IBH")
@@ -86,7 +87,7 @@ class Encoder:
     """Ids of texts as little-endian 32-bit integers."""
 
     def __init__(self, file: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         with open(file, encoding="utf-8") as f:
             description = json.load(f)
@@ -94,6 +95,14 @@ class Encoder:
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0]
         self.by_chunk = len(mark) == 1 and parts_at_space(description)
+        # ASCII chunks of small letters are normal as they are.
+        self.plain = Tokenizer.from_file(file)
+        self.plain.normalizer = normalizers.Sequence([])
+        suffix = description.get("model", {}).get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         # Letters may be made small before chunks are looked up if the tokenizer does so anyway.
         self.small = "Lowercase" in json.dumps(description.get("normalizer"))
         self.known: dict[bytes, bytes] = {b"": b""}
@@ -103,19 +112,61 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _marked(self, chunks: list[bytes], tokenizer) -> None:
         """Encodes chunks in few texts, parted by a mark that is one id of its own."""
-        for some in (chunks[at : at + 5000] for at in range(0, len(chunks), 5000)):
-            groups = [some[at : at + 100] for at in range(0, len(some), 100)]
-            texts = [f" {MARK} ".join(c.decode("utf-8", "surrogatepass") for c in g) for g in groups]
-            for group, raw in zip(groups, self.whole(texts), strict=True):
-                cut = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark)
-                if len(cut) != len(group) - 1:
-                    raise RuntimeError("chunks of a text could not be told apart")
-                first = 0
-                for c, end in zip(group, [*(4 * cut).tolist(), len(raw)], strict=True):
-                    self.known[c] = raw[first:end]
-                    first = end + 4
+        groups = [chunks[at : at + 100] for at in range(0, len(chunks), 100)]
+        texts = [f" {MARK} ".join(c.decode("utf-8", "surrogatepass") for c in g) for g in groups]
+        for group, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(ids == self.mark)
+            if len(cut) != len(group) - 1:
+                raise RuntimeError("chunks of a text could not be told apart")
+            self._keep(group, ids.tobytes(), cut, cut + 1)
+
+    def _letters(self, chunks: list[bytes]) -> None:
+        """Encodes chunks of ASCII letters, each of which is one word for the model: its last id is one that ends words."""
+        groups = [chunks[at : at + 200] for at in range(0, len(chunks), 200)]
+        for group, e in zip(groups, self.plain.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cut = np.flatnonzero(self.last[ids]) + 1
+            if len(cut) == len(group) and cut[-1] == len(ids):
+                self._keep(group, ids.tobytes(), cut[:-1], cut[:-1])
+            else:
+                self._marked(group, self.plain)
+
+    def _keep(self, group: list[bytes], raw: bytes, ends: np.ndarray, starts: np.ndarray) -> None:
+        for c, a, b in zip(group, [0, *(4 * starts).tolist()], [*(4 * ends).tolist(), len(raw)], strict=True):
+            self.known[c] = raw[a:b]
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Puts the ids of chunks into `known`; a word with one of TAILS after it is the word and that."""
+        known, older = self.known, self.older
+        new, joined = [], []
+        for c in chunks:
+            if (ids := older.get(c)) is not None:
+                known[c] = ids
+            elif self.small and c[-1:] in TAILS and c[:-1].isalpha():
+                joined.append(c)
+            else:
+                new.append(c)
+        seen = set(new)
+        for c in joined:
+            for part in (c[:-1], c[-1:]):
+                if part not in known and part not in seen:
+                    if (ids := older.get(part)) is not None:
+                        known[part] = ids
+                    else:
+                        seen.add(part)
+                        new.append(part)
+        letters, ascii_, other = [], [], []
+        for c in new:
+            normal = self.small and c.isascii() and c == c.lower()
+            (other if not normal else letters if c.isalpha() else ascii_).append(c)
+        for work, some in ((self._letters, letters), (lambda x: self._marked(x, self.plain), ascii_), (lambda x: self._marked(x, self.tokenizer), other)):
+            for at in range(0, len(some), 5000):
+                work(some[at : at + 5000])
+        for c in joined:
+            known[c] = known[c[:-1]] + known[c[-1:]]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -136,15 +187,13 @@ class Encoder:
             out[i] = ids
         if len(self.known) > self.remembered:
             self.known, self.older = {b"": b""}, self.known
-        known, older = self.known, self.older
-        missing = {c for p in parts.values() for c in p if c not in known}
-        for c in missing & older.keys() if len(missing) > len(older) else [c for c in missing if c in older]:
-            known[c] = older[c]
-            missing.discard(c)
+        known = self.known
+        got = {i: list(map(known.get, p)) for i, p in parts.items()}
+        missing = {c for i, ids in got.items() if None in ids for c, x in zip(parts[i], ids, strict=True) if x is None}
         if missing:
-            self._learn(list(missing))
-        for i, p in parts.items():
-            out[i] = b"".join([known[c] for c in p])
+            self._learn(missing)
+        for i, ids in got.items():
+            out[i] = b"".join(ids if None not in ids else [known[c] if x is None else x for c, x in zip(parts[i], ids, strict=True)])
         return out
 
 
@@ -159,7 +208,7 @@ def encoder(file: str) -> Encoder:
 
 def _bits(v: np.ndarray) -> np.ndarray:
     """Bits that each of v needs."""
-    return np.searchsorted(np.uint64(1) << np.arange(33, dtype=np.uint64), v.astype(np.uint64), "right")
+    return np.frexp(v.astype(float))[1]
 
 
 def _pack(v: np.ndarray, width: int) -> np.ndarray:
