@@ -9,7 +9,10 @@ words. The forward pass keeps the two best scores of each position, so it
 also tells what a word loses if it is not at its best; the N best of a text
 differ from its best in at most N-1 words, those with the smallest loss, and
 only in these does the backward search branch. Elsewhere it would follow the
-best path, which is read off the forward pass.
+best path, which is read off the forward pass. One queue serves a text: an
+entry has the segmentations of some words replaced by later ones of their own
+searches, all else at its best, and is what an exact heuristic makes it, a
+complete segmentation with its score; N are taken out.
 
 The forward pass takes all different words of a slice of texts at once, one
 character at a time (numpy); words over LONG characters are done one by one.
@@ -35,7 +38,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from itertools import count, islice, product
+from itertools import count, islice
 from struct import pack
 
 import numpy as np
@@ -310,11 +313,8 @@ class Segmenter:
                 continue
             places = [(4 * int(word_at[i] - a), 4 * int(word_at[i + 1] - a)) for i in some]
             options = [self.best_of(_str(chars[start[i] : start[i] + size[i]]), n) for i in some]
-            combos = []
-            for choice in product(*(range(len(o)) for o in options)):
-                combos.append((-(sum_ + sum(o[c][0] - o[0][0] for o, c in zip(options, choice, strict=True))), choice[::-1]))
             found = []
-            for minus, turned in sorted(combos)[:n]:
+            for minus, turned in islice(_best_first(sum_, options[::-1]), n):
                 own, done = [], 0
                 for (x, y), o, c in zip(places, options, turned[::-1], strict=True):
                     own += [best[done:x], o[c][1]]
@@ -363,12 +363,32 @@ class Segmenter:
         return self.decode_all(np.asarray(ids, np.int64), np.array([len(ids)]))[0].decode("utf-8", "surrogatepass")
 
 
+def _best_first(total: float, options: list[list[tuple[float, bytes]]]):
+    """(minus the score, rank of each word's segmentation), best first, for words (the last of the text first) with their segmentations best first; the others are at their best, all together `total`.
+
+    Of equal scores the smaller ranks come first. Each entry comes from the one
+    with its last changed word one rank better, which is not worse, so it is
+    pushed once and never too late.
+    """
+
+    def entry(ranks: tuple[int, ...], free: int):
+        return -(total + sum(o[k][0] - o[0][0] for o, k in zip(options, ranks, strict=True))), ranks, free
+
+    heap = [entry((0,) * len(options), 0)]
+    while heap:
+        minus, ranks, free = heapq.heappop(heap)
+        yield minus, ranks
+        for i in range(free, len(options)):
+            if ranks[i] + 1 < len(options[i]):
+                heapq.heappush(heap, entry((*ranks[:i], ranks[i] + 1, *ranks[i + 1 :]), i))
+
+
 def _str(chars: np.ndarray) -> str:
     return chars.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _distinct(chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a place of each different word, the number of its word for each place): equal 64-bit fingerprints are equal words; words over LONG stay apart."""
+    """(a place of each different word, the number of its word for each place): words of equal 64-bit fingerprints are compared, such as differ stay apart, and so do words over LONG."""
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
@@ -390,6 +410,11 @@ def _distinct(chars: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[n
     long_ = np.flatnonzero(size > LONG)
     back[long_] = np.arange(len(long_), dtype=np.uint64)
     _, of, which = np.unique(back, return_index=True, return_inverse=True)
+    same = chars[np.minimum(_ranges(start[of[which]], size), len(chars) - 1)] == chars[_ranges(start, size)]
+    odd = np.flatnonzero((size[of[which]] != size) | (np.add.reduceat(~same, np.cumsum(size) - size) > 0)) if not same.all() or (size[of[which]] != size).any() else size[:0]
+    if len(odd):
+        of, which = np.concatenate((of, odd)), which.copy()
+        which[odd] = np.arange(len(of) - len(odd), len(of))
     return of, which
 
 

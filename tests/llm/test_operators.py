@@ -465,6 +465,9 @@ def test_op8_n_best(spark, docs, rows):
             got = seg.encode(t, n)
             assert [s for s, _ in got] == want[:n] and len({x for _, x in got}) == len(got)
             assert seg.decode(np.frombuffer(got[0][1], "<u4").tolist()) == t
+    for t in ["the then in a", "on no on no on"]:  # several words branch; equal scores
+        want = sorted(every(P.MARK + t.replace(" ", P.MARK)), reverse=True)
+        assert [s for s, _ in seg.encode(t, 40)] == want[:40]
     lib = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
     for x in P.encode_documents(docs).collect():
         t = next((r[1] for r in rows if r[0] == x.doc_id), None) or ""
@@ -474,6 +477,51 @@ def test_op8_n_best(spark, docs, rows):
     assert P.encode_documents(empty(spark)).count() == 0
 
 
+def test_op8_many_best_of_a_long_text():
+    import time
+
+    from quire.llm import pieces as P
+
+    seg, rng = P.Segmenter(P.read_pieces(P.MODEL)), random.Random(2)
+    t = text(rng, 1000)
+    seg.encode(t, 20)
+    began = time.perf_counter()
+    got = seg.encode(t, 20)
+    assert time.perf_counter() - began < 2
+    scores = [s for s, _ in got]
+    assert len({x for _, x in got}) == 20 and scores == sorted(scores, reverse=True)
+    assert all(seg.decode(np.frombuffer(x, "<u4").tolist()) == t for _, x in got)
+    score = {i: s for i, s in seg.known.values()}
+    assert all(sum(score[i] for i in np.frombuffer(x, "<u4").tolist()) == s for s, x in got)
+    assert [x for _, x in seg.encode(t, 8)] == [x for _, x in got[:8]]
+
+
+def test_op8_queue_is_in_order():
+    from itertools import islice, product
+
+    from quire.llm.pieces import _best_first
+
+    rng = random.Random(3)
+    for _ in range(200):
+        options = [[(s, b"") for s in sorted((rng.randint(-4, 0) for _ in range(rng.randint(1, 4))), reverse=True)] for _ in range(rng.randint(0, 4))]
+        want = sorted((-(7 + sum(o[k][0] - o[0][0] for o, k in zip(options, c, strict=True))), c) for c in product(*(range(len(o)) for o in options)))
+        assert list(islice(_best_first(7, options), 50)) == want[:50]
+
+
+def test_op8_equal_fingerprints_are_compared(monkeypatch):
+    from quire.llm import pieces as P
+
+    words = ["alpha", "omega", "alpha", "beta", "omega", "gamma", "a"]
+    chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    size = np.array([len(w) for w in words])
+    start = np.cumsum(size) - size
+    unique = np.unique
+    monkeypatch.setattr(P.np, "unique", lambda x, **k: unique(np.where(x == x[-1], x, 5), **k))  # all words but the last collide
+    of, which = P._distinct(chars, start, size)
+    monkeypatch.undo()
+    assert [words[of[k]] for k in which] == words
+
+
 # ---- 9 ----------------------------------------------------------------------------------------
 
 
