@@ -98,10 +98,11 @@ def _split(rows: DataFrame, tau: int) -> DataFrame:
     return rows.select("s", "less", F.explode(cut).alias("c")).select("c.k", "s", "c.own", "less", "c.rest", "c.m")
 
 
-def _hot_pairs(lines: DataFrame, hot: DataFrame, rows: DataFrame, tau: int, limit: int, spread) -> DataFrame:
+def _hot_pairs(lines: DataFrame, hot: DataFrame, rows: DataFrame, tau: int, limit: int, spread, max_broadcast_ids: int) -> DataFrame:
     """(x, y) candidates among the lines of the keys of hot(k); rows(k, s): all keys of all lines."""
     asked = stored(spread(rows, hot, "left_semi").select("s").distinct(), "line-hot-ids")
-    text = lines.select(F.xxhash64("id").alias("s"), "line").hint("merge").join(asked, "s", "left_semi").dropDuplicates(["s"])
+    some = F.broadcast(asked) if asked.count() <= max_broadcast_ids else asked.hint("shuffle_hash")
+    text = lines.select(F.xxhash64("id").alias("s"), "line").join(some, "s", "left_semi").dropDuplicates(["s"])
     n = F.length("line")
     states = [F.struct(k.alias("k"), F.lit(own).alias("own"), F.lit(less).alias("less"), left.alias("rest"), m.cast("int").alias("m")) for own, less, k, left, m in all_cuts(F.col("line"), n, tau)]
     open_ = text.select("s", F.explode(F.array(*states)).alias("c")).select("c.k", "s", "c.own", "c.less", "c.rest", "c.m")
@@ -208,7 +209,7 @@ def near_lines(lines: DataFrame, tau: int, max_broadcast_ids: int = MAX_BROADCAS
         probe = spread(probe, large, "left_anti")
     pairs = index.hint("merge").join(probe, "k").select("x", "y")
     if n_large:
-        pairs = pairs.unionByName(_hot_pairs(lines, large, rows.withColumnRenamed("y", "s"), tau, hot, spread))
+        pairs = pairs.unionByName(_hot_pairs(lines, large, rows.withColumnRenamed("y", "s"), tau, hot, spread, max_broadcast_ids))
     pairs = pairs.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     pairs = stored(pairs, "line-pairs")
     asked = stored(pairs.select(F.explode(F.array("x", "y")).alias("s")).distinct(), "line-ids")
