@@ -118,6 +118,12 @@ def hf_rollup(segments: DataFrame) -> DataFrame:
     return g.select("doc_id", "kind", "part", *[text(a).alias(f"{a}_text") for a in ("left", "center", "right")], "has_page_number")
 
 
+def hf_borders(tokens: DataFrame) -> DataFrame:
+    """The bottom border of each header and footer paragraph that has one: style, size, colour, space and whether it shows."""
+    b = tokens.where("border is not null").groupBy("doc_id", "kind", "part", "para").agg(F.min_by("border", "tok").alias("b"))
+    return b.select("doc_id", "kind", "part", "para", "b.style", "b.size", "b.color", "b.space", border_visible(F.col("b.style")).alias("visible"))
+
+
 def border_visible(style: Column) -> Column:
     """A bottom border that shows."""
     return F.coalesce(~style.isin("none", "nil") & (style != ""), F.lit(False))
@@ -137,11 +143,15 @@ HF_CHECKS = {
 NO_BORDER = "页眉下方不应设置边框线"
 
 
-def _hf_issue(bad: DataFrame, field: str, expected: Column, actual: Column, message: str | None = None) -> DataFrame:
+def _hf_columns(field: str, expected: Column, actual: Column, message: str | None = None) -> list[Column]:
     severity, say = HF_CHECKS[field]
     before, _, after = (message or say).partition("{}")
     said = F.concat(F.lit(before), expected, F.lit(after)) if "{}" in (message or say) else F.lit(before)
-    return bad.select("doc_id", F.lit(field).alias("field"), expected.alias("expected"), actual.alias("actual"), F.lit(severity).alias("severity"), said.alias("message"))
+    return [F.lit(field).alias("field"), expected.alias("expected"), actual.alias("actual"), F.lit(severity).alias("severity"), said.alias("message")]
+
+
+def _hf_issue(bad: DataFrame, field: str, expected: Column, actual: Column, message: str | None = None) -> DataFrame:
+    return bad.select("doc_id", *_hf_columns(field, expected, actual, message))
 
 
 def describe_values(values: Column) -> Column:
@@ -186,21 +196,64 @@ SEGMENT_RULES = {
 }
 
 
-def check_header_footer(documents: DataFrame, tokens: DataFrame, rules: dict) -> list[DataFrame]:
-    """One table of issues a rule that is set: left_text, the keys of SEGMENT_RULES, bottom_border."""
-    kept = hf_kept(hf_align(tokens))
+def hf_documents(tokens: DataFrame) -> DataFrame:
+    """(doc_id, paragraphs): the kept header and footer paragraphs of a document in order (is_header, part, para, border_style, left, segments), in one exchange by doc_id."""
+    segments = hf_align(tokens.repartition("doc_id"))
+    fields = ["tok", "seg", "seg_kind", "alignment", "text", "instruction", *FONTS]
+    p = segments.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("x"), F.max("border_style").alias("border_style"))
+    key = F.array_join(F.transform("x", lambda s: F.concat_ws(":", s["seg_kind"], s["alignment"], s["text"], F.coalesce(s["instruction"], F.lit("")))), "|")
+    shows = F.exists("x", lambda s: (s["seg_kind"] == "pageNumber") | (trim_ws(s["text"]) != ""))
+    first = F.min_by(F.struct("para", "border_style", "x"), "para").alias("m")
+    kept = p.withColumn("_key", key).where(shows).groupBy("doc_id", "kind", "part", "_key").agg(first)
+    left = inline_text(F.array_join(F.transform(F.filter("m.x", lambda s: (s["alignment"] == "left") & (s["seg_kind"] == "text")), lambda s: s["text"]), ""))
+    row = F.struct((F.col("kind") == "header").alias("is_header"), "part", F.col("m.para").alias("para"), F.col("m.border_style").alias("border_style"), left.alias("left"), F.col("m.x").alias("x"))
+    return kept.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("paragraphs"))
+
+
+def check_header_footer(documents: DataFrame, tokens: DataFrame, rules: dict) -> DataFrame:
+    """Issues of all rules that are set (left_text, the keys of SEGMENT_RULES, bottom_border), from one row a document."""
+    d = documents.select("doc_id").hint("merge").join(hf_documents(tokens), "doc_id", "left")
+    none = F.array().cast("array<struct<is_header:boolean,part:int,para:int,border_style:string,left:string,x:array<struct<tok:int,seg:int,seg_kind:string,alignment:string,text:string,instruction:string,font_east_asia:string,font_ascii:string,font_hansi:string,size_pt:double>>>>")
+    d = d.select("doc_id", F.coalesce("paragraphs", none).alias("p"))
+    d = d.withColumn("headers", F.filter("p", lambda x: x["is_header"]))
+    texts = F.filter(F.flatten(F.transform("headers", lambda x: x["x"])), lambda s: (s["seg_kind"] == "text") & (trim_ws(s["text"]) != ""))
+    d = d.select("*", texts.alias("texts"), F.filter(F.flatten(F.transform("p", lambda x: x["x"])), lambda s: s["seg_kind"] == "pageNumber").alias("numbers"))
     out = []
+
+    def put(bad: Column, field: str, expected: Column, actual: Column, message: str | None = None):
+        out.append(F.when(bad, F.struct(*_hf_columns(field, expected, actual, message))))
+
+    def values(key: str):
+        field, _, header = SEGMENT_RULES[key]
+        want, held = rules[key], F.col("texts" if header else "numbers")
+        value = {"font_east_asia": lambda s: s["font_east_asia"], "size_pt": lambda s: s["size_pt"], "number_alignment": lambda s: s["alignment"], "number_size_pt": lambda s: s["size_pt"]}.get(key, lambda s: F.coalesce(s["font_ascii"], s["font_hansi"]))
+        size = key.endswith("size_pt")
+        want = float(want) if size else want
+        ok = F.forall(held, lambda s: F.coalesce(F.abs(value(s) - want) <= 0.1 if size else value(s) == want, F.lit(False)))
+        shown = describe_values(F.transform(held, lambda s: F.struct((number_text(value(s)) if size else value(s)).alias("v"))))
+        put(~(ok & (F.size(held) > 0)), field, number_text(F.lit(want)) if size else F.lit(want), shown)
+
     if rules.get("left_text"):
-        out.append(check_header_text(documents, hf_rollup(kept), rules["left_text"]))
-    for key, (field, value, header) in SEGMENT_RULES.items():
-        if rules.get(key) is not None and key in ("font_east_asia", "font_latin", "size_pt"):
-            out.append(check_segments(documents, kept, field, value(), float(rules[key]) if key.endswith("size_pt") else rules[key], header))
+        # The left text of a part: its paragraphs' texts, the empty ones left out.
+        parts = F.array_sort(F.array_distinct(F.transform("headers", lambda x: x["part"])))
+        left = lambda k: inline_text(F.array_join(F.filter(F.transform(F.filter("headers", lambda x: x["part"] == k), lambda x: x["left"]), lambda v: v != ""), " "))
+        d = d.withColumn("lefts", F.transform(parts, left))
+        ok = F.exists("lefts", lambda v: F.contains(compact_text(v), compact_text(F.lit(rules["left_text"]))))
+        said = F.array_join(F.transform("lefts", lambda v: F.when(v == "", "(左侧无文字)").otherwise(v)), " / ")
+        put(~ok, "header_text", F.lit(rules["left_text"]), F.coalesce(F.nullif(said, F.lit("")), F.lit("(无页眉文字)")))
+    for key in ("font_east_asia", "font_latin", "size_pt"):
+        if rules.get(key) is not None:
+            values(key)
     if rules.get("bottom_border") is not None:
-        out.append(check_header_border(documents, kept, rules["bottom_border"]))
-    for key, (field, value, header) in SEGMENT_RULES.items():
-        if rules.get(key) is not None and key.startswith("number_"):
-            out.append(check_segments(documents, kept, field, value(), float(rules[key]) if key.endswith("size_pt") else rules[key], header))
-    return out
+        n, m = F.size(F.filter("headers", lambda x: border_visible(x["border_style"]))), F.size("headers")
+        ok = (m > 0) & (n == m) if rules["bottom_border"] else n == 0
+        put(~ok, "header_bottom_border", F.lit(str(rules["bottom_border"]).lower()), F.concat(n.cast("string"), F.lit("/"), m.cast("string")), None if rules["bottom_border"] else NO_BORDER)
+    for key in ("number_alignment", "number_font_latin", "number_size_pt"):
+        if rules.get(key) is not None:
+            values(key)
+    if not out:
+        return d.limit(0).select("doc_id", *[F.lit("").alias(c) for c in ("field", "expected", "actual", "severity", "message")])
+    return d.select("doc_id", F.inline(F.array_compact(F.array(*out))))
 
 
 def check_header_border(documents: DataFrame, segments: DataFrame, expected: bool) -> DataFrame:

@@ -166,6 +166,50 @@ def report_groups(issues: DataFrame, by: str) -> DataFrame:
     return issues.groupBy("doc_id", key.alias("key"), label.alias("label"), rank.alias("rank")).agg(F.count("*").alias("n"), F.transform(items, lambda x: x["message"]).alias("messages"))
 
 
+#: Collation of labels of groups that have no fixed order: by sound, as Chinese readers sort them.
+LABEL_ORDER = "zh_Hans_CHN"
+
+
+def ordered_groups(issues: DataFrame, by: str, sort_by: str = "paragraph") -> DataFrame:
+    """report_groups with the group's position in the document's report; issues of a group by paragraph, then severity, or the other way round.
+
+    Sections, roles and severities have a fixed order, fields go by their
+    labels in Chinese collation; keys without a place come last, by name.
+    """
+    if sort_by not in ("paragraph", "severity"):
+        raise ValueError(f"issues are sorted by paragraph or severity, not by {sort_by}")
+    key, label, rank = group_of(by)
+    first = [para_rank().alias("a"), severity_rank().alias("b")]
+    items = F.array_sort(F.collect_list(F.struct(*(first if sort_by == "paragraph" else first[::-1]), "role", "field", "message")))
+    g = issues.groupBy("doc_id", key.alias("key"), label.alias("label"), F.when(rank > 0, rank).when(F.lit(by == "field"), 0).otherwise(1 << 31).alias("_rank"))
+    g = g.agg(F.count("*").alias("n"), F.transform(items, lambda x: x["message"]).alias("messages"))
+    w = Window.partitionBy("doc_id").orderBy("_rank", F.collate("label", LABEL_ORDER), "key")
+    return g.select("doc_id", F.row_number().over(w).alias("position"), "key", "label", "n", "messages")
+
+
+def summary_sets(issues: DataFrame) -> DataFrame:
+    """Counts of issues by document and severity, by document and field, by severity, by field, and of all: one aggregate; columns that a row sums over are null.
+
+    level: `document_severity`, `document_field`, `severity`, `field`, `all`; a
+    null severity or field counts as ``unknown``.
+    """
+    i = issues.select("doc_id", F.coalesce("severity", F.lit("unknown")).alias("severity"), F.coalesce("field", F.lit("unknown")).alias("field"))
+    g = i.groupingSets([["doc_id", "severity"], ["doc_id", "field"], ["severity"], ["field"], []], "doc_id", "severity", "field").agg(F.count("*").alias("n"), F.grouping_id().alias("_g"))
+    names = {1: "document_severity", 2: "document_field", 5: "severity", 6: "field", 7: "all"}
+    level = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("_g").cast("int"))
+    return g.where("_g <> 7 or n > 0").select(level.alias("level"), "doc_id", "severity", "field", "n")
+
+
+def observed(issues: DataFrame):
+    """(issues, observation): once the returned issues are written, the observation has their number, and that of each severity and of other severities, counted in the same job."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    counts = [F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES]
+    other = F.count_if(~F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False))).alias("other")
+    return issues.observe(seen, F.count(F.lit(1)).alias("n"), *counts, other), seen
+
+
 def issue_targets(issues: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Of each paragraph with issues and a text: the keys of its issues in report order, its text, the nearest texts before and after it, and how many equal ones come before."""
     k = issue_key(F.col("para_index"), F.col("role"), F.col("field"), F.col("severity"), F.col("message"))

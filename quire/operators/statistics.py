@@ -5,7 +5,7 @@ Documents without such paragraphs count as zero, so the aggregates start from al
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import KEYWORD_PREFIX, cjk_count, en_word_count, is_foreign_reference, keyword_items, percent_text, range_text
@@ -34,31 +34,52 @@ def document_counts(roles: DataFrame) -> DataFrame:
     )
 
 
-def check_range(counts: DataFrame, metric: str, low: float | None, high: float | None) -> DataFrame:
-    """Documents whose count is outside [low, high]: doc_id, field, expected, actual, severity, message."""
+def _range(metric: str, low: float | None, high: float | None) -> Column:
+    """The issue of a count that is outside [low, high], else null."""
     field, label, unit = METRICS[metric]
     n, lo, hi = F.col(metric), F.lit(low).cast("double"), F.lit(high).cast("double")
     want = range_text(lo, hi, unit)
-    bad = counts.where(F.coalesce(n < lo, F.lit(False)) | F.coalesce(n > hi, F.lit(False)))
+    bad = F.coalesce(n < lo, F.lit(False)) | F.coalesce(n > hi, F.lit(False))
     message = F.concat(F.lit(f"{label}应"), F.when(want.startswith("不"), "").otherwise("为 "), want, F.lit("，实际 "), n.cast("string"), F.lit(f" {unit}"))
-    return bad.select("doc_id", F.lit(field).alias("field"), want.alias("expected"), n.cast("string").alias("actual"), F.lit("warn").alias("severity"), message.alias("message"))
+    return F.when(bad, _issue(field, want, n.cast("string"), "warn", message))
 
 
-def check_reference_count(counts: DataFrame, low: int) -> DataFrame:
+def _issue(field: str, expected: Column, actual: Column, severity: str, message: Column) -> Column:
+    return F.struct(F.lit(field).alias("field"), expected.alias("expected"), actual.alias("actual"), F.lit(severity).alias("severity"), message.alias("message"))
+
+
+def _references(low: int) -> Column:
     n = F.col("refs").cast("string")
-    return counts.where(F.col("refs") < low).select(
-        "doc_id", F.lit("references_count").alias("field"), F.lit(f"不少于 {low} 条").alias("expected"), n.alias("actual"), F.lit("error").alias("severity"), F.concat(F.lit(f"参考文献应不少于 {low} 条，实际 "), n, F.lit(" 条")).alias("message")
-    )
+    return F.when(F.col("refs") < low, _issue("references_count", F.lit(f"不少于 {low} 条"), n, "error", F.concat(F.lit(f"参考文献应不少于 {low} 条，实际 "), n, F.lit(" 条"))))
+
+
+def _foreign(low: float) -> Column:
+    share, want = percent_text(F.col("foreign") / F.nullif("refs", F.lit(0))), percent_text(F.lit(low))
+    counted = F.concat(F.col("foreign").cast("string"), F.lit("/"), F.col("refs").cast("string"))
+    message = F.concat(F.lit("外文参考文献占比应不低于 "), want, F.lit("，实际 "), share, F.lit("（"), counted, F.lit("）"))
+    return F.when((F.col("refs") > 0) & (F.col("foreign") < low * F.col("refs")), _issue("references_foreign_fraction", F.concat(F.lit("不低于 "), want), share, "warn", message))
+
+
+def _found(counts: DataFrame, *issues: Column) -> DataFrame:
+    return counts.select("doc_id", F.inline(F.array_compact(F.array(*issues))))
+
+
+def check_range(counts: DataFrame, metric: str, low: float | None, high: float | None) -> DataFrame:
+    """Documents whose count is outside [low, high]: doc_id, field, expected, actual, severity, message."""
+    return _found(counts, _range(metric, low, high))
+
+
+def check_reference_count(counts: DataFrame, low: int) -> DataFrame:
+    return _found(counts, _references(low))
 
 
 def check_foreign_fraction(counts: DataFrame, low: float) -> DataFrame:
-    share = F.col("foreign") / F.col("refs")
-    want = percent_text(F.lit(low))
-    return counts.where((F.col("refs") > 0) & (F.col("foreign") < low * F.col("refs"))).select(
-        "doc_id",
-        F.lit("references_foreign_fraction").alias("field"),
-        F.concat(F.lit("不低于 "), want).alias("expected"),
-        percent_text(share).alias("actual"),
-        F.lit("warn").alias("severity"),
-        F.concat(F.lit("外文参考文献占比应不低于 "), want, F.lit("，实际 "), percent_text(share), F.lit("（"), F.col("foreign").cast("string"), F.lit("/"), F.col("refs").cast("string"), F.lit("）")).alias("message"),
-    )
+    return _found(counts, _foreign(low))
+
+
+def check_statistics(counts: DataFrame, stats: dict) -> DataFrame | None:
+    """All checks of stats (ranges: metric → (low, high), min_references, min_foreign) in one pass over the counts; None without any."""
+    found = [_range(m, lo, hi) for m, (lo, hi) in stats.get("ranges", {}).items()]
+    found += [_references(stats["min_references"])] if stats.get("min_references") is not None else []
+    found += [_foreign(stats["min_foreign"])] if stats.get("min_foreign") is not None else []
+    return _found(counts, *found) if found else None

@@ -27,7 +27,7 @@ STYLES = """<w:styles NS><w:docDefaults><w:rPrDefault><w:rPr><w:rFonts w:asciiTh
 THEME = '<a:theme NS><a:themeElements><a:fontScheme><a:majorFont><a:latin typeface="Cambria"/><a:ea typeface=""/></a:majorFont><a:minorFont><a:latin typeface="LATIN"/><a:ea typeface=""/><a:font script="Hans" typeface="宋体"/></a:minorFont></a:fontScheme></a:themeElements></a:theme>'
 NOTES = '<w:footnotes NS><w:footnote w:type="separator" w:id="0"/><w:footnote w:id="2"><w:p><w:r><w:t>note</w:t></w:r></w:p></w:footnote><w:footnote w:id="3"><w:p/></w:footnote></w:footnotes>'
 NUMBERING = '<w:numbering NS><w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:start w:val="1"/><w:numFmt w:val="odd"/><w:lvlText w:val="%1."/></w:lvl></w:abstractNum><w:num w:numId="1"><w:abstractNumId w:val="0"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="START"/></w:lvlOverride></w:num></w:numbering>'
-HEADER = '<w:hdr NS><w:p><w:pPr><w:pBdr><w:bottom w:val="single"/></w:pBdr></w:pPr>HEAD<w:r><w:t>论文</w:t></w:r></w:p></w:hdr>'
+HEADER = '<w:hdr NS><w:p><w:pPr><w:pBdr><w:bottom w:val="single"BORDER/></w:pBdr></w:pPr>HEAD<w:r><w:t>论文</w:t></w:r></w:p></w:hdr>'
 FOOTER = '<w:ftr NS><w:p><w:pPr><w:jc w:val="center"/></w:pPr><w:r><w:fldChar w:fldCharType="begin"/></w:r><w:r><w:instrText>PAGE</w:instrText></w:r><w:r><w:fldChar w:fldCharType="separate"/></w:r><w:r><w:t>1</w:t></w:r><w:r><w:fldChar w:fldCharType="end"/></w:r></w:p></w:ftr>'
 SECTION = '<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="TOP" w:bottom="1440" w:left="85.05pt" w:right="2.5cm"/><w:pgNumType w:fmt="decimal" w:start="1"/></w:sectPr>'
 #: Facts of each file, besides one paragraph and two runs a line.
@@ -48,6 +48,12 @@ def _zip(parts: dict[str, str]) -> bytes:
     return buf.getvalue()
 
 
+def _border(n: int) -> str:
+    """Attributes of the header's border: sizes that are no number and colours and spaces that are not given among them."""
+    size = "thick" if n % 4 == 3 else "" if n % 4 == 2 else str(4 + n % 6)
+    return f' w:sz="{size}"' + (f' w:color="{n % 10}0FF00"' if n % 2 else "") + (f' w:space="{n % 3}.5"' if n % 3 else "")
+
+
 def word_file(text: str | None) -> bytes:
     text = text or ""
     lines, out = text.split("\n"), []
@@ -65,7 +71,7 @@ def word_file(text: str | None) -> bytes:
         "styles": STYLES.replace("H1SIZE", str(28 + n % 5)),
         "footnotes": NOTES,
         "numbering": NUMBERING.replace("START", str(1 + n % 9)),
-        "header1": HEADER.replace("HEAD", _run(lines[0][:8], "<w:tab/>")),
+        "header1": HEADER.replace("BORDER", _border(n)).replace("HEAD", _run(lines[0][:8], "<w:tab/>")),
         "footer1": FOOTER,
         "theme/theme1": THEME.replace("LATIN", "Arial" if n % 2 else "Calibri"),
     }

@@ -434,9 +434,9 @@ def add(_add) -> None:
 
         r, tokens = TB.stored(roles(s, d), "roles"), O.hf_tokens(par(s, d))
         docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id")
-        found = [C.check_fields(r, O.runs(par(s, d)), rules(s)).withColumnRenamed("shown", "actual"), P.check_page_setup(O.sections(par(s, d)), PAGE_RULES), *P.check_header_footer(docs, tokens, {"size_pt": 9.0, "left_text": "某某大学 论文"}), X.check_references(_graph(s, d))]
+        found = [C.check_fields(r, O.runs(par(s, d)), rules(s)).withColumnRenamed("shown", "actual"), P.check_page_setup(O.sections(par(s, d)), PAGE_RULES), P.check_header_footer(docs, tokens, {"size_pt": 9.0, "left_text": "某某大学 论文"}), X.check_references(_graph(s, d))]
         all_ = [V.issue_row(x, 1, "error", more=True) for x in found]
-        return V.fix_hint(all_[0].unionByName(all_[1]).unionByName(all_[2]).unionByName(all_[3]).unionByName(all_[4])).select("doc_id", "para_index", "field", "message", "fixability", "suggestion")
+        return V.fix_hint(all_[0].unionByName(all_[1]).unionByName(all_[2]).unionByName(all_[3])).select("doc_id", "para_index", "field", "message", "fixability", "suggestion")
 
     _none = "null as expected, null as target"
     _add("fix_hint", hinted, f"""{CORPUS_SQL}, {_OWN}, {_RUNV}, vls as ({_VALS}), {_ISL},

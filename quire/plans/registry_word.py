@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import alignment as AL
+from quire.operators import page as P
 from quire.operators import references as X
+from quire.operators import report as RP
+from quire.plans import files as FI
 from quire.plans import overlay as O
 from quire.plans.flow_sql import WITH, compact
+from quire.plans.registry_more import _ISS, issues
+from quire.sources import docx as D
+from quire.sources import tables as TB
+from quire.sources.word import tables_of
 
 
 # ---- blocks of another rendering --------------------------------------------------------------------
@@ -39,5 +46,61 @@ s as (select n.doc_id, n.para_index, block_index, step, row_number() over (parti
 select t.doc_id, t.para_index, coalesce(block_index, -1) as block_index, step from t left join (select * from s where rn = 1) s using (doc_id, para_index)"""
 
 
+# ---- reports ------------------------------------------------------------------------------------------
+
+
+def grouped(by: str, sort_by: str):
+    def run(spark, sf_dir):
+        g = RP.ordered_groups(issues(spark, sf_dir), by, sort_by)
+        return g.select("doc_id", F.col("position").cast("long").alias("position"), "key", "label", "n", F.array_join("messages", "|").alias("messages"))
+
+    return run
+
+
+def groups_sql(by: str, sort_by: str, issue_sql: str) -> str:
+    severity = "case severity when 'error' then 0 when 'warn' then 1 else 2 end"
+    para = "case when para_index < 0 then 2147483647 else para_index end"
+    first = f"{para}, {severity}" if sort_by == "paragraph" else f"{severity}, {para}"
+    if by == "severity":
+        key, labels, place = "severity", RP.SEVERITY_LABELS, f"list_position([{', '.join(repr(x) for x in RP.SEVERITIES)}], key)"
+    else:
+        key, labels, place = "field", RP.FIELD_LABELS, "label collate zh, key"
+    label = "case key " + " ".join(f"when '{k}' then '{v}'" for k, v in labels.items()) + " else key end"
+    return f"""{issue_sql}, g as (select doc_id, {key} as key, count(*) as n, string_agg(message, '|' order by {first}, role, field, message) as messages from iss group by doc_id, {key}),
+h as (select *, {label} as label from g)
+select doc_id, row_number() over (partition by doc_id order by {place}) as position, key, label, n, messages from h"""
+
+
+SUMMARY_SQL = """{issues}, i as (select doc_id, severity, field from iss),
+s as (select doc_id, severity, field, count(*) as n, grouping_id(doc_id, severity, field) as g from i group by grouping sets ((doc_id, severity), (doc_id, field), (severity), (field), ()))
+select case g when 1 then 'document_severity' when 2 then 'document_field' when 5 then 'severity' when 6 then 'field' else 'all' end as level, doc_id, severity, field, n from s"""
+
+
+def summary(spark, sf_dir):
+    return TB.sink_summary(issues(spark, sf_dir), TB.folder(spark, "issue-summary"))[1]
+
+
+# ---- Word files ---------------------------------------------------------------------------------------
+
+
+def words(spark, sf_dir):
+    """The files made of the documents as tables, their rows stored."""
+    return tables_of(TB.stored(D.extract_documents(FI.word_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))), "word-files"))
+
+
+def borders(spark, sf_dir):
+    return P.hf_borders(words(spark, sf_dir).tokens).where("kind = 'header'")
+
+
+BORDERS_SQL = """with l as (select doc_id, len(string_split(coalesce(text, ''), chr(10))) as m from documents)
+select doc_id, 'header' as kind, 0 as part, 0 as para, 'single' as style, cast(case m % 4 when 3 then null when 2 then 0 else 4 + m % 6 end as double) as size,
+  case when m % 2 = 1 then (m % 10) || '0FF00' end as color, case when m % 3 > 0 then m % 3 + 0.5 end as space, true as visible from l"""
+
+
 def add(put) -> None:
     put("find_blocks", found_blocks, FOUND_BLOCKS_SQL)
+    put("hf_border_details", borders, BORDERS_SQL)
+    put("sink_summary_sets", summary, SUMMARY_SQL.format(issues=_ISS))
+    for by in ("severity", "field"):
+        for sort_by in ("paragraph", "severity"):
+            put(f"ordered_groups_{by}_by_{sort_by}", grouped(by, sort_by), groups_sql(by, sort_by, _ISS))

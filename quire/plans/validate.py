@@ -15,7 +15,7 @@ from quire.operators import report as RP
 from quire.operators import roles as R
 from quire.operators import statistics as S
 from quire.operators import style_checks as C
-from quire.sources.tables import stored
+from quire.sources.tables import clustered
 from quire.sources.word import Word
 
 ISSUE = ["doc_id", "check_seq", "para_index", "role", "field", "actual", "severity", "message"]
@@ -106,32 +106,34 @@ def fix_hint(issues: DataFrame) -> DataFrame:
     return issues.withColumn("_hint", pick).withColumn("fixability", F.col("_hint.fixability")).withColumn("suggestion", said).drop("_hint")
 
 
-def validate_corpus(word: Word, rules: DataFrame, page_rules: dict, number_rules: dict, header_rules: dict, stats: dict, keep=lambda df: stored(df, "roles")) -> DataFrame:
+def validate_corpus(word: Word, rules: DataFrame, page_rules: dict, number_rules: dict, header_rules: dict, stats: dict, keep=lambda df: clustered(df, "roles"), sources: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """Issues of all documents; `check_seq` keeps the order of the checks.
 
     keep(roles) writes the classified paragraphs and reads them back, since
-    many checks read them. Issues of paragraphs have the confidence of their
-    role, all have a hint.
+    many checks read them; in buckets of doc_id, so that the windows over
+    headings and captions and the counts need no exchange. Issues of paragraphs
+    have the confidence of their role, all have a hint. sources(role_keys,
+    field_keys, provenance) give each issue the text that its rule comes from.
     """
     roles = keep(R.classify_roles(word.paragraphs))
+    named = roles.select("doc_id", "para_index", "role", "text")
     described = X.described(word.fields)
-    numbers = X.captions(roles, described)
-    counts = S.document_counts(roles)
+    numbers = X.captions(named, described)
+    counted = S.check_statistics(S.document_counts(named), stats)
     issue = lambda df, seq, severity=None: issue_row(df, seq, severity, more=True)
     found = [
         issue(P.check_page_setup(word.sections, page_rules), 1, "error"),
         issue(P.check_page_numbers(word.documents, word.sections, number_rules), 2, "error"),
-        *[issue(x, 3) for x in P.check_header_footer(word.documents, word.tokens, header_rules)],
+        issue(P.check_header_footer(word.documents, word.tokens, header_rules), 3),
         issue(N.check_heading_sequence(roles), 4),
         issue(N.check_caption_sequence(roles, numbers, "figure"), 5),
         issue(N.check_caption_sequence(roles, numbers, "table"), 6),
-        issue(X.check_references(X.caption_graph(roles, described, word.bookmarks)), 7),
-        issue(X.check_notes(word.note_refs, word.note_defs, roles), 8),
-        *[issue(S.check_range(counts, m, lo, hi), 9) for m, (lo, hi) in stats.get("ranges", {}).items()],
-        *([issue(S.check_reference_count(counts, stats["min_references"]), 9)] if stats.get("min_references") is not None else []),
-        *([issue(S.check_foreign_fraction(counts, stats["min_foreign"]), 9)] if stats.get("min_foreign") is not None else []),
+        issue(X.check_references(X.caption_graph(named, described, word.bookmarks)), 7),
+        issue(X.check_notes(word.note_refs, word.note_defs, named), 8),
+        *([] if counted is None else [issue(counted, 9)]),
         issue(C.check_fields(roles, word.runs, rules).withColumnRenamed("shown", "actual"), 10),
     ]
     all_ = reduce(DataFrame.unionByName, found)
     about = roles.select("doc_id", "para_index", "confidence", "reason", preview24(F.col("text")).alias("text_preview"))
-    return fix_hint(RP.attach_confidence(all_, about, ["text_preview"]))
+    hinted = fix_hint(RP.attach_confidence(all_, about, ["text_preview"]))
+    return hinted if sources is None else RP.provenance_lookup(hinted, *sources)
