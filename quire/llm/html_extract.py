@@ -5,18 +5,24 @@ expressions over these, the host's wrapper, grow by alignment: equal tokens
 match, texts that differ become slots, runs of one token group become repeated
 groups, tokens without a partner become optional groups. Each text node keeps
 the digests of the texts that all its pages share. Each page is then matched
-against its host's wrapper: shared texts are furniture, and of the rest the
-element that holds most of the differing text is the article. Lists of tags
-and names decide only what this leaves open: hosts of fewer than MIN_PAGES
-different pages, hosts whose differing text lies in several elements, and
-repeated groups in the article that are named as furniture.
+against its host's wrapper. The element that holds most of the differing text
+is the article. A text that all pages share is judged by its place in the
+wrapper: between the article's slots (anywhere in it, if it is an ``article``
+or ``main`` element) it is content, such as a standing subheading or byline;
+before, after and outside of them it is furniture. Lists of tags and names
+decide only what this leaves open: hosts of fewer than MIN_PAGES different
+pages, hosts whose differing text lies in several elements, and groups in the
+article that are named as furniture.
 
 Wrappers are folded within tasks first, then by host and salt, then by host:
 what moves is one wrapper a host and task, however many pages it stands for.
 
 Defined cases: null html is the empty page, its text is empty; a null or odd
 url has the host ''; repeated rows are separate pages with equal texts; an
-empty table gives no rows. Broken markup is read as browsers do as far as
+empty table gives no rows; html of any length is read whole, with memory
+linear in it and, for the alignment, one bit for each pair of its blocks with
+the wrapper's up to CELLS (beyond, both are halved first); other columns don't
+matter (see common.pick). Broken markup is read as browsers do as far as
 paragraphs, unknown closing tags and unclosed elements go.
 """
 
@@ -59,6 +65,8 @@ SALTS = 64
 #: Texts that fewer different pages share tell nothing.
 MIN_PAGES = 3
 MAX_BROADCAST_BYTES = 32_000_000
+#: Pairs of blocks whose bits are held at once.
+CELLS = 1 << 28
 
 
 def _label(tag: str, attrs: str) -> str:
@@ -198,23 +206,66 @@ def _repeated(w: list) -> list[list]:
     return [n[1] for n in w if n[0] == "+" and len(n) > 1]
 
 
-def _pairs(x: list, y: list):
-    """(i, j) in order over a longest common subsequence; None for a place without a partner."""
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = best[i], best[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i][0] == y[j][0] else max(below[j], row[j + 1])
+def _rows(x: list, y: list) -> list[int]:
+    """For each i, which suffixes of y have a longer common subsequence with x[i:] than the next shorter one: bit k is 0 where that of k + 1 symbols has."""
+    masks: dict = {}
+    for k, c in enumerate(reversed(y)):
+        masks[c] = masks.get(c, 0) | 1 << k
+    full = (1 << len(y)) - 1
+    row, rows = full, [full]
+    for c in reversed(x):
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+        rows.append(row)
+    return rows[::-1]
+
+
+def _lengths(x: list, y: list) -> list[int]:
+    """Length of a longest common subsequence of x and each suffix of y, the longest suffix first."""
+    row, out = _last_row(x, y), [0]
+    for k in range(len(y)):
+        out.append(out[-1] + (~row >> k & 1))
+    return out[::-1]
+
+
+def _last_row(x: list, y: list) -> int:
+    masks: dict = {}
+    for k, c in enumerate(reversed(y)):
+        masks[c] = masks.get(c, 0) | 1 << k
+    full = (1 << len(y)) - 1
+    row = full
+    for c in reversed(x):
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return row
+
+
+def _pairs(x: list, y: list, cells: int = CELLS):
+    """(i, j) in order over a longest common subsequence of x and y by their first entries; None for a place without a partner."""
+    yield from _paired([n[0] for n in x], [n[0] for n in y], 0, 0, cells)
+
+
+def _paired(x: list, y: list, i0: int, j0: int, cells: int):
+    if len(x) * len(y) > cells and len(x) > 1:
+        half = len(x) // 2
+        after = _lengths(x[half:], y)
+        before = _lengths(x[:half][::-1], y[::-1])[::-1]
+        cut = max(range(len(y) + 1), key=lambda j: before[j] + after[j])
+        yield from _paired(x[:half], y[:cut], i0, j0, cells)
+        yield from _paired(x[half:], y[cut:], i0 + half, j0 + cut, cells)
+        return
+    rows, m = _rows(x, y), len(y)
+    best = lambda i, j: m - j - (rows[i] & ((1 << (m - j)) - 1)).bit_count()
     i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-            yield i, j
+    while i < len(x) or j < m:
+        if i < len(x) and j < m and x[i] == y[j]:
+            yield i0 + i, j0 + j
             i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i + 1][j] >= best[i][j + 1]:
-            yield i, None
+        elif j == m or i < len(x) and best(i + 1, j) >= best(i, j + 1):
+            yield i0 + i, None
             i += 1
         else:
-            yield None, j
+            yield None, j0 + j
             j += 1
 
 
@@ -225,19 +276,28 @@ def align(a: list, b: list) -> list:
     a, b = _fold_known(a, _repeated(b)), _fold_known(b, _repeated(a))
     x, y = _bare(a), _bare(b)
     out: list = []
+    run = None  # the page whose blocks without a partner the last group holds
 
-    def maybe(node):
-        if out and out[-1][0] == "?" and len(out[-1]) > 1:
+    def maybe(node, of=None):
+        nonlocal run
+        if of and of == run:
             out[-1][1].append(node)
         else:
             out.append(["?", [node]])
+        run = of
 
     for i, j in _pairs(x, y):
         if i is not None and j is not None:
             node = _same(x[i][1], y[j][1])
-            maybe(node) if x[i][2] or y[j][2] else out.append(node)
+            if x[i][2] or y[j][2]:
+                maybe(node)
+            else:
+                out.append(node)
+                run = None
         else:
-            maybe(x[i][1] if j is None else y[j][1])
+            # Blocks that stand together on one page are optional together; what was optional before is so by itself.
+            node, before = (x[i][1], x[i][2]) if j is None else (y[j][1], y[j][2])
+            maybe(node, None if before else "x" if j is None else "y")
     return out
 
 
@@ -326,8 +386,12 @@ class Reader:
         self.nodes = wrapper.nodes if wrapper else []
         self.matches: dict[str, list] = {}
         self.shared: dict[str, set] = {}
-        mass, keys, known = Counter(), {}, False
-        for n, again in _texts(self.nodes):
+        #: Places of the wrapper whose texts are content even if all pages share them.
+        self.content: set[int] = set()
+        mass, keys, known, slots = Counter(), {}, False, []
+        places = list(_texts(self.nodes))
+        self.place = {id(n): k for k, (n, _) in enumerate(places)}
+        for k, (n, again) in enumerate(places):
             path = n[0][1:].rpartition("|")[0]
             sure = len(n[2]) >= MIN_PAGES
             known = known or sure
@@ -337,10 +401,13 @@ class Reader:
             if left > 0:
                 mass[path] += left
                 keys[n[0]] = keys.get(n[0], False) or again
+                slots.append(k)
         root = _smallest(mass) if known else ""
         if _tag(root.rpartition("/")[2]) in ("", "html", "body"):  # no evidence, or none for one element
             paths = _by_names(mass)
             self.kept = {k for k in keys if k[1:].rpartition("|")[0] in paths and not _named(k.rpartition("|")[2])}
+            inside = {p for p in paths if any(_tag(x) in ("article", "main") for x in p.split("/"))}
+            self.content = {k for k, (n, _) in enumerate(places) if n[0][1:].rpartition("|")[0] in inside and not _named(n[0].rpartition("|")[2])}
             return
         parts = root.split("/")
         for i, part in enumerate(parts):
@@ -348,6 +415,11 @@ class Reader:
                 root = "/".join(parts[: i + 1])
                 break
         self.kept = {k for k, again in keys.items() if self._main(k, again, root)}
+        whole = _tag(root.rpartition("/")[2]) in ("article", "main")
+        own = [k for k in slots if places[k][0][0] in self.kept and _inside(places[k][0][0][1:].rpartition("|")[0], root)]
+        for k, (n, _) in enumerate(places):
+            if (whole or own and own[0] < k < own[-1]) and _inside(n[0][1:].rpartition("|")[0], root) and self._main(n[0], True, root):
+                self.content.add(k)
 
     @staticmethod
     def _main(key: str, again: bool, root: str) -> bool:
@@ -362,7 +434,9 @@ class Reader:
 
     def _match(self, nodes: list) -> list:
         """The wrapper's text node, or None, of each text node of a page."""
-        x, y = _bare(nodes), _bare(self.nodes)
+        # One block and a run of such blocks are the same place.
+        one = lambda n: _sig(n[1][0]) if n[0] == "+" and len(n) > 1 and len(n[1]) == 1 else _sig(n)
+        x, y = ([(one(n), n, maybe) for _, n, maybe in _bare(w)] for w in (nodes, self.nodes))
         out: list = []
         for i, j in _pairs(x, y):
             if i is not None:
@@ -376,10 +450,14 @@ class Reader:
         if shape not in self.matches:
             self.matches[shape] = self._match(nodes)
         furniture: set[int] = set()
+        content: set[int] = set()
         for (own, _), node in zip(_texts(nodes), self.matches[shape], strict=True):
+            if node is not None and self.place[id(node)] in self.content:
+                content.update(own[5])
+                continue
             shared = self.shared.get(own[0], ()) if node is None else node[1] if len(node[2]) >= MIN_PAGES else ()
             furniture.update(i for i in own[5] if shared and _digest(blocks[i][2]) in shared)
-        kept = [text for i, (path, leaf, text) in enumerate(blocks) if i not in furniture and f"#{path}|{leaf}" in self.kept]
+        kept = [text for i, (path, leaf, text) in enumerate(blocks) if i in content or i not in furniture and f"#{path}|{leaf}" in self.kept]
         if not kept:  # this page has nothing in its host's main containers
             kept = [text for i, (path, leaf, text) in enumerate(blocks) if i not in furniture and not is_furniture(path) and not _named(leaf)]
         return "\n\n".join(kept)
