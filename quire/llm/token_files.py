@@ -55,6 +55,8 @@ SEGMENT, SEGMENTS, FILE_BYTES = 1 << 18, 256, 1 << 28
 REMEMBERED = 1 << 19
 #: Parts chunks that are encoded together; texts that hold it are encoded whole.
 MARK = "\x01"
+#: Texts that are encoded together.
+TEXTS = 256
 TAILS = (b".", b",", b";", b":", b"!", b"?")
 
 MAGIC = b"QTB1"
@@ -138,8 +140,8 @@ class Encoder:
         for c, a, b in zip(group, [0, *(4 * starts).tolist()], [*(4 * ends).tolist(), len(raw)], strict=True):
             self.known[c] = raw[a:b]
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        """Puts the ids of chunks into `known`; a word with one of TAILS after it is the word and that."""
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Puts the ids of chunks into `known`. A word with one of TAILS after it is the word and that; where the word is new itself, only it is remembered, and the ids of both are returned."""
         known, older = self.known, self.older
         new, joined = [], []
         for c in chunks:
@@ -149,8 +151,10 @@ class Encoder:
                 joined.append(c)
             else:
                 new.append(c)
-        seen = set(new)
+        seen, rare = set(new), {}
         for c in joined:
+            if c[:-1] not in known:
+                rare[c] = b""
             for part in (c[:-1], c[-1:]):
                 if part not in known and part not in seen:
                     if (ids := older.get(part)) is not None:
@@ -166,7 +170,8 @@ class Encoder:
             for at in range(0, len(some), 5000):
                 work(some[at : at + 5000])
         for c in joined:
-            known[c] = known[c[:-1]] + known[c[-1:]]
+            (rare if c in rare else known)[c] = known[c[:-1]] + known[c[-1:]]
+        return rare
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -187,13 +192,12 @@ class Encoder:
             out[i] = ids
         if len(self.known) > self.remembered:
             self.known, self.older = {b"": b""}, self.known
-        known = self.known
-        got = {i: list(map(known.get, p)) for i, p in parts.items()}
+        get = self.known.get
+        got = {i: list(map(get, p)) for i, p in parts.items()}
         missing = {c for i, ids in got.items() if None in ids for c, x in zip(parts[i], ids, strict=True) if x is None}
-        if missing:
-            self._learn(missing)
+        rare = self._learn(missing) if missing else {}
         for i, ids in got.items():
-            out[i] = b"".join(ids if None not in ids else [known[c] if x is None else x for c, x in zip(parts[i], ids, strict=True)])
+            out[i] = b"".join(ids if None not in ids else [x if x is not None else rare[c] if c in rare else get(c) for c, x in zip(parts[i], ids, strict=True)])
         return out
 
 
@@ -215,16 +219,20 @@ def _pack(v: np.ndarray, width: int) -> np.ndarray:
     """Rows of 32-bit numbers at `width` bits each, low bits first, as rows of bytes."""
     if width in (8, 16, 32):
         return np.ascontiguousarray(v.astype(f"<u{width // 8}")).view(np.uint8)
-    bits = np.unpackbits(np.ascontiguousarray(v.astype("<u4")).view(np.uint8).reshape(*v.shape, 4), axis=-1, bitorder="little")
+    size = 2 if width < 16 else 4
+    bits = np.unpackbits(np.ascontiguousarray(v.astype(f"<u{size}")).view(np.uint8).reshape(*v.shape, size), axis=-1, bitorder="little")
     return np.packbits(bits[..., :width].reshape(len(v), -1), axis=-1, bitorder="little")
 
 
 def _unpack(raw: np.ndarray, width: int, n: int) -> np.ndarray:
     if width in (8, 16, 32):
         return np.ascontiguousarray(raw).view(f"<u{width // 8}").astype(np.uint32)
-    bits = np.zeros((len(raw), n, 32), np.uint8)
-    bits[..., :width] = np.unpackbits(raw, axis=-1, bitorder="little")[:, : n * width].reshape(len(raw), n, width)
-    return np.packbits(bits, axis=-1, bitorder="little").view("<u4").reshape(len(raw), n)
+    # Eight bytes from the one in which a number begins hold it.
+    at = np.arange(n) * width
+    padded = np.pad(raw, ((0, 0), (0, 8)))
+    words = np.lib.stride_tricks.as_strided(padded.view(), (len(padded), padded.shape[1] - 7, 8), (*padded.strides, 1))
+    found = words[:, at >> 3].reshape(len(raw), -1).view("<u8")
+    return (found >> (at & 7).astype(np.uint64) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def pack_blocks(ids: np.ndarray, block: int = BLOCK, percent: int = PERCENT) -> list[bytes]:
@@ -352,8 +360,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: in
             return segment_bytes(shard, number, ids, sizes, np.frombuffer(b"".join(parts), "<u4"))
 
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                some = b.slice(at, 64)
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
                 for doc, one in zip(some.column(0).to_pylist(), encoder(tokenizer).encode(some.column(1).to_pylist()), strict=True):
                     ids.append(doc)
                     parts += [one, last]
