@@ -550,16 +550,30 @@ select doc_id, para_index, field, message, {fixable} as fixability, {hint} as su
     ])
     _add("normalize_statistics", lambda s, d: RU.normalize_statistics(RU.scan_rules(legacy_texts(s, d)).select("doc_id", "library.keywords", "library.abstract", "library.references")), f"select * from ({stats}) where min is not null or max is not null")
 
-    def publish(s, d):
+    def publish(s, d, lint=None):
         docs = s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("library_id"), "lang", "source")
         old = docs.select("library_id", F.concat(F.lit("1."), F.col("library_id") % 3).alias("version"), F.coalesce("lang", F.lit("")).alias("content"), F.lit("2024-01-01").alias("published_at"))
         draft = docs.select("library_id", F.when(F.col("library_id") % 2 == 0, F.coalesce("lang", F.lit(""))).otherwise(F.col("source")).alias("content"))
-        flaws = docs.where("library_id % 5 = 1").select("library_id", F.lit("error").alias("level"))
+        flaws = docs.where("library_id % 5 = 1").select("library_id", F.lit("error").alias("level")) if lint is None else lint
         return RU.publish_rules(draft, old, flaws, F.lit("2024-01-02"))
 
     go = "doc_id % 2 = 1 and doc_id % 5 <> 1 and source <> coalesce(lang, '')"
     _add("publish_rules", publish, f"select doc_id as library_id, '1.' || (doc_id % 3) as version, coalesce(lang, '') as content, '2024-01-01' as published_at from documents union all select doc_id, '1.' || (doc_id % 3 + 1), source, '2024-01-02' from documents where {go}")
 
+    def publish_linted(s, d):
+        """Each document's library is published if the lint finds no error in its rules of references."""
+        lint = RU.lint_rules(libraries_of(s, d), ["doc_id"]).where("role = 'reference_body'")
+        return publish(s, d, lint.select(F.col("doc_id").alias("library_id"), "level"))
+
+    fit = "doc_id % 2 = 1 and source <> coalesce(lang, '') and doc_id not in (select doc_id from lint where level = 'error' and role = 'reference_body')"
+    _add(
+        "publish_linted",
+        publish_linted,
+        f"""{_LIB}, {_LINT}
+select doc_id as library_id, '1.' || (doc_id % 3) as version, coalesce(lang, '') as content, '2024-01-01' as published_at from documents
+union all select doc_id, '1.' || (doc_id % 3 + 1), source, '2024-01-02' from documents where {fit}""",
+    )
+
     every = f"""{CORPUS_SQL}, {_OWN}, {_RUNV}, vls as ({_VALS}), {_ISL}, pf as (select doc_id, para_index, role, field, severity, shown, label || {_DESC} || '，实际 ' || shown as message from vls join own using (role, field_key) join fl using (field_key) where not ({_OK}) and (doc_id, para_index, field_key) not in (select distinct doc_id, para_index, field_key from rv)),
 al1 as (select *, null as actual from al0 union all select doc_id, 10, para_index, role, field, severity, message, shown from pf union all select doc_id, 10, para_index, role, field, severity, message, shown from isl),
 al as (select al1.* exclude (actual), rol.confidence as role_confidence, {_hint_sql("field", "null", "null", "actual", "''")[0]} as fixability from al1 left join rol using (doc_id, para_index))"""

@@ -133,14 +133,23 @@ tok as (select doc_id, kind, 0 as part, 0 as para, cast(tok as int) as tok, tok_
   union all select doc_id, latin, 'footer', 0, 'pageNumber', '1', 'center', 'PAGE', null from tk))"""
 
 
-def word_issues(spark, sf_dir):
+#: Where rules come from, by role and by field; a blank text doesn't count.
+SOURCES = ([("body_text", "a")], [("margin_top_cm", "b"), ("header_text", "c"), ("size_pt", "a")], [("a", " 第三章 "), ("b", "页面设置"), ("c", "  ")])
+
+
+def sources(spark):
+    roles, fields, texts = SOURCES
+    return spark.createDataFrame(roles, "role string, key string"), spark.createDataFrame(fields, "field string, key string"), spark.createDataFrame(texts, "key string, text string")
+
+
+def word_issues(spark, sf_dir, provenance=False):
     """All checks over the files made of the documents."""
     from quire.plans.registry import HEADER_RULES, NUMBER_RULES, PAGE_RULES
     from quire.plans.registry_more import rules
 
     stats = {"ranges": {"keywords_cn": (3, 5), "abstract_en": (None, 40)}, "min_references": 3, "min_foreign": 0.6}
-    found = V.validate_corpus(words(spark, sf_dir), rules(spark), PAGE_RULES, NUMBER_RULES, HEADER_RULES, stats)
-    return found.select("doc_id", "check_seq", "para_index", "role", "field", "severity", "message", "role_confidence", "fixability")
+    found = V.validate_corpus(words(spark, sf_dir), rules(spark), PAGE_RULES, NUMBER_RULES, HEADER_RULES, stats, sources=sources(spark) if provenance else None)
+    return found.select("doc_id", "check_seq", "para_index", "role", "field", "severity", "message", "role_confidence", "fixability", *(["provenance"] if provenance else []))
 
 
 def word_numbering(spark, sf_dir):
@@ -198,6 +207,9 @@ def add(put) -> None:
     from quire.plans.registry import _PAGE, _S
 
     put("validate_word_files", word_issues, _S["validate_corpus"].replace(O.SQL, WORD_SQL))
+    word_sql = _S["validate_word_files"].removesuffix("select * from al")
+    source = "case when role = 'body_text' or field = 'size_pt' then '第三章' when field = 'margin_top_cm' then '页面设置' end"
+    put("validate_with_sources", lambda s, d: word_issues(s, d, True), f"{word_sql} select *, {source} as provenance from al")
     put("rerun_issues", rerun_issues, rerun_sql(_PAGE))
     put("word_numbering", word_numbering, NUMBERING_SQL)
     put("word_lists", word_lists, LISTS_SQL)
