@@ -169,3 +169,30 @@ def test_ngram_join_recall_at_the_threshold():
             n += 1
             met += bool((np.frombuffer(maker.band_hashes(a), np.uint64) == np.frombuffer(maker.band_hashes(b), np.uint64)).any())
     assert n > 100 and met >= 0.98 * n
+
+
+def test_very_long_turns_and_pages(spark):
+    from quire.llm import chat, html_extract, warc
+
+    long = "word " * 200_000
+    turns = [(1, 0, "user", long), (1, 1, "assistant", "yes"), (1, 2, "user", None), (2, 0, "user", "hello")]
+    rows = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))
+    assert rows.count() > 0
+    pages = [(1, "http://a.x/1", f"<body><p>{long}</p></body>"), (2, "http://a.x/2", f"<body><p>{long}</p></body>"), (3, None, None)]
+    p = spark.createDataFrame(pages, "page_id long, url string, html string")
+    back = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_report(warc.write_archive(p)).collect()}
+    size = len(pages[0][2])
+    assert back == {1: (size, "revisit", 2), 2: (size, "response", None), 3: (0, "response", None)}
+    assert {r.page_id: r.n_chars for r in html_extract.extract(p).collect()} == {1: len(long) - 1, 2: len(long) - 1, 3: 0}
+
+
+def test_no_rows_and_ties(spark):
+    from quire.llm import cotrain, ngram_join
+
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert ngram_join.one_of_each(none).collect() == [] and ngram_join.one_of_each(none).columns == none.columns
+    same = [(i, "the same words in every text", "en", "s", 28) for i in range(12)] + [(50, "the same words " * 30_000, "en", "s", 450_000)]
+    d = spark.createDataFrame(same, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    got = cotrain.score(d, cotrain.train(d, labels)).collect()
+    assert len(got) == 13 and len({tuple(r)[1:] for r in got if r[0] < 12}) == 1
