@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -85,11 +86,22 @@ def parts_at_space(description: dict) -> bool:
     return bool(plain and kept and bytes_ and tokens and not description.get("post_processor"))
 
 
+def _letters_whole(description: dict) -> bool:
+    """Whether the pattern is contractions (which begin with an apostrophe), runs of letters, digits, and runs of all else."""
+    pre = description["pre_tokenizer"]
+    pattern = (pre["pretokenizers"][0] if pre["type"] == "Sequence" else pre)["pattern"]["Regex"].split("|")
+    return all(p.startswith("'") or p in (r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+") for p in pattern) and r"[\p{L}]+" in pattern
+
+
+#: Small letters that are normal as they are: ASCII and Latin-1.
+_LATIN = re.compile("[a-zß-öø-ÿ]+")
+
+
 class Encoder:
     """Ids of texts as little-endian 32-bit integers."""
 
     def __init__(self, file: str, remembered: int = REMEMBERED):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(file, encoding="utf-8") as f:
             description = json.load(f)
@@ -100,6 +112,12 @@ class Encoder:
         # ASCII chunks of small letters are normal as they are.
         self.plain = Tokenizer.from_file(file)
         self.plain.normalizer = normalizers.Sequence([])
+        # Chunks of letters alone are single matches of the pattern, if it has the usual parts.
+        self.letters_whole = self.by_chunk and _letters_whole(description)
+        self.ascii_words, self.other_words = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        for t, steps in ((self.ascii_words, []), (self.other_words, [pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])):
+            t.normalizer = normalizers.Sequence([])
+            t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), *steps])
         suffix = description.get("model", {}).get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -125,10 +143,10 @@ class Encoder:
                 raise RuntimeError("chunks of a text could not be told apart")
             self._keep(group, ids.tobytes(), cut, cut + 1)
 
-    def _letters(self, chunks: list[bytes]) -> None:
-        """Encodes chunks of ASCII letters, each of which is one word for the model: its last id is one that ends words."""
+    def _letters(self, chunks: list[bytes], tokenizer) -> None:
+        """Encodes chunks of small letters, each of which is one word for the model: its last id is one that ends words."""
         groups = [chunks[at : at + 200] for at in range(0, len(chunks), 200)]
-        for group, e in zip(groups, self.plain.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             cut = np.flatnonzero(self.last[ids]) + 1
             if len(cut) == len(group) and cut[-1] == len(ids):
@@ -162,11 +180,19 @@ class Encoder:
                     else:
                         seen.add(part)
                         new.append(part)
-        letters, ascii_, other = [], [], []
+        letters, latin, ascii_, other = [], [], [], []
         for c in new:
-            normal = self.small and c.isascii() and c == c.lower()
-            (other if not normal else letters if c.isalpha() else ascii_).append(c)
-        for work, some in ((self._letters, letters), (lambda x: self._marked(x, self.plain), ascii_), (lambda x: self._marked(x, self.tokenizer), other)):
+            if self.small and c.isascii() and c == c.lower():
+                (letters if self.letters_whole and c.isalpha() else ascii_).append(c)
+            else:
+                (latin if self.letters_whole and _LATIN.fullmatch(c.decode("utf-8", "surrogatepass")) else other).append(c)
+        works = (
+            (lambda x: self._letters(x, self.ascii_words), letters),
+            (lambda x: self._letters(x, self.other_words), latin),
+            (lambda x: self._marked(x, self.plain), ascii_),
+            (lambda x: self._marked(x, self.tokenizer), other),
+        )
+        for work, some in works:
             for at in range(0, len(some), 5000):
                 work(some[at : at + 5000])
         for c in joined:
@@ -193,11 +219,22 @@ class Encoder:
         if len(self.known) > self.remembered:
             self.known, self.older = {b"": b""}, self.known
         get = self.known.get
-        got = {i: list(map(get, p)) for i, p in parts.items()}
-        missing = {c for i, ids in got.items() if None in ids for c, x in zip(parts[i], ids, strict=True) if x is None}
+        missing: set[bytes] = set()
+        gaps = []
+        for i, p in parts.items():
+            ids = list(map(get, p))
+            if None in ids:
+                places = [k for k, x in enumerate(ids) if x is None]
+                missing.update([p[k] for k in places])
+                gaps.append((i, p, ids, places))
+            else:
+                out[i] = b"".join(ids)
         rare = self._learn(missing) if missing else {}
-        for i, ids in got.items():
-            out[i] = b"".join(ids if None not in ids else [x if x is not None else rare[c] if c in rare else get(c) for c, x in zip(parts[i], ids, strict=True)])
+        for i, p, ids, places in gaps:
+            for k in places:
+                x = get(c := p[k])
+                ids[k] = rare[c] if x is None else x
+            out[i] = b"".join(ids)
         return out
 
 
