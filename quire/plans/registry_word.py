@@ -29,8 +29,7 @@ BLOCK_TEXT = "case when para_index % 5 = 1 then concat('- ', text, ' (more)') wh
 
 def found_blocks(spark, sf_dir):
     p = O.paragraphs(spark, sf_dir).select("doc_id", "para_index", "text")
-    keys = ["doc_id", "para_index"]
-    targets = p.hint("merge").join(X.neighbour_text(p), keys).hint("merge").join(X.occurrence_index(p), keys)
+    targets = X.numbered(X.neighbours(p))
     blocks = p.where("para_index % 4 <> 2").select("doc_id", (F.col("para_index") * 2).cast("long").alias("block_index"), F.expr(BLOCK_TEXT).alias("text"))
     return AL.find_blocks(targets, blocks)
 

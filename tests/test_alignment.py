@@ -71,3 +71,24 @@ def test_find_blocks_without_rows(spark):
     assert find_blocks(t, b).collect() == []
     one = spark.createDataFrame([(1, 0, "some text here", None, None, None)], TARGETS)
     assert [tuple(x) for x in find_blocks(one, b).collect()] == [(1, 0, -1, None)]
+
+
+def test_find_blocks_of_many_keys(spark):
+    # More paragraphs cut short than keys are sought one by one, of several lengths, with characters beyond the basic plane.
+    from quire.operators.alignment import FEW
+
+    line = lambda i: f"{'😀' * (i % 3)}line number {i} of a text" if i % 4 else f"n{i}😀"
+    n = 4 * FEW
+    targets = [(1, i, line(i), line(i - 1) if i else None, line(i + 1) if i < n - 1 else None, 0) for i in range(n)]
+    blocks = [(1, i, f"?{line(i)} …") for i in range(n)]
+    got = find_blocks(spark.createDataFrame(targets, TARGETS), spark.createDataFrame(blocks, "doc_id long, block_index long, text string")).collect()
+    assert {(x.doc_id, x.para_index): (x.block_index, x.step) for x in got} == plain(targets, blocks)
+
+
+def test_next_texts_are_not_sought_row_by_row(spark):
+    # A frame up to the end of the document would take n * n / 2 steps.
+    from quire.operators.references import neighbour_text
+
+    n = 300_000
+    p = spark.range(n).selectExpr("1L as doc_id", "cast(id as int) as para_index", "case when id in (0, 299999) then concat('t', id) else ' ' end as text")
+    assert neighbour_text(p).groupBy("prev_text", "next_text").count().count() == 3
