@@ -85,13 +85,22 @@ def summary(spark, sf_dir):
 # ---- Word files ---------------------------------------------------------------------------------------
 
 
-def words(spark, sf_dir):
-    """The files made of the documents as tables, their rows stored."""
-    return tables_of(TB.stored(D.extract_documents(FI.word_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))), "word-files"))
+def kept_files(spark, sf_dir, only=None):
+    """The files made of the documents, a row each, stored; only: facts that are asked for."""
+    return TB.stored(D.extract_documents(FI.word_files(spark.read.parquet(f"{sf_dir}/documents.parquet")), only), "word-files")
+
+
+def words(spark, sf_dir, only=None):
+    """The files made of the documents as tables."""
+    return tables_of(kept_files(spark, sf_dir, only))
+
+
+#: Facts that effective properties come from, and those of numbering.
+_INHERITED, _NUMBERS = {"style", "default"}, {"num_level", "num_instance", "num_override"}
 
 
 def borders(spark, sf_dir):
-    return P.hf_borders(words(spark, sf_dir).tokens).where("kind = 'header'")
+    return P.hf_borders(words(spark, sf_dir, {"hf_token"} | _INHERITED).tokens).where("kind = 'header'")
 
 
 BORDERS_SQL = """with l as (select doc_id, len(string_split(coalesce(text, ''), chr(10))) as m from documents)
@@ -152,24 +161,23 @@ def word_issues(spark, sf_dir, provenance=False):
 
 
 def word_numbering(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = words(spark, sf_dir, _NUMBERS)
     return N.resolve_numbering_level(w.instances, w.levels, w.overrides)
 
 
 def word_lists(spark, sf_dir):
-    w = words(spark, sf_dir)
+    w = words(spark, sf_dir, {"paragraph", "run"} | _INHERITED | _NUMBERS)
     return N.group_lists(N.recognize_list(w.paragraphs, w.instances, w.levels))
 
 
 def word_styles(spark, sf_dir):
     """Styles with inherited values, from the style arrays of the files."""
-    files = TB.stored(D.extract_documents(FI.word_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))), "word-files")
-    s = with_styles(files.where("code = 'ok'")).select(F.col("id").alias("doc_id"), F.explode("_styles").alias("s"))
+    s = with_styles(kept_files(spark, sf_dir, _INHERITED).where("code = 'ok'")).select(F.col("id").alias("doc_id"), F.explode("_styles").alias("s"))
     return s.select("doc_id", "s.style_id", "s.name", "s.size_pt", "s.bold", "s.alignment", F.col("s.line.pt").alias("line_pt"), "s.outline_level", "s.first_twips", "s.first_chars")
 
 
 def word_header_parts(spark, sf_dir):
-    return P.hf_rollup(P.hf_align(words(spark, sf_dir).tokens))
+    return P.hf_rollup(P.hf_align(words(spark, sf_dir, {"hf_token"} | _INHERITED).tokens))
 
 
 LINES_SQL = "ln as (select doc_id, len(string_split(coalesce(text, ''), chr(10))) as m from documents)"
