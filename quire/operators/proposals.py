@@ -19,14 +19,20 @@ def json_text(s, n, b):
     return F.coalesce(F.concat(F.lit('"'), s, F.lit('"')), number_text(n), F.when(b, "true").when(~b, "false"))
 
 
-def summarize_samples(samples: DataFrame, scope: list[str]) -> DataFrame:
+def summarize_samples(samples: DataFrame, scope: list[str], order: list[str] | None = None) -> DataFrame:
     """samples(scope…, role, field_key, value_key, total, at) → one proposal a (scope, role, field).
 
     value_key: JSON text of the value; total: how many could have had one; at:
-    place of the sample. The most frequent value wins, ties by key order.
+    place of the sample. The most frequent value wins, ties by key order. With
+    order, samples(…, preview) also give _top, the first five samples of the
+    value in that order: with_evidence then needs the samples no more.
     """
     keys = [*scope, "role", "field_key"]
-    per = samples.groupBy(*keys, "value_key").agg(F.count("*").alias("n"), F.max("total").alias("total"), F.min("at").alias("first_at"))
+    top = []
+    if order is not None:
+        samples = samples.withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "value_key").orderBy(*order)))
+        top = [F.array_sort(F.collect_list(F.when(F.col("_place") <= 5, F.struct(F.col("_place").alias("rank"), "at", "preview")))).alias("_top")]
+    per = samples.groupBy(*keys, "value_key").agg(F.count("*").alias("n"), F.max("total").alias("total"), F.min("at").alias("first_at"), *top)
     w = Window.partitionBy(*keys)
     ranked = per.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), F.collate("value_key", "UNICODE"))))
     g = ranked.groupBy(*keys).agg(
@@ -35,6 +41,7 @@ def summarize_samples(samples: DataFrame, scope: list[str]) -> DataFrame:
         F.sum("n").alias("observed_count"),
         F.max("total").alias("total_count"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") > 1, F.struct("rank", "value_key", "n")))), lambda x: F.concat(x["value_key"], F.lit("×"), x["n"].cast("string"))).alias("conflicts"),
+        *([] if order is None else [F.max_by("_top", F.when(F.col("rank") == 1, 1)).alias("_top")]),
     )
     n, seen, total = F.col("sample_count"), F.col("observed_count"), F.col("total_count")
     g = g.withColumn("coverage", F.when(total > 0, js_round(n / total, 2)).otherwise(0.0))
@@ -49,16 +56,19 @@ def summarize_samples(samples: DataFrame, scope: list[str]) -> DataFrame:
     return g.withColumn("level", F.when(F.col("confidence") >= 0.85, "high").when(F.col("confidence") >= 0.6, "medium").otherwise("low")).withColumn("hint", hint)
 
 
-def with_evidence(proposals: DataFrame, samples: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+def with_evidence(proposals: DataFrame, samples: DataFrame | None, scope: list[str], order: list[str]) -> DataFrame:
     """proposals with `samples`, the first five samples (at, preview) of the value in `order`, and `evidence`: what was counted and the first three.
 
-    samples(…, preview). Roles name paragraphs, the role `document` sections.
+    samples(…, preview), or none where summarize_samples has had the order.
+    Roles name paragraphs, the role `document` sections.
     """
-    keys = [*scope, "role", "field_key", "value_key"]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    top = samples.select(*keys, "preview", F.col("at").alias("_at"), F.row_number().over(w).alias("rank")).where("rank <= 5")  # a limit a group: cut before the shuffle, too
-    top = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("_at").alias("at"), "preview"))).alias("_top")).withColumnRenamed("value_key", "value")
-    j = proposals.hint("merge").join(top, [*scope, "role", "field_key", "value"], "left")
+    j = proposals
+    if samples is not None:
+        keys = [*scope, "role", "field_key", "value_key"]
+        w = Window.partitionBy(*keys).orderBy(*order)
+        top = samples.select(*keys, "preview", F.col("at").alias("_at"), F.row_number().over(w).alias("rank")).where("rank <= 5")  # a limit a group: cut before the shuffle, too
+        top = top.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("_at").alias("at"), "preview"))).alias("_top")).withColumnRenamed("value_key", "value")
+        j = proposals.hint("merge").join(top, [*scope, "role", "field_key", "value"], "left")
     n = [F.col(c).cast("string") for c in ("total_count", "observed_count", "sample_count")]
     document = F.col("role") == "document"
     head = F.when(document, F.concat(F.lit("页面设置共 "), n[0], F.lit(" 个分节，其中 "), n[1], F.lit(" 个分节检测到该字段，"), n[2], F.lit(" 个分节命中主值"))).otherwise(
@@ -87,10 +97,10 @@ def role_samples(roles: DataFrame) -> DataFrame:
         v("leftIndentChars", n=one("left_chars")),
         v("outlineLevel", n=outline_comparable(F.col("outline_level")).cast("double")),
     )
-    r = roles.where("role is not null")
-    total = r.groupBy("doc_id", "role").agg(F.count("*").alias("total"))
-    s = r.select("doc_id", "role", F.col("para_index").alias("at"), preview24(t).alias("preview"), F.inline(F.filter(every, lambda x: x["value_key"].isNotNull())))
-    return s.hint("merge").join(total, ["doc_id", "role"])
+    # Each field's value is worked out before the rows multiply; of the text its beginning goes on. Where the roles lie by doc_id, nothing moves.
+    r = roles.where("role is not null").select("doc_id", "role", F.col("para_index").alias("at"), preview24(t).alias("preview"), every.alias("_every"))
+    r = r.withColumn("total", F.count("*").over(Window.partitionBy("doc_id", "role")))
+    return r.select("doc_id", "role", "at", "preview", F.inline(F.filter("_every", lambda x: x["value_key"].isNotNull())), "total")
 
 
 def document_samples(sections: DataFrame) -> DataFrame:
