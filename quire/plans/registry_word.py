@@ -87,7 +87,7 @@ def summary(spark, sf_dir):
 
 def kept_files(spark, sf_dir, only=None):
     """The files made of the documents, a row each, stored; only: facts that are asked for."""
-    return TB.stored(D.extract_documents(FI.word_files(spark.read.parquet(f"{sf_dir}/documents.parquet")), only), "word-files")
+    return TB.stored(D.extract_documents(FI.MadeFiles(spark.read.parquet(f"{sf_dir}/documents.parquet")), only), "word-files")
 
 
 def words(spark, sf_dir, only=None):

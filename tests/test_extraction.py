@@ -52,3 +52,45 @@ def test_batches_are_bounded(spark):
 
     extract_facts(Files())
     assert sum(sizes) == n > 90_000 and max(sizes) <= 20_000
+
+
+def test_parts_not_asked_for_are_checked_but_not_built(spark):
+    # A part that can't be read counts whatever is asked for; none that no fact asks for becomes a tree.
+    import io
+    import zipfile
+
+    raw = word_file("one\ntwo")
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    assert "document" not in open_parts(raw, {"theme"}) and "document" in open_parts(raw, {"run"})
+
+    def code(**changed):
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, xml in (parts | {f"word/{n}.xml": x for n, x in changed.items()}).items():
+                z.writestr(name, xml)
+        found = []
+        for only in (None, set(), {"theme"}, {"run"}, {"style"}):
+            try:
+                open_parts(buf.getvalue(), only)
+                found.append("ok")
+            except Exception as e:
+                found.append(str(e))
+        assert len(set(found)) == 1, found
+        return found[0]
+
+    assert code() == "ok"
+    assert code(styles=b"<a>") == code(document=b"<a>" + b" " * 99) == code(header1=b"<x:a/>") == "CORRUPT"
+    assert code(document=b"<a><b><body/></b></a>") == "NOT_DOCX"
+    assert code(document=b'<!DOCTYPE a [<!ENTITY e "x">]><a>&f;</a>') == "CORRUPT"
+
+
+def test_files_are_made_and_read_in_one_worker(spark):
+    # One Python step a task, with the rows of two.
+    from quire.plans.files import MadeFiles, word_files
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one\ntwo", "", None, "第一行\nb\nc <&> \x01", "x"])], "doc_id long, text string")
+    one, two = extract_facts(MadeFiles(docs)), extract_facts(word_files(docs))
+    assert sorted(map(tuple, one.collect()), key=str) == sorted(map(tuple, two.collect()), key=str)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert (plan(one), plan(two)) == (1, 2)
