@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.units import half_points_to_pt, line_spacing, measure_to_twips, on_off
-from quire.functions.text import trim_ws
+from quire.functions.text import once, trim_ws
 from quire.operators.resolve import PARA, RUN, effective, fold_styles
 
 
@@ -51,11 +51,10 @@ def run_columns(of: str | Column = "") -> dict[str, Column]:
 def para_columns(of: str | Column) -> dict[str, Column]:
     """PARA from paragraph properties as written."""
     c = lambda n: of[n] if isinstance(of, Column) else F.col(f"{of}.{n}")
-    line = line_spacing(c("line"), c("line_rule"))
     chars = lambda n: c(n).try_cast("double") / 100
     return {
         "alignment": F.nullif(c("jc"), F.lit("")),
-        "line": F.when(line.isNotNull(), F.struct(line["pt"].alias("pt"), line["multiple"].alias("multiple"))),
+        "line": F.when(c("line").isNotNull(), once(line_spacing(c("line"), c("line_rule")), lambda x: F.when(x.isNotNull(), F.struct(x["pt"].alias("pt"), x["multiple"].alias("multiple"))))),
         "space_before_pt": measure_to_twips(c("before")) / 20,
         "space_after_pt": measure_to_twips(c("after")) / 20,
         "outline_level": c("outline").try_cast("int"),
@@ -113,7 +112,7 @@ def tables_of(files: DataFrame) -> Word:
         "doc_id", F.col("p.seq").alias("para_index"), "p.text", "p.in_table", "p.style_id", F.get("_styles", F.array_position("_ids", F.col("p.style_id")).cast("int") - 1)["name"].alias("style_name"),
         F.when(F.col("p.ilvl").isNotNull(), F.col("p.num_id")).alias("num_id"), F.when(F.col("p.num_id").isNotNull(), F.col("p.ilvl").try_cast("int")).alias("ilvl"),
         F.col("p.drawings").alias("drawing_count"), F.col("p.maths").alias("math_count"), F.col("p.objects").alias("object_count"),
-        style_at(F.col("p.style_id")).alias("_chain"), "_def", F.when(shown.isNotNull(), F.struct(*_named(run_columns(shown)))).alias("_run"), *marks, *_named(para_columns("p.para"), "p_"),
+        style_at(F.col("p.style_id")).alias("_chain"), "_def", once(shown, lambda x: F.when(x.isNotNull(), F.struct(*_named(run_columns(x))))).alias("_run"), *marks, *_named(para_columns("p.para"), "p_"),
     )
     paragraphs = effective(own, RUN, PARA, True)
     paragraphs = paragraphs.select("*", F.col("line.pt").alias("line_pt"), F.col("line.multiple").alias("line_multiple")).drop("line")
