@@ -22,7 +22,8 @@ A tokenizer that drops white space and joins nothing over it (checked by its
 own description, see `parts_at_space`) gives the same ids for a text as for
 its space-separated chunks one after the other, so each worker remembers the
 ids of chunks: up to REMEMBERED new ones, and those of as many before that come
-again. Other tokenizers get whole texts.
+again. Of the texts that are encoded together, each different chunk is looked
+up once; Arrow parts them. Other tokenizers get whole texts.
 
 Defined cases: null and empty texts have only the end id; null doc_ids come
 first; rows that repeat a doc_id are ordered by a hash of their text, equal
@@ -35,13 +36,16 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import struct
 import uuid
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,7 +162,7 @@ class Encoder:
         for c, a, b in zip(group, [0, *(4 * starts).tolist()], [*(4 * ends).tolist(), len(raw)], strict=True):
             self.known[c] = raw[a:b]
 
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         """Puts the ids of chunks into `known`. A word with one of TAILS after it is the word and that; where the word is new itself, only it is remembered, and the ids of both are returned."""
         known, older = self.known, self.older
         new, joined = [], []
@@ -200,47 +204,56 @@ class Encoder:
         return rare
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        parts: dict[int, list[bytes]] = {}
-        odd = []
+        out: list[bytes] = [b""] * len(texts)
+        at, raws, odd = [], [], []
         for i, text in enumerate(texts):
             if not text:
-                out[i] = b""
-            elif not self.by_chunk or "<|" in text or MARK in text:
+                continue
+            if not self.by_chunk or "<|" in text or MARK in text:
                 odd.append(i)
             else:
                 raw = text.encode("utf-8", "surrogatepass")
                 # A letter with a combining mark may compose only as a capital, or only as a small letter.
                 if self.small and b"\xcc" not in raw and b"\xcd" not in raw:
                     raw = raw.lower()
-                parts[i] = raw.replace(b"\n", b" ").split(b" ")
+                at.append(i)
+                raws.append(raw.replace(b"\n", b" "))
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]) if odd else [], strict=True):
             out[i] = ids
+        for i, ids in zip(at, self._by_chunk(raws) if raws else [], strict=True):
+            out[i] = ids
+        return out
+
+    def _by_chunk(self, raws: list[bytes]) -> list[bytes]:
+        """Texts by their chunks: each different one of them is looked up once."""
         if len(self.known) > self.remembered:
             self.known, self.older = {b"": b""}, self.known
-        get = self.known.get
-        missing: set[bytes] = set()
-        gaps = []
-        for i, p in parts.items():
-            ids = list(map(get, p))
-            if None in ids:
-                places = [k for k, x in enumerate(ids) if x is None]
-                missing.update([p[k] for k in places])
-                gaps.append((i, p, ids, places))
-            else:
-                out[i] = b"".join(ids)
-        rare = self._learn(missing) if missing else {}
-        for i, p, ids, places in gaps:
-            for k in places:
-                x = get(c := p[k])
-                ids[k] = rare[c] if x is None else x
-            out[i] = b"".join(ids)
-        return out
+        split = pc.split_pattern(pa.array(raws, pa.large_binary()), " ")
+        chunks = split.flatten().dictionary_encode()
+        different = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, different))
+        gaps = [k for k, x in enumerate(ids) if x is None]
+        rare = self._learn([different[k] for k in gaps]) if gaps else {}
+        for k in gaps:
+            c = different[k]
+            ids[k] = rare[c] if (x := self.known.get(c)) is None else x
+        # The ids of all chunks one after the other: where each chunk's begin among those of the different ones, and how many they are.
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        begin = np.cumsum(size) - size
+        which = chunks.indices.to_numpy()
+        many = size[which]
+        past = np.cumsum(many)
+        places = np.repeat(begin[which] - (past - many), many)
+        places += np.arange(len(places))
+        raw = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+        cut = np.concatenate(([0], past))[split.offsets.to_numpy()] << 2
+        return [raw[a:b] for a, b in pairwise(cut.tolist())]
 
 
 @functools.lru_cache(maxsize=1)
 def encoder(file: str) -> Encoder:
-    """One a worker process, which keeps what it has learnt from task to task."""
+    """One a worker process, which keeps what it has learnt from task to task. A task has one core: the library's own threads would only wait for each other."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Encoder(file)
 
 

@@ -85,6 +85,30 @@ def test_a_cut_file_is_noticed():
         list(segments_of(raw + b"x"))
 
 
+def test_op11_chunks_are_looked_up_once(monkeypatch):
+    """Of texts that are encoded together each different chunk is sought once, and a task keeps to its core."""
+    import os
+
+    from quire.llm.token_files import TOKENIZER, Encoder, encoder
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, key):
+            self.n += 1
+            return super().get(key)
+
+    e = Encoder(TOKENIZER)
+    e.known = Counted({b"": b""})
+    texts = ["one two, three\n" * 500, "two  three four.", "\n", "", None] * 3
+    assert e.encode(texts) == [e.whole([t])[0] if t else b"" for t in texts]
+    assert e.known.n < 30
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    encoder.cache_clear()
+    encoder(TOKENIZER)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def test_op11_files(spark, path):
     from tokenizers import Tokenizer
 
