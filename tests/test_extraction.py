@@ -96,6 +96,16 @@ def test_files_are_made_and_read_in_one_worker(spark):
     assert (plan(one), plan(two)) == (1, 2)
 
 
+def test_facts_without_payloads(spark):
+    """Counts need no payloads: they are neither written as JSON nor passed on, and all else is the same."""
+    from quire.plans.files import MadeFiles
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one\ntwo", "", None, "第一行\nb\nc <&> \x01", "x"])], "doc_id long, text string")
+    full, bare = extract_facts(MadeFiles(docs)).collect(), extract_facts(MadeFiles(docs), payloads=False, held=1).collect()
+    assert sorted(tuple(r)[:4] for r in bare) == sorted(tuple(r)[:4] for r in full)
+    assert not any(r.payload for r in bare) and all((r.payload is None) == (r.fact == "file") for r in full)
+
+
 def test_measures_are_worked_out_once(spark):
     """Generated code for each copy of a measure took every task seconds."""
     from pyspark.sql import functions as F
