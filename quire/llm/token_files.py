@@ -61,7 +61,7 @@ REMEMBERED = 1 << 18
 #: Parts chunks that are encoded together; texts that hold it are encoded whole.
 MARK = "\x01"
 #: Texts that are encoded together.
-TEXTS = 256
+TEXTS = 1024
 TAILS = (b".", b",", b";", b":", b"!", b"?")
 
 MAGIC = b"QTB1"
