@@ -292,6 +292,32 @@ def test_scan_corpus_of_real_files(spark, tmp_path):
     assert sorted(r.code for r in triage_files(extract_facts(files)).collect()) == ["NOT_ZIP", "ok"]
 
 
+def test_scan_corpus_lists_files_in_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quire.plans.files import word_files, write_files
+    from quire.sources.docx import scan_corpus
+
+    docs = spark.range(0, 40).select(F.col("id").alias("doc_id"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("text"))
+    folder = tmp_path / "a b%20\u6587"
+    write_files(word_files(docs), folder.as_uri())
+    for name in ("_hidden/x.docx", ".hidden/x.docx", "k=1/_y=2/in.docx", "_no.docx", ".no.docx", "deep/er/UP.DOCX", "deep/other.doc", "empty.docx"):
+        (folder / name).parent.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_bytes(b"" if name == "empty.docx" else name.encode())
+    (folder / "none").mkdir()
+    spark_own = spark.read.format("binaryFile").option("pathGlobFilter", "*.[dD][oO][cC][xX]").option("recursiveFileLookup", "true").load(str(folder)).select("path", "length", "content")
+    # Spark's reader leaves out empty files; here they have a row, and so a code.
+    want = sorted([*spark_own.collect(), (f"file:{folder}/empty.docx", 0, b"")])
+    for at in (folder.as_uri(), str(folder)):
+        files = scan_corpus(spark, at)
+        assert not files.inputFiles() and files.schema.simpleString() == spark_own.schema.simpleString()
+        assert sorted(files.collect()) == want and len(want) > 60
+    # A single file and a place that isn't there are left to Spark's reader.
+    assert [r.length for r in scan_corpus(spark, str(folder / "deep/er/UP.DOCX")).collect()] == [15]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        scan_corpus(spark, str(tmp_path / "nowhere")).collect()
+
+
 def test_style_chain_of_any_length(spark):
     from quire.operators.resolve import style_chain
 
