@@ -115,7 +115,8 @@ def validate_corpus(word: Word, rules: DataFrame, page_rules: dict, number_rules
     have the confidence of their role, all have a hint. sources(role_keys,
     field_keys, provenance) give each issue the text that its rule comes from.
     """
-    roles = keep(R.classify_roles(word.paragraphs))
+    # Paragraphs with a role are classified and kept already.
+    roles = word.paragraphs if "role" in word.paragraphs.columns else keep(R.classify_roles(word.paragraphs))
     named = roles.select("doc_id", "para_index", "role", "text")
     described = X.described(word.fields)
     numbers = X.captions(named, described)

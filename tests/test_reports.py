@@ -81,3 +81,36 @@ def test_border_details(spark):
     from pyspark.sql import functions as F
 
     assert [r[0] for r in d.select(js_number(F.col("x"))).collect()] == [4.0, 4.5, 0.0, 100.0, 0.5, None, None, None, None]
+
+
+def test_rules_come_before_the_join_with_runs(spark):
+    from quire.operators.references import described
+    from quire.operators.style_checks import RULE_SCHEMA, check_fields
+
+    none = {"font_east_asia": None, "font_ascii": None, "bold": None, "alignment": None, "line_pt": None, "line_multiple": 1.5, "space_before_pt": None, "space_after_pt": None, "first_line_chars": None, "hanging_chars": None, "left_chars": None, "outline_level": None}
+    schema = "doc_id long, para_index int, role string, text string, size_pt double, font_east_asia string, font_ascii string, bold boolean, alignment string, line_pt double, line_multiple double, space_before_pt double, space_after_pt double, first_line_chars double, hanging_chars double, left_chars double, outline_level int"
+    roles = spark.createDataFrame([{"doc_id": 1, "para_index": i, "role": r, "text": "\u6587 a", "size_pt": 9.0} | none for i, r in enumerate(["body_text", "body_text", None])], schema)
+    runs = spark.createDataFrame([(1, 0, 0, "\u6587", None, None, 12.0), (1, 0, 1, " a", None, None, 8.0), (1, 1, 0, "  ", None, None, 8.0), (1, 2, 0, "a", None, None, 8.0)], "doc_id long, para_index int, run_index int, text string, font_east_asia string, font_ascii string, size_pt double")
+    rules = spark.createDataFrame([("body_text", "fontSizePt", True, "error", "exact", None, 12.0, None, None, None, None), ("body_text", "lineHeightPt", True, "warn", "exact", None, 20.0, None, None, None, None)], RULE_SCHEMA)
+    found = check_fields(roles, runs, rules)
+    # The run of the first paragraph decides on its size, the blank one of the second doesn't.
+    want = [(0, "line_spacing_pt", "1.5 \u500d", None), (0, "size_pt", "8pt", 1), (1, "line_spacing_pt", "1.5 \u500d", None), (1, "size_pt", "9pt", None)]
+    shown = lambda df: sorted((r.para_index, r.field, r.shown, r.start_run) for r in df.collect())
+    assert shown(found) == want
+    named = runs.join(roles.select("doc_id", "para_index", "role"), ["doc_id", "para_index"])
+    assert shown(check_fields(roles, named, rules)) == want
+    # An anti join would be taken to before the rules, where it moves every value.
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+    seq = described(spark.createDataFrame([(1, 'SEQ "Fig" x'), (2, "REF 'a b'"), (3, None)], "k int, instruction string")).where("type <> 'PAGE'")
+    assert [tuple(r)[2:] for r in seq.sort("k").collect()] == [("SEQ", None, "Fig"), ("REF", "a b", None), ("UNKNOWN", None, None)]
+    assert seq._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+
+
+def test_overlay_tables_need_no_exchange(spark):
+    from quire.plans import overlay
+
+    w = overlay.word(spark, "/root/testdata/sf0.001")
+    assert "role" in w.paragraphs.columns and "role" in w.runs.columns
+    counts = w.runs.groupBy("doc_id", "para_index").count()
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert w.paragraphs.count() * 3 == w.runs.count() and w.documents.count() == 200
