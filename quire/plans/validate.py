@@ -106,15 +106,8 @@ def fix_hint(issues: DataFrame) -> DataFrame:
     return issues.withColumn("_hint", pick).withColumn("fixability", F.col("_hint.fixability")).withColumn("suggestion", said).drop("_hint")
 
 
-def validate_corpus(word: Word, rules: DataFrame, page_rules: dict, number_rules: dict, header_rules: dict, stats: dict, keep=lambda df: clustered(df, "roles"), sources: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
-    """Issues of all documents; `check_seq` keeps the order of the checks.
-
-    keep(roles) writes the classified paragraphs and reads them back, since
-    many checks read them; in buckets of doc_id, so that the windows over
-    headings and captions and the counts need no exchange. Issues of paragraphs
-    have the confidence of their role, all have a hint. sources(role_keys,
-    field_keys, provenance) give each issue the text that its rule comes from.
-    """
+def _found(word: Word, rules: DataFrame, page_rules: dict, number_rules: dict, header_rules: dict, stats: dict, keep) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """The classified paragraphs, the issues of documents, and those of paragraphs."""
     # Paragraphs with a role are classified and kept already.
     roles = word.paragraphs if "role" in word.paragraphs.columns else keep(R.classify_roles(word.paragraphs))
     named = roles.select("doc_id", "para_index", "role", "text")
@@ -122,19 +115,44 @@ def validate_corpus(word: Word, rules: DataFrame, page_rules: dict, number_rules
     numbers = X.captions(named, described)
     counted = S.check_statistics(S.document_counts(named), stats)
     issue = lambda df, seq, severity=None: issue_row(df, seq, severity, more=True)
-    found = [
+    whole = [
         issue(P.check_page_setup(word.sections, page_rules), 1, "error"),
         issue(P.check_page_numbers(word.documents, word.sections, number_rules), 2, "error"),
         issue(P.check_header_footer(word.documents, word.tokens, header_rules), 3),
+        *([] if counted is None else [issue(counted, 9)]),
+    ]
+    placed = [
+        issue(C.check_fields(roles, word.runs, rules).withColumnRenamed("shown", "actual"), 10),
         issue(N.check_heading_sequence(roles), 4),
         issue(N.check_caption_sequence(roles, numbers, "figure"), 5),
         issue(N.check_caption_sequence(roles, numbers, "table"), 6),
         issue(X.check_references(X.caption_graph(named, described, word.bookmarks)), 7),
         issue(X.check_notes(word.note_refs, word.note_defs, named), 8),
-        *([] if counted is None else [issue(counted, 9)]),
-        issue(C.check_fields(roles, word.runs, rules).withColumnRenamed("shown", "actual"), 10),
     ]
-    all_ = reduce(DataFrame.unionByName, found)
+    return roles, whole, placed
+
+
+def found_issues(word: Word, rules: DataFrame, page_rules: dict, number_rules: dict, header_rules: dict, stats: dict, keep=lambda df: clustered(df, "roles")) -> DataFrame:
+    """The issues of validate_corpus() without the confidence of roles, previews and hints: enough for counts, and no issue is moved for them."""
+    _, whole, placed = _found(word, rules, page_rules, number_rules, header_rules, stats, keep)
+    return reduce(DataFrame.unionByName, whole + placed)
+
+
+def validate_corpus(word: Word, rules: DataFrame, page_rules: dict, number_rules: dict, header_rules: dict, stats: dict, keep=lambda df: clustered(df, "roles"), sources: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Issues of all documents; `check_seq` keeps the order of the checks.
+
+    keep(roles) writes the classified paragraphs and reads them back, since
+    many checks read them; in buckets of doc_id, so that the windows over
+    headings and captions and the counts need no exchange. Paragraphs that have
+    a role already are taken as they are. Issues of paragraphs have the
+    confidence of their role, all have a hint. sources(role_keys, field_keys,
+    provenance) give each issue the text that its rule comes from.
+    """
+    roles, whole, placed = _found(word, rules, page_rules, number_rules, header_rules, stats, keep)
     about = roles.select("doc_id", "para_index", "confidence", "reason", preview24(F.col("text")).alias("text_preview"))
-    hinted = fix_hint(RP.attach_confidence(all_, about, ["text_preview"]))
+    # Issues of fields are most of all and stand where their paragraphs do: they meet them on their own, not after a union, which deals out all rows anew.
+    first, *rest = placed
+    all_ = [RP.attach_confidence(first, about, ["text_preview"]), RP.attach_confidence(reduce(DataFrame.unionByName, rest), about, ["text_preview"])]
+    bare = {c: F.lit(None).cast("string") for c in ("text_preview", "role_confidence", "role_confidence_reason")}
+    hinted = fix_hint(reduce(DataFrame.unionByName, [*all_, *[x.withColumns(bare) for x in whole]]))
     return hinted if sources is None else RP.provenance_lookup(hinted, *sources)

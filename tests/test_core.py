@@ -279,6 +279,32 @@ def test_word_file_to_issues(spark):
     assert by["heading_sequence", 2, None].role_confidence == "high" and by["heading_sequence", 2, None].text_preview == "2 绪论"
 
 
+def test_classified_paragraphs_are_kept_once_and_counts_need_no_hints(spark):
+    from collections import Counter
+    from dataclasses import replace
+
+    from quire.operators.roles import classify_roles
+    from quire.operators.style_checks import RULE_SCHEMA
+    from quire.plans.validate import found_issues, validate_corpus
+    from quire.sources.tables import stored
+
+    w = word_of(spark, [(1, docx(PAPER, styles=STYLES, header1=HEADER, footer1=FOOTER, **{"theme/theme1": THEME}))])
+    rules = spark.createDataFrame([("body_text", "fontSizePt", True, "error", "exact", None, 12.0, None, None, None, None), ("heading1", "bold", True, "warn", "exact", None, None, False, None, None, None)], RULE_SCHEMA)
+    given = (rules, {"margin_top_cm": 3}, {"body_format": "Arabic"}, {"size_pt": 9.0}, {"min_references": 1})
+
+    def never(df):
+        raise AssertionError("classified again")
+
+    done = replace(w, paragraphs=stored(classify_roles(w.paragraphs), "roles"))
+    want = validate_corpus(w, *given).collect()
+    got = validate_corpus(done, *given, keep=never)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want)) and len(want) == 9
+    assert {r.role_confidence for r in want if r.para_index < 0} == {None} and None not in {r.role_confidence for r in want if r.para_index >= 0}
+    found = found_issues(done, *given, keep=never).select("check_seq", "field", "severity")
+    assert Counter(map(tuple, found.collect())) == Counter((r.check_seq, r.field, r.severity) for r in want)
+    assert "confidence" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_scan_corpus_of_real_files(spark, tmp_path):
     from quire.sources.docx import extract_facts, scan_corpus, triage_files
 
